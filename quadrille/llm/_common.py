@@ -51,9 +51,8 @@ _POWERS: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse."""
     if len(_POWERS.get("up", ())) < n:
-        n = max(n, _CHUNK + 1)
         for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(n, base, np.uint64)
+            p = np.full(max(n, _CHUNK + 1), base, np.uint64)
             p[0] = 1
             _POWERS[key] = np.cumprod(p)
     return _POWERS["up"][:n], _POWERS["down"][:n]

@@ -7,7 +7,7 @@ from ._common import WORD, cut
 
 #: Up to so many sources their parameters are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
-BUCKET_DIGITS = 4
+BUCKET_DIGITS = 3
 
 
 def source_targets(sizes: DataFrame, weights=(1, 2, 3), max_epochs: int = 3) -> DataFrame:

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, media, mixing, tokens
+from . import chat, decontam, jaccard, media, mixing, suffix, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op5_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(
@@ -44,6 +48,10 @@ def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -52,8 +60,10 @@ def queries() -> dict:
     return {
         "op1_gif_media": op1_gif_media,
         "op3_mix_sources": op3_mix_sources,
+        "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_prefix_targets": op5_prefix_targets,
         "op6_spaced_seeds": op6_spaced_seeds,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op10_token_counts": op10_token_counts,
     }
 
