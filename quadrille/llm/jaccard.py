@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut, mix, offsets, ranges, utf8, words
@@ -88,7 +88,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sets = shingle_sets(part["text"])
             signatures = np.stack([signature(s) if len(s) else np.zeros(K, np.uint32) for s in sets]).astype(np.uint64)
             bands = mix((signatures.reshape(-1, BANDS, BAND_ROWS) * _BAND).sum(2)).astype(np.int64)
-            yield pd.DataFrame({"key": part["key"], "digest": [digest(s) for s in sets], "n": [len(s) for s in sets], "bands": list(bands)})
+            yield pd.DataFrame({"key": part["key"], "hash": part["hash"], "digest": [digest(s) for s in sets], "n": [len(s) for s in sets], "bands": list(bands)})
 
 
 def _collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,19 +175,29 @@ def _verify(threshold: float):
     return run
 
 
+LOWEST = -(1 << 63)  # stands for a null key
+
+
+def row_key(key: str) -> Column:
+    return F.coalesce(F.col(key).cast("long"), F.lit(LOWEST))
+
+
+def row_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def link(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, class_id, n_links, copies, n_texts, for each row of docs.
+    """key, class_id, n_links, copies, n_texts, text_hash and group_digest, for each row of docs.
 
     Two rows are linked if the sets of runs of five words (lower case) have a Jaccard similarity of threshold at least.
     class_id is the least key among the rows that links connect, n_links the number of rows linked to this one (copies
     included), copies the rows with the same set (itself included), n_texts the number of different sets linked to its
-    own.  Null and empty texts are linked to nothing and are a class of their own; a text under five words has one run;
+    own; group_digest is the same in all rows that links connect, null in rows without links.  Null and empty texts are linked to nothing and are a class of their own; a text under five words has one run;
     repeated rows are copies; rows with a null key have the least key; an empty table gives no rows; other columns are
     ignored.  Keys must be integers.
     """
-    lowest = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(lowest)).alias("key"), F.col(text).alias("text"))
-    sketches = cut(rows.mapInPandas(_sketch, "key long, digest binary, n int, bands array<long>"), "sketches")
+    rows = docs.select(row_key(key).alias("key"), row_hash(text).alias("hash"), F.col(text).alias("text"))
+    sketches = cut(rows.mapInPandas(_sketch, "key long, hash long, digest binary, n int, bands array<long>"), "sketches")
     classes = cut(
         sketches.filter("n > 0").groupBy("digest").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.any_value("bands").alias("bands")),
         "classes",
@@ -208,16 +218,35 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", tex
     found = cut(dealt.mapInPandas(_verify(threshold), "digest binary, texts long, documents long, tied binary"), "links")
     groups = components(found.select(F.col("digest").alias("a"), F.col("tied").alias("b"))).withColumnRenamed("node", "digest")
     named = classes.select("digest", "rep").join(groups, "digest")
-    named = named.join(named.groupBy("root").agg(F.min("rep").alias("least")), "root").select("digest", "least")
+    named = named.join(named.groupBy("root").agg(F.min("rep").alias("least")), "root").select("digest", "least", "root")
     totals = found.groupBy("digest").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
     told = classes.filter("copies > 1").select("digest").unionByName(named.select("digest")).distinct()
     told = told.join(classes.select("digest", "rep", "copies"), "digest").join(named, "digest", "left").join(totals, "digest", "left")
-    told = told.select("digest", F.coalesce("least", "rep").alias("least"), "copies", "texts", "documents")
+    told = told.select("digest", F.coalesce("least", "rep").alias("least"), F.coalesce("root", "digest").alias("root"), "copies", "texts", "documents")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return sketches.select("key", "digest").join(told, "digest", "left").select(
-        F.nullif("key", F.lit(lowest)).alias(key),
-        F.nullif(F.coalesce("least", "key"), F.lit(lowest)).alias("class_id"),
+    return sketches.select("key", "hash", "digest").join(told, "digest", "left").select(
+        F.nullif("key", F.lit(LOWEST)).alias(key),
+        F.nullif(F.coalesce("least", "key"), F.lit(LOWEST)).alias("class_id"),
         (zero("documents") + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
         zero("texts").alias("n_texts"),
+        F.col("hash").alias("text_hash"),
+        F.hex("root").alias("group_digest"),
     )
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group of linked rows: the one with the least key (null first), then text hash.
+
+    Rows without links stay as they are.  Of rows repeated with key and text one stays.  Only keys of rows that go are
+    joined with docs; no group comes together in a task.
+    """
+    linked = cut(link(docs, threshold, key, text).filter("group_digest is not null").select(row_key(key).alias("__key"), F.col("text_hash").alias("__hash"), "group_digest"), "linked")
+    counted = linked.groupBy("group_digest", "__key", "__hash").agg(F.count("*").alias("n"))
+    keeper = counted.groupBy("group_digest").agg(F.min(F.struct("__key", "__hash")).alias("first"))
+    judged = counted.join(keeper, "group_digest").withColumn("keep", F.struct("__key", "__hash") == F.col("first"))
+    keyed = docs.withColumn("__key", row_key(key)).withColumn("__hash", row_hash(text))
+    rest = keyed.join(judged.filter("not keep or n > 1").select("__key", "__hash"), ["__key", "__hash"], "left_anti")
+    again = keyed.join(judged.filter("keep and n > 1").select("__key", "__hash"), ["__key", "__hash"])
+    again = again.groupBy("__key", "__hash").agg(F.any_value(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select("row.*")
+    return rest.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(again)

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, media, mixing, suffix, tokens
+from . import chat, decontam, jaccard, license, lm, media, mixing, suffix, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,12 +27,16 @@ def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link(table(spark, sf_dir, "documents"))
+    return jaccard.link(table(spark, sf_dir, "documents")).drop("text_hash", "group_digest")
 
 
 def op5_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,10 +52,29 @@ def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license.scan(table(spark, sf_dir, "documents"))
+    sure = F.filter("found", lambda f: f["confirmed"])
+    return found.select(
+        "doc_id",
+        "n_paragraphs",
+        F.size("found").cast("long").alias("n_named"),
+        F.size(sure).cast("long").alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda f: f["family"]))), ",").alias("families"),
+        F.array_join(F.transform(sure, lambda f: f["paragraph"].cast("string")), ",").alias("paragraphs"),
+        F.round(F.coalesce(F.array_max(F.transform("found", lambda f: f["probability"])), F.lit(0.0)), 6).alias("best_probability"),
+    )
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -59,11 +82,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_gif_media": op1_gif_media,
+        "op2_lm_score": op2_lm_score,
         "op3_mix_sources": op3_mix_sources,
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_prefix_targets": op5_prefix_targets,
         "op6_spaced_seeds": op6_spaced_seeds,
+        "op7_license_scan": op7_license_scan,
         "op8_suffix_dedup": op8_suffix_dedup,
+        "op9_toxicity": op9_toxicity,
         "op10_token_counts": op10_token_counts,
     }
 

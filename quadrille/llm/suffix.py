@@ -302,7 +302,7 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield close()
 
 
-def _remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _remove(batches: Iterator[pd.DataFrame], as_text: bool) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for text, spans in zip(batch["__text"], batch["__spans"]):
@@ -316,7 +316,7 @@ def _remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n = int(covered.sum())
             runs = int((covered & ~np.concatenate([[False], covered[:-1]])).sum()) if n else 0
             kept = np.frombuffer(raw, np.uint8)[~covered].tobytes() if n else raw
-            out.append((len(raw), n, runs, kept, hashlib.sha256(kept).hexdigest()))
+            out.append((len(raw), n, runs, kept.decode(errors="ignore") if as_text else kept, hashlib.sha256(kept).hexdigest()))
         made = pd.DataFrame(out, batch.index, columns=["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
         yield pd.concat([batch.drop(columns=["__text", "__spans"]), made], axis=1)
 
@@ -354,8 +354,9 @@ def repeats(rows: DataFrame) -> DataFrame:
     return whole.unionByName(dealt.mapInPandas(_search, "key long, hash long, first int, last int"))
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without its text column, and with n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256.
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
+    """docs without its text column, and with n_bytes, n_removed, n_spans, kept (the remaining bytes; with as_text a string of the
+    whole characters among them) and kept_sha256.
 
     Every byte of a text (as UTF-8) that is covered by a string of WINDOW bytes which also starts anywhere else, in another
     row or in the same, is removed; overlaps count; strings are judged on the input.  A null text is empty; texts under
@@ -370,4 +371,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     whole = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text"), row_key.alias("__key"), row_hash.alias("__hash"))
     whole = whole.join(spans, ["__key", "__hash"], "left").drop("__key", "__hash")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return whole.mapInPandas(_remove, f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    kind = "string" if as_text else "binary"
+    return whole.mapInPandas(lambda batches: _remove(batches, as_text), f"{schema}, n_bytes long, n_removed long, n_spans long, kept {kind}, kept_sha256 string")
+
+
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
+    """docs with texts of the remaining bytes, and length (where there is such a column) as their number of characters.
+    What is left of a character that was cut apart goes too; a null text becomes empty."""
+    told = remove_repeats(docs, key, text, as_text=True)
+    columns = {text: F.col("kept")} | ({length: F.length("kept").cast(docs.schema[length].dataType)} if length in docs.columns else {})
+    return told.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
