@@ -1,0 +1,13 @@
+"""Queries on the tables, and for each the SQL that another engine runs for the same result."""
+
+from . import geometry
+
+MODULES = (geometry,)
+
+
+def queries() -> dict:
+    return {name: query for module in MODULES for name, (query, _) in module.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for module in MODULES for name, (_, sql) in module.QUERIES.items() if sql}
