@@ -1,8 +1,8 @@
 """Queries on the tables, and for each the SQL that another engine runs for the same result."""
 
-from . import geometry
+from . import geometry, raster
 
-MODULES = (geometry,)
+MODULES = (geometry, raster)
 
 
 def queries() -> dict:

@@ -132,10 +132,10 @@ SELECT *, CASE WHEN coverage_pct >= 10 THEN CAST(CAST(floor(coverage_pct + 0.5)
  ELSE CAST(CAST(floor(coverage_pct * 10 + 0.5) AS BIGINT) // 10 AS VARCHAR) || '.' || CAST(CAST(floor(coverage_pct * 10 + 0.5) AS BIGINT) % 10 AS VARCHAR) END AS label FROM pct""",
     ),
     "region_boxes": (
-        lambda s, d: g.region_boxes(table(s, d, "orders").select(F.col("o_orderkey").alias("image_id")), clamped(s, d).filter("image_id % 4 <> 0"), 8, WIDTH, HEIGHT),
+        lambda s, d: g.region_boxes(table(s, d, "orders").select(F.col("o_orderkey").alias("image_id")), clamped(s, d).filter("image_id % 4 <> 0"), 8, WIDTH, HEIGHT).fillna({"ord": 0}),
         f"""{W}, {CLAMPED}, chosen AS (SELECT * FROM clamped WHERE image_id % 4 <> 0), boxes AS (SELECT image_id, ord, {_B.format(w=WIDTH, h=HEIGHT, p=8)} AS b FROM chosen)
 SELECT image_id, ord, b.x0 AS x0, b.y0 AS y0, b.x1 AS x1, b.y1 AS y1 FROM boxes WHERE b.x1 > b.x0 AND b.y1 > b.y0
-UNION ALL SELECT o_orderkey, NULL, 0, 0, {WIDTH}, {HEIGHT} FROM orders WHERE o_orderkey NOT IN (SELECT image_id FROM chosen)""",
+UNION ALL SELECT o_orderkey, 0, 0, 0, {WIDTH}, {HEIGHT} FROM orders WHERE o_orderkey NOT IN (SELECT image_id FROM chosen)""",
     ),
     "region_translate": (
         lambda s, d: g.to_crop(clamped(s, d), planned(s, d)),
