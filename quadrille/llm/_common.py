@@ -1,11 +1,8 @@
-"""Helpers that the operators share: the shared folder, and hashing of whitespace words in numpy."""
-
-import os
-import tempfile
-import uuid
+"""Helpers that the operators share: hashing of whitespace words and of byte spans in numpy."""
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+
+from ..sources.shared import cut, shared_dir  # noqa: F401
 
 #: ASCII white space of the word pattern `[^\x20\x09-\x0D]+`.
 SPACE = np.zeros(256, bool)
@@ -18,22 +15,6 @@ _CHUNK = 1 << 21  # bytes hashed at a time
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a temporary one only where spark.checkpoint.dir is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "quadrille-shared")
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends, lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the finaliser published with splitmix64)."""
     x = x ^ (x >> np.uint64(30))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut, mix, offsets, ranges, utf8, words
-from ._graph import components
+from ..operators.graph import components
 
 N_WORDS, THRESHOLD = 5, 0.8
 #: A pair of the threshold's similarity shares no band with probability (1 - 0.8**6)**42, 3 in a million.
