@@ -1,8 +1,8 @@
 """Queries on the tables, and for each the SQL that another engine runs for the same result."""
 
-from . import geometry, raster
+from . import config, geometry, jobs, raster, reports, temporal
 
-MODULES = (geometry, raster)
+MODULES = (geometry, raster, temporal, config, jobs, reports)
 
 
 def queries() -> dict:
