@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -275,6 +276,30 @@ def _cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": part["key"].to_numpy()[row], "hash": part["hash"].to_numpy()[row]} | found)
 
 
+def _pack(column: str):
+    """Texts as compressed UTF-8, so that a shuffle moves and keeps less than half."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
+        for batch in batches:
+            yield batch.assign(**{column: [pack(t) for t in utf8(batch[column])]})
+
+    return run
+
+
+def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each wanted segment of a packed text."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for i in range(0, len(batch), 256):
+            part = batch.iloc[i : i + 256]
+            out = []
+            for key, text_hash, text, wanted in zip(part["key"].tolist(), part["hash"].tolist(), part["text"], part["segments"]):
+                raw = unpack(text)
+                out += [(key, text_hash, s["shard"], s["blocks"], s["anchor"], s["digest"], s["start"], raw[s["start"] : s["start"] + s["size"]]) for s in wanted]
+            yield pd.DataFrame(out, columns=["key", "hash", "shard", "blocks", "anchor", "digest", "start", "bytes"])
+
+
 def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Repeats among the segments of each (shard, one, two), which follow one another."""
     group, held = None, {}
@@ -305,8 +330,9 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _remove(batches: Iterator[pd.DataFrame], as_text: bool) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
+        unpack = zstandard.ZstdDecompressor().decompress
         for text, spans in zip(batch["__text"], batch["__spans"]):
-            raw = b"" if text is None else text.encode("utf-8", "surrogatepass")
+            raw = unpack(text)
             gone, n = np.zeros(len(raw) + 1, np.int32), 0
             if spans is not None and len(spans):
                 first, last = (np.array([s[k] for s in spans], np.int64) for k in ("first", "last"))
@@ -343,8 +369,8 @@ def repeats(rows: DataFrame) -> DataFrame:
         F.struct("shard", "blocks", "anchor", "digest", F.col("rep.start").alias("start"), length.alias("size")).alias("segment"),
     )
     wanted = wanted.groupBy("key", "hash").agg(F.collect_list("segment").alias("segments"))
-    texts = rows.join(wanted, ["key", "hash"]).select("key", "hash", F.col("text").cast("binary").alias("raw"), F.explode("segments").alias("s"))
-    texts = texts.select("key", "hash", "s.*", F.expr("substring(raw, s.start + 1, s.size)").alias("bytes"))
+    packed = rows.mapInPandas(_pack("text"), "key long, hash long, text binary")
+    texts = packed.join(wanted, ["key", "hash"]).mapInPandas(_extract, "key long, hash long, shard long, blocks int, anchor long, digest long, start int, bytes binary")
     block = F.pmod(F.xxhash64("digest"), F.greatest("blocks", F.lit(1))).cast("int")
     texts = texts.withColumn("block", block).withColumn("with", F.explode(F.expr("sequence(0, greatest(blocks, 1) - 1)")))
     # -1 marks the shards of several anchors
@@ -369,7 +395,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", as_
     spans = repeats(rows).groupBy("key", "hash").agg(F.collect_set(F.struct("first", "last")).alias("__spans")).select(F.col("key").alias("__key"), F.col("hash").alias("__hash"), "__spans")
     kept = [c for c in docs.columns if c != text and c not in made]
     whole = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text"), row_key.alias("__key"), row_hash.alias("__hash"))
-    whole = whole.join(spans, ["__key", "__hash"], "left").drop("__key", "__hash")
+    fields = ", ".join(f"`{c}` {'binary' if c == '__text' else whole.schema[c].dataType.simpleString()}" for c in whole.columns)
+    whole = whole.mapInPandas(_pack("__text"), fields).join(spans, ["__key", "__hash"], "left").drop("__key", "__hash")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     kind = "string" if as_text else "binary"
     return whole.mapInPandas(lambda batches: _remove(batches, as_text), f"{schema}, n_bytes long, n_removed long, n_spans long, kept {kind}, kept_sha256 string")
