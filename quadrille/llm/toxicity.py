@@ -19,18 +19,23 @@ RUN = 6  # words whose vectors are averaged
 REJECT = 0.7
 #: The sample that a model is fitted on: rows of each label at most, and characters of a row at most.
 TRAIN_ROWS, TRAIN_CHARS = {1: 2000, 0: 5000}, 20_000
-EPOCHS, WHOLE_EPOCHS, RATE, DECAY, DROP = 140, 30, 0.05, 1e-4, 0.3
+EPOCHS, WHOLE_EPOCHS, RATE, DECAY, DROP = 110, 30, 0.05, 1e-4, 0.3
 
 #: Bytes of words: letters, digits and all beyond ASCII; the others separate words.
 _TABLE = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
+def spaced(text: str | None) -> bytes:
+    """A text as lower-case UTF-8 words between spaces."""
+    return b"" if text is None else text.lower().encode("utf-8", "surrogatepass").translate(_TABLE)
+
+
 def grams(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts: the bucket of each n-gram, the word that it belongs to, and the number of words of each text."""
-    raw = [b"" if t is None else t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    raw = [spaced(t) for t in texts]
     buckets, owners, counts, seen = [], [], np.zeros(len(raw), np.int64), 0
     for i, j in chunks(raw):
-        data = np.frombuffer((b" " + b" ".join(raw[i:j]) + b" ").translate(_TABLE), np.uint8)
+        data = np.frombuffer(b" " + b" ".join(raw[i:j]) + b" ", np.uint8)
         inside = data != 32
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         start, end = edge[::2], edge[1::2]
@@ -78,18 +83,15 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> dict:
     y = np.array(labels, float)
     if not 0 < y.sum() < len(y):
         return {"value": np.zeros(BUCKETS, np.float32), "bias": -50.0}
-    bucket, owner, counts = grams(texts)
-    n_words = int(counts.sum())
-    rng = np.random.default_rng(seed)
-    # equal words are worked out once: they have equal sums of random numbers that stand for their n-grams
-    mark = np.bincount(owner, rng.random(BUCKETS)[bucket], n_words)
-    _, example, kind = np.unique(mark, return_index=True, return_inverse=True)
-    n_kinds = len(example)
-    renumber = np.full(n_words, -1, np.int64)
-    renumber[example] = np.arange(n_kinds)
-    keep = renumber[owner] >= 0
-    bucket, owner = bucket[keep], renumber[owner[keep]]
+    numbers: dict[bytes, int] = {}
+    parts = [[numbers.setdefault(w, len(numbers)) for w in spaced(t).split()] for t in texts]
+    counts = np.array([len(p) for p in parts], np.int64)
+    kind = np.array([k for p in parts for k in p], np.int32)  # equal words are worked out once
+    del parts
+    bucket, owner, _ = grams([w.decode(errors="ignore") for w in numbers])
+    n_words, n_kinds = len(kind), len(numbers)
     per_kind = np.maximum(np.bincount(owner, minlength=n_kinds), 1).astype(float)
+    rng = np.random.default_rng(seed)
     text_of = np.repeat(np.arange(len(y)), counts)
     some = counts > 0
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * some
