@@ -18,7 +18,7 @@ BUCKETS, DIMENSIONS = 1 << 17, 8
 RUN = 6  # words whose vectors are averaged
 REJECT = 0.7
 #: The sample that a model is fitted on: rows of each label at most, and characters of a row at most.
-TRAIN_ROWS, TRAIN_CHARS = {1: 2000, 0: 5000}, 20_000
+TRAIN_ROWS, TRAIN_CHARS = {1: 2000, 0: 5000}, 6_000
 EPOCHS, WHOLE_EPOCHS, RATE, DECAY, DROP = 110, 30, 0.05, 1e-4, 0.3
 
 #: Bytes of words: letters, digits and all beyond ASCII; the others separate words.
@@ -94,7 +94,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> dict:
     rng = np.random.default_rng(seed)
     text_of = np.repeat(np.arange(len(y)), counts)
     some = counts > 0
-    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * some
+    weight = np.where(y == 1, 0.25 / y.sum(), 0.75 / (len(y) - y.sum())) * some
     vectors = rng.normal(0, 0.3, (BUCKETS, DIMENSIONS)).astype(np.float32)
     softmax = rng.normal(0, 0.3, (DIMENSIONS, 2))
     params = {"vectors": vectors, "softmax": softmax, "bias": np.zeros(2)}
