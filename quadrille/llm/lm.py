@@ -96,11 +96,11 @@ class EliasFano:
         high = (x >> np.uint64(self.low_bits)).astype(np.int64)
         at, end = self.zeros_before(high), self.zeros_before(high + 1)
         low = x & np.uint64((1 << self.low_bits) - 1)
-        going = np.flatnonzero(at < end)
-        while len(going):
-            going = going[self.lows(at[going]) < low[going]]
-            at[going] += 1
-            going = going[at[going] < end[going]]
+        while len(going := np.flatnonzero(at < end)):  # halving, as one high part can hold many values
+            middle = (at[going] + end[going]) >> 1
+            below = self.lows(middle) < low[going]
+            at[going[below]] = middle[below] + 1
+            end[going[~below]] = middle[~below]
         return at
 
 
