@@ -206,9 +206,8 @@ def similarity(m: dict, grams: np.ndarray, family: int) -> float:
     return float(share[m["family_of"] == family].max())
 
 
-def find(texts) -> list[list[tuple[int, str, float, float, bool]]]:
-    """Of each text its paragraphs that are named: place, family, probability, similarity, confirmed; the first entry of each
-    list is (number of paragraphs, ...)."""
+def find(texts) -> list[tuple[int, list[tuple[int, str, float, float, bool]]]]:
+    """Of each text its number of paragraphs, and those that are named: place, family, probability, similarity, confirmed."""
     m = model()
     raw = utf8(texts)
     out: list[list] = [[] for _ in raw]
@@ -232,7 +231,7 @@ def find(texts) -> list[list[tuple[int, str, float, float, bool]]]:
             family, where = int(best[k]), int(some[k])
             alike = similarity(m, hashes[owner == where], family)
             out[i + text[where]].append((where - int(first[text[where]]), FAMILIES[family], float(p[k, family]), alike, alike >= CONFIRMED))
-    return [[int(n), found] for n, found in zip(n_paragraphs, out)]
+    return [(int(n), found) for n, found in zip(n_paragraphs, out)]
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -251,6 +250,6 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 made = find(part["text"])
                 yield pd.DataFrame({"key": part["key"], "n_paragraphs": [n for n, _ in made], "found": [[dict(zip(names, f)) for f in found] for _, found in made]})
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = f"key {rows.schema['key'].dataType.simpleString()}, n_paragraphs long, found array<struct<paragraph:int,family:string,probability:double,similarity:double,confirmed:boolean>>"
-    return rows.mapInPandas(run, schema).withColumnRenamed("key", key)
+    rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+    schema = "key string, n_paragraphs long, found array<struct<paragraph:int,family:string,probability:double,similarity:double,confirmed:boolean>>"
+    return rows.mapInPandas(run, schema).select(F.col("key").cast(docs.schema[key].dataType).alias(key), "n_paragraphs", "found")

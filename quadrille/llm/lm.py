@@ -294,12 +294,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     spark = docs.sparkSession
     shards = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     held = F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(PARTS)) == REST, F.lit(False))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), held.alias("held"))
+    rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), held.alias("held"))
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("key", "text"), F.lit(shards)).cast("int"))
     asked = rows.groupBy("batch").applyInPandas(_ask(shards), "shard int, batch int, words binary, word_counts binary, successors binary, tails binary, pair_counts binary")
     answers = asked.groupBy("shard").applyInPandas(_answer, "shard int, batch int, counts binary, freed binary, codes binary, book binary, freed_book binary, n_tokens long, n_kinds long")
     answers = cut(answers, "lm-answers")
     total, kinds = answers.agg(F.sum("n_tokens"), F.sum("n_kinds")).first()
-    schema = f"key {rows.schema['key'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    schema = "key string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     scored = rows.groupBy("batch").cogroup(answers.drop("n_tokens", "n_kinds").groupBy("batch")).applyInPandas(_score(shards, total or 0, kinds or 0), schema)
-    return scored.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(total or 0).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select(F.col("key").cast(docs.schema[key].dataType).alias(key), "held_out", "n_tokens", "n_known", F.lit(total or 0).cast("long").alias("train_tokens"), "base_score", "score")

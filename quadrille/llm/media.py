@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -298,8 +299,9 @@ def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 padded = [t + bytes(max(WIDTH, -(-len(t) // WIDTH) * WIDTH) - len(t)) for t in raw[i:j]]
                 yield pd.DataFrame({"key": batch["key"].iloc[i:j], "n_bytes": [len(t) for t in raw[i:j]], "gif": encode_gifs(padded)})
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"key {rows.schema['key'].dataType.simpleString()}, n_bytes long, gif binary").withColumnRenamed("key", key)
+    rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+    stored = rows.mapInPandas(run, "key string, n_bytes long, gif binary")
+    return stored.select(F.col("key").cast(docs.schema[key].dataType).alias(key), "n_bytes", "gif")
 
 
 def read_frames(media: DataFrame, gif: str = "gif", pixels: bool = False) -> DataFrame:
@@ -322,16 +324,19 @@ def read_frames(media: DataFrame, gif: str = "gif", pixels: bool = False) -> Dat
             frames.append(f | ({"rgba": canvas.tobytes()} if pixels else {}) | {"histogram": histogram(canvas).tolist()})
         return frames, b"".join(samples), error
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fields = [(k, pa.int32()) for k in ("start_cs", "delay_cs", "x", "y", "width", "height")] + [("rgba", pa.binary())] * pixels + [("histogram", pa.list_(pa.int64()))]
+    kinds = (pa.list_(pa.struct(fields)), pa.binary(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files = [None if x is None else bytes(x) for x in batch[gif]]
+            files = batch.column(kept.index(gif)).to_pylist()
             for i, j in portions(files):
                 found = [read(*x) for x in decode_gifs(files[i:j])]
-                part = batch.iloc[i:j]
-                yield part.assign(**{c: pd.Series([x[k] for x in found], part.index, dtype=object) for k, c in enumerate(("frames", "samples", "error"))})
+                made = [pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *made], [*kept, "frames", "samples", "error"])
 
     schema = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in kept) + f", frames {frame_type}, samples binary, error string"
-    return media.select(*[f"`{c}`" for c in kept]).mapInPandas(run, schema)
+    return media.select(*[f"`{c}`" for c in kept]).mapInArrow(run, schema)
 
 
 def frame_table(media: DataFrame, key: str, gif: str = "gif") -> DataFrame:

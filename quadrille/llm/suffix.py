@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from ._common import chunks, cut, mix, powers, prefix_hash, span_hash, utf8
 WINDOW, GRAM = 400, 64
 #: Bytes of a shard on average, and of each of the two blocks that a larger anchor's texts are compared in.
 SHARD = 2_000_000
+MADE = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
 
 
 # --- the suffix array of a shard -----------------------------------------------------------------------------------
@@ -279,10 +281,12 @@ def _cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _pack(column: str):
     """Texts as compressed UTF-8, so that a shuffle moves and keeps less than half."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
         for batch in batches:
-            yield batch.assign(**{column: [pack(t) for t in utf8(batch[column])]})
+            at = batch.schema.names.index(column)
+            packed = pa.array([pack(t) for t in utf8(batch.column(at).to_pylist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)
 
     return run
 
@@ -327,24 +331,25 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield close()
 
 
-def _remove(batches: Iterator[pd.DataFrame], as_text: bool) -> Iterator[pd.DataFrame]:
+def _remove(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        out = []
-        unpack = zstandard.ZstdDecompressor().decompress
-        for text, spans in zip(batch["__text"], batch["__spans"]):
+        names, out = batch.schema.names, []
+        for text, spans in zip(batch.column(names.index("__text")).to_pylist(), batch.column(names.index("__spans")).to_pylist()):
             raw = unpack(text)
-            gone, n = np.zeros(len(raw) + 1, np.int32), 0
-            if spans is not None and len(spans):
-                first, last = (np.array([s[k] for s in spans], np.int64) for k in ("first", "last"))
-                np.add.at(gone, first, 1)
-                np.add.at(gone, last, -1)
-            covered = np.cumsum(gone)[:-1] > 0
-            n = int(covered.sum())
-            runs = int((covered & ~np.concatenate([[False], covered[:-1]])).sum()) if n else 0
-            kept = np.frombuffer(raw, np.uint8)[~covered].tobytes() if n else raw
+            gone, n, runs, kept = np.zeros(len(raw) + 1, np.int32), 0, 0, raw
+            if spans:
+                np.add.at(gone, [s["first"] for s in spans], 1)
+                np.add.at(gone, [s["last"] for s in spans], -1)
+                covered = np.cumsum(gone)[:-1] > 0
+                n = int(covered.sum())
+                runs = int((covered & ~np.concatenate([[False], covered[:-1]])).sum())
+                kept = np.frombuffer(raw, np.uint8)[~covered].tobytes()
             out.append((len(raw), n, runs, kept.decode(errors="ignore") if as_text else kept, hashlib.sha256(kept).hexdigest()))
-        made = pd.DataFrame(out, batch.index, columns=["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
-        yield pd.concat([batch.drop(columns=["__text", "__spans"]), made], axis=1)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary(), pa.string())
+        own = [c for c in names if c not in ("__text", "__spans")]
+        made = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in own], *made], [*own, *MADE])
 
 
 def repeats(rows: DataFrame) -> DataFrame:
@@ -369,7 +374,7 @@ def repeats(rows: DataFrame) -> DataFrame:
         F.struct("shard", "blocks", "anchor", "digest", F.col("rep.start").alias("start"), length.alias("size")).alias("segment"),
     )
     wanted = wanted.groupBy("key", "hash").agg(F.collect_list("segment").alias("segments"))
-    packed = rows.mapInPandas(_pack("text"), "key long, hash long, text binary")
+    packed = rows.mapInArrow(_pack("text"), "key long, hash long, text binary")
     texts = packed.join(wanted, ["key", "hash"]).mapInPandas(_extract, "key long, hash long, shard long, blocks int, anchor long, digest long, start int, bytes binary")
     block = F.pmod(F.xxhash64("digest"), F.greatest("blocks", F.lit(1))).cast("int")
     texts = texts.withColumn("block", block).withColumn("with", F.explode(F.expr("sequence(0, greatest(blocks, 1) - 1)")))
@@ -389,22 +394,22 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", as_
     WINDOW bytes lose nothing; rows with equal keys and texts are repeated rows, whose windows all start elsewhere; an
     empty table gives no rows; columns of docs with names of the new ones give way.  Keys must be integers; null is one.
     """
-    made = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
     row_key, row_hash = F.coalesce(F.col(key).cast("long"), F.lit(-1 << 63)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(row_key.alias("key"), row_hash.alias("hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = repeats(rows).groupBy("key", "hash").agg(F.collect_set(F.struct("first", "last")).alias("__spans")).select(F.col("key").alias("__key"), F.col("hash").alias("__hash"), "__spans")
-    kept = [c for c in docs.columns if c != text and c not in made]
+    kept = [c for c in docs.columns if c != text and c not in MADE]
     whole = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text"), row_key.alias("__key"), row_hash.alias("__hash"))
     fields = ", ".join(f"`{c}` {'binary' if c == '__text' else whole.schema[c].dataType.simpleString()}" for c in whole.columns)
-    whole = whole.mapInPandas(_pack("__text"), fields).join(spans, ["__key", "__hash"], "left").drop("__key", "__hash")
+    whole = whole.mapInArrow(_pack("__text"), fields).join(spans, ["__key", "__hash"], "left").drop("__key", "__hash")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     kind = "string" if as_text else "binary"
-    return whole.mapInPandas(lambda batches: _remove(batches, as_text), f"{schema}, n_bytes long, n_removed long, n_spans long, kept {kind}, kept_sha256 string")
+    return whole.mapInArrow(lambda batches: _remove(batches, as_text), f"{schema}, n_bytes long, n_removed long, n_spans long, kept {kind}, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
     """docs with texts of the remaining bytes, and length (where there is such a column) as their number of characters.
     What is left of a character that was cut apart goes too; a null text becomes empty."""
-    told = remove_repeats(docs, key, text, as_text=True)
+    own = {c: c if c in (key, text) else f"__own{k}" for k, c in enumerate(docs.columns)}  # no name of theirs gives way
+    told = remove_repeats(docs.select(*[F.col(f"`{c}`").alias(o) for c, o in own.items()]), key, text, as_text=True)
     columns = {text: F.col("kept")} | ({length: F.length("kept").cast(docs.schema[length].dataType)} if length in docs.columns else {})
-    return told.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return told.select(*[columns.get(c, F.col(o)).alias(c) for c, o in own.items()])

@@ -193,6 +193,6 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, key: str = "doc
                     "n_tokens": [sum(map(get, c)) for c in cut],
                 })
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    counted = rows.mapInPandas(run, f"key {rows.schema['key'].dataType.simpleString()}, n_bytes long, n_tokens long")
-    return counted.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+    counted = rows.mapInPandas(run, "key string, n_bytes long, n_tokens long")
+    return counted.select(F.col("key").cast(docs.schema[key].dataType).alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
