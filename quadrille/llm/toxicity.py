@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,12 +151,15 @@ def held_out(key: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
-    """A model from labelled rows that are not held out: of each label the TRAIN_ROWS rows first by a digest of their key."""
-    rows = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).filter(~held_out("key"))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") <= TRAIN_CHARS).join(rows, "key")
+    """A model from labelled rows that are not held out: of each label the TRAIN_ROWS keys first by a digest, of which the
+    rows over TRAIN_CHARS are left out.  The keys are that few, so they are broadcast, and no text is shuffled."""
+    rows = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).filter(~held_out("key")).distinct()
+    first = lambda df, *more: df.orderBy(F.md5(F.col("key").cast("string")), *more)
     texts, marks = [], []
     for mark, most in TRAIN_ROWS.items():
-        found = rows.filter(F.col("label") == mark).orderBy(F.md5(F.col("key").cast("string")), "text").limit(most).select("text").toPandas()["text"].tolist()
+        keys = first(rows.filter((F.col("label") == mark) & F.col("key").isNotNull())).limit(most).select("key")
+        named = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") <= TRAIN_CHARS)
+        found = first(named.join(F.broadcast(keys), "key"), "text").limit(most).select("text").toPandas()["text"].tolist()
         texts += found
         marks += [mark] * len(found)
     return fit(texts, marks)
@@ -174,19 +178,19 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text")
                 part = batch.iloc[i : i + 256]
                 yield pd.DataFrame({"key": part["key"], "score": score_texts(model, part["text"])})
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    scored = rows.mapInPandas(run, f"key {rows.schema['key'].dataType.simpleString()}, score double")
-    return scored.select(F.col("key").alias(key), held_out("key").alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
+    rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+    scored = rows.mapInPandas(run, "key string, score double")
+    return scored.select(F.col("key").cast(docs.schema[key].dataType).alias(key), held_out("key").alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """docs without the rows whose text scores REJECT or more; nothing is joined, so null keys and repeated rows are kept."""
-    names = docs.columns
+    at = docs.columns.index(text)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.iloc[i : i + 256]
-                yield part[score_texts(model, part[text]) < REJECT]
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                yield part.filter(pa.array(score_texts(model, part.column(at).to_pylist()) < REJECT))
 
-    return docs.select(*[f"`{c}`" for c in names]).mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
