@@ -11,7 +11,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Word pattern for Spark's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_CHUNK = 1 << 21  # bytes hashed at a time
+_CHUNK = 1 << 19  # bytes hashed at a time
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -141,5 +141,65 @@ FROM upto GROUP BY conv_id
 """
 
 
+# op4: all pairs by their common shingles, and what the links reach by a closure
+SQL_LINKS = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b, c = p.n AND c = q.n AS same FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 5 * c >= 4 * (p.n + q.n - c)),
+rep AS (SELECT doc_id, least(doc_id, coalesce(min(b) FILTER (same), doc_id)) AS rep FROM d LEFT JOIN l ON a = doc_id GROUP BY doc_id),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+class AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a)
+SELECT d.doc_id, any_value(class_id) AS class_id, count(l.b) AS n_links, 1 + count(*) FILTER (same) AS copies, count(DISTINCT rep) FILTER (NOT same) AS n_texts
+FROM d JOIN class ON class.a = d.doc_id LEFT JOIN l ON l.a = d.doc_id LEFT JOIN rep ON rep.doc_id = l.b GROUP BY d.doc_id
+"""
+
+
+def _sql_seeds(side: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT id, pos, {m} AS mask, array_to_string([{', '.join(f'ws[pos + {o + 1}]' for o in mask)}], ' ') AS seed FROM (SELECT id, ws, unnest(range(len(ws) - {decontam.SPAN - 1})) AS pos FROM {side} WHERE len(ws) >= {decontam.SPAN})"
+        for m, mask in enumerate(decontam.MASKS)
+    )
+
+
+# op6: seeds as texts, and the best run of an alignment among all of its runs
+SQL_OVERLAPS = rf"""
+WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS ws FROM documents),
+i AS (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS ws FROM benchmark),
+ds AS ({_sql_seeds("d")}), bs AS ({_sql_seeds("i")}),
+hit AS (SELECT DISTINCT ds.id AS doc, bs.id AS item, ds.pos - bs.pos AS shift FROM ds JOIN bs USING (mask, seed)),
+line AS (SELECT doc, item, shift, greatest(0, -shift) AS low, list_transform(range(greatest(0, -shift), least(len(i.ws), len(d.ws) - shift)), lambda k: i.ws[k + 1] = d.ws[k + shift + 1]) AS e
+  FROM hit JOIN d ON d.id = doc JOIN i ON i.id = item),
+head AS (SELECT *, unnest(range(len(e))) AS a FROM line), run AS (SELECT *, unnest(range(a, len(e))) AS b FROM head),
+scored AS (SELECT doc, item, shift, low, a, b, len(list_filter(e[a + 1:b + 1], lambda x: x)) AS n FROM run),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc, item, shift ORDER BY n + {decontam.MISS} * (b - a + 1 - n) DESC, b, a DESC) AS k FROM scored) WHERE k = 1 AND n >= {decontam.MIN_EQUAL} AND n >= {decontam.MIN_SHARE} * (b - a + 1))
+SELECT doc AS doc_id, item AS item_id, low + a + shift AS doc_start, low + a AS item_start, b - a + 1 AS n_words, n AS n_equal
+FROM (SELECT *, row_number() OVER (PARTITION BY doc, item ORDER BY n DESC, low + a + shift, low + a DESC, b - a DESC) AS j FROM best) WHERE j = 1
+"""
+
+# op8: a digest of every window, and the runs that the repeated ones cover
+SQL_REPEATS = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, hash(substr(x, 2 * i + 1, 800)) AS m FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 399)) AS i FROM d WHERE len(x) >= 800)),
+r AS (SELECT doc_id, i FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM r),
+k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM k GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans),
+cut AS (SELECT doc_id, sum(b - a) AS n, count(*) AS spans, max(b) AS last, string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(x) // 2 AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN x ELSE kept || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": SQL_MIX, "op5_prefix_targets": SQL_CHAT}
+    return {
+        "op3_mix_sources": SQL_MIX,
+        "op4_ngram_jaccard": SQL_LINKS,
+        "op5_prefix_targets": SQL_CHAT,
+        "op6_spaced_seeds": SQL_OVERLAPS,
+        "op8_suffix_dedup": SQL_REPEATS,
+    }

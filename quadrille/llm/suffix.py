@@ -22,7 +22,7 @@ from ._common import chunks, cut, mix, powers, prefix_hash, span_hash, utf8
 
 WINDOW, GRAM = 400, 64
 #: Bytes of a shard on average, and of each of the two blocks that a larger anchor's texts are compared in.
-SHARD = 2_000_000
+SHARD = 1_000_000
 MADE = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
 
 
