@@ -182,7 +182,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY doc, item ORDER BY n DESC, low +
 # op8: a digest of every window, and the runs that the repeated ones cover
 SQL_REPEATS = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-w AS (SELECT doc_id, i, hash(substr(x, 2 * i + 1, 800)) AS m FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 399)) AS i FROM d WHERE len(x) >= 800)),
+p AS (SELECT doc_id, c, substr(x, 2 * c + 1, 1798) AS y FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2, 500)) AS c FROM d)),
+w AS (SELECT doc_id, c + j AS i, hash(substr(y, 2 * j + 1, 800)) AS m FROM (SELECT doc_id, c, y, unnest(range(0, least(500, len(y) // 2 - 399))) AS j FROM p WHERE len(y) >= 800)),
 r AS (SELECT doc_id, i FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
 g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM r),
 k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
