@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut
-from ..functions.boxes import box_area, clamp, close, half_even, iou, padded_box, thousandths, union_box
+from ..functions.boxes import box_area, close, half_even, iou, padded_box, thousandths, union_box
 
 XYWH = ("x", "y", "w", "h")
 MIN_SIDE = 4
