@@ -66,7 +66,6 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, seed: s
     sums = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("held"))
     before = F.sum("held").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     filled = sums.withColumn("before", F.coalesce(before, F.lit(0)))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
     edge = (
         filled.alias("f").join(small(targets.alias("t")), F.expr("f.source <=> t.source"))
         .filter((F.col("before") < F.col("need")) & (F.col("before") + F.col("held") >= F.col("need")))
