@@ -12,7 +12,7 @@ CHANNELS = """tones AS (SELECT image_id, y, x, CAST(greatest(r, g, b) AS BIGINT)
 _WEIGHT = "exp(-({d}) * ({d}) / 2.0::DOUBLE)"
 BLURRED = f"""wide AS (SELECT a.image_id, a.y, a.x, sum(b.v * {_WEIGHT.format(d="a.x - b.x")}) / sum({_WEIGHT.format(d="a.x - b.x")}) AS v FROM pixels a JOIN pixels b ON a.image_id = b.image_id AND a.y = b.y AND abs(a.x - b.x) <= 3 GROUP BY a.image_id, a.y, a.x),
 blurred AS (SELECT a.image_id, a.y, a.x, sum(b.v * {_WEIGHT.format(d="a.y - b.y")}) / sum({_WEIGHT.format(d="a.y - b.y")}) AS v FROM wide a JOIN wide b ON a.image_id = b.image_id AND a.x = b.x AND abs(a.y - b.y) <= 3 GROUP BY a.image_id, a.y, a.x)"""
-SEEDS = "seeds AS (SELECT DISTINCT image_id, s.ord AS ord, s.x AS sx, s.y AS sy, 3 AS sw, 2 AS sh FROM pixels, (VALUES (1, 0, 1), (2, 4, 3)) s(ord, x, y))"
+SEEDS = "seeds AS (SELECT DISTINCT image_id, s.ord AS ord, s.x AS sx, s.y AS sy, 3 AS sw, 2 AS sh FROM pixels, (VALUES (1::BIGINT, 0::BIGINT, 1::BIGINT), (2::BIGINT, 4::BIGINT, 3::BIGINT)) s(ord, x, y))"
 
 
 def seeds(spark, sf_dir):
