@@ -209,7 +209,8 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", tex
     members = cut(classes.drop("bands").join(parts, "digest"), "members")
     count = members.groupBy("part").agg(F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = members.join(count, "part").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    wanted = rows.join(members.withColumnRenamed("rep", "key"), "key").select("digest", "copies", "part", "block", "blocks", "text")
+    # both joins with texts are hinted, so that their plan is the same at every size
+    wanted = rows.join(members.withColumnRenamed("rep", "key").hint("merge"), "key").select("digest", "copies", "part", "block", "blocks", "text")
     sets = wanted.mapInPandas(_collect, "digest binary, copies long, part binary, block int, blocks int, signature binary, shingles binary")
     pairs = sets.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         "digest", "copies", "part", "block", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "signature", "shingles"
@@ -244,9 +245,12 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id",
     linked = cut(link(docs, threshold, key, text).filter("group_digest is not null").select(row_key(key).alias("__key"), F.col("text_hash").alias("__hash"), "group_digest"), "linked")
     counted = linked.groupBy("group_digest", "__key", "__hash").agg(F.count("*").alias("n"))
     keeper = counted.groupBy("group_digest").agg(F.min(F.struct("__key", "__hash")).alias("first"))
-    judged = counted.join(keeper, "group_digest").withColumn("keep", F.struct("__key", "__hash") == F.col("first"))
+    judged = cut(counted.join(keeper, "group_digest").withColumn("keep", F.struct("__key", "__hash") == F.col("first")).drop("first"), "judged")
     keyed = docs.withColumn("__key", row_key(key)).withColumn("__hash", row_hash(text))
-    rest = keyed.join(judged.filter("not keep or n > 1").select("__key", "__hash"), ["__key", "__hash"], "left_anti")
-    again = keyed.join(judged.filter("keep and n > 1").select("__key", "__hash"), ["__key", "__hash"])
-    again = again.groupBy("__key", "__hash").agg(F.any_value(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select("row.*")
-    return rest.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(again)
+    rest = keyed.join(judged.filter("not keep or n > 1").select("__key", "__hash").hint("merge"), ["__key", "__hash"], "left_anti")
+    rest = rest.select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = judged.filter("keep and n > 1").select("__key", "__hash")
+    if repeated.isEmpty():  # no row is there twice, so the texts need not be shuffled for it
+        return rest
+    again = keyed.join(repeated, ["__key", "__hash"]).groupBy("__key", "__hash").agg(F.any_value(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select("row.*")
+    return rest.unionByName(again)
