@@ -23,8 +23,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in repeated 400-byte strings are cut out of the texts; n_chars follows.  No row goes."""
-    return suffix.cut_repeats(docs)
+    """Bytes in repeated strings of over 50 words, or of 400 bytes, are cut out of the texts; n_chars follows.  No row goes."""
+    return suffix.cut_repeats(docs, words=51)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,9 @@ equal anchors.  A segment is a run of windows with one anchor.  Segments that ar
 windows.  Of anchors with different segments, one text of each is sent to a shard, where the suffix array over the shard's
 texts is built by induced sorting, its common prefixes are computed in text order (permuted), and windows with a common
 prefix of WINDOW bytes or more are repeats.
+
+With `words` the windows are shorter where so many whole words are in less than WINDOW bytes.  White space counts as equal
+then, and so do the ends of a text.  Where a window ends still depends on its own bytes only.
 """
 
 import hashlib
@@ -18,11 +21,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, cut, mix, powers, prefix_hash, span_hash, utf8
+from ._common import SPACE, chunks, cut, mix, powers, prefix_hash, span_hash, utf8
 
 WINDOW, GRAM = 400, 64
 #: Bytes of a shard on average, and of each of the two blocks that a larger anchor's texts are compared in.
 SHARD = 1_000_000
+BLANK = bytes(0x20 if SPACE[c] else c for c in range(256))
 MADE = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
 
 
@@ -211,16 +215,48 @@ def permuted_prefixes(symbols: np.ndarray, ends: np.ndarray, order: np.ndarray)
     return values[last] - (at - last), previous
 
 
-def repeated_windows(texts: list[bytes], window: int = WINDOW) -> list[np.ndarray]:
-    """Of each text the starts of its windows that also start elsewhere in the texts."""
+def framed(text: bytes) -> bytes:
+    """A text for windows of words: all white space alike, and a blank at both ends."""
+    return b" " + text.translate(BLANK) + b" "
+
+
+def window_ends(data: np.ndarray, window: int, words: int = 0) -> np.ndarray:
+    """Where the window from each byte ends: after `window` bytes, or with the blank after `words` whole words if that is
+    sooner.  A whole word has a blank on both sides in the window."""
+    ends = np.arange(len(data)) + window
+    if words:
+        blank = data == 0x20
+        starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+        stops = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+        stops = stops if not len(data) or blank[0] else stops[1:]
+        nth = np.zeros(len(data), np.int64)
+        nth[starts] = 1
+        nth = np.cumsum(nth) + words - 1
+        known = np.flatnonzero(nth < len(stops))
+        ends[known] = np.minimum(ends[known], stops[nth[known]] + 1)
+    return ends
+
+
+def repeated_windows(texts: list[bytes], window: int = WINDOW, words: int = 0, own: list[int] | None = None) -> list[np.ndarray]:
+    """Of each text the starts of its windows that also start elsewhere in the texts.  With words, own tells how many first
+    windows of each text are its own: windows that end with the same word can be in the next segment, too."""
     if not texts:
         return []
     symbols, ends, starts = join(texts)
-    common, previous = permuted_prefixes(symbols, ends, suffix_array(symbols))
-    found = np.flatnonzero(common >= window)
+    order = suffix_array(symbols)
+    common, previous = permuted_prefixes(symbols, ends, order)
     twice = np.zeros(len(symbols), bool)
-    twice[found] = True
-    twice[previous[found]] = True
+    if words:
+        places = np.arange(len(symbols))
+        sizes = np.diff(np.append(starts, len(symbols)))
+        theirs = (places - np.repeat(starts, sizes) < np.repeat(own, sizes))[order]
+        width = window_ends((symbols - np.uint16(1)).astype(np.uint8), window, words) - places
+        group = np.cumsum((common < width)[order])  # of suffixes that begin with one window
+        twice[order] = theirs & (np.bincount(group, theirs)[group] > 1)
+    else:
+        found = np.flatnonzero(common >= window)
+        twice[found] = True
+        twice[previous[found]] = True
     at = np.flatnonzero(twice)
     cuts = np.searchsorted(at, starts)
     return [part - s for part, s in zip(np.split(at, cuts[1:]), starts.tolist())]
@@ -240,42 +276,63 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(tails[: n - width + 1], heads[width - 1 : n])
 
 
-def segments(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Segments of texts: row (of the text), anchor, digest, start, windows."""
+def varying_least(values: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Minimum of the width[i] values from i on, from the minima of two spans of a power of two."""
+    out, level, step = np.empty(len(width), np.uint64), values, 1
+    while True:
+        at = np.flatnonzero((width >= step) & (width < 2 * step))
+        out[at] = np.minimum(level[at], level[at + width[at] - step])
+        step *= 2
+        if not len(width) or step > width.max():
+            return out
+        level = np.minimum(level[: -(step // 2)], level[step // 2 :])
+
+
+def segments(texts: list[bytes], window: int = WINDOW, gram: int = GRAM, words: int = 0) -> dict[str, np.ndarray]:
+    """Segments of texts: row (of the text), anchor, digest, start, windows, and size: the bytes covered.  With words the texts must
+    be framed; the blank that ends a window of words is not covered."""
     out = []
     for i, j in chunks(texts):
         data = np.frombuffer(b"".join(texts[i:j]), np.uint8)
-        if len(data) < window:
+        if len(data) < (min(window, 2 * words) if words else window):
             continue
         prefix = prefix_hash(data)
         at = np.arange(len(data) - gram + 1)
         grams = span_hash(prefix, at, at + gram)
         bits = np.uint64(int(len(data)).bit_length())
-        least = sliding_least(grams >> bits << bits | at.astype(np.uint64), window - gram + 1)
+        ranked = grams >> bits << bits | at.astype(np.uint64)
+        ends = window_ends(data, window, words)
+        ends = ends[: np.searchsorted(ends, len(data), "right")]
+        least = varying_least(ranked, ends - np.arange(len(ends)) - gram + 1) if words else sliding_least(ranked, window - gram + 1)
         anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
         sizes = np.array([len(t) for t in texts[i:j]], np.int64)
         first = np.cumsum(sizes) - sizes
         row = np.repeat(np.arange(j - i), sizes)[: len(anchor)]
-        inside = np.arange(len(anchor)) + window <= (first + sizes)[row]
+        inside = ends <= (first + sizes)[row]
         same = np.zeros(len(anchor), bool)
         same[1:] = inside[:-1] & (anchor[1:] == anchor[:-1]) & (row[1:] == row[:-1])
         start = np.flatnonzero(inside & ~same)
         number = np.cumsum(~same & inside) - 1
         count = np.bincount(number[inside], minlength=len(start))
         place = anchor[start]
-        digest = mix(span_hash(prefix, start, start + count + window - 1) + (place - start).astype(np.uint64) * np.uint64(1 << 32) + count.astype(np.uint64))
-        out.append((row[start] + i, grams[place].view(np.int64), digest.view(np.int64), start - first[row[start]], count))
-    names = ("row", "anchor", "digest", "start", "windows")
+        last = start + count - 1
+        digest = mix(span_hash(prefix, start, ends[last]) + (place - start).astype(np.uint64) * np.uint64(1 << 32) + count.astype(np.uint64))
+        out.append((row[start] + i, grams[place].view(np.int64), digest.view(np.int64), start - first[row[start]], count, ends[last] - start - (ends[last] - last < window)))
+    names = ("row", "anchor", "digest", "start", "windows", "size")
     return {k: np.concatenate([x[m] for x in out]) if out else np.zeros(0, np.int64) for m, k in enumerate(names)}
 
 
-def _cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for i in range(0, len(batch), 512):
-            part = batch.iloc[i : i + 512]
-            found = segments(utf8(part["text"]))
-            row = found.pop("row")
-            yield pd.DataFrame({"key": part["key"].to_numpy()[row], "hash": part["hash"].to_numpy()[row]} | found)
+def _cut_up(words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), 512):
+                part = batch.iloc[i : i + 512]
+                texts = utf8(part["text"])
+                found = segments([framed(t) for t in texts] if words else texts, words=words)
+                row = found.pop("row")
+                yield pd.DataFrame({"key": part["key"].to_numpy()[row], "hash": part["hash"].to_numpy()[row]} | found)
+
+    return run
 
 
 def _pack(column: str):
@@ -291,44 +348,54 @@ def _pack(column: str):
     return run
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each wanted segment of a packed text."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        for i in range(0, len(batch), 256):
-            part = batch.iloc[i : i + 256]
-            out = []
-            for key, text_hash, text, wanted in zip(part["key"].tolist(), part["hash"].tolist(), part["text"], part["segments"]):
-                raw = unpack(text)
-                out += [(key, text_hash, s["shard"], s["blocks"], s["anchor"], s["digest"], s["start"], raw[s["start"] : s["start"] + s["size"]]) for s in wanted]
-            yield pd.DataFrame(out, columns=["key", "hash", "shard", "blocks", "anchor", "digest", "start", "bytes"])
+def _extract(words: int):
+    """A row for each wanted segment of a packed text, with the blank after its last word."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                part = batch.iloc[i : i + 256]
+                out = []
+                for key, text_hash, text, wanted in zip(part["key"].tolist(), part["hash"].tolist(), part["text"], part["segments"]):
+                    raw = framed(unpack(text)) if words else unpack(text)
+                    out += [(key, text_hash, s["shard"], s["blocks"], s["anchor"], s["digest"], s["start"], s["windows"], raw[s["start"] : s["start"] + s["size"] + (words > 0)]) for s in wanted]
+                yield pd.DataFrame(out, columns=["key", "hash", "shard", "blocks", "anchor", "digest", "start", "windows", "bytes"])
 
-def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return run
+
+
+def _search(words: int):
     """Repeats among the segments of each (shard, one, two), which follow one another."""
-    group, held = None, {}
-
-    def close() -> pd.DataFrame:
-        rows = list(held.values())
-        found = repeated_windows([r[-1] for r in rows])
-        out = []
-        for (key, text_hash, start, _), at in zip(rows, found):
-            if len(at):
-                edge = np.flatnonzero(np.diff(at) > 1)
-                for a, b in zip(np.append(at[0], at[edge + 1]).tolist(), np.append(at[edge], at[-1]).tolist()):
-                    out.append((key, text_hash, start + a, start + b + WINDOW))
-        return pd.DataFrame(out, columns=["key", "hash", "first", "last"])
 
-    for batch in batches:
-        columns = [batch[c].tolist() for c in ("shard", "one", "two", "anchor", "digest", "key", "hash", "start", "bytes")]
-        for shard, one, two, anchor, digest, key, text_hash, start, text in zip(*columns):
-            if (shard, one, two) != group:
-                if held:
-                    yield close()
-                group, held = (shard, one, two), {}
-            held.setdefault((anchor, digest), (key, text_hash, start, bytes(text)))  # repeated rows once
-    if held:
-        yield close()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, held = None, {}
+
+        def close() -> pd.DataFrame:
+            rows = list(held.values())
+            found = repeated_windows([r[-1] for r in rows], words=words, own=[r[-2] for r in rows])
+            out = []
+            for (key, text_hash, start, _, text), at in zip(rows, found):
+                if len(at):
+                    ends = window_ends(np.frombuffer(text, np.uint8), WINDOW, words)
+                    ends -= ends - np.arange(len(ends)) < WINDOW
+                    edge = np.flatnonzero(np.diff(at) > 1)
+                    for a, b in zip(np.append(at[0], at[edge + 1]).tolist(), np.append(at[edge], at[-1]).tolist()):
+                        out.append((key, text_hash, start + a, start + int(ends[b])))
+            return pd.DataFrame(out, columns=["key", "hash", "first", "last"])
+
+        for batch in batches:
+            columns = [batch[c].tolist() for c in ("shard", "one", "two", "anchor", "digest", "key", "hash", "start", "windows", "bytes")]
+            for shard, one, two, anchor, digest, key, text_hash, start, windows, text in zip(*columns):
+                if (shard, one, two) != group:
+                    if held:
+                        yield close()
+                    group, held = (shard, one, two), {}
+                held.setdefault((anchor, digest), (key, text_hash, start, windows, bytes(text)))  # repeated rows once
+        if held:
+            yield close()
+
+    return run
 
 
 def _remove(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
@@ -340,7 +407,7 @@ def _remove(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.Rec
             gone, n, runs, kept = np.zeros(len(raw) + 1, np.int32), 0, 0, raw
             if spans:
                 np.add.at(gone, [s["first"] for s in spans], 1)
-                np.add.at(gone, [s["last"] for s in spans], -1)
+                np.add.at(gone, [min(s["last"], len(raw)) for s in spans], -1)
                 covered = np.cumsum(gone)[:-1] > 0
                 n = int(covered.sum())
                 runs = int((covered & ~np.concatenate([[False], covered[:-1]])).sum())
@@ -352,13 +419,13 @@ def _remove(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in own], *made], [*own, *MADE])
 
 
-def repeats(rows: DataFrame) -> DataFrame:
+def repeats(rows: DataFrame, words: int = 0) -> DataFrame:
     """rows(key long, hash long, text) -> key, hash, first, last: byte spans that repeated windows cover."""
-    cuts = cut(rows.mapInPandas(_cut_up, "key long, hash long, anchor long, digest long, start int, windows int"), "segments")
-    groups = cut(cuts.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("key", "hash", "start", "windows")).alias("rep")), "groups")
-    span = lambda df: df.select("key", "hash", F.col("start").alias("first"), (F.col("start") + F.col("windows") + WINDOW - 1).cast("int").alias("last"))
+    cuts = cut(rows.mapInPandas(_cut_up(words), "key long, hash long, anchor long, digest long, start int, windows int, size int"), "segments")
+    groups = cut(cuts.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("key", "hash", "start", "windows", "size")).alias("rep")), "groups")
+    span = lambda df: df.select("key", "hash", F.col("start").alias("first"), (F.col("start") + F.col("size")).cast("int").alias("last"))
     whole = span(cuts.join(groups.filter("n > 1").select("anchor", "digest"), ["anchor", "digest"]))
-    length = F.col("rep.windows") + WINDOW - 1
+    length = F.col("rep.size")
     shared = groups.groupBy("anchor").agg(F.count("*").alias("different"), F.sum(length).alias("bytes")).filter("different > 1").drop("different")
     total = shared.agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, total // SHARD)
@@ -371,21 +438,24 @@ def repeats(rows: DataFrame) -> DataFrame:
     )
     wanted = groups.join(shared, "anchor").select(
         F.col("rep.key").alias("key"), F.col("rep.hash").alias("hash"),
-        F.struct("shard", "blocks", "anchor", "digest", F.col("rep.start").alias("start"), length.alias("size")).alias("segment"),
+        F.struct("shard", "blocks", "anchor", "digest", F.col("rep.start").alias("start"), F.col("rep.windows").alias("windows"), length.alias("size")).alias("segment"),
     )
     wanted = wanted.groupBy("key", "hash").agg(F.collect_list("segment").alias("segments"))
     packed = rows.mapInArrow(_pack("text"), "key long, hash long, text binary")
-    texts = packed.join(wanted, ["key", "hash"]).mapInPandas(_extract, "key long, hash long, shard long, blocks int, anchor long, digest long, start int, bytes binary")
+    texts = packed.join(wanted, ["key", "hash"]).mapInPandas(_extract(words), "key long, hash long, shard long, blocks int, anchor long, digest long, start int, windows int, bytes binary")
     block = F.pmod(F.xxhash64("digest"), F.greatest("blocks", F.lit(1))).cast("int")
     texts = texts.withColumn("block", block).withColumn("with", F.explode(F.expr("sequence(0, greatest(blocks, 1) - 1)")))
     # -1 marks the shards of several anchors
     one = F.when(F.col("blocks") == 0, -1).otherwise(F.least("block", "with"))
-    dealt = texts.select("shard", one.alias("one"), F.greatest("block", "with").alias("two"), "anchor", "digest", "key", "hash", "start", "bytes")
+    dealt = texts.select("shard", one.alias("one"), F.greatest("block", "with").alias("two"), "anchor", "digest", "key", "hash", "start", "windows", "bytes")
     dealt = dealt.repartition("shard", "one", "two").sortWithinPartitions("shard", "one", "two")
-    return whole.unionByName(dealt.mapInPandas(_search, "key long, hash long, first int, last int"))
+    found = whole.unionByName(dealt.mapInPandas(_search(words), "key long, hash long, first int, last int"))
+    if words:  # without the blanks of the frame
+        found = found.select("key", "hash", F.greatest(F.lit(0), F.col("first") - 1).alias("first"), (F.col("last") - 1).alias("last"))
+    return found
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", as_text: bool = False, words: int = 0) -> DataFrame:
     """docs without its text column, and with n_bytes, n_removed, n_spans, kept (the remaining bytes; with as_text a string of the
     whole characters among them) and kept_sha256.
 
@@ -393,10 +463,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", as_
     row or in the same, is removed; overlaps count; strings are judged on the input.  A null text is empty; texts under
     WINDOW bytes lose nothing; rows with equal keys and texts are repeated rows, whose windows all start elsewhere; an
     empty table gives no rows; columns of docs with names of the new ones give way.  Keys must be integers; null is one.
+    With words, so many whole words (runs without ASCII white space) that start elsewhere are a repeat in less than WINDOW
+    bytes, too; white space counts as equal, a text's ends as white space, and the one after the last of those words stays.
     """
     row_key, row_hash = F.coalesce(F.col(key).cast("long"), F.lit(-1 << 63)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(row_key.alias("key"), row_hash.alias("hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spans = repeats(rows).groupBy("key", "hash").agg(F.collect_set(F.struct("first", "last")).alias("__spans")).select(F.col("key").alias("__key"), F.col("hash").alias("__hash"), "__spans")
+    spans = repeats(rows, words).groupBy("key", "hash").agg(F.collect_set(F.struct("first", "last")).alias("__spans")).select(F.col("key").alias("__key"), F.col("hash").alias("__hash"), "__spans")
     kept = [c for c in docs.columns if c != text and c not in MADE]
     whole = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text"), row_key.alias("__key"), row_hash.alias("__hash"))
     fields = ", ".join(f"`{c}` {'binary' if c == '__text' else whole.schema[c].dataType.simpleString()}" for c in whole.columns)
@@ -406,10 +478,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", as_
     return whole.mapInArrow(lambda batches: _remove(batches, as_text), f"{schema}, n_bytes long, n_removed long, n_spans long, kept {kind}, kept_sha256 string")
 
 
-def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
-    """docs with texts of the remaining bytes, and length (where there is such a column) as their number of characters.
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars", words: int = 0) -> DataFrame:
+    """docs with texts of the remaining bytes (words: as in remove_repeats), and length (where there is such a column) as their number of characters.
     What is left of a character that was cut apart goes too; a null text becomes empty."""
     own = {c: c if c in (key, text) else f"__own{k}" for k, c in enumerate(docs.columns)}  # no name of theirs gives way
-    told = remove_repeats(docs.select(*[F.col(f"`{c}`").alias(o) for c, o in own.items()]), key, text, as_text=True)
+    told = remove_repeats(docs.select(*[F.col(f"`{c}`").alias(o) for c, o in own.items()]), key, text, as_text=True, words=words)
     columns = {text: F.col("kept")} | ({length: F.length("kept").cast(docs.schema[length].dataType)} if length in docs.columns else {})
     return told.select(*[columns.get(c, F.col(o)).alias(c) for c, o in own.items()])

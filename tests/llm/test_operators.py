@@ -1,5 +1,6 @@
 """Each operator on a table with every kind of odd row, against a brute-force version or an exact round trip."""
 
+import bisect
 import hashlib
 import itertools
 import math
@@ -396,6 +397,54 @@ def test_repeats_are_cut(documents, nothing):
     assert suffix.remove_repeats(nothing).count() == 0 and suffix.cut_repeats(nothing).count() == 0
 
 
+def brute_word_repeats(raws, words):
+    """As brute_repeats: windows end sooner where so many words, with white space on both sides, are in them."""
+    window = suffix.WINDOW
+    found = []
+    for b in raws:
+        b = b" " + re.sub(rb"[\x20\x09-\x0D]", b" ", b) + b" "
+        spots = [(m.start() - 1, m.end() + 1) for m in re.finditer(rb"[^ ]+", b)]
+        mine = []
+        for k in range(len(b)):
+            nth = bisect.bisect_left(spots, (k,)) + words - 1
+            end = min([k + window, *[e for _, e in spots[nth : nth + 1]]])
+            if end <= len(b):
+                mine.append((k, end, b[k:end]))
+        found.append(mine)
+    seen = Counter(x for mine in found for _, _, x in mine)
+    out = []
+    for b, mine in zip(raws, found):
+        gone = bytearray(len(b) + 2)
+        for k, end, x in mine:
+            if seen[x] > 1:
+                end -= end - k < window
+                gone[k:end] = b"\1" * (end - k)
+        out.append(bytes(x for x, g in zip(b, gone[1:]) if not g))
+    return out
+
+
+@pytest.mark.parametrize("shard", [1500, 2_000_000])
+def test_repeats_of_words_are_cut(spark, monkeypatch, shard):
+    monkeypatch.setattr(suffix, "SHARD", shard)
+    rng = random.Random(4)
+    texts = [prose(rng, 60) for _ in range(9)]
+    short = " ".join(rng.choice("abcdefgh") for _ in range(51))
+    long, less = prose(rng, 55), prose(rng, 50)
+    texts[0] += " " + short
+    texts[1] = short.replace(" ", "\n") + "\n\n" + texts[1]
+    texts[2] += "\n" + long + " " + texts[8][:90]
+    texts[3] = long + "\t" + texts[3]
+    texts[4] += " " + long + "x"
+    texts[5] += " " + less + " " + texts[5]
+    texts[6] += " " + less
+    texts += [short, less, "", None, "a b " * 200, "é" * 300, "é" * 300, " " * 900, texts[0][30:]]
+    docs = spark.createDataFrame([(k, t, len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    got = {r["doc_id"]: r["text"] for r in suffix.cut_repeats(docs, words=51).collect()}
+    for k, left in enumerate(brute_word_repeats([(t or "").encode() for t in texts], 51)):
+        assert got[k] == left.decode(errors="ignore"), k
+    assert short not in got[0] and long not in got[2] and less in got[6]
+
+
 # --- toxicity --------------------------------------------------------------------------------------------------------
 
 
