@@ -47,20 +47,25 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     words with the best score is taken, so substituted words are tolerated.  It is an overlap if it has MIN_EQUAL equal
     words and they are MIN_SHARE of it.  Of several overlaps of a document with an item the one with most equal words
     stays, the first of equals.  Null and empty texts, and texts under SPAN words, have no overlap; rows with equal keys
-    are one document; an empty table on either side gives no rows; other columns are ignored.
+    are one document whose texts are each aligned by their own hits, and likewise rows of an item; null is a key like any
+    other on both sides; an empty table on either side gives no rows; other columns are ignored.
     """
-    theirs = items.select(F.col(item).alias("item"), hashed_words(F.col(item_text)).alias("h"))
-    table = seeds(theirs, "item").withColumnRenamed("pos", "item_pos")
-    theirs = theirs.withColumnRenamed("h", "t")
-    ours = docs.select(F.col(key).alias("key"), hashed_words(F.col(text)).alias("h"))
+    # a row is known by its key, which can be null, and a hash of both
+    row = lambda k, t: F.xxhash64(F.col(k), F.col(k).isNull(), F.coalesce(F.col(t), F.lit("")))
+    theirs = items.select(F.col(item).alias("item"), row(item, item_text).alias("item_row"), hashed_words(F.col(item_text)).alias("h")).distinct()
+    table = seeds(theirs, "item", "item_row").withColumnRenamed("pos", "item_pos")
+    theirs = theirs.select(F.col("item").alias("their_item"), F.col("item_row").alias("their_row"), F.col("h").alias("t"))
+    same_item = (F.col("item_row") == F.col("their_row")) & F.col("item").eqNullSafe(F.col("their_item"))
+    ours = docs.select(F.col(key).alias("key"), row(key, text).alias("row"), hashed_words(F.col(text)).alias("h"))
     if table.count() <= broadcast_seeds:  # then there are fewer items too
         hits = seeds(ours, "key", "h").join(F.broadcast(table), ["mask", "seed"])
-        pairs = hits.select("key", "h", "item", (F.col("pos") - F.col("item_pos")).alias("shift"))
-        aligned = pairs.join(F.broadcast(theirs), "item")
+        pairs = hits.select("key", "h", "item", "item_row", (F.col("pos") - F.col("item_pos")).alias("shift"))
+        aligned = pairs.join(F.broadcast(theirs), same_item)
     else:
-        hits = seeds(ours, "key").join(table, ["mask", "seed"])
-        pairs = hits.select("key", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
-        aligned = pairs.join(theirs, "item").join(ours, "key")
+        hits = seeds(ours, "key", "row").join(table, ["mask", "seed"])
+        pairs = hits.select("key", "row", "item", "item_row", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+        ours = ours.select(F.col("key").alias("our_key"), F.col("row").alias("our_row"), "h")
+        aligned = pairs.join(theirs, same_item).join(ours, (F.col("row") == F.col("our_row")) & F.col("key").eqNullSafe(F.col("our_key")))
     low = F.greatest(F.lit(0), -F.col("shift"))
     high = F.least(F.size("t"), F.size("h") - F.col("shift")) - 1
     equal = F.transform(F.sequence(low, high), lambda i: F.get("t", i) == F.get("h", i + F.col("shift")))

@@ -312,6 +312,18 @@ def test_overlaps(spark, leaks, bound):
     assert {*range(100, 120), 200, 201} <= kept and not kept & {0, 3, 6, 9, 1, 4, None}
 
 
+def test_overlaps_of_null_and_equal_keys(spark):
+    rng = random.Random(13)
+    first, second, third = (prose(rng, 25) for _ in range(3))
+    docs = [(None, "x " + first), (None, "x x " + second), (1, first), (1, prose(rng, 30)), (1, "y " + second), (2, third), (2, third), (3, "z " + prose(rng, 40))]
+    items = [(None, first), (None, third), (7, second), (8, None)]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expected = [(None, None, 1, 0, 25, 25), (None, 7, 2, 0, 25, 25), (1, None, 0, 0, 25, 25), (1, 7, 1, 0, 25, 25), (2, None, 0, 0, 25, 25)]
+    for bound in (1_000_000, 0):
+        assert ordered(map(tuple, decontam.overlaps(a, b, broadcast_seeds=bound).collect())) == ordered(expected)
+    assert sorted(r["text"] for r in decontam.decontaminate(a, b).collect()) == sorted([docs[3][1], docs[7][1]])
+
+
 def test_overlaps_of_nothing(spark, nothing, documents):
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontam.overlaps(nothing, items).count() == 0
