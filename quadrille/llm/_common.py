@@ -1,6 +1,8 @@
-"""Helpers that the operators share: hashing of whitespace words and of byte spans in numpy."""
+"""Helpers that the operators share: hashing of whitespace words and of byte spans in numpy, and joins on uneven keys."""
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..sources.shared import cut, shared_dir  # noqa: F401
 
@@ -97,3 +99,19 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     first = np.cumsum(count) - count
     return np.arange(total) + np.repeat(start - first, count)
+
+
+#: Keys that more than one in so many rows have are joined by a broadcast; there are fewer of them than that.
+HOT_KEYS = 20_000
+
+
+def join_uneven(rows: DataFrame, found: DataFrame, on: list[str], n: str, how: str = "inner") -> DataFrame:
+    """rows joined ("inner" or "left") with found, which has each key once and, as n, how many of the rows have it at most.
+
+    Keys with many rows stay where they are, as their part of found is broadcast: no more than HOT_KEYS rows, as each stands
+    for more than one in HOT_KEYS of the sum of n.  The others meet in a shuffle, where no task gets many rows of one key.
+    """
+    limit = (found.agg(F.sum(n)).first()[0] or 0) // HOT_KEYS
+    hot, cold = F.broadcast(found.filter(F.col(n) > limit)), found.filter(F.col(n) <= limit)
+    rest = rows.join(hot.select(*on), on, "left_anti").join(cold.hint("merge"), on, how)
+    return rows.join(hot, on).unionByName(rest)

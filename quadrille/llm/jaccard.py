@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, mix, offsets, ranges, utf8, words
+from ._common import cut, join_uneven, mix, offsets, ranges, utf8, words
 from ..operators.graph import components
 
 N_WORDS, THRESHOLD = 5, 0.8
@@ -92,26 +92,28 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    last = None
     for batch in batches:
         for i in range(0, len(batch), 512):
             part = batch.iloc[i : i + 512]
+            before = [last, *part["digest"].iloc[:-1]]  # rows repeated in the input follow one another
+            part, last = part[[a != b for a, b in zip(before, part["digest"])]], part["digest"].iloc[-1]
+            if not len(part):
+                continue
             sets = shingle_sets(part["text"])
-            keep = np.array([digest(s) == bytes(d) for s, d in zip(sets, part["digest"])], bool)
-            sets = [s for s, k in zip(sets, keep) if k]
-            yield part.loc[keep, ["digest", "copies", "part", "block", "blocks"]].assign(
+            yield part[["digest", "copies", "part", "block", "blocks"]].assign(
                 signature=[signature(s).tobytes() for s in sets], shingles=[s.tobytes() for s in sets]
             )
 
 
-def compare(digests: list[bytes], copies: np.ndarray, blocks: np.ndarray, signatures: np.ndarray, sets: list[np.ndarray], threshold: float) -> Iterator[tuple]:
-    """Links of a pair of blocks: (class, linked texts, linked documents, the class it is tied to).  Pairs inside a block
-    are only compared where the pair is of the block with itself."""
+def compare(digests: list[bytes], copies: np.ndarray, blocks: np.ndarray, across: bool, signatures: np.ndarray, sets: list[np.ndarray], threshold: float) -> Iterator[tuple]:
+    """Links of a pair of blocks: (class, linked texts, linked documents, the class it is tied to).  across: the blocks are
+    two, so that pairs inside either are left to the block's pair with itself."""
     sizes = np.array([len(s) for s in sets], np.int64)
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     begin = np.cumsum(sizes) - sizes
     mark = np.zeros(int(ids.max()) + 1, bool)
     least = least_matches(threshold, TOLERANCE)
-    across = len(np.unique(blocks)) > 1
     texts, documents = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
     label = np.arange(len(sets))
     by_size = np.argsort(sizes, kind="stable")
@@ -158,7 +160,8 @@ def _verify(threshold: float):
             take = lambda c: [held[c][i] for i in at]
             signatures = np.stack([np.frombuffer(s, np.uint32) for s in take("signature")])
             sets = [np.frombuffer(s, np.uint64) for s in take("shingles")]
-            return pd.DataFrame(list(compare(take("digest"), np.array(take("copies")), np.array(take("block")), signatures, sets, threshold)), columns=["digest", "texts", "documents", "tied"])
+            found = compare(take("digest"), np.array(take("copies")), np.array(take("block")), group[1] != group[2], signatures, sets, threshold)
+            return pd.DataFrame(list(found), columns=["digest", "texts", "documents", "tied"])
 
         for batch in batches:
             columns = {c: batch[c].tolist() for c in ("digest", "copies", "block", "signature", "shingles")}
@@ -199,7 +202,7 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", tex
     rows = docs.select(row_key(key).alias("key"), row_hash(text).alias("hash"), F.col(text).alias("text"))
     sketches = cut(rows.mapInPandas(_sketch, "key long, hash long, digest binary, n int, bands array<long>"), "sketches")
     classes = cut(
-        sketches.filter("n > 0").groupBy("digest").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.any_value("bands").alias("bands")),
+        sketches.filter("n > 0").groupBy("digest").agg(F.min(F.struct("key", "hash")).alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.any_value("bands").alias("bands")),
         "classes",
     )
     buckets = classes.select("digest", F.posexplode("bands").alias("band", "value"))
@@ -210,7 +213,8 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", tex
     count = members.groupBy("part").agg(F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = members.join(count, "part").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     # both joins with texts are hinted, so that their plan is the same at every size
-    wanted = rows.join(members.withColumnRenamed("rep", "key").hint("merge"), "key").select("digest", "copies", "part", "block", "blocks", "text")
+    wanted = members.select("rep.*", "digest", "copies", "part", "block", "blocks").hint("merge")
+    wanted = rows.join(wanted, ["key", "hash"]).select("digest", "copies", "part", "block", "blocks", "text")
     sets = wanted.mapInPandas(_collect, "digest binary, copies long, part binary, block int, blocks int, signature binary, shingles binary")
     pairs = sets.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         "digest", "copies", "part", "block", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "signature", "shingles"
@@ -218,14 +222,15 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", tex
     dealt = pairs.repartition("part", "one", "two").sortWithinPartitions("part", "one", "two")
     found = cut(dealt.mapInPandas(_verify(threshold), "digest binary, texts long, documents long, tied binary"), "links")
     groups = components(found.select(F.col("digest").alias("a"), F.col("tied").alias("b"))).withColumnRenamed("node", "digest")
+    classes = classes.select("digest", F.col("rep.key").alias("rep"), "copies")
     named = classes.select("digest", "rep").join(groups, "digest")
     named = named.join(named.groupBy("root").agg(F.min("rep").alias("least")), "root").select("digest", "least", "root")
     totals = found.groupBy("digest").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
     told = classes.filter("copies > 1").select("digest").unionByName(named.select("digest")).distinct()
     told = told.join(classes.select("digest", "rep", "copies"), "digest").join(named, "digest", "left").join(totals, "digest", "left")
-    told = told.select("digest", F.coalesce("least", "rep").alias("least"), F.coalesce("root", "digest").alias("root"), "copies", "texts", "documents")
+    told = cut(told.select("digest", F.coalesce("least", "rep").alias("least"), F.coalesce("root", "digest").alias("root"), "copies", "texts", "documents"), "told")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return sketches.select("key", "hash", "digest").join(told, "digest", "left").select(
+    return join_uneven(sketches.select("key", "hash", "digest"), told, ["digest"], "copies", "left").select(
         F.nullif("key", F.lit(LOWEST)).alias(key),
         F.nullif(F.coalesce("least", "key"), F.lit(LOWEST)).alias("class_id"),
         (zero("documents") + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),

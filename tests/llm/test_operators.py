@@ -13,7 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from quadrille.llm import chat, decontam, jaccard, license, lm, media, mixing, suffix, tokens, toxicity
+from quadrille.llm import _common, chat, decontam, jaccard, license, lm, media, mixing, suffix, tokens, toxicity
 
 from .conftest import prose, substituted
 
@@ -225,6 +225,26 @@ def test_links_in_blocks(spark, monkeypatch, limit):
     assert len({r["class_id"] for r in got}) == len(groups(links))
 
 
+def test_links_where_a_block_is_empty(spark, monkeypatch):
+    """Two texts that fall into the same of two blocks are linked once, however the pair of blocks is dealt."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 150)
+    rng = random.Random(4)
+    texts = [substituted(rng, t, k) for t in (prose(rng, 120) for _ in range(12)) for k in (0, 1)]
+    links = linked(texts)
+    got = jaccard.link(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == {k: len(v) for k, v in links.items()}
+
+
+def test_uneven_join(spark, monkeypatch):
+    """Keys on both sides of the bound for a broadcast, and rows without a partner."""
+    monkeypatch.setattr(_common, "HOT_KEYS", 4)
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 40), (2, 3), (3, 1), (4, 2)) for i in range(n)], "k long, i long")
+    found = spark.createDataFrame([(1, "a", 40), (2, "b", 3), (3, "c", 1), (9, "d", 1)], "k long, v string, n long")
+    for how in ("inner", "left"):
+        got = _common.join_uneven(rows, found, ["k"], "n", how).select("k", "i", "v").collect()
+        assert ordered(map(tuple, got)) == ordered(map(tuple, rows.join(found, "k", how).select("k", "i", "v").collect()))
+
+
 def test_one_of_each_group_stays(documents, texts):
     parts = groups(linked([t for _, t in texts]))
     kept = jaccard.keep_one(documents)
@@ -306,7 +326,7 @@ def test_overlaps(spark, leaks, bound):
         assert (k, k) in by_doc or (k % 3 == 2 and len(items[k][1].split()) < 20)
         if k % 3 < 2:
             assert by_doc[k, k]["n_equal"] >= len(items[k][1].split())
-    assert {d for d, _ in by_doc} <= {*range(12)} | ({None} if bound else set())
+    assert {d for d, _ in by_doc} <= {*range(12), None}
     assert len(by_doc) == len(found)
     kept = {r["doc_id"] for r in decontam.decontaminate(a, b).collect()}
     assert {*range(100, 120), 200, 201} <= kept and not kept & {0, 3, 6, 9, 1, 4, None}
