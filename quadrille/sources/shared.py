@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """spark.checkpoint.dir; where that is unset, a temporary folder, which only a local master can share with its tasks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "quadrille-shared")
     return found.rstrip("/")
 
