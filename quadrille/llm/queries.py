@@ -179,9 +179,9 @@ SELECT doc AS doc_id, item AS item_id, low + a + shift AS doc_start, low + a AS
 FROM (SELECT *, row_number() OVER (PARTITION BY doc, item ORDER BY n DESC, low + a + shift, low + a DESC, b - a DESC) AS j FROM best) WHERE j = 1
 """
 
-# op8: a digest of every window, and the runs that the repeated ones cover
+# op8: a digest of every window, of bytes and of words, and the runs that the repeated ones cover
 SQL_REPEATS = r"""
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, ' ' || regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', ' ', 'g') || ' ' AS z FROM documents),
 p AS (SELECT doc_id, c, substr(x, 2 * c + 1, 1798) AS y FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2, 500)) AS c FROM d)),
 w AS (SELECT doc_id, c + j AS i, hash(substr(y, 2 * j + 1, 800)) AS m FROM (SELECT doc_id, c, y, unnest(range(0, least(500, len(y) // 2 - 399))) AS j FROM p WHERE len(y) >= 800)),
 r AS (SELECT doc_id, i FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
@@ -189,10 +189,25 @@ g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY
 k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
 spans AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM k GROUP BY doc_id, k),
 gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans),
-cut AS (SELECT doc_id, sum(b - a) AS n, count(*) AS spans, max(b) AS last, string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
-SELECT doc_id, len(x) // 2 AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
-       sha256(unhex(CASE WHEN n IS NULL THEN x ELSE kept || substr(x, 2 * last + 1) END)) AS kept_sha256
-FROM d LEFT JOIN cut USING (doc_id)
+cut AS (SELECT doc_id, sum(b - a) AS n, count(*) AS spans, max(b) AS last, string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+tok AS (SELECT doc_id, unnest(range(len(ts))) AS k, unnest(list_transform(ts, lambda t: octet_length(encode(t)))) AS n FROM (SELECT doc_id, string_split(z, ' ') AS ts FROM d)),
+word AS (SELECT doc_id, a, a + n AS b FROM (SELECT doc_id, n, CAST(coalesce(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a FROM tok) WHERE n > 0),
+reach AS (
+  SELECT doc_id, lag(a, 1, 0) OVER o AS lo, a AS hi, lead(b, 50) OVER o + 1 AS e FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT doc_id, coalesce(max(a), 0), any_value(octet_length(encode(z))), NULL FROM d LEFT JOIN word USING (doc_id) GROUP BY doc_id),
+part AS (SELECT doc_id, lo, hi, e, hex(encode(z)) AS y FROM reach JOIN d USING (doc_id)),
+piece AS (SELECT doc_id, lo, e, substr(y, 2 * lo + 1, 2 * (hi - lo + 400)) AS y, unnest(range(hi - lo)) AS j FROM part),
+win AS (SELECT doc_id, lo + j AS i, least(400, coalesce(e - lo - j, 400)) AS size, coalesce(e - lo - j, 401) <= 400 AS by_words, substr(y, 2 * j + 1, 2 * least(400, coalesce(e - lo - j, 400))) AS v FROM piece),
+fit AS (SELECT doc_id, i, size, by_words, hash(v) AS m FROM win WHERE len(v) = 2 * size),
+span AS (
+  SELECT doc_id, greatest(0, i - 1) AS a, i - 1 + size - CASE WHEN by_words THEN 1 ELSE 0 END AS b FROM fit WHERE m IN (SELECT m FROM fit GROUP BY m HAVING count(*) > 1)
+  UNION ALL SELECT doc_id, i, i + 400 FROM r),
+inner_ AS (SELECT doc_id, a, least(b, len(x) // 2) AS b FROM span JOIN d USING (doc_id)),
+over_ AS (SELECT doc_id, a, b, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM inner_),
+passages AS (SELECT doc_id, sum(greatest(0, b - greatest(a, coalesce(upto, 0)))) AS n FROM over_ GROUP BY doc_id)
+SELECT doc_id, len(x) // 2 AS n_bytes, CAST(coalesce(cut.n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, CAST(coalesce(passages.n, 0) AS BIGINT) AS n_repeated,
+       sha256(unhex(CASE WHEN cut.n IS NULL THEN x ELSE kept || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN passages USING (doc_id)
 """
 
 

@@ -1,14 +1,15 @@
 """Suffix-array deduplication: bytes covered by a string of WINDOW bytes that also starts elsewhere are removed.
 
-Every window of a text has an anchor, the GRAM-byte string in it with the least hash (the first of equals).  It depends on
-the window's bytes only, so equal windows have equal anchors, and it is enough to look for repeats among the texts around
-equal anchors.  A segment is a run of windows with one anchor.  Segments that are equal as a whole repeat in all their
-windows.  Of anchors with different segments, one text of each is sent to a shard, where the suffix array over the shard's
-texts is built by induced sorting, its common prefixes are computed in text order (permuted), and windows with a common
-prefix of WINDOW bytes or more are repeats.
-
-With `words` the windows are shorter where so many whole words are in less than WINDOW bytes.  White space counts as equal
-then, and so do the ends of a text.  Where a window ends still depends on its own bytes only.
+Windows are WINDOW bytes, or shorter where WORDS whole words are in less; those make out repeated passages.  Every window has
+an anchor, the GRAM-byte string in it with the least hash (the first of equals).  It depends on the window's bytes only, so
+equal windows have equal anchors, and it is enough to look for repeats among the texts around equal anchors.  A segment is a
+run of windows with one anchor, with the bytes up to WINDOW after its last start.  Segments that are equal as a whole repeat
+in all their windows.  Of anchors with different segments, one text of each is sent to a shard, where the suffix array over
+the shard's texts is built by induced sorting, its common prefixes are computed in text order (permuted), and suffixes with a
+common prefix as long as a window are repeats.
+
+In windows of words white space counts as equal, and so do the ends of a text; strings of WINDOW bytes are compared byte by
+byte.  A repeated string of WINDOW bytes begins with a repeated window, so both are found among the same segments.
 """
 
 import hashlib
@@ -21,13 +22,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, chunks, cut, mix, powers, prefix_hash, span_hash, utf8
+from ._common import SPACE, chunks, cut, join_uneven, mix, powers, prefix_hash, span_hash, utf8
 
-WINDOW, GRAM = 400, 64
+WINDOW, WORDS, GRAM = 400, 51, 64
 #: Bytes of a shard on average, and of each of the two blocks that a larger anchor's texts are compared in.
 SHARD = 1_000_000
-BLANK = bytes(0x20 if SPACE[c] else c for c in range(256))
-MADE = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
+EDGE = 0xFF  # marks the ends of a text; no byte of UTF-8
+BLANK = bytes(0x20 if SPACE[c] or c == EDGE else c for c in range(256))
+MADE = ("n_bytes", "n_removed", "n_spans", "n_repeated", "kept", "kept_sha256")
 
 
 # --- the suffix array of a shard -----------------------------------------------------------------------------------
@@ -47,7 +49,7 @@ def classify(symbols: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one.  A run of equal symbols is of the type of its last."""
     n = len(symbols)
     step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(symbols[1:].astype(np.int32) - symbols[:-1])
+    step[:-1] = np.sign(symbols[1:].astype(np.int64) - symbols[:-1])
     step[-1] = 1
     step[symbols == 0] = 1
     known = np.where(step != 0, np.arange(n), n)
@@ -121,49 +123,38 @@ def induce(symbols: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.ndar
     return out
 
 
-def name(order: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Ranks of items in sorted order, equal where their values are equal."""
-    fresh = np.concatenate([[0], np.cumsum(values[order][1:] != values[order][:-1])])
-    out = np.empty(len(order), np.int64)
-    out[order] = fresh
-    return out
-
-
-def sort_names(names: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of the reduced string of names.  In each round every name that is not unique is renamed by
-    itself and the one `reach` places on, and `reach` doubles: the recursion on ever longer leftmost-smaller substrings."""
-    ranks = names.copy()
-    reach = 1
-    while True:
-        counts = np.bincount(ranks)
-        tied = np.flatnonzero(counts[ranks] > 1)
-        if not len(tied):
-            return np.argsort(ranks, kind="stable")
-        after = np.where(tied + reach < len(ranks), ranks[np.minimum(tied + reach, len(ranks) - 1)] + 1, 0)
-        order = np.lexsort((after, ranks[tied]))
-        own, after = ranks[tied][order], after[order]
-        new_group = np.concatenate([[True], own[1:] != own[:-1]])
-        change = new_group | np.concatenate([[True], after[1:] != after[:-1]])
-        place = np.arange(len(own))
-        start = np.maximum.accumulate(np.where(new_group, place, 0))
-        last = np.maximum.accumulate(np.where(change, place, 0))
-        # ranks leave room: a name's rank is the number of suffixes before its class
-        fresh = own + (last - start)
-        ranks[tied[order]] = fresh
-        reach *= 2
-
-
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """All suffixes in order."""
-    smaller = classify(symbols)
-    lms = np.flatnonzero(smaller & np.concatenate([[False], ~smaller[:-1]])).astype(np.int64)
-    first = induce(symbols, smaller, lms)  # sorts the leftmost-smaller substrings
-    is_lms = np.zeros(len(symbols), bool)
-    is_lms[lms] = True
-    by_substring = first[is_lms[first]]
-    place = np.empty(len(symbols), np.int64)
+def induce_one_by_one(symbols: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """As induce(), for names: they are so many that buckets are small, and each suffix is dealt on its own."""
+    ends = np.cumsum(np.bincount(symbols))
+    value, is_smaller = symbols.tolist(), smaller.tolist()
+    out = [-1] * len(value)
+    back = ends.tolist()
+    for i in reversed(lms.tolist()):
+        back[value[i]] -= 1
+        out[back[value[i]]] = i
+    front = np.append(0, ends[:-1]).tolist()
+    for i in out:  # sees what it deals further on
+        if i > 0 and not is_smaller[i - 1]:
+            c = value[i - 1]
+            out[front[c]] = i - 1
+            front[c] += 1
+    back = ends.tolist()
+    for place in range(len(out) - 1, -1, -1):
+        i = out[place]
+        if i > 0 and is_smaller[i - 1]:
+            c = value[i - 1]
+            back[c] -= 1
+            out[back[c]] = i - 1
+    return np.array(out, np.int64)
+
+
+def substring_names(symbols: np.ndarray, lms: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """Names of the leftmost-smaller substrings in text order, ranks in the order in which sorted_ has them; equal ones have
+    one name.  A substring's value is a hash of its symbols up to the next one's first; ends of texts differ from each other."""
+    place = np.full(len(symbols), -1, np.int64)
     place[lms] = np.arange(len(lms))
-    # a substring's value: hash of its symbols up to the next one's first; ends of texts differ from each other
+    order = place[sorted_]
+    order = order[order >= 0]
     up, down = powers(len(symbols) + 1)
     scrambled = mix(symbols.astype(np.uint64) + np.uint64(1))
     zero = np.flatnonzero(symbols == 0)
@@ -171,13 +162,25 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     prefix = np.zeros(len(symbols) + 1, np.uint64)
     np.cumsum(scrambled * up[:-1], out=prefix[1:])
     stop = np.append(lms[1:] + 1, len(symbols))
-    values = mix((prefix[stop] - prefix[lms]) * down[lms] + (stop - lms).astype(np.uint64))
-    order = place[by_substring]
-    names = name(order, values)
-    # names with room between them, for sort_names
-    counts = np.bincount(names)
-    names = (np.cumsum(counts) - counts)[names]
-    return induce(symbols, smaller, lms[sort_names(names)])
+    values = mix((prefix[stop] - prefix[lms]) * down[lms] + (stop - lms).astype(np.uint64))[order]
+    names = np.empty(len(lms), np.int64)
+    names[order] = np.concatenate([[0], np.cumsum(values[1:] != values[:-1])])
+    return names
+
+
+def suffix_array(symbols: np.ndarray, deal_out=induce) -> np.ndarray:
+    """All suffixes in order, by induced sorting: the leftmost-smaller suffixes are sorted as the suffixes of the string of
+    their substrings' names, which is the same task on less than half of the length, and induce all others."""
+    smaller = classify(symbols)
+    lms = np.flatnonzero(smaller & np.concatenate([[False], ~smaller[:-1]])).astype(np.int64)
+    if not len(lms):
+        return deal_out(symbols, smaller, lms)
+    names = substring_names(symbols, lms, deal_out(symbols, smaller, lms))
+    if names.max() + 1 == len(names):
+        order = np.argsort(names)
+    else:
+        order = suffix_array(np.append(names + 1, 0), induce_one_by_one)[1:]
+    return deal_out(symbols, smaller, lms[order])
 
 
 def permuted_prefixes(symbols: np.ndarray, ends: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,66 +219,61 @@ def permuted_prefixes(symbols: np.ndarray, ends: np.ndarray, order: np.ndarray)
 
 
 def framed(text: bytes) -> bytes:
-    """A text for windows of words: all white space alike, and a blank at both ends."""
-    return b" " + text.translate(BLANK) + b" "
-
-
-def window_ends(data: np.ndarray, window: int, words: int = 0) -> np.ndarray:
-    """Where the window from each byte ends: after `window` bytes, or with the blank after `words` whole words if that is
-    sooner.  A whole word has a blank on both sides in the window."""
-    ends = np.arange(len(data)) + window
-    if words:
-        blank = data == 0x20
-        starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
-        stops = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
-        stops = stops if not len(data) or blank[0] else stops[1:]
-        nth = np.zeros(len(data), np.int64)
-        nth[starts] = 1
-        nth = np.cumsum(nth) + words - 1
-        known = np.flatnonzero(nth < len(stops))
-        ends[known] = np.minimum(ends[known], stops[nth[known]] + 1)
-    return ends
-
-
-def repeated_windows(texts: list[bytes], window: int = WINDOW, words: int = 0, own: list[int] | None = None) -> list[np.ndarray]:
-    """Of each text the starts of its windows that also start elsewhere in the texts.  With words, own tells how many first
-    windows of each text are its own: windows that end with the same word can be in the next segment, too."""
-    if not texts:
-        return []
-    symbols, ends, starts = join(texts)
+    return b"\xff" + text + b"\xff"
+
+
+def window_ends(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the window from each byte ends: after WINDOW bytes, or with the blank after WORDS whole words if that is no later;
+    and where what it covers ends: without that blank.  A whole word has a blank on both sides in the window."""
+    ends = np.arange(len(data)) + WINDOW
+    blank = data == 0x20
+    starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    stops = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+    stops = stops if not len(data) or blank[0] else stops[1:]
+    nth = np.zeros(len(data), np.int64)
+    nth[starts] = 1
+    nth = np.cumsum(nth) + WORDS - 1
+    known = np.flatnonzero(nth < len(stops))
+    known = known[stops[nth[known]] + 1 <= ends[known]]
+    ends[known] = stops[nth[known]] + 1
+    covers = ends.copy()
+    covers[known] -= 1
+    return ends, covers
+
+
+def repeated_windows(texts: list[bytes], own: list[int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each framed text, or part of one, the starts of its windows, and of its strings of WINDOW bytes, that also start
+    elsewhere in the texts.  own: how many first windows of each text are its own, as the others are of the next segment, too."""
+    symbols, ends, starts = join([t.translate(BLANK) for t in texts])
     order = suffix_array(symbols)
-    common, previous = permuted_prefixes(symbols, ends, order)
-    twice = np.zeros(len(symbols), bool)
-    if words:
-        places = np.arange(len(symbols))
-        sizes = np.diff(np.append(starts, len(symbols)))
-        theirs = (places - np.repeat(starts, sizes) < np.repeat(own, sizes))[order]
-        width = window_ends((symbols - np.uint16(1)).astype(np.uint8), window, words) - places
-        group = np.cumsum((common < width)[order])  # of suffixes that begin with one window
-        twice[order] = theirs & (np.bincount(group, theirs)[group] > 1)
-    else:
-        found = np.flatnonzero(common >= window)
-        twice[found] = True
-        twice[previous[found]] = True
-    at = np.flatnonzero(twice)
-    cuts = np.searchsorted(at, starts)
-    return [part - s for part, s in zip(np.split(at, cuts[1:]), starts.tolist())]
+    common, _ = permuted_prefixes(symbols, ends, order)
+    places, sizes = np.arange(len(symbols)), np.diff(np.append(starts, len(symbols)))
+    mine = places - np.repeat(starts, sizes) < np.repeat(own, sizes)
+    width = window_ends((symbols - np.uint16(1)).astype(np.uint8))[0] - places
+    group = np.cumsum((common < width)[order])  # of suffixes that begin with one window
+    windows = np.zeros(len(symbols), bool)
+    windows[order] = mine[order] & (np.bincount(group, mine[order])[group] > 1)
+    # strings of WINDOW bytes that are equal but for white space are told apart by their own bytes
+    raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+    edges = np.append(0, np.cumsum(raw == EDGE))
+    whole = np.flatnonzero(windows & (places + WINDOW <= ends))
+    whole = whole[edges[whole + WINDOW] == edges[whole]]
+    group[order] = np.cumsum((common < WINDOW)[order])
+    value = mix(span_hash(prefix_hash(raw), whole, whole + WINDOW) + group[whole].astype(np.uint64))
+    _, at, count = np.unique(value, return_inverse=True, return_counts=True)
+    strings = np.zeros(len(symbols), bool)
+    strings[whole[count[at] > 1]] = True
+
+    def by_text(marks: np.ndarray) -> list[np.ndarray]:
+        at = np.flatnonzero(marks)
+        return [part - s for part, s in zip(np.split(at, np.searchsorted(at, starts)[1:]), starts.tolist())]
+
+    return by_text(windows), by_text(strings)
 
 
 # --- segments --------------------------------------------------------------------------------------------------------
 
 
-def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each `width` values that follow one another, from the minima of aligned blocks' heads and tails."""
-    n = len(values)
-    padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
-    padded[:n] = values
-    rows = padded.reshape(-1, width)
-    heads = np.minimum.accumulate(rows, 1).ravel()
-    tails = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()
-    return np.minimum(tails[: n - width + 1], heads[width - 1 : n])
-
-
 def varying_least(values: np.ndarray, width: np.ndarray) -> np.ndarray:
     """Minimum of the width[i] values from i on, from the minima of two spans of a power of two."""
     out, level, step = np.empty(len(width), np.uint64), values, 1
@@ -288,22 +286,22 @@ def varying_least(values: np.ndarray, width: np.ndarray) -> np.ndarray:
         level = np.minimum(level[: -(step // 2)], level[step // 2 :])
 
 
-def segments(texts: list[bytes], window: int = WINDOW, gram: int = GRAM, words: int = 0) -> dict[str, np.ndarray]:
-    """Segments of texts: row (of the text), anchor, digest, start, windows, and size: the bytes covered.  With words the texts must
-    be framed; the blank that ends a window of words is not covered."""
+def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
+    """Segments of framed texts: row (of the text), anchor, digest, start, windows, size (bytes that the windows cover, without
+    the blank that ends a window of words) and strings (where the last of their strings of WINDOW bytes ends, 0: none)."""
     out = []
     for i, j in chunks(texts):
-        data = np.frombuffer(b"".join(texts[i:j]), np.uint8)
-        if len(data) < (min(window, 2 * words) if words else window):
+        whole = b"".join(texts[i:j])
+        data = np.frombuffer(whole.translate(BLANK), np.uint8)
+        if len(data) <= 2 * WORDS:
             continue
-        prefix = prefix_hash(data)
-        at = np.arange(len(data) - gram + 1)
-        grams = span_hash(prefix, at, at + gram)
+        at = np.arange(len(data) - GRAM + 1)
+        grams = span_hash(prefix_hash(data), at, at + GRAM)
         bits = np.uint64(int(len(data)).bit_length())
         ranked = grams >> bits << bits | at.astype(np.uint64)
-        ends = window_ends(data, window, words)
+        ends, covers = window_ends(data)
         ends = ends[: np.searchsorted(ends, len(data), "right")]
-        least = varying_least(ranked, ends - np.arange(len(ends)) - gram + 1) if words else sliding_least(ranked, window - gram + 1)
+        least = varying_least(ranked, ends - np.arange(len(ends)) - GRAM + 1)
         anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
         sizes = np.array([len(t) for t in texts[i:j]], np.int64)
         first = np.cumsum(sizes) - sizes
@@ -314,25 +312,25 @@ def segments(texts: list[bytes], window: int = WINDOW, gram: int = GRAM, words:
         start = np.flatnonzero(inside & ~same)
         number = np.cumsum(~same & inside) - 1
         count = np.bincount(number[inside], minlength=len(start))
-        place = anchor[start]
-        last = start + count - 1
-        digest = mix(span_hash(prefix, start, ends[last]) + (place - start).astype(np.uint64) * np.uint64(1 << 32) + count.astype(np.uint64))
-        out.append((row[start] + i, grams[place].view(np.int64), digest.view(np.int64), start - first[row[start]], count, ends[last] - start - (ends[last] - last < window)))
-    names = ("row", "anchor", "digest", "start", "windows", "size")
+        place, last = anchor[start], start + count - 1
+        head, stop = first[row[start]], (first + sizes)[row[start]]
+        upto = np.minimum(last + WINDOW, stop)
+        shape = (place - start).astype(np.uint64) << np.uint64(32) | count.astype(np.uint64) << np.uint64(16) | (upto - last).astype(np.uint64)
+        digest = mix(span_hash(prefix_hash(np.frombuffer(whole, np.uint8)), start, upto) + shape)
+        string = np.minimum(last, stop - 1 - WINDOW)  # the last one within the text
+        strings = np.where(string >= np.maximum(start, head + 1), string + WINDOW - start, 0)
+        out.append((row[start] + i, grams[place].view(np.int64), digest.view(np.int64), start - head, count, covers[last] - start, strings))
+    names = ("row", "anchor", "digest", "start", "windows", "size", "strings")
     return {k: np.concatenate([x[m] for x in out]) if out else np.zeros(0, np.int64) for m, k in enumerate(names)}
 
 
-def _cut_up(words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i in range(0, len(batch), 512):
-                part = batch.iloc[i : i + 512]
-                texts = utf8(part["text"])
-                found = segments([framed(t) for t in texts] if words else texts, words=words)
-                row = found.pop("row")
-                yield pd.DataFrame({"key": part["key"].to_numpy()[row], "hash": part["hash"].to_numpy()[row]} | found)
-
-    return run
+def _cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for i in range(0, len(batch), 512):
+            part = batch.iloc[i : i + 512]
+            found = segments([framed(t) for t in utf8(part["text"])])
+            row = found.pop("row")
+            yield pd.DataFrame({"key": part["key"].to_numpy()[row], "hash": part["hash"].to_numpy()[row]} | found)
 
 
 def _pack(column: str):
@@ -348,84 +346,89 @@ def _pack(column: str):
     return run
 
 
-def _extract(words: int):
-    """A row for each wanted segment of a packed text, with the blank after its last word."""
+def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each wanted segment of a packed text."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for i in range(0, len(batch), 256):
+            part = batch.iloc[i : i + 256]
+            out = []
+            for key, text_hash, text, wanted in zip(part["key"].tolist(), part["hash"].tolist(), part["text"], part["segments"]):
+                raw = framed(unpack(text))
+                out += [(key, text_hash, s["shard"], s["blocks"], s["anchor"], s["digest"], s["start"], s["windows"], raw[s["start"] : s["start"] + s["windows"] - 1 + WINDOW]) for s in wanted]
+            yield pd.DataFrame(out, columns=["key", "hash", "shard", "blocks", "anchor", "digest", "start", "windows", "bytes"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.iloc[i : i + 256]
-                out = []
-                for key, text_hash, text, wanted in zip(part["key"].tolist(), part["hash"].tolist(), part["text"], part["segments"]):
-                    raw = framed(unpack(text)) if words else unpack(text)
-                    out += [(key, text_hash, s["shard"], s["blocks"], s["anchor"], s["digest"], s["start"], s["windows"], raw[s["start"] : s["start"] + s["size"] + (words > 0)]) for s in wanted]
-                yield pd.DataFrame(out, columns=["key", "hash", "shard", "blocks", "anchor", "digest", "start", "windows", "bytes"])
 
-    return run
+def runs(at: np.ndarray) -> list[tuple[int, int]]:
+    """First and last of the runs of numbers that follow one another."""
+    edge = np.flatnonzero(np.diff(at) > 1)
+    return list(zip(at[np.append(0, edge + 1)].tolist(), at[np.append(edge, len(at) - 1)].tolist())) if len(at) else []
 
 
-def _search(words: int):
+def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Repeats among the segments of each (shard, one, two), which follow one another."""
+    group, held = None, {}
+
+    def close() -> pd.DataFrame:
+        rows = list(held.values())
+        out = []
+        for (key, text_hash, start, _, text), windows, strings in zip(rows, *repeated_windows([r[-1] for r in rows], [r[-2] for r in rows])):
+            if len(windows):
+                _, covers = window_ends(np.frombuffer(text.translate(BLANK), np.uint8))
+                out += [(key, text_hash, start + a, start + int(covers[b]), False) for a, b in runs(windows)]
+                out += [(key, text_hash, start + a, start + b + WINDOW, True) for a, b in runs(strings)]
+        return pd.DataFrame(out, columns=["key", "hash", "first", "last", "exact"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, held = None, {}
-
-        def close() -> pd.DataFrame:
-            rows = list(held.values())
-            found = repeated_windows([r[-1] for r in rows], words=words, own=[r[-2] for r in rows])
-            out = []
-            for (key, text_hash, start, _, text), at in zip(rows, found):
-                if len(at):
-                    ends = window_ends(np.frombuffer(text, np.uint8), WINDOW, words)
-                    ends -= ends - np.arange(len(ends)) < WINDOW
-                    edge = np.flatnonzero(np.diff(at) > 1)
-                    for a, b in zip(np.append(at[0], at[edge + 1]).tolist(), np.append(at[edge], at[-1]).tolist()):
-                        out.append((key, text_hash, start + a, start + int(ends[b])))
-            return pd.DataFrame(out, columns=["key", "hash", "first", "last"])
+    for batch in batches:
+        columns = [batch[c].tolist() for c in ("shard", "one", "two", "anchor", "digest", "key", "hash", "start", "windows", "bytes")]
+        for shard, one, two, anchor, digest, key, text_hash, start, windows, text in zip(*columns):
+            if (shard, one, two) != group:
+                if held:
+                    yield close()
+                group, held = (shard, one, two), {}
+            held.setdefault((anchor, digest), (key, text_hash, start, windows, bytes(text)))  # repeated rows once
+    if held:
+        yield close()
 
-        for batch in batches:
-            columns = [batch[c].tolist() for c in ("shard", "one", "two", "anchor", "digest", "key", "hash", "start", "windows", "bytes")]
-            for shard, one, two, anchor, digest, key, text_hash, start, windows, text in zip(*columns):
-                if (shard, one, two) != group:
-                    if held:
-                        yield close()
-                    group, held = (shard, one, two), {}
-                held.setdefault((anchor, digest), (key, text_hash, start, windows, bytes(text)))  # repeated rows once
-        if held:
-            yield close()
 
-    return run
+def _covered(spans: list[dict], size: int) -> np.ndarray:
+    gone = np.zeros(size + 1, np.int32)
+    np.add.at(gone, [s["first"] for s in spans], 1)
+    np.add.at(gone, [min(s["last"], size) for s in spans], -1)
+    return np.cumsum(gone)[:-1] > 0
 
 
-def _remove(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], passages: bool) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         names, out = batch.schema.names, []
         for text, spans in zip(batch.column(names.index("__text")).to_pylist(), batch.column(names.index("__spans")).to_pylist()):
             raw = unpack(text)
-            gone, n, runs, kept = np.zeros(len(raw) + 1, np.int32), 0, 0, raw
+            n = n_runs = repeated = 0
+            kept = raw
             if spans:
-                np.add.at(gone, [s["first"] for s in spans], 1)
-                np.add.at(gone, [min(s["last"], len(raw)) for s in spans], -1)
-                covered = np.cumsum(gone)[:-1] > 0
-                n = int(covered.sum())
-                runs = int((covered & ~np.concatenate([[False], covered[:-1]])).sum())
+                every = _covered(spans, len(raw))
+                covered = every if passages else _covered([s for s in spans if s["exact"]], len(raw))
+                n, repeated = int(covered.sum()), int(every.sum())
+                n_runs = int((covered & ~np.concatenate([[False], covered[:-1]])).sum())
                 kept = np.frombuffer(raw, np.uint8)[~covered].tobytes()
-            out.append((len(raw), n, runs, kept.decode(errors="ignore") if as_text else kept, hashlib.sha256(kept).hexdigest()))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary(), pa.string())
+            out.append((len(raw), n, n_runs, repeated, kept.decode(errors="ignore") if passages else kept, hashlib.sha256(kept).hexdigest()))
+        kinds = (*[pa.int64()] * 4, pa.string() if passages else pa.binary(), pa.string())
         own = [c for c in names if c not in ("__text", "__spans")]
         made = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in own], *made], [*own, *MADE])
 
 
-def repeats(rows: DataFrame, words: int = 0) -> DataFrame:
-    """rows(key long, hash long, text) -> key, hash, first, last: byte spans that repeated windows cover."""
-    cuts = cut(rows.mapInPandas(_cut_up(words), "key long, hash long, anchor long, digest long, start int, windows int, size int"), "segments")
-    groups = cut(cuts.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("key", "hash", "start", "windows", "size")).alias("rep")), "groups")
-    span = lambda df: df.select("key", "hash", F.col("start").alias("first"), (F.col("start") + F.col("size")).cast("int").alias("last"))
-    whole = span(cuts.join(groups.filter("n > 1").select("anchor", "digest"), ["anchor", "digest"]))
-    length = F.col("rep.size")
+def repeats(rows: DataFrame) -> DataFrame:
+    """rows(key long, hash long, text) -> key, hash, first, last, exact: byte spans that repeated windows cover, or (exact)
+    repeated strings of WINDOW bytes."""
+    cuts = cut(rows.mapInPandas(_cut_up, "key long, hash long, anchor long, digest long, start int, windows int, size int, strings int"), "segments")
+    groups = cut(cuts.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("key", "hash", "start", "windows")).alias("rep")), "groups")
+    same = join_uneven(cuts, groups.filter("n > 1").select("anchor", "digest", "n"), ["anchor", "digest"], "n")
+    windows = F.struct(F.col("start").alias("first"), (F.col("start") + F.col("size")).alias("last"), F.lit(False).alias("exact"))
+    strings = F.struct(F.greatest("start", F.lit(1)).alias("first"), (F.col("start") + F.col("strings")).alias("last"), F.lit(True).alias("exact"))
+    whole = same.select("key", "hash", F.inline(F.when(F.col("strings") > 0, F.array(windows, strings)).otherwise(F.array(windows))))
+    length = F.col("rep.windows") + WINDOW
     shared = groups.groupBy("anchor").agg(F.count("*").alias("different"), F.sum(length).alias("bytes")).filter("different > 1").drop("different")
     total = shared.agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, total // SHARD)
@@ -438,50 +441,50 @@ def repeats(rows: DataFrame, words: int = 0) -> DataFrame:
     )
     wanted = groups.join(shared, "anchor").select(
         F.col("rep.key").alias("key"), F.col("rep.hash").alias("hash"),
-        F.struct("shard", "blocks", "anchor", "digest", F.col("rep.start").alias("start"), F.col("rep.windows").alias("windows"), length.alias("size")).alias("segment"),
+        F.struct("shard", "blocks", "anchor", "digest", F.col("rep.start").alias("start"), F.col("rep.windows").alias("windows")).alias("segment"),
     )
     wanted = wanted.groupBy("key", "hash").agg(F.collect_list("segment").alias("segments"))
     packed = rows.mapInArrow(_pack("text"), "key long, hash long, text binary")
-    texts = packed.join(wanted, ["key", "hash"]).mapInPandas(_extract(words), "key long, hash long, shard long, blocks int, anchor long, digest long, start int, windows int, bytes binary")
+    texts = packed.join(wanted, ["key", "hash"]).mapInPandas(_extract, "key long, hash long, shard long, blocks int, anchor long, digest long, start int, windows int, bytes binary")
     block = F.pmod(F.xxhash64("digest"), F.greatest("blocks", F.lit(1))).cast("int")
     texts = texts.withColumn("block", block).withColumn("with", F.explode(F.expr("sequence(0, greatest(blocks, 1) - 1)")))
     # -1 marks the shards of several anchors
     one = F.when(F.col("blocks") == 0, -1).otherwise(F.least("block", "with"))
     dealt = texts.select("shard", one.alias("one"), F.greatest("block", "with").alias("two"), "anchor", "digest", "key", "hash", "start", "windows", "bytes")
     dealt = dealt.repartition("shard", "one", "two").sortWithinPartitions("shard", "one", "two")
-    found = whole.unionByName(dealt.mapInPandas(_search(words), "key long, hash long, first int, last int"))
-    if words:  # without the blanks of the frame
-        found = found.select("key", "hash", F.greatest(F.lit(0), F.col("first") - 1).alias("first"), (F.col("last") - 1).alias("last"))
-    return found
+    found = whole.unionByName(dealt.mapInPandas(_search, "key long, hash long, first int, last int, exact boolean"))
+    # without the ends of the frame
+    return found.select("key", "hash", F.greatest(F.lit(0), F.col("first") - 1).alias("first"), (F.col("last") - 1).alias("last"), "exact")
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", as_text: bool = False, words: int = 0) -> DataFrame:
-    """docs without its text column, and with n_bytes, n_removed, n_spans, kept (the remaining bytes; with as_text a string of the
-    whole characters among them) and kept_sha256.
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", passages: bool = False) -> DataFrame:
+    """docs without its text column, and with n_bytes, n_removed, n_spans, n_repeated, kept (the remaining bytes; with passages a
+    string of the whole characters among them) and kept_sha256.
 
     Every byte of a text (as UTF-8) that is covered by a string of WINDOW bytes which also starts anywhere else, in another
-    row or in the same, is removed; overlaps count; strings are judged on the input.  A null text is empty; texts under
-    WINDOW bytes lose nothing; rows with equal keys and texts are repeated rows, whose windows all start elsewhere; an
-    empty table gives no rows; columns of docs with names of the new ones give way.  Keys must be integers; null is one.
-    With words, so many whole words (runs without ASCII white space) that start elsewhere are a repeat in less than WINDOW
-    bytes, too; white space counts as equal, a text's ends as white space, and the one after the last of those words stays.
+    row or in the same, is removed; overlaps count; strings are judged on the input.  With passages, so many whole WORDS
+    (runs without ASCII white space) that start elsewhere are removed in less than WINDOW bytes, too; white space counts as
+    equal there, a text's ends as white space, and the one after the last of those words stays.  n_repeated is the number
+    of bytes that passages removes.  A null text is empty; texts under WINDOW bytes, or with passages under WORDS words,
+    lose nothing; rows with equal keys and texts are repeated rows, whose windows all start elsewhere; an empty table gives
+    no rows; columns of docs with names of the new ones give way.  Keys must be integers; null is one.
     """
     row_key, row_hash = F.coalesce(F.col(key).cast("long"), F.lit(-1 << 63)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(row_key.alias("key"), row_hash.alias("hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spans = repeats(rows, words).groupBy("key", "hash").agg(F.collect_set(F.struct("first", "last")).alias("__spans")).select(F.col("key").alias("__key"), F.col("hash").alias("__hash"), "__spans")
+    spans = repeats(rows).groupBy("key", "hash").agg(F.collect_set(F.struct("first", "last", "exact")).alias("__spans")).select(F.col("key").alias("__key"), F.col("hash").alias("__hash"), "__spans")
     kept = [c for c in docs.columns if c != text and c not in MADE]
     whole = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text"), row_key.alias("__key"), row_hash.alias("__hash"))
     fields = ", ".join(f"`{c}` {'binary' if c == '__text' else whole.schema[c].dataType.simpleString()}" for c in whole.columns)
     whole = whole.mapInArrow(_pack("__text"), fields).join(spans, ["__key", "__hash"], "left").drop("__key", "__hash")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    kind = "string" if as_text else "binary"
-    return whole.mapInArrow(lambda batches: _remove(batches, as_text), f"{schema}, n_bytes long, n_removed long, n_spans long, kept {kind}, kept_sha256 string")
+    kind = "string" if passages else "binary"
+    return whole.mapInArrow(lambda batches: _remove(batches, passages), f"{schema}, n_bytes long, n_removed long, n_spans long, n_repeated long, kept {kind}, kept_sha256 string")
 
 
-def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars", words: int = 0) -> DataFrame:
-    """docs with texts of the remaining bytes (words: as in remove_repeats), and length (where there is such a column) as their number of characters.
-    What is left of a character that was cut apart goes too; a null text becomes empty."""
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
+    """docs with texts of the bytes that remove_repeats() with passages keeps, and length (where there is such a column) as
+    their number of characters.  What is left of a character that was cut apart goes too; a null text becomes empty."""
     own = {c: c if c in (key, text) else f"__own{k}" for k, c in enumerate(docs.columns)}  # no name of theirs gives way
-    told = remove_repeats(docs.select(*[F.col(f"`{c}`").alias(o) for c, o in own.items()]), key, text, as_text=True, words=words)
+    told = remove_repeats(docs.select(*[F.col(f"`{c}`").alias(o) for c, o in own.items()]), key, text, passages=True)
     columns = {text: F.col("kept")} | ({length: F.length("kept").cast(docs.schema[length].dataType)} if length in docs.columns else {})
     return told.select(*[columns.get(c, F.col(o)).alias(c) for c, o in own.items()])

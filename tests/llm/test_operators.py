@@ -409,6 +409,7 @@ def rows_of_repeats():
     base = [prose(rng, 300) for _ in range(6)]
     passage = prose(rng, 90)
     texts = [*base, base[0], substituted(rng, base[1], 1), base[2][:500] + passage + base[3][:300], passage + "é" + passage[:450], base[4][7:900]]
+    texts += [passage.replace(" ", "\n", 40) + base[3][:90], passage + "\n" + base[0][:50], " " + passage + " ", base[5][:400]]  # equal but for white space, and at ends
     texts += ["ab" * 700, "z" * 900, "", None, "é" * 300, prose(rng, 20)]
     return [(k % 15, t) for k, t in enumerate(texts)] + [(None, base[5][:410]), (3, base[3]), (3, base[3])]
 
@@ -418,8 +419,10 @@ def test_repeats_are_removed(spark, monkeypatch, shard):
     monkeypatch.setattr(suffix, "SHARD", shard)  # the small one makes shards of several anchors and pairs of blocks
     rows = rows_of_repeats()
     df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, kept string")
-    got = suffix.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
-    assert ordered(map(tuple, got)) == ordered((i, *x) for (i, _), x in zip(rows, brute_repeats([(t or "").encode() for _, t in rows])))
+    got = suffix.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated").collect()
+    raws = [(t or "").encode() for _, t in rows]
+    repeated = [len(b) - len(left) for b, left in zip(raws, brute_word_repeats(raws, suffix.WORDS))]
+    assert ordered(map(tuple, got)) == ordered((i, *x, n) for (i, _), x, n in zip(rows, brute_repeats(raws), repeated))
 
 
 def test_repeats_are_cut(documents, nothing):
@@ -430,8 +433,9 @@ def test_repeats_are_cut(documents, nothing):
 
 
 def brute_word_repeats(raws, words):
-    """As brute_repeats: windows end sooner where so many words, with white space on both sides, are in them."""
+    """As brute_repeats, and windows end sooner where so many words, with white space on both sides, are in them."""
     window = suffix.WINDOW
+    strings = Counter(b[k : k + window] for b in raws for k in range(len(b) - window + 1))
     found = []
     for b in raws:
         b = b" " + re.sub(rb"[\x20\x09-\x0D]", b" ", b) + b" "
@@ -439,17 +443,20 @@ def brute_word_repeats(raws, words):
         mine = []
         for k in range(len(b)):
             nth = bisect.bisect_left(spots, (k,)) + words - 1
-            end = min([k + window, *[e for _, e in spots[nth : nth + 1]]])
+            stop = spots[nth][1] if nth < len(spots) else k + window + 1
+            end = min(k + window, stop)
             if end <= len(b):
-                mine.append((k, end, b[k:end]))
+                mine.append((k, end - (end == stop), b[k:end]))
         found.append(mine)
     seen = Counter(x for mine in found for _, _, x in mine)
     out = []
     for b, mine in zip(raws, found):
         gone = bytearray(len(b) + 2)
+        for k in range(len(b) - window + 1):
+            if strings[b[k : k + window]] > 1:
+                gone[k + 1 : k + 1 + window] = b"\1" * window
         for k, end, x in mine:
             if seen[x] > 1:
-                end -= end - k < window
                 gone[k:end] = b"\1" * (end - k)
         out.append(bytes(x for x, g in zip(b, gone[1:]) if not g))
     return out
@@ -471,7 +478,7 @@ def test_repeats_of_words_are_cut(spark, monkeypatch, shard):
     texts[6] += " " + less
     texts += [short, less, "", None, "a b " * 200, "é" * 300, "é" * 300, " " * 900, texts[0][30:]]
     docs = spark.createDataFrame([(k, t, len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, n_chars int")
-    got = {r["doc_id"]: r["text"] for r in suffix.cut_repeats(docs, words=51).collect()}
+    got = {r["doc_id"]: r["text"] for r in suffix.cut_repeats(docs).collect()}
     for k, left in enumerate(brute_word_repeats([(t or "").encode() for t in texts], 51)):
         assert got[k] == left.decode(errors="ignore"), k
     assert short not in got[0] and long not in got[2] and less in got[6]
