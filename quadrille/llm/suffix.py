@@ -29,6 +29,7 @@ WINDOW, WORDS, GRAM = 400, 51, 64
 SHARD = 1_000_000
 EDGE = 0xFF  # marks the ends of a text; no byte of UTF-8
 BLANK = bytes(0x20 if SPACE[c] or c == EDGE else c for c in range(256))
+SPANS = ["key", "hash", "first", "last", "from", "to"]
 MADE = ("n_bytes", "n_removed", "n_spans", "n_repeated", "kept", "kept_sha256")
 
 
@@ -123,31 +124,6 @@ def induce(symbols: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.ndar
     return out
 
 
-def induce_one_by_one(symbols: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """As induce(), for names: they are so many that buckets are small, and each suffix is dealt on its own."""
-    ends = np.cumsum(np.bincount(symbols))
-    value, is_smaller = symbols.tolist(), smaller.tolist()
-    out = [-1] * len(value)
-    back = ends.tolist()
-    for i in reversed(lms.tolist()):
-        back[value[i]] -= 1
-        out[back[value[i]]] = i
-    front = np.append(0, ends[:-1]).tolist()
-    for i in out:  # sees what it deals further on
-        if i > 0 and not is_smaller[i - 1]:
-            c = value[i - 1]
-            out[front[c]] = i - 1
-            front[c] += 1
-    back = ends.tolist()
-    for place in range(len(out) - 1, -1, -1):
-        i = out[place]
-        if i > 0 and is_smaller[i - 1]:
-            c = value[i - 1]
-            back[c] -= 1
-            out[back[c]] = i - 1
-    return np.array(out, np.int64)
-
-
 def substring_names(symbols: np.ndarray, lms: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     """Names of the leftmost-smaller substrings in text order, ranks in the order in which sorted_ has them; equal ones have
     one name.  A substring's value is a hash of its symbols up to the next one's first; ends of texts differ from each other."""
@@ -168,19 +144,40 @@ def substring_names(symbols: np.ndarray, lms: np.ndarray, sorted_: np.ndarray) -
     return names
 
 
-def suffix_array(symbols: np.ndarray, deal_out=induce) -> np.ndarray:
-    """All suffixes in order, by induced sorting: the leftmost-smaller suffixes are sorted as the suffixes of the string of
-    their substrings' names, which is the same task on less than half of the length, and induce all others."""
+def sort_names(names: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of the reduced string of names.  In each round every name that is not unique is renamed by
+    itself and the one `reach` places on, and `reach` doubles: the recursion on ever longer leftmost-smaller substrings."""
+    ranks = names.copy()
+    reach = 1
+    while True:
+        counts = np.bincount(ranks)
+        tied = np.flatnonzero(counts[ranks] > 1)
+        if not len(tied):
+            return np.argsort(ranks, kind="stable")
+        after = np.where(tied + reach < len(ranks), ranks[np.minimum(tied + reach, len(ranks) - 1)] + 1, 0)
+        order = np.lexsort((after, ranks[tied]))
+        own, after = ranks[tied][order], after[order]
+        new_group = np.concatenate([[True], own[1:] != own[:-1]])
+        change = new_group | np.concatenate([[True], after[1:] != after[:-1]])
+        place = np.arange(len(own))
+        start = np.maximum.accumulate(np.where(new_group, place, 0))
+        last = np.maximum.accumulate(np.where(change, place, 0))
+        # ranks leave room: a name's rank is the number of suffixes before its class
+        fresh = own + (last - start)
+        ranks[tied[order]] = fresh
+        reach *= 2
+
+
+def suffix_array(symbols: np.ndarray) -> np.ndarray:
+    """All suffixes in order: the leftmost-smaller suffixes are sorted as the suffixes of the string of their substrings' names,
+    and induce all others."""
     smaller = classify(symbols)
     lms = np.flatnonzero(smaller & np.concatenate([[False], ~smaller[:-1]])).astype(np.int64)
     if not len(lms):
-        return deal_out(symbols, smaller, lms)
-    names = substring_names(symbols, lms, deal_out(symbols, smaller, lms))
-    if names.max() + 1 == len(names):
-        order = np.argsort(names)
-    else:
-        order = suffix_array(np.append(names + 1, 0), induce_one_by_one)[1:]
-    return deal_out(symbols, smaller, lms[order])
+        return induce(symbols, smaller, lms)
+    names = substring_names(symbols, lms, induce(symbols, smaller, lms))
+    counts = np.bincount(names)
+    return induce(symbols, smaller, lms[sort_names((np.cumsum(counts) - counts)[names])])  # names with room between them
 
 
 def permuted_prefixes(symbols: np.ndarray, ends: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -375,9 +372,9 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for (key, text_hash, start, _, text), windows, strings in zip(rows, *repeated_windows([r[-1] for r in rows], [r[-2] for r in rows])):
             if len(windows):
                 _, covers = window_ends(np.frombuffer(text.translate(BLANK), np.uint8))
-                out += [(key, text_hash, start + a, start + int(covers[b]), False) for a, b in runs(windows)]
-                out += [(key, text_hash, start + a, start + b + WINDOW, True) for a, b in runs(strings)]
-        return pd.DataFrame(out, columns=["key", "hash", "first", "last", "exact"])
+                out += [(key, text_hash, start + a, start + int(covers[b]), 0, 0) for a, b in runs(windows)]
+                out += [(key, text_hash, 0, 0, start + a, start + b + WINDOW) for a, b in runs(strings)]
+        return pd.DataFrame(out, columns=SPANS)
 
     for batch in batches:
         columns = [batch[c].tolist() for c in ("shard", "one", "two", "anchor", "digest", "key", "hash", "start", "windows", "bytes")]
@@ -391,10 +388,10 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield close()
 
 
-def _covered(spans: list[dict], size: int) -> np.ndarray:
+def _covered(spans: list[dict], first: str, last: str, size: int) -> np.ndarray:
     gone = np.zeros(size + 1, np.int32)
-    np.add.at(gone, [s["first"] for s in spans], 1)
-    np.add.at(gone, [min(s["last"], size) for s in spans], -1)
+    np.add.at(gone, [s[first] for s in spans], 1)
+    np.add.at(gone, [min(s[last], size) for s in spans], -1)
     return np.cumsum(gone)[:-1] > 0
 
 
@@ -407,8 +404,9 @@ def _remove(batches: Iterator[pa.RecordBatch], passages: bool) -> Iterator[pa.Re
             n = n_runs = repeated = 0
             kept = raw
             if spans:
-                every = _covered(spans, len(raw))
-                covered = every if passages else _covered([s for s in spans if s["exact"]], len(raw))
+                strings = _covered(spans, "from", "to", len(raw))
+                every = strings | _covered(spans, "first", "last", len(raw))
+                covered = every if passages else strings
                 n, repeated = int(covered.sum()), int(every.sum())
                 n_runs = int((covered & ~np.concatenate([[False], covered[:-1]])).sum())
                 kept = np.frombuffer(raw, np.uint8)[~covered].tobytes()
@@ -420,14 +418,16 @@ def _remove(batches: Iterator[pa.RecordBatch], passages: bool) -> Iterator[pa.Re
 
 
 def repeats(rows: DataFrame) -> DataFrame:
-    """rows(key long, hash long, text) -> key, hash, first, last, exact: byte spans that repeated windows cover, or (exact)
-    repeated strings of WINDOW bytes."""
+    """rows(key long, hash long, text) -> key, hash, first, last, from, to: byte spans that repeated windows cover (first to last)
+    and repeated strings of WINDOW bytes (from to to); either can be empty."""
     cuts = cut(rows.mapInPandas(_cut_up, "key long, hash long, anchor long, digest long, start int, windows int, size int, strings int"), "segments")
     groups = cut(cuts.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("key", "hash", "start", "windows")).alias("rep")), "groups")
     same = join_uneven(cuts, groups.filter("n > 1").select("anchor", "digest", "n"), ["anchor", "digest"], "n")
-    windows = F.struct(F.col("start").alias("first"), (F.col("start") + F.col("size")).alias("last"), F.lit(False).alias("exact"))
-    strings = F.struct(F.greatest("start", F.lit(1)).alias("first"), (F.col("start") + F.col("strings")).alias("last"), F.lit(True).alias("exact"))
-    whole = same.select("key", "hash", F.inline(F.when(F.col("strings") > 0, F.array(windows, strings)).otherwise(F.array(windows))))
+    string = lambda c: F.when(F.col("strings") > 0, c).otherwise(0)
+    whole = same.select(
+        "key", "hash", F.col("start").alias("first"), (F.col("start") + F.col("size")).alias("last"),
+        string(F.greatest("start", F.lit(1))).alias("from"), string(F.col("start") + F.col("strings")).alias("to"),
+    )
     length = F.col("rep.windows") + WINDOW
     shared = groups.groupBy("anchor").agg(F.count("*").alias("different"), F.sum(length).alias("bytes")).filter("different > 1").drop("different")
     total = shared.agg(F.sum("bytes")).first()[0] or 0
@@ -452,9 +452,9 @@ def repeats(rows: DataFrame) -> DataFrame:
     one = F.when(F.col("blocks") == 0, -1).otherwise(F.least("block", "with"))
     dealt = texts.select("shard", one.alias("one"), F.greatest("block", "with").alias("two"), "anchor", "digest", "key", "hash", "start", "windows", "bytes")
     dealt = dealt.repartition("shard", "one", "two").sortWithinPartitions("shard", "one", "two")
-    found = whole.unionByName(dealt.mapInPandas(_search, "key long, hash long, first int, last int, exact boolean"))
-    # without the ends of the frame
-    return found.select("key", "hash", F.greatest(F.lit(0), F.col("first") - 1).alias("first"), (F.col("last") - 1).alias("last"), "exact")
+    found = whole.unionByName(dealt.mapInPandas(_search, "key long, hash long, first int, last int, from int, to int"))
+    inner = lambda c: F.greatest(F.lit(0), F.col(c) - 1).alias(c)  # noqa: E731  without the ends of the frame
+    return found.select("key", "hash", *[inner(c) for c in SPANS[2:]])
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", passages: bool = False) -> DataFrame:
@@ -471,7 +471,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", pas
     """
     row_key, row_hash = F.coalesce(F.col(key).cast("long"), F.lit(-1 << 63)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(row_key.alias("key"), row_hash.alias("hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spans = repeats(rows).groupBy("key", "hash").agg(F.collect_set(F.struct("first", "last", "exact")).alias("__spans")).select(F.col("key").alias("__key"), F.col("hash").alias("__hash"), "__spans")
+    spans = repeats(rows).groupBy("key", "hash").agg(F.collect_set(F.struct(*SPANS[2:])).alias("__spans")).select(F.col("key").alias("__key"), F.col("hash").alias("__hash"), "__spans")
     kept = [c for c in docs.columns if c != text and c not in MADE]
     whole = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text"), row_key.alias("__key"), row_hash.alias("__hash"))
     fields = ", ".join(f"`{c}` {'binary' if c == '__text' else whole.schema[c].dataType.simpleString()}" for c in whole.columns)
