@@ -4,12 +4,12 @@ Everything is partitioned by image; moving maxima and running sums are windows o
 window is larger than a raster's side.
 """
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import clamp, half_even, thousandths
-from ..sources.shared import cut
-from .graph import components
 
 SOLID = 18  # a grey value from here on counts as set after a filter
 
@@ -57,16 +57,36 @@ def close_gaps(pixels: DataFrame, radius: int) -> DataFrame:
     return erode(_moving(pixels, radius, F.max), radius)
 
 
+def _least_labels(side: int):
+    def run(image: pd.DataFrame) -> pd.DataFrame:
+        ids = np.sort(image["y"].to_numpy() * side + image["x"].to_numpy())
+        label = np.arange(len(ids))
+        pairs = []
+        for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)):
+            fits = np.flatnonzero((ids % side + dx >= 0) & (ids % side + dx < side))
+            near = ids[fits] + dy * side + dx
+            at = np.minimum(np.searchsorted(ids, near), len(ids) - 1)
+            hit = ids[at] == near
+            pairs.append((fits[hit], at[hit]))
+        a, b = (np.concatenate(x) for x in zip(*pairs))
+        while len(a):  # roots of pixels that touch are tied to the lesser one, then paths are halved
+            one, two = label[a], label[b]
+            np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
+            while (deeper := label[label]).tolist() != label.tolist():
+                label = deeper
+            differ = label[a] != label[b]
+            a, b = a[differ], b[differ]
+        return pd.DataFrame({"image_id": image["image_id"].iloc[0], "y": ids // side, "x": ids % side, "label": ids[label]})
+
+    return run
+
+
 def label_components(pixels: DataFrame, side: int) -> DataFrame:
     """image_id, y, x, label: pixels over 0 with the least pixel number (y * side + x) of those that they touch, corners
-    included, directly or through others."""
-    on = cut(pixels.filter("v > 0").select("image_id", "y", "x", (F.col("image_id") * side * side + F.col("y") * side + F.col("x")).alias("id")), "on-pixels")
-    ahead = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))]))
-    near = on.withColumn("d", ahead).select("image_id", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"), F.col("id").alias("a"))
-    edges = near.join(on.withColumnRenamed("id", "b"), ["image_id", "y", "x"]).select("a", "b")
-    roots = components(edges)
-    labelled = on.join(roots, on["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))
-    return labelled.select("image_id", "y", "x", (F.col("root") - F.col("image_id") * side * side).alias("label"))
+    included, directly or through others.  A pixel touches none of another image, so each image is labelled on its own, in
+    one task; a raster's size bounds what that holds."""
+    on = pixels.filter("v > 0").select("image_id", "y", "x")
+    return on.groupBy("image_id").applyInPandas(_least_labels(side), "image_id long, y long, x long, label long")
 
 
 def component_stats(labels: DataFrame) -> DataFrame:

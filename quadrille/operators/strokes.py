@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import half_even
+from ..sources.shared import cut
 from .raster import _moving, component_stats, coverage, dilate, label_components, text_like
 
 
@@ -101,7 +102,7 @@ def text_core(images: DataFrame, width: int, height: int) -> DataFrame:
 
 def keep_text_like(mask: DataFrame, side: int, width: int, height: int) -> DataFrame:
     """The mask without components that cannot be strokes of letters."""
-    labels = label_components(mask, side)
+    labels = cut(label_components(mask, side), "labels")
     good = text_like(component_stats(labels), width, height).select("image_id", "label")
     kept = labels.join(good, ["image_id", "label"], "left_semi").select("image_id", "y", "x", F.lit(255).cast("long").alias("kept"))
     return mask.join(kept, ["image_id", "y", "x"], "left").select("image_id", "y", "x", F.coalesce("kept", F.lit(0)).cast("long").alias("v"))
@@ -112,7 +113,7 @@ def frame_candidate(rgb: DataFrame, side: int, width: int, height: int, sigma: f
     square of two pixels."""
     c = channels(rgb)
     soft = blur(c.select("image_id", "y", "x", F.col("gray").alias("v")), sigma).withColumnRenamed("v", "soft")
-    on = (F.col("value") >= 138) & (F.col("saturation") <= 75) & (F.col("gray") - F.col("soft") >= 10)
+    on = (F.col("value") >= 138) & (F.col("saturation") <= 75) & (F.round(F.col("gray") - F.col("soft"), 6) >= 10)
     mask = c.join(soft, ["image_id", "y", "x"]).select("image_id", "y", "x", F.when(on, 255).otherwise(0).cast("long").alias("v"))
     return open_two(keep_text_like(mask, side, width, height))
 
@@ -135,17 +136,17 @@ def refined_mask(rgb: DataFrame, side: int, width: int, height: int, low: float
     at = ["image_id", "y", "x"]
     all_ = c.join(cuts, "image_id").join(soft, at).join(hat, at).join(where, at)
     bright = (F.col("value") >= F.col("bright")) & (F.col("saturation") <= F.col("calm")) & (F.col("band") > 0)
-    stroke = (F.col("gray") - F.col("soft") >= 8) | (F.col("hat") >= 10)
-    told = all_.select(*at, "band", bright.alias("relaxed"), (bright & stroke).alias("strict"))
+    stroke = (F.round(F.col("gray") - F.col("soft"), 6) >= 8) | (F.col("hat") >= 10)
+    told = cut(all_.select(*at, "band", bright.alias("relaxed"), (bright & stroke).alias("strict")), "strokes")
     as_mask = lambda name: told.select(*at, F.when(F.col(name), 255).otherwise(0).cast("long").alias("v"))
-    strict = dilate(keep_text_like(as_mask("strict"), side, width, height), 1)
+    strict = cut(dilate(keep_text_like(as_mask("strict"), side, width, height), 1), "strict")
     relaxed = dilate(as_mask("relaxed"), 1)
     shares = coverage(strict).select("image_id", F.col("full_ratio").alias("own")).join(told.groupBy("image_id").agg(F.avg(F.col("relaxed").cast("double")).alias("loose")), "image_id")
     choice = (
         F.when(F.col("own").between(low, min(high, 0.085)), "strict").when((F.col("own") < low) & F.col("loose").between(low, min(high, 0.12)), "relaxed")
         .when(F.col("own") > 0, "strict").otherwise("band")
     )
-    layers = strict.withColumnRenamed("v", "strict").join(relaxed.withColumnRenamed("v", "relaxed"), at).join(where, at).join(shares.select("image_id", choice.alias("choice")), "image_id")
+    layers = strict.withColumnRenamed("v", "strict").join(relaxed.withColumnRenamed("v", "relaxed"), at).join(told.select(*at, F.when(F.col("band") > 0, 255).otherwise(0).cast("long").alias("band")), at).join(shares.select("image_id", choice.alias("choice")), "image_id")
     value = F.when(F.col("choice") == "strict", F.col("strict")).when(F.col("choice") == "relaxed", F.col("relaxed")).otherwise(F.col("band"))
     return layers.select(*at, value.alias("v"))
 

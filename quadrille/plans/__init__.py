@@ -1,8 +1,8 @@
 """Queries on the tables, and for each the SQL that another engine runs for the same result."""
 
-from . import config, geometry, jobs, raster, reports, strokes, temporal
+from . import config, geometry, jobs, masks, raster, reports, strokes, temporal
 
-MODULES = (geometry, raster, strokes, temporal, config, jobs, reports)
+MODULES = (geometry, raster, strokes, masks, temporal, config, jobs, reports)
 
 
 def queries() -> dict:

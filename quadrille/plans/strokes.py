@@ -21,10 +21,10 @@ def seeds(spark, sf_dir):
 
 
 def images(spark, sf_dir):
-    return pixels(spark, sf_dir).select("image_id").distinct().filter("image_id < 40")
+    return pixels(spark, sf_dir).select("image_id").distinct()
 
 
-_BAND = "SELECT image_id, gy.i AS y, gx.i AS x, CAST(CASE WHEN gx.i BETWEEN {x0} - 1 AND {x1} + 1 AND gy.i BETWEEN {y0} - 1 AND {y1} + 1 THEN 255 ELSE 0 END AS BIGINT) AS v FROM (SELECT DISTINCT image_id FROM pixels WHERE image_id < 40), range(24) gy(i), range(40) gx(i)"
+_BAND = "SELECT image_id, gy.i AS y, gx.i AS x, CAST(CASE WHEN gx.i BETWEEN {x0} - 1 AND {x1} + 1 AND gy.i BETWEEN {y0} - 1 AND {y1} + 1 THEN 255 ELSE 0 END AS BIGINT) AS v FROM (SELECT DISTINCT image_id FROM pixels), range(24) gy(i), range(40) gx(i)"
 
 QUERIES = {
     "tone_channels": (lambda s, d: k.channels(rgb(s, d)), f"{W}, {RGB}, {CHANNELS} SELECT *, CAST(floor(value * (255 - saturation) / 255.0) AS BIGINT) AS whiteness FROM tones"),
@@ -57,7 +57,4 @@ SELECT image_id, y, x, greatest(s.v, CASE WHEN n > 0 THEN p.v ELSE 0 END) AS v F
 o AS (SELECT a.image_id, t.template, a.y, a.x, sum(p.v * t.t) AS vt, sum(p.v * p.v) AS vv, sum(t.t * t.t) AS tt FROM pixels a JOIN t ON t.image_id = a.image_id JOIN pixels p ON p.image_id = a.image_id AND p.y = a.y + t.dy AND p.x = a.x + t.dx WHERE a.x <= {SIDE - 3} AND a.y <= {SIDE - 2} GROUP BY a.image_id, t.template, a.y, a.x)
 SELECT image_id, template, y, x, round(CASE WHEN vv > 0 AND tt > 0 THEN vt::DOUBLE / sqrt(vv::DOUBLE * tt::DOUBLE) ELSE 0.0 END, 9) AS score FROM o""",
     ),
-    "frame_candidate": (lambda s, d: k.frame_candidate(rgb(s, d), SIDE, SIDE, SIDE), None),
-    "refined_mask": (lambda s, d: k.refined_mask(rgb(s, d), SIDE, SIDE, SIDE), None),
-    "match_surface": (lambda s, d: k.match_surface(rgb(s, d)), None),
 }
