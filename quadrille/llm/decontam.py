@@ -1,5 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only."""
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -8,7 +11,8 @@ MASKS = ((0, 1, 2, 5, 7, 9), (0, 2, 3, 4, 8, 9), (0, 1, 4, 6, 8, 9))
 SPAN = 10
 #: In the verification an equal word counts 1 and a substituted one -2; an overlap needs so many equal words.
 MISS, MIN_EQUAL, MIN_SHARE = -2, 10, 0.75
-#: Up to so many benchmark seeds (some 30 bytes each) the seed table is broadcast; beyond, it is joined by a shuffle.
+#: Up to so many benchmark seeds (some 30 bytes each, and 24 for the words of their items) both are broadcast; beyond, they are
+#: joined by a shuffle.
 BROADCAST_SEEDS = 1_000_000
 
 
@@ -40,27 +44,41 @@ def best_run(equal: Column) -> Column:
     return F.aggregate(equal, F.expr(state), step, lambda s: s["best"])
 
 
+def begins() -> Column:
+    """Whether a hit (h, t, pos, item_pos, mask) has none of another mask before its own, nor one a word earlier: of the many hits
+    of a long overlap one or a few are left, the first always, so that an alignment is not followed once for each."""
+
+    def hit(mask: tuple[int, ...], back: int) -> Column:
+        same = [F.get("h", F.col("pos") + o - back) == F.get("t", F.col("item_pos") + o - back) for o in mask]
+        return F.coalesce(reduce(and_, same), F.lit(False))
+
+    earlier = (F.col("pos") > 0) & (F.col("item_pos") > 0) & reduce(or_, [hit(mask, 1) for mask in MASKS])
+    lower = reduce(or_, [(F.col("mask") > m) & hit(mask, 0) for m, mask in enumerate(MASKS[:-1])])
+    return ~earlier & ~lower
+
+
 def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """Overlaps of docs with benchmark items: key, item, doc_start, item_start, n_words, n_equal.
 
     Seeds of both sides are joined.  A hit fixes an alignment of the item's words with the document's; along it the run of
     words with the best score is taken, so substituted words are tolerated.  It is an overlap if it has MIN_EQUAL equal
     words and they are MIN_SHARE of it.  Of several overlaps of a document with an item the one with most equal words
-    stays, the first of equals.  Null and empty texts, and texts under SPAN words, have no overlap; rows with equal keys
+    stays, the first of equals.  Null and empty texts, and texts and items under SPAN words, have no overlap, as that has
+    MIN_EQUAL equal words; rows with equal keys
     are one document whose texts are each aligned by their own hits, and likewise rows of an item; null is a key like any
     other on both sides; an empty table on either side gives no rows; other columns are ignored.
     """
     # a row is known by its key, which can be null, and a hash of both
     row = lambda k, t: F.xxhash64(F.col(k), F.col(k).isNull(), F.coalesce(F.col(t), F.lit("")))
-    theirs = items.select(F.col(item).alias("item"), row(item, item_text).alias("item_row"), hashed_words(F.col(item_text)).alias("h")).distinct()
+    theirs = items.select(F.col(item).alias("item"), row(item, item_text).alias("item_row"), hashed_words(F.col(item_text)).alias("h")).distinct().filter(F.size("h") >= SPAN)
     table = seeds(theirs, "item", "item_row").withColumnRenamed("pos", "item_pos")
     theirs = theirs.select(F.col("item").alias("their_item"), F.col("item_row").alias("their_row"), F.col("h").alias("t"))
     same_item = (F.col("item_row") == F.col("their_row")) & F.col("item").eqNullSafe(F.col("their_item"))
     ours = docs.select(F.col(key).alias("key"), row(key, text).alias("row"), hashed_words(F.col(text)).alias("h"))
-    if table.count() <= broadcast_seeds:  # then there are fewer items too
+    if table.count() <= broadcast_seeds:  # an item has no more words than seeds, so the items are bounded too
         hits = seeds(ours, "key", "h").join(F.broadcast(table), ["mask", "seed"])
-        pairs = hits.select("key", "h", "item", "item_row", (F.col("pos") - F.col("item_pos")).alias("shift"))
-        aligned = pairs.join(F.broadcast(theirs), same_item)
+        pairs = hits.select("key", "h", "item", "item_row", (F.col("pos") - F.col("item_pos")).alias("shift"), "mask", "pos", "item_pos")
+        aligned = pairs.join(F.broadcast(theirs), same_item).filter(begins())
     else:
         hits = seeds(ours, "key", "row").join(table, ["mask", "seed"])
         pairs = hits.select("key", "row", "item", "item_row", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
