@@ -27,12 +27,12 @@ COMMON = {
     "temporal_mask_samples": "0", "temporal_mask_min_hits": "2",
 }
 ENGINES = {
-    "lama_fast": {"label": "LaMa Fast", "family": "lama", "estimate_multiplier": "4.9", "skip": "4", "refine_mask": "false", "mask_padding": "8", "mask_dilate": "4", "feather_radius": "2", "blend_skipped": "true", "worker_count_override": "8"},
-    "propainter_quality": {"label": "ProPainter", "family": "propainter", "estimate_multiplier": "19.0", "skip": "1", "refine_mask": "true", "mask_padding": "4", "mask_dilate": "3", "feather_radius": "3", "blend_skipped": "false", "resize_limit": "960", "propainter_use_crops": "true"},
+    "lama_fast": {"label": "LaMa Fast", "family": "lama", "description": "Максимально быстрый режим для длинных роликов.", "estimate_multiplier": "4.9", "skip": "4", "refine_mask": "false", "mask_padding": "8", "mask_dilate": "4", "feather_radius": "2", "blend_skipped": "true", "worker_count_override": "8"},
+    "propainter_quality": {"label": "ProPainter", "family": "propainter", "description": "Video-aware quality mode с лучшей temporal consistency.", "estimate_multiplier": "19.0", "skip": "1", "refine_mask": "true", "mask_padding": "4", "mask_dilate": "3", "feather_radius": "3", "blend_skipped": "false", "resize_limit": "960", "propainter_use_crops": "true"},
 }
 DEFAULT_ENGINE = "lama_fast"
 METADATA = [
-    "label", "family", "estimate_multiplier", "skip", "refine_mask", "mask_shape", "segmenter_threshold", "segmenter_weights",
+    "key", "label", "family", "description", "estimate_multiplier", "skip", "refine_mask", "mask_shape", "segmenter_threshold", "segmenter_weights",
     "propainter_use_crops", "propainter_tighten_regions", "propainter_crop_mask_boost", "temporal_mask_samples",
 ]
 FALSY = ["0", "false", "no", "off", ""]
@@ -156,6 +156,11 @@ def estimate(videos: DataFrame, engines: DataFrame) -> DataFrame:
     return both.select("video_id", "engine", "seconds", duration_label(F.col("seconds")).alias("label"))
 
 
+def worker_counts(requests: DataFrame) -> DataFrame:
+    """requests(request_id, device, override, usual) -> request_id, workers: an override counts only on a GPU."""
+    return requests.select("request_id", F.when((F.col("override") > 0) & (F.col("device") == "cuda"), F.col("override")).otherwise(F.col("usual")).alias("workers"))
+
+
 def latest_first(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Of each key the first row by order."""
     return rows.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__k = 1").drop("__k")

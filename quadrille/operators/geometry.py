@@ -188,6 +188,25 @@ def delete_regions(regions: DataFrame, gone: DataFrame) -> DataFrame:
     return left.withColumn("ord", F.row_number().over(Window.partitionBy("image_id").orderBy("ord")).cast("long"))
 
 
+def adopt(regions: DataFrame, proposed: DataFrame) -> DataFrame:
+    """image_id, ord, x, y, w, h: the proposed regions of images where they are not fewer than their own, else their own."""
+    count = lambda df, n: df.groupBy("image_id").agg(F.count("*").alias(n))
+    better = count(proposed, "m").join(count(regions, "n"), "image_id", "left").filter(F.col("m") >= F.coalesce("n", F.lit(0))).select("image_id")
+    columns = ["image_id", "ord", *XYWH]
+    return regions.join(better, "image_id", "left_anti").select(columns).unionByName(proposed.join(better, "image_id", "left_semi").select(columns))
+
+
+def select_region(regions: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The regions that chosen(image_id, ord) names, where there are such."""
+    return regions.join(chosen, ["image_id", "ord"]).select("image_id", "ord", *XYWH)
+
+
+def refuse_empty(requests: DataFrame, regions: DataFrame) -> DataFrame:
+    """requests(image_id) with error: null where the image has a region, else why it is not worked on."""
+    some = regions.select("image_id", F.lit(True).alias("some")).distinct()
+    return requests.join(some, "image_id", "left").select("image_id", F.when(F.col("some").isNull(), "no regions").alias("error"))
+
+
 def merge_matches(matches: DataFrame, min_sources: int = 2, threshold: float = MERGE_IOU) -> DataFrame:
     """matches(image_id, ord, x, y, w, h, score, source, seed) -> image_id, x, y, w, h, score, seed, n_sources.
 

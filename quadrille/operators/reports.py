@@ -66,14 +66,17 @@ def sweep_summary(runs: DataFrame) -> DataFrame:
     return runs.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(f"max_{c}") for c in ("crop_area_pct", "risky_groups", "empty_groups")], F.count("*").alias("n_runs"))
 
 
-def sweep_markdown(runs: DataFrame) -> DataFrame:
-    """One row, markdown: a table of the runs(offset, ...) by offset, of which a sweep has a few, and the summary below."""
+def sweep_markdown(runs: DataFrame, engine: str = "", clip_seconds: str = "") -> DataFrame:
+    """One row, markdown: a table of the runs(offset, ...) by offset, of which a sweep has a few, and the summary below; with an
+    engine, also the head that names it, the clip's duration and the offsets."""
     line = F.format_string("| `%ss` | `%.3f` | `%d` | `%.3f` | `%d` | `%d` |", F.col("offset").cast("string"), thousandths(F.col("mask_coverage")), "crop_groups", thousandths(F.col("crop_area_pct")), "risky_groups", "empty_groups")
     lines = runs.select("offset", line.alias("line")).agg(F.sort_array(F.collect_list(F.struct("offset", "line"))).alias("ls"))
     head = "| Offset | Mask % | Crop groups | Crop area % | Risky | Empty |\n|---|---:|---:|---:|---:|---:|\n"
     tail = F.format_string("\n\n- Max crop area: `%.3f%%`\n- Max risky groups: `%d`\n- Max empty groups: `%d`\n", "max_crop_area_pct", "max_risky_groups", "max_empty_groups")
     both = lines.crossJoin(sweep_summary(runs))
-    return both.select(F.concat(F.lit(head), F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), tail).alias("markdown"))
+    offsets = F.array_join(F.transform("ls", lambda x: F.concat(x["offset"].cast("string"), F.lit("s"))), ", ")
+    title = F.concat(F.lit(f"# Local Quality Probe Sweep\n\n- Engine: `{engine}`\n- Clip duration: `{clip_seconds}s`\n- Offsets: `"), offsets, F.lit("`\n\n"))
+    return both.select(F.concat(title if engine else F.lit(""), F.lit(head), F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), tail).alias("markdown"))
 
 
 def preset_runs(presets: DataFrame, clips: DataFrame, start: int = 0) -> DataFrame:
@@ -97,3 +100,9 @@ def top_runs(runs: DataFrame, keys: list[str], n: int) -> DataFrame:
     """The n runs of each key with the least risky, then empty groups, then crop area."""
     order = Window.partitionBy(*keys).orderBy("risky_groups", "empty_groups", "crop_area_pct", "offset")
     return runs.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= n)
+
+
+def summary_line(analyses: DataFrame) -> DataFrame:
+    """analyses(image_id, ...) -> image_id, line: the seven fields of a probe's last line, as JSON."""
+    fields = ("run_dir", "engine", "mask_coverage", "crop_groups", "crop_area_pct", "risky_groups", "empty_groups")
+    return analyses.select("image_id", F.to_json(F.struct(*fields)).alias("line"))

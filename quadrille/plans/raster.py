@@ -65,6 +65,15 @@ RELAXED = f"""aims AS (SELECT *, CASE status WHEN 'empty' THEN greatest(12, CAST
 relaxed AS (SELECT image_id, "index", status, x AS ox, y AS oy, w AS ow, h AS oh, greatest(0, x - greatest(0, aim - margin_left_px)) AS x0, greatest(0, y - greatest(0, aim - margin_top_px)) AS y0,
    least({WIDTH}, x + w + greatest(0, aim - margin_right_px)) AS x1, least({HEIGHT}, y + h + greatest(0, aim - margin_bottom_px)) AS y1 FROM aims)"""
 
+TIGHTENED = f"""near AS (SELECT *, greatest(0, x - greatest(6, least(24, CAST(round_even(w * 0.10::DOUBLE, 0) AS BIGINT)))) AS sx0, greatest(0, y - greatest(6, least(18, CAST(round_even(h * 0.18::DOUBLE, 0) AS BIGINT)))) AS sy0,
+  least({WIDTH}, x + w + greatest(6, least(24, CAST(round_even(w * 0.10::DOUBLE, 0) AS BIGINT)))) AS sx1, least({HEIGHT}, y + h + greatest(6, least(18, CAST(round_even(h * 0.18::DOUBLE, 0) AS BIGINT)))) AS sy1 FROM clamped),
+found AS (SELECT r.image_id, r.ord, count(*) AS n, min(px) AS bx0, max(px) AS bx1, min(py) AS by0, max(py) AS by1 FROM near r JOIN points p ON r.image_id = p.image_id AND px >= sx0 AND px < sx1 AND py >= sy0 AND py < sy1 GROUP BY r.image_id, r.ord),
+both_ AS (SELECT near.*, n, bx0, bx1, by0, by1, n::DOUBLE / greatest(1, (sx1 - sx0) * (sy1 - sy0)) AS share FROM near LEFT JOIN found USING (image_id, ord)),
+pads AS (SELECT *, least(CASE WHEN share <= 0.02 THEN 14 WHEN share <= 0.05 THEN 18 ELSE 24 END, greatest(4, CAST(round_even((bx1 - bx0 + 1) * CASE WHEN share <= 0.02 THEN 0.16::DOUBLE WHEN share <= 0.05 THEN 0.20::DOUBLE ELSE 0.24::DOUBLE END, 0) AS BIGINT))) AS ax,
+  least(CASE WHEN share <= 0.02 THEN 10 WHEN share <= 0.05 THEN 12 ELSE 16 END, greatest(3, CAST(round_even((by1 - by0 + 1) * CASE WHEN share <= 0.02 THEN 0.22::DOUBLE WHEN share <= 0.05 THEN 0.26::DOUBLE ELSE 0.32::DOUBLE END, 0) AS BIGINT))) AS ay FROM both_),
+tightened AS (SELECT image_id, ord, CASE WHEN n IS NULL THEN x ELSE greatest(sx0, bx0 - ax) END AS x, CASE WHEN n IS NULL THEN y ELSE greatest(sy0, by0 - ay) END AS y,
+ CASE WHEN n IS NULL THEN w ELSE greatest(1, least(sx1, bx1 + 1 + ax) - greatest(sx0, bx0 - ax)) END AS w, CASE WHEN n IS NULL THEN h ELSE greatest(1, least(sy1, by1 + 1 + ay) - greatest(sy0, by0 - ay)) END AS h FROM pads)"""
+
 
 def summed(spark, sf_dir):
     return r.summarize_crops(planned(spark, sf_dir), points(spark, sf_dir), WIDTH, HEIGHT)
@@ -155,17 +164,7 @@ SELECT image_id, y, x, CAST(CASE WHEN share >= 0.05 AND n >= CASE WHEN share > 0
         f"""{WR}, {PLANNED}, {POINTS}, {SUMMED}, {RELAXED} SELECT image_id, "index", status, CASE WHEN status = 'safe' OR x1 <= x0 OR y1 <= y0 THEN ox ELSE x0 END AS x, CASE WHEN status = 'safe' OR x1 <= x0 OR y1 <= y0 THEN oy ELSE y0 END AS y,
  CASE WHEN status = 'safe' OR x1 <= x0 OR y1 <= y0 THEN ow ELSE x1 - x0 END AS w, CASE WHEN status = 'safe' OR x1 <= x0 OR y1 <= y0 THEN oh ELSE y1 - y0 END AS h FROM relaxed""",
     ),
-    "region_tighten_to_mask": (
-        lambda s, d: r.tighten(clamped(s, d), points(s, d), WIDTH, HEIGHT),
-        f"""{WR}, {POINTS}, near AS (SELECT *, greatest(0, x - greatest(6, least(24, CAST(round_even(w * 0.10::DOUBLE, 0) AS BIGINT)))) AS sx0, greatest(0, y - greatest(6, least(18, CAST(round_even(h * 0.18::DOUBLE, 0) AS BIGINT)))) AS sy0,
-  least({WIDTH}, x + w + greatest(6, least(24, CAST(round_even(w * 0.10::DOUBLE, 0) AS BIGINT)))) AS sx1, least({HEIGHT}, y + h + greatest(6, least(18, CAST(round_even(h * 0.18::DOUBLE, 0) AS BIGINT)))) AS sy1 FROM clamped),
-found AS (SELECT r.image_id, r.ord, count(*) AS n, min(px) AS bx0, max(px) AS bx1, min(py) AS by0, max(py) AS by1 FROM near r JOIN points p ON r.image_id = p.image_id AND px >= sx0 AND px < sx1 AND py >= sy0 AND py < sy1 GROUP BY r.image_id, r.ord),
-both_ AS (SELECT near.*, n, bx0, bx1, by0, by1, n::DOUBLE / greatest(1, (sx1 - sx0) * (sy1 - sy0)) AS share FROM near LEFT JOIN found USING (image_id, ord)),
-pads AS (SELECT *, least(CASE WHEN share <= 0.02 THEN 14 WHEN share <= 0.05 THEN 18 ELSE 24 END, greatest(4, CAST(round_even((bx1 - bx0 + 1) * CASE WHEN share <= 0.02 THEN 0.16::DOUBLE WHEN share <= 0.05 THEN 0.20::DOUBLE ELSE 0.24::DOUBLE END, 0) AS BIGINT))) AS ax,
-  least(CASE WHEN share <= 0.02 THEN 10 WHEN share <= 0.05 THEN 12 ELSE 16 END, greatest(3, CAST(round_even((by1 - by0 + 1) * CASE WHEN share <= 0.02 THEN 0.22::DOUBLE WHEN share <= 0.05 THEN 0.26::DOUBLE ELSE 0.32::DOUBLE END, 0) AS BIGINT))) AS ay FROM both_)
-SELECT image_id, ord, CASE WHEN n IS NULL THEN x ELSE greatest(sx0, bx0 - ax) END AS x, CASE WHEN n IS NULL THEN y ELSE greatest(sy0, by0 - ay) END AS y,
- CASE WHEN n IS NULL THEN w ELSE greatest(1, least(sx1, bx1 + 1 + ax) - greatest(sx0, bx0 - ax)) END AS w, CASE WHEN n IS NULL THEN h ELSE greatest(1, least(sy1, by1 + 1 + ay) - greatest(sy0, by0 - ay)) END AS h FROM pads""",
-    ),
+    "region_tighten_to_mask": (lambda s, d: r.tighten(clamped(s, d), points(s, d), WIDTH, HEIGHT), f"{WR}, {POINTS}, {TIGHTENED} SELECT * FROM tightened"),
     "topk_suppression": (
         lambda s, d: g.suppress_peaks(pixels(s, d).select("image_id", "y", "x", ((F.col("v") + F.col("x") * 17 + F.col("y") * 5) % 251 / 251.0).alias("score")), 0.44, 4, 2, 1),
         f"""{W}, scores AS (SELECT image_id, y, x, (v + x * 17 + y * 5) % 251 / 251.0::DOUBLE AS score FROM pixels),

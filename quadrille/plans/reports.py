@@ -79,6 +79,12 @@ FROM f WHERE k IN (0, 1, 2, 4) AND modified < TIMESTAMP '2024-01-15 00:00:00' -
         lambda s, d: p.sweep_markdown(runs(s, d).filter("clip = 1")),
         f"""WITH {RUNS}, r AS (SELECT * FROM runs WHERE clip = 1) SELECT '| Offset | Mask % | Crop groups | Crop area % | Risky | Empty |' || chr(10) || '|---|---:|---:|---:|---:|---:|' || chr(10)
  || coalesce(string_agg(printf('| `%ds` | `%.3f` | `%d` | `%.3f` | `%d` | `%d` |', "offset", round_even(mask_coverage * 1000, 0) / 1000, crop_groups, round_even(crop_area_pct * 1000, 0) / 1000, risky_groups, empty_groups), chr(10) ORDER BY "offset"), '')
+ || printf(chr(10) || chr(10) || '- Max crop area: `%.3f%%`' || chr(10) || '- Max risky groups: `%d`' || chr(10) || '- Max empty groups: `%d`' || chr(10), coalesce(max(crop_area_pct), 0), coalesce(max(risky_groups), 0), coalesce(max(empty_groups), 0)) AS markdown FROM r""",
+    ),
+    "sweep_report": (
+        lambda s, d: p.sweep_markdown(runs(s, d).filter("clip = 1"), "lama_fast", "5"),
+        f"""WITH {RUNS}, r AS (SELECT * FROM runs WHERE clip = 1) SELECT '# Local Quality Probe Sweep' || chr(10) || chr(10) || '- Engine: `lama_fast`' || chr(10) || '- Clip duration: `5s`' || chr(10) || '- Offsets: `' || coalesce(string_agg("offset" || 's', ', ' ORDER BY "offset"), '') || '`' || chr(10) || chr(10) || '| Offset | Mask % | Crop groups | Crop area % | Risky | Empty |' || chr(10) || '|---|---:|---:|---:|---:|---:|' || chr(10)
+ || coalesce(string_agg(printf('| `%ds` | `%.3f` | `%d` | `%.3f` | `%d` | `%d` |', "offset", round_even(mask_coverage * 1000, 0) / 1000, crop_groups, round_even(crop_area_pct * 1000, 0) / 1000, risky_groups, empty_groups), chr(10) ORDER BY "offset"), '')
  || printf(chr(10) || chr(10) || '- Max crop area: `%.3f%%`' || chr(10) || '- Max risky groups: `%d`' || chr(10) || '- Max empty groups: `%d`' || chr(10), coalesce(max(crop_area_pct), 0), coalesce(max(risky_groups), 0), coalesce(max(empty_groups), 0)) AS markdown FROM r""",
     ),
     "preset_cross_runs": (
