@@ -144,6 +144,51 @@ def substring_names(symbols: np.ndarray, lms: np.ndarray, sorted_: np.ndarray) -
     return names
 
 
+def sort_names(names: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of the reduced string of names, whose ranks leave room: a name's rank is the number of suffixes
+    before its class.  In each round every name that is not unique is renamed by itself and the ones `reach` and twice as far
+    on, and `reach` trebles: the recursion on ever longer leftmost-smaller substrings."""
+    ranks, n, reach = names.copy(), len(names), 1
+    bits = (n + 1).bit_length()
+    ahead = (1, 2) if 3 * bits < 63 else (1,)  # so many ranks go into one number
+    while True:
+        tied = np.flatnonzero(np.bincount(ranks, minlength=n)[ranks] > 1)
+        if not len(tied):
+            return np.argsort(ranks)
+        padded = np.append(ranks + 1, 0)
+        value = ranks[tied]
+        for k in ahead:
+            value = value << bits | padded[np.minimum(tied + k * reach, n)]
+        order = np.argsort(value)
+        value = value[order]
+        change = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+        own = value[change] >> bits * len(ahead)
+        first = np.append(True, own[1:] != own[:-1])
+        since = change - np.maximum.accumulate(np.where(first, change, 0))  # of the same name, how many are before
+        ranks[tied[order]] = np.repeat(own + since, np.diff(np.append(change, len(value))))
+        reach *= len(ahead) + 1
+
+
+def substring_names(symbols: np.ndarray, lms: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """Names of the leftmost-smaller substrings in text order, ranks in the order in which sorted_ has them; equal ones have
+    one name.  A substring's value is a hash of its symbols up to the next one's first; ends of texts differ from each other."""
+    place = np.full(len(symbols), -1, np.int64)
+    place[lms] = np.arange(len(lms))
+    order = place[sorted_]
+    order = order[order >= 0]
+    up, down = powers(len(symbols) + 1)
+    scrambled = mix(symbols.astype(np.uint64) + np.uint64(1))
+    zero = np.flatnonzero(symbols == 0)
+    scrambled[zero] = mix(zero.astype(np.uint64) + np.uint64(1 << 40))
+    prefix = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum(scrambled * up[:-1], out=prefix[1:])
+    stop = np.append(lms[1:] + 1, len(symbols))
+    values = mix((prefix[stop] - prefix[lms]) * down[lms] + (stop - lms).astype(np.uint64))[order]
+    names = np.empty(len(lms), np.int64)
+    names[order] = np.concatenate([[0], np.cumsum(values[1:] != values[:-1])])
+    return names
+
+
 def sort_names(names: np.ndarray) -> np.ndarray:
     """The order of the suffixes of the reduced string of names.  In each round every name that is not unique is renamed by
     itself and the one `reach` places on, and `reach` doubles: the recursion on ever longer leftmost-smaller substrings."""
@@ -238,34 +283,40 @@ def window_ends(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ends, covers
 
 
-def repeated_windows(texts: list[bytes], own: list[int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of each framed text, or part of one, the starts of its windows, and of its strings of WINDOW bytes, that also start
-    elsewhere in the texts.  own: how many first windows of each text are its own, as the others are of the next segment, too."""
+def spans(marks: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of marked places: the text that it is in, the run's first place and the end of its last, both in the text."""
+    edge = np.flatnonzero(np.diff(marks.astype(np.int8), prepend=0, append=0))
+    first, last = edge[::2], edge[1::2] - 1
+    row = np.searchsorted(starts, first, "right") - 1
+    return row, first - starts[row], ends[last] - starts[row]
+
+
+def repeated(texts: list[bytes], own: np.ndarray) -> tuple[tuple, tuple]:
+    """spans() of the windows in framed texts, or parts of them, that also start elsewhere in the texts, and of the strings of WINDOW
+    bytes that do.  own: how many first windows of each text are its own, as the others are of the next segment, too."""
+    raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
     symbols, ends, starts = join([t.translate(BLANK) for t in texts])
     order = suffix_array(symbols)
     common, _ = permuted_prefixes(symbols, ends, order)
     places, sizes = np.arange(len(symbols)), np.diff(np.append(starts, len(symbols)))
-    mine = places - np.repeat(starts, sizes) < np.repeat(own, sizes)
-    width = window_ends((symbols - np.uint16(1)).astype(np.uint8))[0] - places
-    group = np.cumsum((common < width)[order])  # of suffixes that begin with one window
+    mine = places < np.repeat(starts + own, sizes)
+    stops, covers = window_ends((symbols - np.uint16(1)).astype(np.uint8))
     windows = np.zeros(len(symbols), bool)
-    windows[order] = mine[order] & (np.bincount(group, mine[order])[group] > 1)
+    group = np.cumsum((common < stops - places)[order])  # of suffixes that begin with one window
+    at = np.flatnonzero(mine[order])
+    count = np.bincount(group[at], minlength=group[-1] + 1)
+    windows[order[at[count[group[at]] > 1]]] = True
     # strings of WINDOW bytes that are equal but for white space are told apart by their own bytes
-    raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+    strings = np.zeros(len(symbols), bool)
     edges = np.append(0, np.cumsum(raw == EDGE))
     whole = np.flatnonzero(windows & (places + WINDOW <= ends))
     whole = whole[edges[whole + WINDOW] == edges[whole]]
-    group[order] = np.cumsum((common < WINDOW)[order])
-    value = mix(span_hash(prefix_hash(raw), whole, whole + WINDOW) + group[whole].astype(np.uint64))
-    _, at, count = np.unique(value, return_inverse=True, return_counts=True)
-    strings = np.zeros(len(symbols), bool)
-    strings[whole[count[at] > 1]] = True
-
-    def by_text(marks: np.ndarray) -> list[np.ndarray]:
-        at = np.flatnonzero(marks)
-        return [part - s for part, s in zip(np.split(at, np.searchsorted(at, starts)[1:]), starts.tolist())]
-
-    return by_text(windows), by_text(strings)
+    if len(whole):
+        value = span_hash(prefix_hash(raw), whole, whole + WINDOW)
+        by_value = np.argsort(value)
+        same = value[by_value[1:]] == value[by_value[:-1]]
+        strings[whole[by_value[np.append(same, False) | np.append(False, same)]]] = True
+    return spans(windows, covers, starts), spans(strings, places + WINDOW, starts)
 
 
 # --- segments --------------------------------------------------------------------------------------------------------
@@ -356,25 +407,17 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=["key", "hash", "shard", "blocks", "anchor", "digest", "start", "windows", "bytes"])
 
 
-def runs(at: np.ndarray) -> list[tuple[int, int]]:
-    """First and last of the runs of numbers that follow one another."""
-    edge = np.flatnonzero(np.diff(at) > 1)
-    return list(zip(at[np.append(0, edge + 1)].tolist(), at[np.append(edge, len(at) - 1)].tolist())) if len(at) else []
-
-
 def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Repeats among the segments of each (shard, one, two), which follow one another."""
     group, held = None, {}
 
     def close() -> pd.DataFrame:
-        rows = list(held.values())
-        out = []
-        for (key, text_hash, start, _, text), windows, strings in zip(rows, *repeated_windows([r[-1] for r in rows], [r[-2] for r in rows])):
-            if len(windows):
-                _, covers = window_ends(np.frombuffer(text.translate(BLANK), np.uint8))
-                out += [(key, text_hash, start + a, start + int(covers[b]), 0, 0) for a, b in runs(windows)]
-                out += [(key, text_hash, 0, 0, start + a, start + b + WINDOW) for a, b in runs(strings)]
-        return pd.DataFrame(out, columns=SPANS)
+        key, text_hash, start, own, texts = zip(*held.values())
+        start, out = np.array(start), []
+        for (row, first, last), names in zip(repeated(texts, np.array(own)), (SPANS[2:4], SPANS[4:])):
+            found = {"key": np.array(key)[row], "hash": np.array(text_hash)[row]} | dict.fromkeys(SPANS[2:], 0)
+            out.append(pd.DataFrame(found | {names[0]: start[row] + first, names[1]: start[row] + last}))
+        return pd.concat(out)
 
     for batch in batches:
         columns = [batch[c].tolist() for c in ("shard", "one", "two", "anchor", "digest", "key", "hash", "start", "windows", "bytes")]
