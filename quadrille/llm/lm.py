@@ -211,9 +211,9 @@ class Batch:
 def _ask(shards: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         b = Batch(group["text"], shards)
-        train = np.repeat(~group["held"].to_numpy(), b.counts)
-        word_counts = np.bincount(b.at[train], minlength=len(b.words)).astype(np.uint32)
-        pair_counts = np.bincount(b.pair_at[train], minlength=len(b.pairs)).astype(np.uint32)
+        times = np.repeat(np.where(group["held"], 0, group["times"]), b.counts)  # rows that a training token stands for
+        word_counts = np.bincount(b.at, times, len(b.words)).astype(np.uint32)
+        pair_counts = np.bincount(b.pair_at, times, len(b.pairs)).astype(np.uint32)
         first = (b.pairs >> np.uint64(32)).astype(np.int64)
         successors = np.bincount(first, minlength=len(b.words)).astype(np.uint32)
         tails = (b.pairs & TAIL).astype(np.uint32)
@@ -261,7 +261,7 @@ def _answer(group: pd.DataFrame) -> pd.DataFrame:
 def _score(shards: int, total: int, kinds: int):
     def run(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(group):
-            return pd.DataFrame(columns=["key", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            return pd.DataFrame(columns=["key", "held_out", "n_tokens", "n_known", "base_score", "score", "times"])
         b = Batch(group["text"], shards)
         answers = answers.sort_values("shard")
         values = lambda c, book: np.concatenate([np.append(np.frombuffer(y, np.float32)[:BINS], none)[np.frombuffer(x, np.uint8)] for x, y in zip(answers[c], answers[book])])
@@ -275,12 +275,25 @@ def _score(shards: int, total: int, kinds: int):
         add = lambda x: np.add.reduceat(x, first)
         return pd.DataFrame({
             "key": group["key"], "held_out": group["held"], "n_tokens": b.counts, "n_known": add((count > 0).astype(np.int64)),
-            "base_score": add(np.log10(base)), "score": add(np.log10(pair + freed * base)),
+            "base_score": add(np.log10(base)), "score": add(np.log10(pair + freed * base)), "times": group["times"],
         })
 
     return run
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """rows(key, text, ...) with each repeated row once, and as times how often it is there.  Only keys and hashes are shuffled
+    to find them; where no row is repeated, no text is."""
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    again = cut(rows.groupBy("key", "hash").agg(F.count("*").alias("times")).filter("times > 1"), "repeated")
+    if again.isEmpty():
+        return rows.drop("hash").withColumn("times", F.lit(1).cast("long"))
+    same = rows["key"].eqNullSafe(again["key"]) & (rows["hash"] == again["hash"])
+    single = rows.join(again, same, "left_anti").withColumn("times", F.lit(1).cast("long"))
+    merged = rows.join(again, same).groupBy(rows["key"], rows["hash"], "times").agg(*[F.any_value(c).alias(c) for c in rows.columns if c not in ("key", "hash")])
+    return single.unionByName(merged).drop("hash")
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
@@ -288,18 +301,19 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     a text's first token following a begin mark.  A pair's probability is its discounted share of its context's pairs, plus
     what the discount frees times the add-one probability of the token, which is what base_score sums.  score is the model's
     log10 probability of the text.  A null text is empty and has one token; rows with a null key are never held out;
-    repeated rows stay and count; an empty table gives no rows; other columns are ignored.  Successors are told apart by 32
+    repeated rows are worked out once, count as often as they are there and stay; an empty table gives no rows; other columns are ignored.  Successors are told apart by 32
     bits of their hash within a context, words by 64.
     """
     spark = docs.sparkSession
     shards = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     held = F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(PARTS)) == REST, F.lit(False))
     rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), held.alias("held"))
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("key", "text"), F.lit(shards)).cast("int"))
+    rows = once(rows).withColumn("batch", F.pmod(F.xxhash64("key", "text"), F.lit(shards)).cast("int"))
     asked = rows.groupBy("batch").applyInPandas(_ask(shards), "shard int, batch int, words binary, word_counts binary, successors binary, tails binary, pair_counts binary")
     answers = asked.groupBy("shard").applyInPandas(_answer, "shard int, batch int, counts binary, freed binary, codes binary, book binary, freed_book binary, n_tokens long, n_kinds long")
     answers = cut(answers, "lm-answers")
     total, kinds = answers.agg(F.sum("n_tokens"), F.sum("n_kinds")).first()
-    schema = "key string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    schema = "key string, held_out boolean, n_tokens long, n_known long, base_score double, score double, times long"
     scored = rows.groupBy("batch").cogroup(answers.drop("n_tokens", "n_kinds").groupBy("batch")).applyInPandas(_score(shards, total or 0, kinds or 0), schema)
+    scored = scored.withColumn("one", F.explode(F.sequence(F.lit(1), F.col("times"))))  # repeated rows are rows again
     return scored.select(F.col("key").cast(docs.schema[key].dataType).alias(key), "held_out", "n_tokens", "n_known", F.lit(total or 0).cast("long").alias("train_tokens"), "base_score", "score")

@@ -15,6 +15,7 @@ ROWS = 1024  # rows a frame at most
 DELAY = 10  # hundredths of a second
 LAST = 4095  # largest code of the format
 LEVELS = 4  # histogram levels of each colour channel
+MOST_PIXELS = 1 << 24  # of a canvas or an image; a file that declares more has an error instead of frames
 # For each pass of an interlaced image, its first row and the step between rows.
 PASSES = ((0, 8), (4, 8), (2, 4), (1, 2))
 GREY = bytes(v for v in range(256) for _ in range(3))
@@ -168,6 +169,8 @@ def parse_gif(data: bytes) -> tuple[tuple[int, int], list[dict]]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     wide, high, flags = struct.unpack_from("<HHB", data, 6)
+    if wide * high > MOST_PIXELS:
+        raise ValueError("a canvas of too many pixels")
     at = 13
 
     def palette(flags: int) -> np.ndarray | None:
@@ -204,6 +207,8 @@ def parse_gif(data: bytes) -> tuple[tuple[int, int], list[dict]]:
         elif data[at] == 0x2C:
             x, y, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
             at += 10
+            if w * h > MOST_PIXELS:
+                raise ValueError("an image of too many pixels")
             own = palette(flags)
             colours = common if own is None else own
             if colours is None:
@@ -306,7 +311,8 @@ def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def read_frames(media: DataFrame, gif: str = "gif", pixels: bool = False) -> DataFrame:
     """media with what its GIFs hold: frames (times, place, histogram; pixels adds the RGBA canvas), samples (the red channel
-    of the drawn parts, in order; what store_texts() stored) and error (null, or why the bytes are no whole GIF).
+    of the drawn parts, in order; what store_texts() stored) and error (null, or why the bytes are no whole GIF, or that it
+    declares over MOST_PIXELS pixels, which no task should have to hold).
 
     A null gif has null frames and samples and no error.  Columns of media keep their values; its own columns called
     frames, samples or error give way.

@@ -46,6 +46,8 @@ def test_gif_empty_and_broken(spark, nothing):
     got = {r["id"]: r for r in media.read_frames(spark.createDataFrame(rows, "id long, gif binary")).collect()}
     assert got[1]["samples"] is None and got[1]["error"] is None
     assert all(got[k]["error"] for k in (2, 3, 4))
+    vast = b"GIF89a\xff\xff\xff\xff" + whole[10:]
+    assert [e for _, e in media.decode_gifs([vast])] == ["a canvas of too many pixels"]
     assert bytes(got[5]["samples"]) == bytes(range(256))
 
 
@@ -509,6 +511,23 @@ def test_toxicity_held_out(model):
     assert clean < misspelt <= bad
 
 
+def test_toxicity_scores(model, texts):
+    """Scores against a plain loop: n-grams of each word, the mean of its values, the worst run of words."""
+    fitted = model[0]
+    kept = [t for _, t in texts if t is None or len(t) < 3000]
+    for text, got in zip(kept, toxicity.score_texts(fitted, kept)):
+        value = []
+        for word in toxicity.spaced(text).split():
+            framed = b" " + word + b" "
+            found = [framed[k : k + n] for n in toxicity.GRAMS for k in range(len(framed) - n + 1)]
+            at = [int(_common.span_hash(_common.prefix_hash(np.frombuffer(g, np.uint8)), np.array([0]), np.array([len(g)]))[0] >> np.uint64(64 - 17)) for g in found]
+            value.append(sum(float(fitted["value"][k]) for k in at) / max(len(at), 1))
+        run = min(len(value), toxicity.RUN)
+        worst = max((sum(value[k : k + run]) / run for k in range(len(value) - run + 1)), default=None) if value else None
+        expected = 0.0 if worst is None else 1 / (1 + math.exp(-(worst + fitted["bias"])))
+        assert abs(got - expected) < 1e-6
+
+
 def test_toxicity_rows(documents, nothing, texts, model):
     fitted = model[0]
     rows = toxicity.score(documents, fitted).collect()
