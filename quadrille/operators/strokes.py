@@ -1,18 +1,20 @@
 """Finding strokes of overlaid text: colour channels, blurs, morphology, support bands and template scores.
 
-Images are pixel relations, so a blur is a weighted sum over a moving row and a moving column of one image, and a template's
-score is an equi-join of pixels and template cells that adds up by offset.  Edges of blurs weigh what there is; image
+Images are pixel relations, so a blur is a weighted sum over a moving row and a moving column of one image; a template is
+compared with its image in one task.  Edges of blurs weigh what there is; image
 libraries mirror the edge instead, so values within a blur's radius of it can differ slightly from theirs.
 """
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import half_even
 from ..sources.shared import cut
-from .raster import _moving, component_stats, coverage, dilate, label_components, text_like
+from .raster import _moving, close_gaps, component_stats, coverage, dilate, histogram, label_components, otsu, text_like
 
 
 def channels(rgb: DataFrame) -> DataFrame:
@@ -158,15 +160,73 @@ def fuse(steady: DataFrame, model: DataFrame, radius: int = 1) -> DataFrame:
     return both.select("image_id", "y", "x", F.greatest("v", F.when(F.col("near") > 0, F.coalesce("m", F.lit(0))).otherwise(0)).alias("v"))
 
 
-def template_scores(pixels: DataFrame, templates: DataFrame, side: int) -> DataFrame:
-    """templates(image_id, template, dy, dx, t: cells of small rasters) -> image_id, template, y, x, score: the normalised
-    correlation with each place of the image where the template fits; 0 where either is all dark."""
-    sizes = templates.groupBy("image_id", "template").agg(F.max("dy").alias("my"), F.max("dx").alias("mx"), F.sum(F.col("t") * F.col("t")).alias("tt"))
-    parts = pixels.join(templates, "image_id").select("image_id", "template", (F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x"), (F.col("v") * F.col("t")).alias("vt"), (F.col("v") * F.col("v")).alias("vv"))
-    sums = parts.groupBy("image_id", "template", "y", "x").agg(F.sum("vt").alias("vt"), F.sum("vv").alias("vv"))
-    fits = sums.join(sizes, ["image_id", "template"]).filter((F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") + F.col("my") < side) & (F.col("x") + F.col("mx") < side))
-    score = F.when((F.col("vv") > 0) & (F.col("tt") > 0), F.col("vt") / F.sqrt(F.col("vv").cast("double") * F.col("tt"))).otherwise(0.0)
-    return fits.select("image_id", "template", "y", "x", score.alias("score"))
+def template_mask(rgb: DataFrame) -> DataFrame:
+    """image_id, y, x, v: where a template is worth comparing: its edges and what Otsu's cutoff finds bright, thickened and
+    closed.  If that is hardly anything or nearly all of it, weaker edges alone; templates where these don't fit either have
+    no mask."""
+    c = channels(rgb)
+    gray = c.select("image_id", "y", "x", F.col("gray").cast("double").alias("v"))
+    at = ["image_id", "y", "x"]
+    soft = blur(gray, 2.2).withColumnRenamed("v", "soft")
+    detail = gray.join(soft, at).select(*at, F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("v") * 1.9 - F.col("soft") * 0.9)).alias("v"))
+    cutoffs = otsu(histogram(c.select("image_id", F.col("whiteness").alias("v")))).select("image_id", "cutoff")
+    strong = gradient(detail).select(*at, (F.round("edge", 6) >= 110).alias("strong"))
+    weak = gradient(gray).select(*at, (F.round("edge", 6) >= 90).alias("weak"))
+    marks = cut(c.select(*at, "whiteness").join(strong, at).join(weak, at).join(cutoffs, "image_id"), "marks")
+    mask = lambda on: marks.select(*at, F.when(on, 255).otherwise(0).cast("long").alias("v"))
+    full = close_gaps(_moving(mask(F.col("strong") | (F.col("whiteness") > F.col("cutoff"))), 1, F.max), 1)
+    both = cut(full.join(_moving(mask(F.col("weak")), 1, F.max).withColumnRenamed("v", "w"), at), "masks")
+    share = lambda n: F.avg((F.col(n) > 0).cast("double"))
+    told = both.groupBy("image_id").agg(share("v").between(0.015, 0.42).alias("fits"), share("w").between(0.01, 0.45).alias("weak_fits")).filter("fits OR weak_fits")
+    return both.join(told, "image_id").select(*at, F.when(F.col("fits"), F.col("v")).otherwise(F.col("w")).cast("long").alias("v"))
+
+
+def scale_templates(templates: DataFrame, scale: float, least: int = 8) -> DataFrame:
+    """templates(image_id, template, dy, dx, t) resized by scale, to least cells a side at least, by weighing the four cells
+    around each place; beyond the edge the edge counts."""
+    sizes = templates.groupBy("image_id", "template").agg((F.max("dy") + 1).alias("h"), (F.max("dx") + 1).alias("w"))
+    sizes = sizes.withColumns({"nh": F.greatest(F.lit(least), half_even(F.col("h") * scale)), "nw": F.greatest(F.lit(least), half_even(F.col("w") * scale))})
+    cells = sizes.withColumn("dy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nh") - 1))).withColumn("dx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nw") - 1)))
+    for d, n, new in (("dy", "h", "nh"), ("dx", "w", "nw")):
+        place = (F.col(d) + 0.5) * F.col(n) / F.col(new) - 0.5
+        near = [F.struct(F.greatest(F.lit(0), F.least(F.col(n) - 1, F.floor(place) + k)).cast("long").alias("at"), (1 - F.abs(place - F.floor(place) - k)).alias("share")) for k in (0, 1)]
+        cells = cells.withColumn(f"s{d}", F.explode(F.array(*near)))
+    source = templates.select("image_id", "template", F.col("dy").alias("oy"), F.col("dx").alias("ox"), "t")
+    on = ["image_id", "template", "oy", "ox"]
+    parts = cells.withColumns({"oy": F.col("sdy.at"), "ox": F.col("sdx.at")}).join(source, on)
+    return parts.groupBy("image_id", "template", "dy", "dx").agg(F.sum(F.col("t") * F.col("sdy.share") * F.col("sdx.share")).alias("t"))
+
+
+def _correlate(key: tuple, pixels: pd.DataFrame, templates: pd.DataFrame) -> pd.DataFrame:
+    """Scores of one image's templates at all places where they fit: one shifted product of the raster for each cell."""
+    raster = np.zeros((int(pixels["y"].max()) + 1, int(pixels["x"].max()) + 1)) if len(pixels) else np.zeros((0, 0))
+    raster[pixels["y"], pixels["x"]] = pixels["v"]
+    out = []
+    for name, cells in templates.groupby("template"):
+        high, wide = raster.shape[0] - int(cells["dy"].max()), raster.shape[1] - int(cells["dx"].max())
+        if high < 1 or wide < 1:
+            continue
+        vt, vv = np.zeros((high, wide)), np.zeros((high, wide))
+        for dy, dx, t, m in zip(cells["dy"].tolist(), cells["dx"].tolist(), cells["t"].tolist(), cells["m"].tolist()):
+            if m:
+                part = raster[dy : dy + high, dx : dx + wide]
+                vt += part * t
+                vv += part * part
+        tt = float((cells["t"] ** 2 * (cells["m"] > 0)).sum())
+        y, x = np.divmod(np.arange(high * wide), wide)
+        score = np.divide(vt, np.sqrt(vv * tt), out=np.zeros((high, wide)), where=(vv > 0) & (tt > 0))
+        out.append(pd.DataFrame({"image_id": key[0], "template": name, "y": y, "x": x, "score": score.ravel()}))
+    return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("image_id", "template", "y", "x", "score")})
+
+
+def template_scores(pixels: DataFrame, templates: DataFrame) -> DataFrame:
+    """templates(image_id, template, dy, dx, t: cells of small rasters; m: 0 for cells that don't count, may be missing) ->
+    image_id, template, y, x, score: the normalised correlation with each place of the image where the template fits; 0
+    where either is all dark.  An image and its templates come together in one task, which a raster's size bounds; no pair of
+    a pixel and a cell is ever a row."""
+    cells = templates.select("image_id", "template", "dy", "dx", F.col("t").cast("double").alias("t"), (F.col("m") if "m" in templates.columns else F.lit(1)).cast("int").alias("m"))
+    both = pixels.select("image_id", "y", "x", F.col("v").cast("double").alias("v")).groupBy("image_id").cogroup(cells.groupBy("image_id"))
+    return both.applyInPandas(_correlate, "image_id long, template long, y long, x long, score double")
 
 
 def cut_templates(pixels: DataFrame, regions: DataFrame) -> DataFrame:

@@ -54,6 +54,22 @@ def layers(spark, sf_dir):
     return p.select("image_id", "index", "y", "x", (F.col("v") * F.col("index") % 256).alias("v"), ((F.col("x") * 40 + F.col("index") * 60) % 256).alias("alpha"))
 
 
+# few bright cells, none, or noise
+TONE = "CASE image_id % 3 WHEN 0 THEN CASE WHEN v = 255 AND x BETWEEN 5 AND 8 AND y BETWEEN 5 AND 8 THEN 230 ELSE 40 + x END WHEN 1 THEN 60 + x + y ELSE (v + x * 37) % 250 END"
+
+
+def template_rgb(spark, sf_dir):
+    tone = F.expr(TONE).cast("double")
+    return crops(spark, sf_dir).select("image_id", "y", "x", tone.alias("r"), tone.alias("g"), (tone + 5).alias("b"))
+
+
+def templates(spark, sf_dir):
+    """The middle of each crop, as the one template of its image."""
+    inside = F.col("y").between(SIDE // 2, SIDE // 2 + SIDE - 1) & F.col("x").between(SIDE // 2, SIDE // 2 + SIDE - 1)
+    return crops(spark, sf_dir).filter(inside).select("image_id", F.lit(1).cast("long").alias("template"), (F.col("y") - SIDE // 2).alias("dy"), (F.col("x") - SIDE // 2).alias("dx"), F.col("v").alias("t"))
+
+
+TEMPLATES = f"templates AS (SELECT vec_id AS image_id, 1 AS template, dy.i AS dy, dx.i AS dx, v AS t FROM (SELECT image_id AS vec_id, y, x, v FROM pixels) p JOIN range({SIDE}) dy(i) ON y = (dy.i + {SIDE // 2}) // 2 JOIN range({SIDE}) dx(i) ON x = (dx.i + {SIDE // 2}) // 2)"
 CROPS = f"""{PIXELS}, crops AS (SELECT image_id, y * 2 + dy.i AS y, x * 2 + dx.i AS x, v FROM pixels, range(2) dy(i), range(2) dx(i)),
 crop_rgb AS (SELECT image_id, y, x, v::DOUBLE AS r, greatest(v - 20, (v * 5 + x * 3) % 256)::DOUBLE AS g, greatest(v - 30, (v * 9 + y * 7) % 256)::DOUBLE AS b FROM crops),
 regions AS (SELECT DISTINCT image_id, image_id % 11 * 2 - 3 AS x, image_id % 7 * 3 - 2 AS y, image_id % 5 * 2 + 1 AS w, image_id % 3 * 2 + 1 AS h FROM pixels)"""
@@ -150,6 +166,11 @@ picked AS (SELECT image_id, CASE WHEN {low("own", (0.003, 0.085))} THEN 'strict'
   FROM flags f JOIN picked USING (image_id) JOIN strict s ON s.image_id = f.image_id AND s.y = f.y AND s.x = f.x JOIN relaxed l ON l.image_id = f.image_id AND l.y = f.y AND l.x = f.x)"""
 
 
+def edges(src: str, dst: str, least: int) -> str:
+    return f"""{dst}_steps AS (SELECT *, coalesce(lead(v) OVER r, v) - coalesce(lag(v) OVER r, v) AS gx, coalesce(lead(v) OVER c, v) - coalesce(lag(v) OVER c, v) AS gy FROM {src} WINDOW r AS (PARTITION BY image_id, y ORDER BY x), c AS (PARTITION BY image_id, x ORDER BY y)),
+{dst} AS (SELECT image_id, y, x, round(sqrt(gx * gx + gy * gy), 6) >= {least} AS on_ FROM {dst}_steps)"""
+
+
 def pair(columns: str, *tables: str) -> str:
     return f"SELECT t0.image_id, t0.y, t0.x, {columns} FROM {tables[0]} t0 " + " ".join(f"JOIN {t} t{i} ON t{i}.image_id = t0.image_id AND t{i}.y = t0.y AND t{i}.x = t0.x" for i, t in enumerate(tables) if i)
 
@@ -228,4 +249,28 @@ steps AS (SELECT *, coalesce(lead(v) OVER r, v) - coalesce(lag(v) OVER r, v) AS
 base AS (SELECT t.image_id, t.y, t.x, whiteness, sqrt(gx * gx + gy * gy) >= 60 AS edge, greatest(0.0, least(255.0, t.gray * 1.9::DOUBLE - s.v * 0.9::DOUBLE)) AS detail FROM tones t JOIN soft s ON s.image_id = t.image_id AND s.y = t.y AND s.x = t.x JOIN steps g ON g.image_id = t.image_id AND g.y = t.y AND g.x = t.x)
 SELECT image_id, y, x, round(greatest(0.0, least(255.0, greatest(0.0, least(255.0, whiteness * 0.75::DOUBLE + detail * 0.2::DOUBLE)) * 0.9::DOUBLE + CASE WHEN edge THEN 25.5 ELSE 0.0 END)), 4)::DOUBLE AS v FROM base""",
     ),
+    "template_mask": (
+        lambda s, d: k.template_mask(template_rgb(s, d)),
+        f"""{W}, template_rgb AS (SELECT image_id, y, x, {TONE}::DOUBLE AS r, {TONE}::DOUBLE AS g, ({TONE} + 5)::DOUBLE AS b FROM crops), {tones("template_rgb")}, {blurred("gray", "soft", 2.2)}, detail AS (SELECT g.image_id, g.y, g.x, greatest(0.0, least(255.0, g.v * 1.9::DOUBLE - s.v * 0.9::DOUBLE)) AS v FROM gray g JOIN soft s ON s.image_id = g.image_id AND s.y = g.y AND s.x = g.x),
+{edges("detail", "strong", 110)}, {edges("gray", "weak", 90)}, cuts AS (SELECT DISTINCT image_id, whiteness AS v FROM tones),
+classes AS (SELECT c.image_id, c.v, count(*) FILTER (whiteness <= c.v) AS n0, count(*) FILTER (whiteness > c.v) AS n1, avg(whiteness) FILTER (whiteness <= c.v) AS m0, avg(whiteness) FILTER (whiteness > c.v) AS m1 FROM cuts c JOIN tones USING (image_id) GROUP BY c.image_id, c.v),
+cutoffs AS (SELECT image_id, v AS cutoff FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY coalesce(round(n0 * n1 * (m0 - m1) * (m0 - m1), 6), 0.0) DESC, v) AS k FROM classes) WHERE k = 1),
+full0 AS (SELECT t.image_id, t.y, t.x, {LONG.format("e.on_ OR whiteness > cutoff")} AS v FROM tones t JOIN cutoffs USING (image_id) JOIN strong e ON e.image_id = t.image_id AND e.y = t.y AND e.x = t.x),
+{near("full0", "full1", -1, 1, "max(b.v)")}, {near("full1", "full2", -1, 1, "max(b.v)")}, {near("full2", "full3", -1, 1, "min(b.v)")}, weak0 AS (SELECT image_id, y, x, {LONG.format("on_")} AS v FROM weak), {near("weak0", "weak1", -1, 1, "max(b.v)")},
+both_ AS ({pair("t0.v AS v, t1.v AS w", "full3", "weak1")}), fits AS (SELECT image_id, {share("v > 0")} BETWEEN 0.015 AND 0.42 AS fits, {share("w > 0")} BETWEEN 0.01 AND 0.45 AS weak_fits FROM both_ GROUP BY image_id)
+SELECT image_id, y, x, CASE WHEN fits THEN v ELSE w END AS v FROM both_ JOIN fits USING (image_id) WHERE fits OR weak_fits""",
+    ),
+    "template_scaled": (
+        lambda s, d: k.scale_templates(templates(s, d), 1.08).withColumn("t", F.round("t", 6)),
+        f"""WITH {PIXELS}, {TEMPLATES}, sized AS (SELECT image_id, template, dy, dx, h, w, (dy + 0.5::DOUBLE) * h / 9 - 0.5::DOUBLE AS py, (dx + 0.5::DOUBLE) * w / 9 - 0.5::DOUBLE AS px FROM (SELECT image_id, template, max(dy) + 1 AS h, max(dx) + 1 AS w FROM templates GROUP BY ALL), range(9) a(dy), range(9) b(dx)),
+parts AS (SELECT s.image_id, s.template, s.dy, s.dx, t.t * (1 - abs(py - floor(py) - j.i)) * (1 - abs(px - floor(px) - k.i)) AS v FROM sized s, range(2) j(i), range(2) k(i), templates t
+  WHERE t.image_id = s.image_id AND t.template = s.template AND t.dy = greatest(0, least(h - 1, floor(py) + j.i)) AND t.dx = greatest(0, least(w - 1, floor(px) + k.i)))
+SELECT image_id, template, dy, dx, round(sum(v), 6) AS t FROM parts GROUP BY ALL""",
+    ),
+    "template_scores_masked": (
+        lambda s, d: k.template_scores(crops(s, d), templates(s, d).withColumn("m", ((F.col("dy") + F.col("dx")) % 3 > 0).cast("int"))).withColumn("score", F.round("score", 9)),
+        f"""WITH {CROPS}, {TEMPLATES}, o AS (SELECT a.image_id, t.template, a.y, a.x, sum(p.v * t.t) AS vt, sum(p.v * p.v) AS vv, sum(t.t * t.t) AS tt FROM crops a JOIN templates t ON t.image_id = a.image_id AND (t.dy + t.dx) % 3 > 0
+  JOIN crops p ON p.image_id = a.image_id AND p.y = a.y + t.dy AND p.x = a.x + t.dx WHERE a.x <= {CROP - SIDE} AND a.y <= {CROP - SIDE} GROUP BY a.image_id, t.template, a.y, a.x)
+SELECT image_id, template, y, x, round(CASE WHEN vv > 0 AND tt > 0 THEN vt::DOUBLE / sqrt(vv::DOUBLE * tt::DOUBLE) ELSE 0.0 END, 9) AS score FROM o""",
+    ),
 }

@@ -52,7 +52,7 @@ SELECT a.image_id, a.y, a.x, max(b.v) AS v FROM low a JOIN low b ON a.image_id =
 SELECT image_id, y, x, greatest(s.v, CASE WHEN n > 0 THEN p.v ELSE 0 END) AS v FROM steady s JOIN near USING (image_id, y, x) JOIN pixels p USING (image_id, y, x)""",
     ),
     "template_scores": (
-        lambda s, d: k.template_scores(pixels(s, d), k.cut_templates(pixels(s, d), seeds(s, d)), SIDE).withColumn("score", F.round("score", 9)),
+        lambda s, d: k.template_scores(pixels(s, d), k.cut_templates(pixels(s, d), seeds(s, d))).withColumn("score", F.round("score", 9)),
         f"""{W}, {SEEDS}, t AS (SELECT p.image_id, s.ord AS template, p.y - s.sy AS dy, p.x - s.sx AS dx, p.v AS t FROM pixels p JOIN seeds s ON p.image_id = s.image_id AND p.x BETWEEN sx AND sx + 2 AND p.y BETWEEN sy AND sy + 1),
 o AS (SELECT a.image_id, t.template, a.y, a.x, sum(p.v * t.t) AS vt, sum(p.v * p.v) AS vv, sum(t.t * t.t) AS tt FROM pixels a JOIN t ON t.image_id = a.image_id JOIN pixels p ON p.image_id = a.image_id AND p.y = a.y + t.dy AND p.x = a.x + t.dx WHERE a.x <= {SIDE - 3} AND a.y <= {SIDE - 2} GROUP BY a.image_id, t.template, a.y, a.x)
 SELECT image_id, template, y, x, round(CASE WHEN vv > 0 AND tt > 0 THEN vt::DOUBLE / sqrt(vv::DOUBLE * tt::DOUBLE) ELSE 0.0 END, 9) AS score FROM o""",
