@@ -11,9 +11,18 @@ from pyspark.sql import functions as F
 
 from ._common import chunks, mix, prefix_hash, span_hash, utf8
 
-# Usual notices of each family.
+# Usual notices of each family, and the paragraphs of the short licence texts.
 TEMPLATES = {
+    "AGPL": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "Licensed under the AGPL version 3 or later.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+    ],
     "Apache-2.0": [
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "See the License for the specific language governing permissions and limitations under the License.",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "Released under the Apache License 2.0.",
@@ -21,6 +30,10 @@ TEMPLATES = {
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "BSD": [
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
         "Released under the BSD License.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -52,12 +65,19 @@ TEMPLATES = {
         "SPDX-License-Identifier: CC0-1.0",
     ],
     "GPL": [
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
         "Licensed under the GPL version 2 or later.",
         "You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+        "Licensed under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ],
     "LGPL": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
@@ -69,13 +89,23 @@ TEMPLATES = {
         "Licensed under the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "Use of this source code is governed by an MIT-style license.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
         "SPDX-License-Identifier: MIT",
     ],
     "MPL": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
         "SPDX-License-Identifier: MPL-2.0",
     ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "Released under the Unlicense.",
+        "SPDX-License-Identifier: Unlicense",
+    ],
 }
 # Sentences of the unknown class.
 OTHERS = [
@@ -101,8 +131,8 @@ UNKNOWN = len(FAMILIES) - 1
 BITS = 18
 GRAMS = (1, 2, 3)  # words
 EXAMPLES, EPOCHS, SEED = 60, 150, 11
-#: A family is named from this probability and confirmed from this similarity.
-NAMED, CONFIRMED = 0.5, 0.5
+#: A family is named where it is likelier than every other and than none, and confirmed from this similarity.
+CONFIRMED = 0.6
 
 #: Letters in lower case; digits count as one digit; bytes beyond ASCII stay; line feeds stay; all others part words.
 _TABLE = bytes(c if c > 127 or c == 10 or chr(c).islower() else c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else 32 for c in range(256))
@@ -142,13 +172,36 @@ def _features(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lines)), [len(f) for f in found]), np.concatenate(found)
 
 
+def probabilities(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(1, keepdims=True))
+    return z / z.sum(1, keepdims=True)
+
+
+def _fit(row: np.ndarray, column: np.ndarray, n_columns: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of a softmax regression on the distinct (row, column) pairs of y's rows."""
+    weights, bias = np.zeros((n_columns, len(FAMILIES))), np.zeros(len(FAMILIES))
+    moments, target = np.zeros_like(weights), np.eye(len(FAMILIES))[y]
+    for _ in range(EPOCHS):
+        error = (probabilities(_logits(row, column, weights, bias, len(y))) - target) / len(y)
+        slope = np.stack([np.bincount(column, error[row, k], n_columns) for k in range(len(FAMILIES))], 1) + 1e-5 * weights
+        moments += slope**2
+        weights -= 0.3 * slope / (np.sqrt(moments) + 1e-8)
+        bias -= 0.5 * error.sum(0)
+    bias[UNKNOWN] += 1.0  # a paragraph without a known n-gram is unknown
+    return weights, bias
+
+
+def _logits(row: np.ndarray, column: np.ndarray, weights: np.ndarray, bias: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(row, weights[column, k], n) for k in range(len(FAMILIES))], 1) + bias
+
+
 @functools.cache
 def model() -> dict:
-    """Fitted on variants of the templates and of the other sentences (words left out, others around them); half of them
-    are kept from the fit and set the temperature of the probabilities."""
+    """Fitted on variants of the templates and of the other sentences (words left out, others around them).  The temperature of
+    the probabilities is set by a first fit that has not seen every third template and sentence, on the variants of those."""
     rng = np.random.default_rng(SEED)
     filler = [w for t in OTHERS for w in t.split()]
-    lines, labels = [], []
+    lines, labels, unseen = [], [], []
     for label, texts in enumerate([*(TEMPLATES[f] for f in FAMILIES[:-1]), OTHERS]):
         for k in range(EXAMPLES * (4 if label == UNKNOWN else 1)):
             words = texts[k % len(texts)].split()
@@ -158,35 +211,16 @@ def model() -> dict:
             around = [list(rng.choice(filler, rng.integers(0, 8))) for _ in range(2)] if rng.random() < 0.5 else [[], []]
             lines.append(" ".join([*around[0], *words, *around[1]]))
             labels.append(label)
-    order = rng.permutation(len(lines))
-    y = np.array(labels)[order]
-    row, bucket = _features([lines[i] for i in order])
+            unseen.append(k % len(texts) % 3 == 2)
+    y, unseen = np.array(labels), np.array(unseen)
+    row, bucket = _features(lines)
     known, column = np.unique(bucket, return_inverse=True)
-    fit = np.arange(len(y)) % 2 == 0
-    target = np.eye(len(FAMILIES))[y]
-    weights, bias = np.zeros((len(known), len(FAMILIES))), np.zeros(len(FAMILIES))
-    moments = np.zeros_like(weights)
-
-    def logits() -> np.ndarray:
-        out = np.zeros((len(y), len(FAMILIES)))
-        np.add.at(out, row, weights[column])
-        return out + bias
-
-    def probabilities(z: np.ndarray) -> np.ndarray:
-        z = np.exp(z - z.max(1, keepdims=True))
-        return z / z.sum(1, keepdims=True)
-
-    for _ in range(EPOCHS):
-        error = (probabilities(logits()) - target) * fit[:, None] / fit.sum()
-        slope = np.zeros_like(weights)
-        np.add.at(slope, column, error[row])
-        slope += 1e-5 * weights
-        moments += slope**2
-        weights -= 0.3 * slope / (np.sqrt(moments) + 1e-8)
-        bias -= 0.5 * error.sum(0)
-    bias[UNKNOWN] += 1.0  # a paragraph without a known n-gram is unknown
-    z = logits()[~fit]
-    loss = {t: -np.log(probabilities(z / t)[np.arange(len(z)), y[~fit]] + 1e-12).mean() for t in np.geomspace(0.25, 8, 26)}
+    place = np.cumsum(~unseen) - 1
+    seen_pairs = ~unseen[row]
+    first = _fit(place[row[seen_pairs]], column[seen_pairs], len(known), y[~unseen])
+    z = _logits(row, column, *first, len(y))[unseen]
+    loss = {t: -np.log(probabilities(z / t)[np.arange(len(z)), y[unseen]] + 1e-12).mean() for t in np.geomspace(0.25, 8, 26)}
+    weights, bias = _fit(row, column, len(known), y)
     seen = np.full(1 << BITS, -1, np.int32)
     seen[known] = np.arange(len(known))
     sets = [np.unique(np.concatenate([h for *_, h, _ in paragraph_grams(utf8([t]))])) for f in FAMILIES[:-1] for t in TEMPLATES[f]]
@@ -227,7 +261,7 @@ def find(texts) -> list[tuple[int, list[tuple[int, str, float, float, bool]]]]:
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         best = p[:, :UNKNOWN].argmax(1)
-        for k in np.flatnonzero(p[np.arange(len(best)), best] >= NAMED).tolist():
+        for k in np.flatnonzero(p[np.arange(len(best)), best] > p[:, UNKNOWN]).tolist():
             family, where = int(best[k]), int(some[k])
             alike = similarity(m, hashes[owner == where], family)
             out[i + text[where]].append((where - int(first[text[where]]), FAMILIES[family], float(p[k, family]), alike, alike >= CONFIRMED))
@@ -237,7 +271,7 @@ def find(texts) -> list[tuple[int, list[tuple[int, str, float, float, bool]]]]:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_paragraphs, found: array of (paragraph, family, probability, similarity, confirmed), for each row of docs.
 
-    Paragraphs are lines that are not blank.  A paragraph is named when a family is likelier than NAMED; then it is
+    Paragraphs are lines that are not blank.  A paragraph is named when a family is likelier than the unknown class; then it is
     compared with the family's templates.  A null or empty text has no paragraphs; rows are independent, so ties, repeated
     rows and an empty table need no care; other columns are dropped, whatever their names.
     """

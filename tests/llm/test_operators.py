@@ -371,6 +371,44 @@ def test_licences(spark, documents, nothing, texts):
         assert not any(f[4] for f in license.find([text])[0][1])
 
 
+def test_licence_probabilities():
+    """Named paragraphs against plain loops over each line's n-grams."""
+    m = license.model()
+    word_hash = lambda w: _common.span_hash(_common.prefix_hash(np.frombuffer(w, np.uint8)), np.array([0]), np.array([len(w)]))
+    text = "handor tiones\n\nReleased under the MIT License.\nThis book was released in 1999 under the name of the company\n  \nLicensed under CC BY-NC 4.0. or so\nx"
+    expected, place = [], -1
+    for line in text.split("\n"):
+        words = line.encode().translate(license._TABLE).split()
+        if not words:
+            continue
+        place += 1
+        grams = set()
+        for n in license.GRAMS:
+            for k in range(len(words) - n + 1):
+                value = np.zeros(1, np.uint64)
+                for w in words[k : k + n]:
+                    value = _common.mix(value + word_hash(w) + np.uint64(n))
+                grams.add(int(value[0]))
+        columns = {int(m["seen"][g >> (64 - license.BITS)]) for g in grams} - {-1}
+        if not columns:
+            continue
+        z = [(sum(float(m["weights"][c, f]) for c in columns) + m["bias"][f]) / m["temperature"] for f in range(len(license.FAMILIES))]
+        p = [math.exp(x - max(z)) for x in z]
+        best = max(range(license.UNKNOWN), key=lambda f: p[f])
+        if p[best] <= p[license.UNKNOWN]:
+            continue
+        shares = []
+        for k, size in enumerate(m["sizes"].tolist()):
+            if m["family_of"][k] == best:
+                template = {int(g) for g, of in zip(m["template"], m["template_of"]) if of == k}
+                shares.append(len(template & grams) / min(size, len(grams)))
+        expected.append((place, license.FAMILIES[best], p[best] / sum(p), max(shares), max(shares) >= license.CONFIRMED))
+    (n, found) = license.find(["", text, "x y"])[1]
+    assert n == place + 1 and [f[:2] + f[4:] for f in found] == [e[:2] + e[4:] for e in expected]
+    assert all(abs(f[2] - e[2]) < 1e-5 and abs(f[3] - e[3]) < 1e-9 for f, e in zip(found, expected))
+    assert {f[1] for f in found if f[4]} >= {"MIT", "CC-BY-NC"}
+
+
 # --- suffix arrays ---------------------------------------------------------------------------------------------------
 
 
