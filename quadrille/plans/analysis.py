@@ -9,7 +9,9 @@ from ..operators import geometry as g
 from ..operators import raster as r
 from ..operators import reports as p
 from ..sources.shared import cut
+from ..sources import files as f
 from ..sources.tables import HEIGHT, PIXELS, REGIONS, WIDTH, table
+from ..sources.tables import regions as table_regions
 from .geometry import CLAMPED, DEDUPED, PLAN, PLANNED, raw_regions
 from .raster import POINTS, RELAXED, SUMMED, TIGHTENED, points
 
@@ -59,6 +61,30 @@ def adopted(spark, sf_dir):
     return g.adopt(own.filter("ord % 2 = 0"), merged(spark, sf_dir))
 
 
+def proposals(regions):
+    """Stands for a detector: each region is found once more, further to the right."""
+    return regions.select("image_id", (F.col("x") + 40).alias("x"), "y", "w", "h").filter(F.col("x") + F.col("w") <= WIDTH)
+
+
+def region_json(spark, sf_dir):
+    """image_id, value: an image's regions as the JSON array of a region file."""
+    entry = F.struct("ord", F.struct("x", "y", "w", "h").alias("r"))
+    whole = table_regions(spark, sf_dir).groupBy("image_id").agg(F.sort_array(F.collect_list(entry)).alias("rs"))
+    return whole.select("image_id", F.to_json(F.transform("rs", lambda r: r["r"])).alias("value"))
+
+
+def preset_json(spark, sf_dir):
+    """key, value: two presets as a JSON array, or for every fifth nation an object that is none."""
+    key = F.col("n_nationkey").cast("long")
+    two = F.format_string('[{"name":"a%d","options":{"k":"%d","m":"x"}},{"name":"b","options":{"k":"%d"}}]', key, key, key + 1)
+    return table(spark, sf_dir, "nation").select(key.alias("key"), F.when(key % 5 > 0, two).otherwise('{"name":"c"}').alias("value"))
+
+
+def option_json(spark, sf_dir):
+    i = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(i.alias("request_id"), F.when(i % 3 > 0, F.format_string('{"skip":"%d"}', i % 9)).alias("file"), F.format_string('{"skip":"0","mode":"%d"}', i % 4).alias("fallback"))
+
+
 def again(text: str, *names: str) -> str:
     """The same steps under other names."""
     return re.sub(rf"\b({'|'.join(names)})\b", r"\g<1>_2", text)
@@ -80,6 +106,14 @@ analysis AS (SELECT image_id, base_region_count, merged_region_count, crop_group
   FROM raw JOIN kept USING (image_id) JOIN grouped USING (image_id) LEFT JOIN mask USING (image_id))"""
 W = f"WITH {PIXELS}, {REGIONS}"
 
+
+def grown(src: str, dst: str) -> str:
+    """A pass: the regions and those found from them, without what overlaps an earlier one, six at most."""
+    return f"""{dst}_all AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY o, y, x, w, h) AS ord, x, y, w, h FROM (
+  SELECT image_id, ord AS o, x, y, w, h FROM {src} UNION ALL SELECT image_id, 1073741824, x + 40, y, w, h FROM {src} WHERE x + 40 + w <= {WIDTH})),
+{re.sub(r"\b(lists|deduped)\b", dst + r"_\1", DEDUPED.replace("FROM clamped", f"FROM {dst}_all"))}, {dst} AS (SELECT * FROM {dst}_deduped WHERE ord <= 6)"""
+
+
 QUERIES = {
     "quality_analysis": (analysis, f"{W}, {ANALYSIS} SELECT * FROM analysis"),
     "quality_summary_line": (
@@ -104,4 +138,21 @@ SELECT image_id, ord, x, y, w, h FROM own WHERE image_id NOT IN (SELECT image_id
         lambda s, d: c.worker_counts(table(s, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.when(F.col("o_orderstatus") == "O", "cuda").otherwise("cpu").alias("device"), (F.col("o_orderkey") % 4).alias("override"), F.when(F.col("o_orderstatus") == "O", 8).otherwise(1).cast("long").alias("usual"))),
         "SELECT o_orderkey AS request_id, CAST(CASE WHEN o_orderstatus = 'O' AND o_orderkey % 4 > 0 THEN o_orderkey % 4 WHEN o_orderstatus = 'O' THEN 8 ELSE 1 END AS BIGINT) AS workers FROM orders",
     ),
+    "region_autodetect": (
+        lambda s, d: g.grow_regions(g.clamp_regions(table_regions(s, d), WIDTH, HEIGHT).filter("ord <= 2"), proposals, 2, 6),
+        f"{W}, {CLAMPED}, base AS (SELECT * FROM clamped WHERE ord <= 2), {grown('base', 'one')}, {grown('one', 'two')} SELECT image_id, ord, x, y, w, h FROM two",
+    ),
+    "region_json_array": (lambda s, d: f.parse_regions(region_json(s, d)), f"{W} SELECT image_id, ord, x::VARCHAR AS x, y::VARCHAR AS y, w::VARCHAR AS w, h::VARCHAR AS h FROM regions"),
+    "preset_json_array": (
+        lambda s, d: f.parse_presets(preset_json(s, d), "key").select("key", "ord", "name", F.to_json("options").alias("options")),
+        """SELECT n_nationkey::BIGINT AS key, i AS ord, CASE i WHEN 0 THEN 'a' || n_nationkey ELSE 'b' END AS name, CASE i WHEN 0 THEN '{"k":"' || n_nationkey || '","m":"x"}' ELSE '{"k":"' || (n_nationkey + 1) || '"}' END AS options FROM nation, range(2) r(i) WHERE n_nationkey % 5 > 0""",
+    ),
+    "option_source": (
+        lambda s, d: f.chosen_options(option_json(s, d)),
+        """SELECT o_orderkey AS request_id, 'skip' AS key, CASE WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 9)::VARCHAR ELSE '0' END AS value FROM orders UNION ALL SELECT o_orderkey, 'mode', (o_orderkey % 4)::VARCHAR FROM orders WHERE o_orderkey % 3 = 0""",
+    ),
+    "painter_config": (
+        lambda s, d: f.painter_config(table(s, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_orderstatus").alias("hd_strategy"), (F.col("o_orderkey") % 2048).alias("resize_limit"))),
+        """SELECT o_orderkey AS request_id, '{"hd_strategy":"' || o_orderstatus || '","hd_strategy_resize_limit":' || (o_orderkey % 2048) || '}' AS json FROM orders""",
+    ),
 }

@@ -15,7 +15,12 @@ REGION = "x string, y string, w string, h string"
 def region_file(spark: SparkSession, path: str) -> DataFrame:
     """image_id (the file), ord, x, y, w, h as text, of JSON files that are arrays of regions; ord is the place in the array.
     operators.geometry.normalize() casts them."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("image_id"), F.from_json("value", f"array<struct<{REGION.replace(' string', ':string')}>>").alias("rs"))
+    return parse_regions(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("image_id"), "value"))
+
+
+def parse_regions(texts: DataFrame) -> DataFrame:
+    """texts(image_id, value: JSON) -> image_id, ord, x, y, w, h as text."""
+    whole = texts.select("image_id", F.from_json("value", f"array<struct<{REGION.replace(' string', ':string')}>>").alias("rs"))
     return whole.select("image_id", F.posexplode("rs").alias("ord", "r")).select("image_id", (F.col("ord") + 1).cast("long").alias("ord"), "r.*")
 
 
@@ -27,8 +32,26 @@ def option_file(spark: SparkSession, path: str) -> DataFrame:
 
 def preset_file(spark: SparkSession, path: str) -> DataFrame:
     """ord, name, options (a map) of JSON files that are arrays of presets."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<struct<name:string,options:map<string,string>>>").alias("ps"))
-    return whole.select(F.posexplode("ps").alias("ord", "p")).select(F.col("ord").cast("long").alias("ord"), "p.name", "p.options")
+    return parse_presets(spark.read.text(path, wholetext=True))
+
+
+def parse_presets(texts: DataFrame, *keys: str) -> DataFrame:
+    """texts(value: JSON, keys...) -> keys, ord, name, options; a value that is no array has no rows."""
+    lists = texts.filter(F.ltrim("value").startswith("["))  # Spark takes an object for an array of one
+    whole = lists.select(*keys, F.from_json("value", "array<struct<name:string,options:map<string,string>>>").alias("ps"))
+    return whole.select(*keys, F.posexplode("ps").alias("ord", "p")).select(*keys, F.col("ord").cast("long").alias("ord"), "p.name", "p.options")
+
+
+def chosen_options(requests: DataFrame) -> DataFrame:
+    """requests(request_id, file, fallback: JSON objects as text) -> request_id, key, value: the file's, or where it is null the
+    fallback's."""
+    whole = requests.select("request_id", F.from_json(F.coalesce("file", "fallback"), "map<string,string>").alias("m"))
+    return whole.select("request_id", F.explode("m").alias("key", "value"))
+
+
+def painter_config(configs: DataFrame) -> DataFrame:
+    """configs(request_id, hd_strategy, resize_limit) -> request_id, json: what the painter's own file holds."""
+    return configs.select("request_id", F.to_json(F.struct("hd_strategy", F.col("resize_limit").alias("hd_strategy_resize_limit"))).alias("json"))
 
 
 def file_catalog(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
