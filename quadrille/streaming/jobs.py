@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.shared import cut
+
 CLOSING = ("done", "error", "cancelled")
+BUCKETS = 256  # of a table that is kept up to date; a trigger rewrites those that its keys are in
 STATE = "status string, progress long, n_log long, last long"
 
 
@@ -16,27 +19,40 @@ def event_stream(spark: SparkSession, path: str, schema: str, per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One job's events of a trigger, in their order, on top of what is known of the job; a closed job takes no more."""
-    status, progress, n_log, last = state.get if state.exists else ("processing", 0, 0, -1)
-    events = pd.concat(list(batches)).sort_values("seq")
-    for seq, kind, value in zip(events["seq"], events["kind"], events["value"]):
-        if status in CLOSING:
-            break
-        if kind == "progress":
-            progress = int(value)
-        elif kind == "log":
-            n_log += 1
-        elif kind in CLOSING:
-            status = kind
-        last = int(seq)
-    state.update((status, progress, n_log, last))
-    yield pd.DataFrame({"job_id": [key[0]], "status": [status], "progress": [progress], "n_log": [n_log], "last": [last]})
-
-
-def live_progress(events: DataFrame) -> DataFrame:
-    """events(job_id, seq, kind, value), in order from trigger to trigger -> each touched job's state; for update mode."""
-    return events.groupBy("job_id").applyInPandasWithState(_advance, f"job_id long, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
+def _advance(keep_ms: int | None):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """One job's events of a trigger, in their order, on top of what is known of the job; a closed job takes no more."""
+        if state.hasTimedOut:
+            state.remove()
+            return
+        status, progress, n_log, last = state.get if state.exists else ("processing", 0, 0, -1)
+        events = pd.concat(list(batches)).sort_values("seq")
+        for seq, kind, value in zip(events["seq"], events["kind"], events["value"]):
+            if status in CLOSING:
+                break
+            if kind == "progress":
+                progress = int(value)
+            elif kind == "log":
+                n_log += 1
+            elif kind in CLOSING:
+                status = kind
+            last = int(seq)
+        state.update((status, progress, n_log, last))
+        if keep_ms:
+            state.setTimeoutDuration(keep_ms)
+        yield pd.DataFrame({"job_id": [key[0]], "status": [status], "progress": [progress], "n_log": [n_log], "last": [last]})
+
+    return run
+
+
+def live_progress(events: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """events(job_id, seq, kind, value), in order from trigger to trigger -> each touched job's state; for update mode.
+
+    With keep_ms a job that has been silent for so long is forgotten, which a query that runs on needs; one that ends with what
+    is there (availableNow) must do without, as Spark would wait for the time to pass.
+    """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout
+    return events.groupBy("job_id").applyInPandasWithState(_advance(keep_ms), f"job_id long, {STATE}", STATE, "update", timeout)
 
 
 def live_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
@@ -61,17 +77,17 @@ def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> D
     return spark.table(name)
 
 
-def upsert_latest(stream: DataFrame, keys: list[str], path: str, checkpoint: str):
-    """Start a query that keeps the latest row of each key in a Parquet table: each trigger merges its rows into a new
-    version of the table, so a repeated trigger gives the same table."""
+def upsert_latest(stream: DataFrame, keys: list[str], path: str, checkpoint: str, buckets: int = BUCKETS):
+    """Start a query that keeps the latest row of each key in a Parquet table, whose partitions are buckets of keys: a trigger
+    merges its rows into the buckets that they are in and leaves the others.  A repeated trigger gives the same table."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        order = F.struct(*[c for c in batch.columns if c not in keys])
-        rows = batch.withColumn("epoch", F.lit(epoch))
-        if epoch:
-            rows = spark.read.parquet(f"{path}/v={epoch - 1}").unionByName(rows)
-        latest = rows.groupBy(*keys).agg(F.max_by(order, "epoch").alias("r"), F.max("epoch").alias("epoch"))
-        latest.select(*keys, "r.*", "epoch").write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        rows = batch.withColumn("epoch", F.lit(epoch)).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        if epoch:  # at most as many as there are buckets
+            rows = batch.sparkSession.read.parquet(path).join(F.broadcast(rows.select("bucket").distinct()), "bucket").unionByName(rows)
+        rest = [c for c in rows.columns if c not in (*keys, "epoch", "bucket")]
+        latest = rows.groupBy("bucket", *keys).agg(F.max_by(F.struct(*rest), "epoch").alias("r"), F.max("epoch").alias("epoch"))
+        staged = cut(latest.select(*keys, "r.*", "epoch", "bucket"), "upsert")  # a table is not overwritten while it is read
+        staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(availableNow=True).start()
