@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, license, lm, media, mixing, suffix, tokens, toxicity
+from . import chat, codes, decontam, jaccard, license, lm, media, merkle, mixing, pieces, suffix, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    proven = merkle.manifest(table(spark, sf_dir, "documents"), shown={"text": tampered})
+    return proven.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), merkle.fold(F.col("shown"), F.col("proof")).alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded="decoded")
+    return read.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    rows = codes.with_label_error(coded).select("vec_id", "code", "error", "label_error")
+    return rows.withColumn("codebooks_sha256", F.lit(codes.books_digest(books)))
+
+
 def queries() -> dict:
     return {
         "op1_gif_media": op1_gif_media,
@@ -91,6 +115,9 @@ def queries() -> dict:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_token_counts": op10_token_counts,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_piece_round_trip": op12_piece_round_trip,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
@@ -211,6 +238,64 @@ FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN passages USING (doc_id)
 """
 
 
+def _field(c: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+# op11: levels by a recursion over the nodes, proofs by another over each leaf's ancestors; crc32 bit by bit
+SQL_MERKLE = f"""
+WITH RECURSIVE checked AS (
+  SELECT *, list_reduce(list_transform(string_split(regexp_replace(hex(encode(CAST(doc_id AS VARCHAR))), '(..)', '\\1,', 'g'), ','), lambda b: CASE WHEN b = '' THEN NULL ELSE CAST('0x' || b AS BIGINT) END),
+    lambda c, b: CASE WHEN b IS NULL THEN c ELSE list_reduce(range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)) END, 4294967295) AS crc FROM documents),
+leaves AS (
+  SELECT doc_id, source, sha256({" || ".join(map(_field, merkle.FIELDS))}) AS h,
+         sha256({" || ".join(map(_field, merkle.FIELDS[:-1]))} || {_field("CASE WHEN crc % 2 = 1 THEN replace(text, chr(10), '') ELSE text END")}) AS shown FROM checked),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h, shown) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+low(level, source, n, i, h) AS (
+  SELECT 0, source, n, i, h FROM placed
+  UNION ALL SELECT level + 1, source, (n + 2) // 3, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY level, source, n, i // 3),
+subs AS (SELECT source, h, level AS depth, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1),
+high(level, n, i, h) AS (
+  SELECT 0, n, i, h FROM subs
+  UNION ALL SELECT level + 1, (n + 2) // 3, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY level, n, i // 3),
+node AS (
+  SELECT low.level, low.source, subs.i AS tree, low.i, low.h FROM low JOIN subs ON low.source IS NOT DISTINCT FROM subs.source WHERE low.n > 1
+  UNION ALL SELECT subs.depth + high.level, subs.source, subs.i, high.i, high.h FROM high, subs WHERE high.n > 1),
+near AS (SELECT a.level, a.tree, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS after
+  FROM node a JOIN node b ON a.level = b.level AND a.tree = b.tree AND a.i // 3 = b.i // 3 GROUP BY ALL),
+walk(level, k, tree, depth, spot, i, acc, proof) AS (
+  SELECT 0, p.doc_id, s.i, s.depth, p.i, p.i, p.shown, '' FROM placed p JOIN subs s ON p.source IS NOT DISTINCT FROM s.source
+  UNION ALL
+  SELECT w.level + 1, w.k, w.tree, w.depth, w.spot, CASE WHEN w.level + 1 = w.depth THEN w.tree ELSE x.i // 3 END, sha256(x.before || w.acc || x.after), w.proof || x.before || x.after
+  FROM walk w JOIN near x ON x.level = w.level AND x.tree = w.tree AND x.i = CASE WHEN w.level = w.depth THEN w.tree ELSE w.i END),
+ended AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY tree, spot ORDER BY level DESC) = 1)
+SELECT p.doc_id, p.h AS leaf, s.h AS subroot, r.h AS root, sha256(e.proof) AS proof_sha256, e.acc AS folded_root, e.acc = r.h AS verified
+FROM placed p JOIN subs s ON p.source IS NOT DISTINCT FROM s.source JOIN ended e ON e.tree = s.i AND e.spot = p.i CROSS JOIN (SELECT h FROM high WHERE n = 1) r
+"""
+
+
+def _sql_codes() -> str:
+    """op13: every round assigns all parts anew and sums all of them."""
+    parts, entries = codes.PARTS, codes.ENTRIES
+    near = "arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT v.k, v.part, b.e, list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v JOIN {b} b ON v.part = b.part) GROUP BY k, part"
+    ctes = [f"""kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS k, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096.0::DOUBLE * x) AS BIGINT)) AS ints FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"v AS MATERIALIZED (SELECT k, part, ints[part * (len(ints) // {parts}) + 1 : (part + 1) * (len(ints) // {parts})] AS x FROM kept, range({parts}) t(part))",
+        f"b0 AS MATERIALIZED (SELECT part, k - 1 AS e, x FROM v WHERE k <= {entries})"]
+    for r in range(codes.ROUNDS):
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT k, part, {near.format(b=f'b{r}')})")
+        ctes.append(f"""s{r} AS (SELECT part, e, list(m ORDER BY j) AS x FROM (SELECT part, e, j, CAST((sum(c) - ((sum(c) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m
+  FROM (SELECT part, e, unnest(x) AS c, unnest(range(len(x))) AS j FROM a{r} JOIN v USING (k, part)) GROUP BY part, e, j) GROUP BY part, e)""")
+        ctes.append(f"b{r + 1} AS MATERIALIZED (SELECT b.part, b.e, coalesce(s.x, b.x) AS x FROM b{r} b LEFT JOIN s{r} s USING (part, e))")
+    return f"""WITH {", ".join(ctes)},
+final AS (SELECT k, part, {near.format(b=f"b{codes.ROUNDS}")}),
+coded AS (SELECT k, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM final GROUP BY k)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) FROM b{codes.ROUNDS}) AS codebooks_sha256
+FROM coded JOIN kept USING (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_mix_sources": SQL_MIX,
@@ -218,4 +303,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_prefix_targets": SQL_CHAT,
         "op6_spaced_seeds": SQL_OVERLAPS,
         "op8_suffix_dedup": SQL_REPEATS,
+        "op11_merkle_manifest": SQL_MERKLE,
+        "op13_vector_codes": _sql_codes(),
     }
