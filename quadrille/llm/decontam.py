@@ -75,7 +75,7 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     theirs = theirs.select(F.col("item").alias("their_item"), F.col("item_row").alias("their_row"), F.col("h").alias("t"))
     same_item = (F.col("item_row") == F.col("their_row")) & F.col("item").eqNullSafe(F.col("their_item"))
     ours = docs.select(F.col(key).alias("key"), row(key, text).alias("row"), hashed_words(F.col(text)).alias("h"))
-    if table.count() <= broadcast_seeds:  # an item has no more words than seeds, so the items are bounded too
+    if table.count() <= broadcast_seeds:  # an item has at most 3.4 times as many words as seeds, so the items are bounded too
         hits = seeds(ours, "key", "h").join(F.broadcast(table), ["mask", "seed"])
         pairs = hits.select("key", "h", "item", "item_row", (F.col("pos") - F.col("item_pos")).alias("shift"), "mask", "pos", "item_pos")
         aligned = pairs.join(F.broadcast(theirs), same_item).filter(begins())

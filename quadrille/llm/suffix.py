@@ -30,7 +30,7 @@ SHARD = 1_000_000
 EDGE = 0xFF  # marks the ends of a text; no byte of UTF-8
 BLANK = bytes(0x20 if SPACE[c] or c == EDGE else c for c in range(256))
 SPANS = ["key", "hash", "first", "last", "from", "to"]
-MADE = ("n_bytes", "n_removed", "n_spans", "n_repeated", "kept", "kept_sha256")
+MADE = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "n_repeated")
 
 
 # --- the suffix array of a shard -----------------------------------------------------------------------------------
@@ -169,50 +169,6 @@ def sort_names(names: np.ndarray) -> np.ndarray:
         reach *= len(ahead) + 1
 
 
-def substring_names(symbols: np.ndarray, lms: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
-    """Names of the leftmost-smaller substrings in text order, ranks in the order in which sorted_ has them; equal ones have
-    one name.  A substring's value is a hash of its symbols up to the next one's first; ends of texts differ from each other."""
-    place = np.full(len(symbols), -1, np.int64)
-    place[lms] = np.arange(len(lms))
-    order = place[sorted_]
-    order = order[order >= 0]
-    up, down = powers(len(symbols) + 1)
-    scrambled = mix(symbols.astype(np.uint64) + np.uint64(1))
-    zero = np.flatnonzero(symbols == 0)
-    scrambled[zero] = mix(zero.astype(np.uint64) + np.uint64(1 << 40))
-    prefix = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum(scrambled * up[:-1], out=prefix[1:])
-    stop = np.append(lms[1:] + 1, len(symbols))
-    values = mix((prefix[stop] - prefix[lms]) * down[lms] + (stop - lms).astype(np.uint64))[order]
-    names = np.empty(len(lms), np.int64)
-    names[order] = np.concatenate([[0], np.cumsum(values[1:] != values[:-1])])
-    return names
-
-
-def sort_names(names: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of the reduced string of names.  In each round every name that is not unique is renamed by
-    itself and the one `reach` places on, and `reach` doubles: the recursion on ever longer leftmost-smaller substrings."""
-    ranks = names.copy()
-    reach = 1
-    while True:
-        counts = np.bincount(ranks)
-        tied = np.flatnonzero(counts[ranks] > 1)
-        if not len(tied):
-            return np.argsort(ranks, kind="stable")
-        after = np.where(tied + reach < len(ranks), ranks[np.minimum(tied + reach, len(ranks) - 1)] + 1, 0)
-        order = np.lexsort((after, ranks[tied]))
-        own, after = ranks[tied][order], after[order]
-        new_group = np.concatenate([[True], own[1:] != own[:-1]])
-        change = new_group | np.concatenate([[True], after[1:] != after[:-1]])
-        place = np.arange(len(own))
-        start = np.maximum.accumulate(np.where(new_group, place, 0))
-        last = np.maximum.accumulate(np.where(change, place, 0))
-        # ranks leave room: a name's rank is the number of suffixes before its class
-        fresh = own + (last - start)
-        ranks[tied[order]] = fresh
-        reach *= 2
-
-
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """All suffixes in order: the leftmost-smaller suffixes are sorted as the suffixes of the string of their substrings' names,
     and induce all others."""
@@ -453,8 +409,8 @@ def _remove(batches: Iterator[pa.RecordBatch], passages: bool) -> Iterator[pa.Re
                 n, repeated = int(covered.sum()), int(every.sum())
                 n_runs = int((covered & ~np.concatenate([[False], covered[:-1]])).sum())
                 kept = np.frombuffer(raw, np.uint8)[~covered].tobytes()
-            out.append((len(raw), n, n_runs, repeated, kept.decode(errors="ignore") if passages else kept, hashlib.sha256(kept).hexdigest()))
-        kinds = (*[pa.int64()] * 4, pa.string() if passages else pa.binary(), pa.string())
+            out.append((len(raw), n, n_runs, kept.decode(errors="ignore") if passages else kept, hashlib.sha256(kept).hexdigest(), repeated))
+        kinds = (*[pa.int64()] * 3, pa.string() if passages else pa.binary(), pa.string(), pa.int64())
         own = [c for c in names if c not in ("__text", "__spans")]
         made = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in own], *made], [*own, *MADE])
@@ -501,8 +457,8 @@ def repeats(rows: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", passages: bool = False) -> DataFrame:
-    """docs without its text column, and with n_bytes, n_removed, n_spans, n_repeated, kept (the remaining bytes; with passages a
-    string of the whole characters among them) and kept_sha256.
+    """docs without its text column, and with n_bytes, n_removed, n_spans, kept (the remaining bytes; with passages a string of the
+    whole characters among them), kept_sha256 and n_repeated.
 
     Every byte of a text (as UTF-8) that is covered by a string of WINDOW bytes which also starts anywhere else, in another
     row or in the same, is removed; overlaps count; strings are judged on the input.  With passages, so many whole WORDS
@@ -521,7 +477,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", pas
     whole = whole.mapInArrow(_pack("__text"), fields).join(spans, ["__key", "__hash"], "left").drop("__key", "__hash")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     kind = "string" if passages else "binary"
-    return whole.mapInArrow(lambda batches: _remove(batches, passages), f"{schema}, n_bytes long, n_removed long, n_spans long, n_repeated long, kept {kind}, kept_sha256 string")
+    return whole.mapInArrow(lambda batches: _remove(batches, passages), f"{schema}, n_bytes long, n_removed long, n_spans long, kept {kind}, kept_sha256 string, n_repeated long")
 
 
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
