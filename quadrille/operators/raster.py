@@ -72,7 +72,7 @@ def _least_labels(side: int):
         while len(a):  # roots of pixels that touch are tied to the lesser one, then paths are halved
             one, two = label[a], label[b]
             np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
-            while (deeper := label[label]).tolist() != label.tolist():
+            while not np.array_equal(deeper := label[label], label):
                 label = deeper
             differ = label[a] != label[b]
             a, b = a[differ], b[differ]

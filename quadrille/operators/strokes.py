@@ -1,20 +1,19 @@
-"""Finding strokes of overlaid text: colour channels, blurs, morphology, support bands and template scores.
+"""Finding strokes of overlaid text: colour channels, blurs, morphology, support bands, and what templates are compared on.
 
-Images are pixel relations, so a blur is a weighted sum over a moving row and a moving column of one image; a template is
-compared with its image in one task.  Edges of blurs weigh what there is; image
-libraries mirror the edge instead, so values within a blur's radius of it can differ slightly from theirs.
+Images are pixel relations, so a blur is a weighted sum over a moving row and a moving column of one image.  Edges of blurs
+weigh what there is; image libraries mirror the edge instead, so values within a blur's radius of it can differ slightly from
+theirs.
 """
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import half_even
 from ..sources.shared import cut
-from .raster import _moving, close_gaps, component_stats, coverage, dilate, histogram, label_components, otsu, text_like
+from .edges import byte, canny
+from .raster import SOLID, _moving, close_gaps, component_stats, coverage, dilate, histogram, label_components, otsu, text_like
 
 
 def channels(rgb: DataFrame) -> DataFrame:
@@ -56,50 +55,58 @@ def top_hat(pixels: DataFrame, radius: int) -> DataFrame:
     return pixels.join(opened.select("image_id", "y", "x", "o"), ["image_id", "y", "x"]).withColumn("v", F.col("v") - F.col("o")).drop("o")
 
 
-def gradient(pixels: DataFrame) -> DataFrame:
-    """image_id, y, x, edge: size of the central differences, one-sided at the edges."""
-    across = Window.partitionBy("image_id", "y").orderBy("x")
-    down = Window.partitionBy("image_id", "x").orderBy("y")
-    step = lambda w: F.coalesce(F.lead("v").over(w), F.col("v")) - F.coalesce(F.lag("v").over(w), F.col("v"))
-    return pixels.withColumn("gx", step(across)).withColumn("gy", step(down)).select("image_id", "y", "x", F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2).alias("edge"))
+def detail(gray: DataFrame, sigma: float, own: float) -> DataFrame:
+    """gray(image_id, y, x, v: 0 to 255) sharpened: own times itself less (own - 1) times its blur, as 8-bit pixels."""
+    soft = blur(gray, sigma).select("image_id", "y", "x", byte(F.col("v")).alias("soft"))
+    return gray.join(soft, ["image_id", "y", "x"]).select("image_id", "y", "x", byte(F.col("v") * own - F.col("soft") * (own - 1)).alias("v"))
 
 
-def match_surface(rgb: DataFrame, sigma: float = 2.2) -> DataFrame:
-    """image_id, y, x, v: whiteness with some detail and edges, what templates are compared on; 0 to 255."""
+def match_surface(rgb: DataFrame, side: int) -> DataFrame:
+    """image_id, y, x, v: whiteness with some detail and edges, what templates are compared on; 8-bit pixels."""
+    at = ["image_id", "y", "x"]
     c = channels(rgb)
-    gray = c.select("image_id", "y", "x", F.col("gray").cast("double").alias("v"))
-    soft = blur(gray, sigma).withColumnRenamed("v", "soft")
-    both = c.join(soft, ["image_id", "y", "x"]).join(gradient(gray), ["image_id", "y", "x"])
-    limited = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(255.0), v))
-    detail = limited(F.col("gray") * 1.9 - F.col("soft") * 0.9)
-    base = limited(F.col("whiteness") * 0.75 + detail * 0.2)
-    edge = F.when(F.col("edge") >= 60, 255.0).otherwise(0.0)
-    return both.select("image_id", "y", "x", limited(base * 0.9 + edge * 0.1).alias("v"))
+    sharp = cut(detail(c.select(*at, F.col("gray").alias("v")), 3.0, 1.8), "detail")
+    edges = canny(sharp, 40, 120, side).withColumnRenamed("v", "edge")
+    both = c.select(*at, "whiteness").join(sharp, at).join(edges, at)
+    surface = byte(F.col("whiteness") * 0.75 + F.col("v") * 0.2)
+    return both.select(*at, byte(surface * 0.9 + F.col("edge") * 0.1).alias("v"))
+
+
+def soft_box(width: int, height: int, x0: int, y0: int, x1: int, y1: int, sigma: float) -> Column:
+    """Whether the pixel (x, y) is set in a rectangle whose ends belong to it, blurred and cut at SOLID.  The blur of a
+    rectangle is a product of one for its columns and one for its rows; beyond the frame its edge goes on."""
+    weights = gauss(sigma)
+
+    def part(axis: str, low: int, high: int, size: int) -> Column:
+        reach = range(-len(weights) + 1, len(weights))
+        near = [F.when(F.greatest(F.lit(0), F.least(F.lit(size - 1), F.col(axis) + k)).between(low, high), weights[abs(k)]).otherwise(0.0) for k in reach]
+        return sum(near[1:], near[0]) / sum(weights[abs(k)] for k in reach)
 
+    return F.round(part("x", x0, x1, width) * part("y", y0, y1, height) * 255, 6) >= SOLID
 
-def band(images: DataFrame, width: int, height: int, x0: int, y0: int, x1: int, y1: int) -> DataFrame:
-    """image_id, y, x, v: 255 in a rectangle whose ends belong to it and, as its edge is blurred and cut at a low value, one
-    pixel around it; else 0."""
-    inside = F.col("x").between(x0 - 1, x1 + 1) & F.col("y").between(y0 - 1, y1 + 1)
-    cells = images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select("image_id", F.col("y").cast("long").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
-    return cells.select("image_id", "y", F.col("x").cast("long").alias("x")).withColumn("v", F.when(inside, 255).otherwise(0).cast("long"))
+
+def band(images: DataFrame, width: int, height: int, x0: int, y0: int, x1: int, y1: int, sigma: float) -> DataFrame:
+    """image_id, y, x, v: 255 where soft_box() is set, else 0."""
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    cells = images.select("image_id", upto(height).alias("y")).select("image_id", "y", upto(width).alias("x"))
+    return cells.withColumn("v", F.when(soft_box(width, height, x0, y0, x1, y1, sigma), 255).otherwise(0).cast("long"))
 
 
 def wide_band(images: DataFrame, width: int, height: int) -> DataFrame:
     """Where a line of text can be."""
-    return band(images, width, height, int(width * 0.04), int(height * 0.30), min(width, int(width * 0.96)), min(height, int(height * 0.72)))
+    return band(images, width, height, int(width * 0.04), int(height * 0.30), min(width, int(width * 0.96)), min(height, int(height * 0.72)), 1.0)
 
 
 def text_band(images: DataFrame, width: int, height: int) -> DataFrame:
     """Where a line of text usually is."""
-    return band(images, width, height, int(width * 0.10), int(height * 0.36), int(width * 0.90), int(height * 0.64))
+    return band(images, width, height, int(width * 0.10), int(height * 0.36), int(width * 0.90), int(height * 0.64), 1.2)
 
 
 def text_core(images: DataFrame, width: int, height: int) -> DataFrame:
     """The middle of a line of text."""
-    tall = max(10, int(height * 0.18))
-    top = max(0, (height - tall) // 2)
-    return band(images, width, height, int(width * 0.18), top, int(width * 0.82), min(height, top + tall))
+    tall = max(10, round(height * 0.18))
+    top = max(0, round((height - tall) / 2))
+    return band(images, width, height, int(width * 0.18), top, int(width * 0.82), min(height, top + tall), 0.8)
 
 
 def keep_text_like(mask: DataFrame, side: int, width: int, height: int) -> DataFrame:
@@ -127,6 +134,11 @@ def open_two(mask: DataFrame) -> DataFrame:
     return least.withColumn("v", F.max("v").over(across.rowsBetween(0, 1))).withColumn("v", F.max("v").over(down.rowsBetween(0, 1)))
 
 
+def thickened(mask: DataFrame) -> DataFrame:
+    """The mask grown by a pixel, blurred a little and cut at a low value: corners are rounded."""
+    return blur(_moving(mask, 1, F.max), 0.8).withColumn("v", F.when(F.round("v", 6) >= SOLID, 255).otherwise(0).cast("long"))
+
+
 def refined_mask(rgb: DataFrame, side: int, width: int, height: int, low: float = 0.003, high: float = 0.18) -> DataFrame:
     """image_id, y, x, v: strokes in the band where text can be, by cutoffs that follow each image's own brightness.  With
     too few strokes the brighter part of the band stands in, then any strokes, then the band."""
@@ -141,8 +153,8 @@ def refined_mask(rgb: DataFrame, side: int, width: int, height: int, low: float
     stroke = (F.round(F.col("gray") - F.col("soft"), 6) >= 8) | (F.col("hat") >= 10)
     told = cut(all_.select(*at, "band", bright.alias("relaxed"), (bright & stroke).alias("strict")), "strokes")
     as_mask = lambda name: told.select(*at, F.when(F.col(name), 255).otherwise(0).cast("long").alias("v"))
-    strict = cut(dilate(keep_text_like(as_mask("strict"), side, width, height), 1), "strict")
-    relaxed = dilate(as_mask("relaxed"), 1)
+    strict = cut(thickened(keep_text_like(as_mask("strict"), side, width, height)), "strict")
+    relaxed = thickened(as_mask("relaxed"))
     shares = coverage(strict).select("image_id", F.col("full_ratio").alias("own")).join(told.groupBy("image_id").agg(F.avg(F.col("relaxed").cast("double")).alias("loose")), "image_id")
     choice = (
         F.when(F.col("own").between(low, min(high, 0.085)), "strict").when((F.col("own") < low) & F.col("loose").between(low, min(high, 0.12)), "relaxed")
@@ -160,76 +172,20 @@ def fuse(steady: DataFrame, model: DataFrame, radius: int = 1) -> DataFrame:
     return both.select("image_id", "y", "x", F.greatest("v", F.when(F.col("near") > 0, F.coalesce("m", F.lit(0))).otherwise(0)).alias("v"))
 
 
-def template_mask(rgb: DataFrame) -> DataFrame:
+def template_mask(rgb: DataFrame, side: int) -> DataFrame:
     """image_id, y, x, v: where a template is worth comparing: its edges and what Otsu's cutoff finds bright, thickened and
-    closed.  If that is hardly anything or nearly all of it, weaker edges alone; templates where these don't fit either have
-    no mask."""
+    closed.  If that is hardly anything or nearly all of it, the edges of the unsharpened image alone; templates where these
+    don't fit either have no mask."""
     c = channels(rgb)
-    gray = c.select("image_id", "y", "x", F.col("gray").cast("double").alias("v"))
+    gray = c.select("image_id", "y", "x", F.col("gray").alias("v"))
     at = ["image_id", "y", "x"]
-    soft = blur(gray, 2.2).withColumnRenamed("v", "soft")
-    detail = gray.join(soft, at).select(*at, F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("v") * 1.9 - F.col("soft") * 0.9)).alias("v"))
     cutoffs = otsu(histogram(c.select("image_id", F.col("whiteness").alias("v")))).select("image_id", "cutoff")
-    strong = gradient(detail).select(*at, (F.round("edge", 6) >= 110).alias("strong"))
-    weak = gradient(gray).select(*at, (F.round("edge", 6) >= 90).alias("weak"))
+    strong = canny(cut(detail(gray, 2.2, 1.9), "detail"), 30, 110, side).withColumnRenamed("v", "strong")
+    weak = canny(gray, 20, 90, side).withColumnRenamed("v", "weak")
     marks = cut(c.select(*at, "whiteness").join(strong, at).join(weak, at).join(cutoffs, "image_id"), "marks")
     mask = lambda on: marks.select(*at, F.when(on, 255).otherwise(0).cast("long").alias("v"))
-    full = close_gaps(_moving(mask(F.col("strong") | (F.col("whiteness") > F.col("cutoff"))), 1, F.max), 1)
-    both = cut(full.join(_moving(mask(F.col("weak")), 1, F.max).withColumnRenamed("v", "w"), at), "masks")
+    full = close_gaps(_moving(mask((F.col("strong") > 0) | (F.col("whiteness") > F.col("cutoff"))), 1, F.max), 1)
+    both = cut(full.join(_moving(mask(F.col("weak") > 0), 1, F.max).withColumnRenamed("v", "w"), at), "masks")
     share = lambda n: F.avg((F.col(n) > 0).cast("double"))
     told = both.groupBy("image_id").agg(share("v").between(0.015, 0.42).alias("fits"), share("w").between(0.01, 0.45).alias("weak_fits")).filter("fits OR weak_fits")
     return both.join(told, "image_id").select(*at, F.when(F.col("fits"), F.col("v")).otherwise(F.col("w")).cast("long").alias("v"))
-
-
-def scale_templates(templates: DataFrame, scale: float, least: int = 8) -> DataFrame:
-    """templates(image_id, template, dy, dx, t) resized by scale, to least cells a side at least, by weighing the four cells
-    around each place; beyond the edge the edge counts."""
-    sizes = templates.groupBy("image_id", "template").agg((F.max("dy") + 1).alias("h"), (F.max("dx") + 1).alias("w"))
-    sizes = sizes.withColumns({"nh": F.greatest(F.lit(least), half_even(F.col("h") * scale)), "nw": F.greatest(F.lit(least), half_even(F.col("w") * scale))})
-    cells = sizes.withColumn("dy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nh") - 1))).withColumn("dx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nw") - 1)))
-    for d, n, new in (("dy", "h", "nh"), ("dx", "w", "nw")):
-        place = (F.col(d) + 0.5) * F.col(n) / F.col(new) - 0.5
-        near = [F.struct(F.greatest(F.lit(0), F.least(F.col(n) - 1, F.floor(place) + k)).cast("long").alias("at"), (1 - F.abs(place - F.floor(place) - k)).alias("share")) for k in (0, 1)]
-        cells = cells.withColumn(f"s{d}", F.explode(F.array(*near)))
-    source = templates.select("image_id", "template", F.col("dy").alias("oy"), F.col("dx").alias("ox"), "t")
-    on = ["image_id", "template", "oy", "ox"]
-    parts = cells.withColumns({"oy": F.col("sdy.at"), "ox": F.col("sdx.at")}).join(source, on)
-    return parts.groupBy("image_id", "template", "dy", "dx").agg(F.sum(F.col("t") * F.col("sdy.share") * F.col("sdx.share")).alias("t"))
-
-
-def _correlate(key: tuple, pixels: pd.DataFrame, templates: pd.DataFrame) -> pd.DataFrame:
-    """Scores of one image's templates at all places where they fit: one shifted product of the raster for each cell."""
-    raster = np.zeros((int(pixels["y"].max()) + 1, int(pixels["x"].max()) + 1)) if len(pixels) else np.zeros((0, 0))
-    raster[pixels["y"], pixels["x"]] = pixels["v"]
-    out = []
-    for name, cells in templates.groupby("template"):
-        high, wide = raster.shape[0] - int(cells["dy"].max()), raster.shape[1] - int(cells["dx"].max())
-        if high < 1 or wide < 1:
-            continue
-        vt, vv = np.zeros((high, wide)), np.zeros((high, wide))
-        for dy, dx, t, m in zip(cells["dy"].tolist(), cells["dx"].tolist(), cells["t"].tolist(), cells["m"].tolist()):
-            if m:
-                part = raster[dy : dy + high, dx : dx + wide]
-                vt += part * t
-                vv += part * part
-        tt = float((cells["t"] ** 2 * (cells["m"] > 0)).sum())
-        y, x = np.divmod(np.arange(high * wide), wide)
-        score = np.divide(vt, np.sqrt(vv * tt), out=np.zeros((high, wide)), where=(vv > 0) & (tt > 0))
-        out.append(pd.DataFrame({"image_id": key[0], "template": name, "y": y, "x": x, "score": score.ravel()}))
-    return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("image_id", "template", "y", "x", "score")})
-
-
-def template_scores(pixels: DataFrame, templates: DataFrame) -> DataFrame:
-    """templates(image_id, template, dy, dx, t: cells of small rasters; m: 0 for cells that don't count, may be missing) ->
-    image_id, template, y, x, score: the normalised correlation with each place of the image where the template fits; 0
-    where either is all dark.  An image and its templates come together in one task, which a raster's size bounds; no pair of
-    a pixel and a cell is ever a row."""
-    cells = templates.select("image_id", "template", "dy", "dx", F.col("t").cast("double").alias("t"), (F.col("m") if "m" in templates.columns else F.lit(1)).cast("int").alias("m"))
-    both = pixels.select("image_id", "y", "x", F.col("v").cast("double").alias("v")).groupBy("image_id").cogroup(cells.groupBy("image_id"))
-    return both.applyInPandas(_correlate, "image_id long, template long, y long, x long, score double")
-
-
-def cut_templates(pixels: DataFrame, regions: DataFrame) -> DataFrame:
-    """image_id, template, dy, dx, t: the pixels of each region as a template; template is the region's ord."""
-    inside = F.expr("p.image_id = r.image_id AND p.x >= r.x AND p.x < r.x + r.w AND p.y >= r.y AND p.y < r.y + r.h")
-    return pixels.alias("p").join(regions.alias("r"), inside).select("p.image_id", F.col("r.ord").alias("template"), (F.col("p.y") - F.col("r.y")).alias("dy"), (F.col("p.x") - F.col("r.x")).alias("dx"), F.col("p.v").alias("t"))

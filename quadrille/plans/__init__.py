@@ -1,8 +1,8 @@
 """Queries on the tables, and for each the SQL that another engine runs for the same result."""
 
-from . import analysis, config, geometry, jobs, masks, raster, reports, strokes, temporal
+from . import analysis, config, detect, geometry, jobs, masks, raster, reports, strokes, temporal
 
-MODULES = (geometry, raster, strokes, masks, analysis, temporal, config, jobs, reports)
+MODULES = (geometry, raster, strokes, masks, detect, analysis, temporal, config, jobs, reports)
 
 
 def queries() -> dict:

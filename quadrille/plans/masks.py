@@ -3,10 +3,13 @@ wide and high; the SQL is put together from the same steps as the query, each a
 
 from pyspark.sql import functions as F
 
+from ..operators import edges as e
 from ..operators import masks as m
 from ..operators import strokes as k
+from ..operators import templates as t
 from ..sources.tables import PIXELS, SIDE, pixels
 from .raster import RGB, rgb
+from .strokes import soft_box
 
 CROP = 2 * SIDE
 LONG = "CAST(CASE WHEN {} THEN 255 ELSE 0 END AS BIGINT)"
@@ -70,11 +73,24 @@ def templates(spark, sf_dir):
 
 
 TEMPLATES = f"templates AS (SELECT vec_id AS image_id, 1 AS template, dy.i AS dy, dx.i AS dx, v AS t FROM (SELECT image_id AS vec_id, y, x, v FROM pixels) p JOIN range({SIDE}) dy(i) ON y = (dy.i + {SIDE // 2}) // 2 JOIN range({SIDE}) dx(i) ON x = (dx.i + {SIDE // 2}) // 2)"
+
+
+def surfaces(spark, sf_dir):
+    """Two made-up score surfaces an image, with many equal scores."""
+    n = F.explode(F.sequence(F.lit(1), F.lit(2)))
+    score = (F.col("v") + F.col("x") * 17 * F.col("template") + F.col("y") * 5) % 251 / 251.0
+    return crops(spark, sf_dir).select("*", n.alias("n")).withColumn("template", F.col("n").cast("long")).select("image_id", "template", "y", "x", score.alias("score"))
+
+
+def boxes(spark, sf_dir):
+    return surfaces(spark, sf_dir).select("image_id", "template").distinct().select("*", (F.col("template") + 1).alias("w"), F.lit(2).alias("h"), F.lit(2).alias("pad"))
+
+
 CROPS = f"""{PIXELS}, crops AS (SELECT image_id, y * 2 + dy.i AS y, x * 2 + dx.i AS x, v FROM pixels, range(2) dy(i), range(2) dx(i)),
 crop_rgb AS (SELECT image_id, y, x, v::DOUBLE AS r, greatest(v - 20, (v * 5 + x * 3) % 256)::DOUBLE AS g, greatest(v - 30, (v * 9 + y * 7) % 256)::DOUBLE AS b FROM crops),
 regions AS (SELECT DISTINCT image_id, image_id % 11 * 2 - 3 AS x, image_id % 7 * 3 - 2 AS y, image_id % 5 * 2 + 1 AS w, image_id % 3 * 2 + 1 AS h FROM pixels)"""
-# the text band and core of a crop, one pixel larger on each side
-BAND, CORE = f"x BETWEEN 0 AND {CROP - 1} AND y BETWEEN 4 AND 11", "x BETWEEN 1 AND 14 AND y BETWEEN 2 AND 14"
+# the text band and core of a crop
+BAND, CORE = soft_box(CROP, CROP, 1, 5, 14, 10, 1.2), soft_box(CROP, CROP, 2, 3, 13, 13, 0.8)
 
 
 def near(src: str, dst: str, lo: int, hi: int, what: str) -> str:
@@ -106,9 +122,12 @@ def like_text(src: str, dst: str, side: int) -> str:
   LEFT JOIN {dst}_good g ON g.image_id = l.image_id AND g.label = l.label)"""
 
 
+def thickened(src: str, dst: str) -> str:
+    return f"""{near(src, dst + "_thick", -1, 1, "max(b.v)")}, {blurred(dst + "_thick", dst + "_soft", 0.8)}, {dst} AS (SELECT image_id, y, x, {LONG.format("round(v, 6) >= 18")} AS v FROM {dst}_soft)"""
+
+
 def smoothed(src: str, dst: str) -> str:
-    return f"""{like_text(src, dst + "_text", CROP)}, {near(dst + "_text", dst + "_thick", -1, 1, "max(b.v)")}, {blurred(dst + "_thick", dst + "_soft", 0.8)},
-{dst} AS (SELECT image_id, y, x, {LONG.format("round(v, 6) >= 18")} AS v FROM {dst}_soft)"""
+    return f"""{like_text(src, dst + "_text", CROP)}, {thickened(dst + "_text", dst)}"""
 
 
 def trim(src: str, dst: str) -> str:
@@ -153,22 +172,41 @@ gray AS (SELECT image_id, y, x, gray AS v FROM tones)"""
 def refined(src: str, dst: str, side: int) -> str:
     """Adaptive cutoffs, strokes, and what stands in for too few of them."""
     low = lambda a, b: f"{a} BETWEEN {b[0]} AND {b[1]}"
-    band = f"x BETWEEN {int(side * 0.04) - 1} AND {min(side, int(side * 0.96)) + 1} AND y BETWEEN {int(side * 0.30) - 1} AND {min(side, int(side * 0.72)) + 1}"
+    band = soft_box(side, side, int(side * 0.04), int(side * 0.30), min(side, int(side * 0.96)), min(side, int(side * 0.72)), 1.0, "t.x", "t.y")
     return f"""{tones(src)}, {blurred("gray", "soft", 6.0)}, {near("gray", "eroded", -2, 2, "min(b.v)")}, {near("eroded", "opened", -2, 2, "max(b.v)")},
 cuts AS (SELECT image_id, greatest(128.0::DOUBLE, quantile_cont(value, 0.62)) AS bright, least(110.0::DOUBLE, quantile_cont(saturation, 0.58)) AS calm FROM tones GROUP BY image_id),
-flags AS (SELECT t.image_id, t.y, t.x, {band.replace("x ", "t.x ").replace("y ", "t.y ")} AS band, value >= bright AND saturation <= calm AND band AS relaxed,
+flags AS (SELECT t.image_id, t.y, t.x, {band} AS band, value >= bright AND saturation <= calm AND band AS relaxed,
   relaxed AND (round(t.gray - s.v, 6) >= 8 OR t.gray - o.v >= 10) AS strict FROM tones t JOIN cuts USING (image_id) JOIN soft s ON s.image_id = t.image_id AND s.y = t.y AND s.x = t.x JOIN opened o ON o.image_id = t.image_id AND o.y = t.y AND o.x = t.x),
-strict0 AS (SELECT image_id, y, x, {LONG.format("strict")} AS v FROM flags), {like_text("strict0", "strict1", side)}, {dilated("strict1", "strict", 1)},
-relaxed0 AS (SELECT image_id, y, x, {LONG.format("relaxed")} AS v FROM flags), {dilated("relaxed0", "relaxed", 1)},
+strict0 AS (SELECT image_id, y, x, {LONG.format("strict")} AS v FROM flags), {like_text("strict0", "strict1", side)}, {thickened("strict1", "strict")},
+relaxed0 AS (SELECT image_id, y, x, {LONG.format("relaxed")} AS v FROM flags), {thickened("relaxed0", "relaxed")},
 own AS (SELECT image_id, {share("v = 255")} AS own FROM strict GROUP BY image_id), loose AS (SELECT image_id, {share("relaxed")} AS loose FROM flags GROUP BY image_id),
 picked AS (SELECT image_id, CASE WHEN {low("own", (0.003, 0.085))} THEN 'strict' WHEN own < 0.003 AND {low("loose", (0.003, 0.12))} THEN 'relaxed' WHEN own > 0 THEN 'strict' ELSE 'band' END AS choice FROM own JOIN loose USING (image_id)),
 {dst} AS (SELECT f.image_id, f.y, f.x, CASE choice WHEN 'strict' THEN s.v WHEN 'relaxed' THEN l.v ELSE {LONG.format("band")} END AS v
   FROM flags f JOIN picked USING (image_id) JOIN strict s ON s.image_id = f.image_id AND s.y = f.y AND s.x = f.x JOIN relaxed l ON l.image_id = f.image_id AND l.y = f.y AND l.x = f.x)"""
 
 
-def edges(src: str, dst: str, least: int) -> str:
-    return f"""{dst}_steps AS (SELECT *, coalesce(lead(v) OVER r, v) - coalesce(lag(v) OVER r, v) AS gx, coalesce(lead(v) OVER c, v) - coalesce(lag(v) OVER c, v) AS gy FROM {src} WINDOW r AS (PARTITION BY image_id, y ORDER BY x), c AS (PARTITION BY image_id, x ORDER BY y)),
-{dst} AS (SELECT image_id, y, x, round(sqrt(gx * gx + gy * gy), 6) >= {least} AS on_ FROM {dst}_steps)"""
+def byte(value: str) -> str:
+    return f"CAST(greatest(0, least(255, round_even(round({value}, 6), 0))) AS BIGINT)"
+
+
+def sharpened(src: str, dst: str, sigma: float, own: float) -> str:
+    return f"""{blurred(src, dst + "_soft", sigma)}, {dst} AS (SELECT g.image_id, g.y, g.x, {byte(f"g.v * {own}::DOUBLE - {byte('s.v')} * {round(own - 1, 6)}::DOUBLE")} AS v FROM {src} g JOIN {dst}_soft s ON s.image_id = g.image_id AND s.y = g.y AND s.x = g.x)"""
+
+
+def canny(src: str, dst: str, low: int, high: int) -> str:
+    """Each pixel's gradient from the nine around it, its two rivals by their places, and a closure from the strong ones."""
+    held = f"{dst}_size"
+    return f"""{dst}_frame AS (SELECT image_id, max(y) AS my, max(x) AS mx FROM {src} GROUP BY image_id),
+{dst}_grad AS (SELECT a.image_id, a.y, a.x, CAST(sum(b.v * dx.i * (2 - abs(dy.i))) AS BIGINT) AS gx, CAST(sum(b.v * dy.i * (2 - abs(dx.i))) AS BIGINT) AS gy FROM {src} a JOIN {dst}_frame f ON f.image_id = a.image_id, range(-1, 2) dy(i), range(-1, 2) dx(i), {src} b
+  WHERE b.image_id = a.image_id AND b.y = greatest(0, least(my, a.y + dy.i)) AND b.x = greatest(0, least(mx, a.x + dx.i)) GROUP BY a.image_id, a.y, a.x),
+{held} AS (SELECT *, abs(gx) + abs(gy) AS m, CASE WHEN abs(gy) * 32768 < abs(gx) * 13573 THEN 0 WHEN abs(gy) * 32768 > abs(gx) * 79109 THEN 1 WHEN (gx < 0) <> (gy < 0) THEN 2 ELSE 3 END AS way FROM {dst}_grad),
+{dst}_ridge AS (SELECT a.image_id, a.y, a.x, a.m FROM {held} a
+  LEFT JOIN {held} p ON p.image_id = a.image_id AND p.y = a.y - [0, 1, 1, 1][a.way + 1] AND p.x = a.x - [1, 0, -1, 1][a.way + 1]
+  LEFT JOIN {held} n ON n.image_id = a.image_id AND n.y = a.y + [0, 1, 1, 1][a.way + 1] AND n.x = a.x + [1, 0, -1, 1][a.way + 1]
+  WHERE a.m > {low} AND a.m > coalesce(p.m, 0) AND (a.m > coalesce(n.m, 0) OR a.way < 2 AND a.m = coalesce(n.m, 0))),
+{dst}_reach(image_id, y, x) AS (SELECT image_id, y, x FROM {dst}_ridge WHERE m > {high}
+  UNION SELECT b.image_id, b.y, b.x FROM {dst}_reach a JOIN {dst}_ridge b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+{dst} AS (SELECT s.image_id, s.y, s.x, {LONG.format("r.x IS NOT NULL")} AS v FROM {src} s LEFT JOIN {dst}_reach r ON r.image_id = s.image_id AND r.y = s.y AND r.x = s.x)"""
 
 
 def pair(columns: str, *tables: str) -> str:
@@ -242,35 +280,56 @@ SELECT image_id, y, x, round(CASE len(cs) WHEN 1 THEN one WHEN 2 THEN two ELSE v
     ),
     "frame_candidate": (lambda s, d: k.frame_candidate(crop_rgb(s, d), CROP, CROP, CROP), f"{W}, {CANDIDATE} SELECT * FROM candidate"),
     "refined_mask": (lambda s, d: k.refined_mask(crop_rgb(s, d), CROP, CROP, CROP), f"{W}, {refined('crop_rgb', 'out', CROP)} SELECT * FROM out"),
+    "canny_edges": (lambda s, d: e.canny(crops(s, d), 40, 120, CROP), f"{W}, {canny('crops', 'edge', 40, 120)} SELECT * FROM edge"),
     "match_surface": (
-        lambda s, d: k.match_surface(rgb(s, d)).withColumn("v", F.round("v", 4)),
-        f"""WITH {PIXELS}, {RGB}, {tones("rgb")}, {blurred("gray", "soft", 2.2)},
-steps AS (SELECT *, coalesce(lead(v) OVER r, v) - coalesce(lag(v) OVER r, v) AS gx, coalesce(lead(v) OVER c, v) - coalesce(lag(v) OVER c, v) AS gy FROM gray WINDOW r AS (PARTITION BY image_id, y ORDER BY x), c AS (PARTITION BY image_id, x ORDER BY y)),
-base AS (SELECT t.image_id, t.y, t.x, whiteness, sqrt(gx * gx + gy * gy) >= 60 AS edge, greatest(0.0, least(255.0, t.gray * 1.9::DOUBLE - s.v * 0.9::DOUBLE)) AS detail FROM tones t JOIN soft s ON s.image_id = t.image_id AND s.y = t.y AND s.x = t.x JOIN steps g ON g.image_id = t.image_id AND g.y = t.y AND g.x = t.x)
-SELECT image_id, y, x, round(greatest(0.0, least(255.0, greatest(0.0, least(255.0, whiteness * 0.75::DOUBLE + detail * 0.2::DOUBLE)) * 0.9::DOUBLE + CASE WHEN edge THEN 25.5 ELSE 0.0 END)), 4)::DOUBLE AS v FROM base""",
+        lambda s, d: k.match_surface(rgb(s, d), SIDE),
+        f"""WITH RECURSIVE {PIXELS}, {RGB}, {tones("rgb")}, {sharpened("gray", "sharp", 3.0, 1.8)}, {canny("sharp", "edge", 40, 120)}, base AS ({pair("t0.whiteness, t1.v, t2.v AS edge", "tones", "sharp", "edge")})
+SELECT image_id, y, x, {byte(f"{byte('whiteness * 0.75::DOUBLE + v * 0.2::DOUBLE')} * 0.9::DOUBLE + edge * 0.1::DOUBLE")} AS v FROM base""",
     ),
     "template_mask": (
-        lambda s, d: k.template_mask(template_rgb(s, d)),
-        f"""{W}, template_rgb AS (SELECT image_id, y, x, {TONE}::DOUBLE AS r, {TONE}::DOUBLE AS g, ({TONE} + 5)::DOUBLE AS b FROM crops), {tones("template_rgb")}, {blurred("gray", "soft", 2.2)}, detail AS (SELECT g.image_id, g.y, g.x, greatest(0.0, least(255.0, g.v * 1.9::DOUBLE - s.v * 0.9::DOUBLE)) AS v FROM gray g JOIN soft s ON s.image_id = g.image_id AND s.y = g.y AND s.x = g.x),
-{edges("detail", "strong", 110)}, {edges("gray", "weak", 90)}, cuts AS (SELECT DISTINCT image_id, whiteness AS v FROM tones),
+        lambda s, d: k.template_mask(template_rgb(s, d), CROP),
+        f"""{W}, template_rgb AS (SELECT image_id, y, x, {TONE}::DOUBLE AS r, {TONE}::DOUBLE AS g, ({TONE} + 5)::DOUBLE AS b FROM crops), {tones("template_rgb")}, {sharpened("gray", "sharp", 2.2, 1.9)},
+{canny("sharp", "strong", 30, 110)}, {canny("gray", "weak", 20, 90)}, cuts AS (SELECT DISTINCT image_id, whiteness AS v FROM tones),
 classes AS (SELECT c.image_id, c.v, count(*) FILTER (whiteness <= c.v) AS n0, count(*) FILTER (whiteness > c.v) AS n1, avg(whiteness) FILTER (whiteness <= c.v) AS m0, avg(whiteness) FILTER (whiteness > c.v) AS m1 FROM cuts c JOIN tones USING (image_id) GROUP BY c.image_id, c.v),
 cutoffs AS (SELECT image_id, v AS cutoff FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY coalesce(round(n0 * n1 * (m0 - m1) * (m0 - m1), 6), 0.0) DESC, v) AS k FROM classes) WHERE k = 1),
-full0 AS (SELECT t.image_id, t.y, t.x, {LONG.format("e.on_ OR whiteness > cutoff")} AS v FROM tones t JOIN cutoffs USING (image_id) JOIN strong e ON e.image_id = t.image_id AND e.y = t.y AND e.x = t.x),
-{near("full0", "full1", -1, 1, "max(b.v)")}, {near("full1", "full2", -1, 1, "max(b.v)")}, {near("full2", "full3", -1, 1, "min(b.v)")}, weak0 AS (SELECT image_id, y, x, {LONG.format("on_")} AS v FROM weak), {near("weak0", "weak1", -1, 1, "max(b.v)")},
+full0 AS (SELECT t.image_id, t.y, t.x, {LONG.format("e.v > 0 OR whiteness > cutoff")} AS v FROM tones t JOIN cutoffs USING (image_id) JOIN strong e ON e.image_id = t.image_id AND e.y = t.y AND e.x = t.x),
+{near("full0", "full1", -1, 1, "max(b.v)")}, {near("full1", "full2", -1, 1, "max(b.v)")}, {near("full2", "full3", -1, 1, "min(b.v)")}, {near("weak", "weak1", -1, 1, "max(b.v)")},
 both_ AS ({pair("t0.v AS v, t1.v AS w", "full3", "weak1")}), fits AS (SELECT image_id, {share("v > 0")} BETWEEN 0.015 AND 0.42 AS fits, {share("w > 0")} BETWEEN 0.01 AND 0.45 AS weak_fits FROM both_ GROUP BY image_id)
 SELECT image_id, y, x, CASE WHEN fits THEN v ELSE w END AS v FROM both_ JOIN fits USING (image_id) WHERE fits OR weak_fits""",
     ),
     "template_scaled": (
-        lambda s, d: k.scale_templates(templates(s, d), 1.08).withColumn("t", F.round("t", 6)),
+        lambda s, d: t.scale_templates(templates(s, d), 1.08).withColumn("t", F.round("t", 6)),
         f"""WITH {PIXELS}, {TEMPLATES}, sized AS (SELECT image_id, template, dy, dx, h, w, (dy + 0.5::DOUBLE) * h / 9 - 0.5::DOUBLE AS py, (dx + 0.5::DOUBLE) * w / 9 - 0.5::DOUBLE AS px FROM (SELECT image_id, template, max(dy) + 1 AS h, max(dx) + 1 AS w FROM templates GROUP BY ALL), range(9) a(dy), range(9) b(dx)),
 parts AS (SELECT s.image_id, s.template, s.dy, s.dx, t.t * (1 - abs(py - floor(py) - j.i)) * (1 - abs(px - floor(px) - k.i)) AS v FROM sized s, range(2) j(i), range(2) k(i), templates t
   WHERE t.image_id = s.image_id AND t.template = s.template AND t.dy = greatest(0, least(h - 1, floor(py) + j.i)) AND t.dx = greatest(0, least(w - 1, floor(px) + k.i)))
 SELECT image_id, template, dy, dx, round(sum(v), 6) AS t FROM parts GROUP BY ALL""",
     ),
     "template_scores_masked": (
-        lambda s, d: k.template_scores(crops(s, d), templates(s, d).withColumn("m", ((F.col("dy") + F.col("dx")) % 3 > 0).cast("int"))).withColumn("score", F.round("score", 9)),
+        lambda s, d: t.template_scores(crops(s, d), templates(s, d).withColumn("m", ((F.col("dy") + F.col("dx")) % 3 > 0).cast("int"))).withColumn("score", F.round("score", 9)),
         f"""WITH {CROPS}, {TEMPLATES}, o AS (SELECT a.image_id, t.template, a.y, a.x, sum(p.v * t.t) AS vt, sum(p.v * p.v) AS vv, sum(t.t * t.t) AS tt FROM crops a JOIN templates t ON t.image_id = a.image_id AND (t.dy + t.dx) % 3 > 0
   JOIN crops p ON p.image_id = a.image_id AND p.y = a.y + t.dy AND p.x = a.x + t.dx WHERE a.x <= {CROP - SIDE} AND a.y <= {CROP - SIDE} GROUP BY a.image_id, t.template, a.y, a.x)
 SELECT image_id, template, y, x, round(CASE WHEN vv > 0 AND tt > 0 THEN vt::DOUBLE / sqrt(vv::DOUBLE * tt::DOUBLE) ELSE 0.0 END, 9) AS score FROM o""",
     ),
+    "template_mask_scaled": (
+        lambda s, d: t.scale_masks(templates(s, d).withColumn("m", (F.col("t") > 0).cast("int")).drop("t"), 0.92),
+        f"""WITH {PIXELS}, {TEMPLATES}, sized AS (SELECT image_id, template, dy, dx, h, w FROM (SELECT image_id, template, max(dy) + 1 AS h, max(dx) + 1 AS w FROM templates GROUP BY ALL), range(8) a(dy), range(8) b(dx))
+SELECT s.image_id, s.template, s.dy, s.dx, CAST(t.t > 0 AS INT) AS m FROM sized s JOIN templates t ON t.image_id = s.image_id AND t.template = s.template AND t.dy = least(h - 1, s.dy * h // 8) AND t.dx = least(w - 1, s.dx * w // 8)""",
+    ),
+    "template_scores_centred": (
+        lambda s, d: t.template_scores(crops(s, d), templates(s, d).withColumn("centred", F.lit(True)), tile=3).withColumn("score", F.round("score", 9)),
+        f"""WITH {CROPS}, {TEMPLATES}, o AS (SELECT a.image_id, t.template, a.y, a.x, avg(p.v) AS mp, avg(t.t) AS mt, list(p.v ORDER BY t.dy, t.dx) AS ps, list(t.t ORDER BY t.dy, t.dx) AS ts FROM crops a JOIN templates t ON t.image_id = a.image_id
+  JOIN crops p ON p.image_id = a.image_id AND p.y = a.y + t.dy AND p.x = a.x + t.dx WHERE a.x <= {CROP - SIDE} AND a.y <= {CROP - SIDE} GROUP BY a.image_id, t.template, a.y, a.x),
+c AS (SELECT image_id, template, y, x, list_sum(list_transform(list_zip(ps, ts), lambda z: (z[1] - mp) * (z[2] - mt))) AS vt, list_sum(list_transform(ps, lambda v: (v - mp) * (v - mp))) AS vv, list_sum(list_transform(ts, lambda v: (v - mt) * (v - mt))) AS tt FROM o)
+SELECT image_id, template, y, x, round(CASE WHEN vv > 1e-6 AND tt > 1e-6 THEN vt / sqrt(vv * tt) ELSE 0.0 END, 9) AS score FROM c""",
+    ),
+    "template_peaks": (
+        lambda s, d: t.pick_peaks(surfaces(s, d), boxes(s, d), 0.44, 5, block=3),
+        f"""{W}, surfaces AS (SELECT image_id, i.n AS template, y, x, (v + x * 17 * i.n + y * 5) % 251 / 251.0::DOUBLE AS score FROM crops, range(1, 3) i(n)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id, template ORDER BY score DESC, y, x) AS k FROM surfaces WHERE score >= 0.44::DOUBLE),
+picked(image_id, template, pick, k, ys, xs) AS (SELECT image_id, template, 1::BIGINT, 1::BIGINT, [y], [x] FROM ranked WHERE k = 1
+  UNION ALL SELECT image_id, template, n, k, list_append(ys, y), list_append(xs, x) FROM (SELECT p.image_id, p.template, p.pick + 1 AS n, r.k, ys, xs, r.y, r.x, row_number() OVER (PARTITION BY p.image_id, p.template ORDER BY r.k) AS best
+    FROM picked p JOIN ranked r ON r.image_id = p.image_id AND r.template = p.template AND r.k > p.k WHERE p.pick < 5
+     AND len(list_filter(range(1, len(ys) + 1), lambda i: r.x >= xs[i] - 2 AND r.x < xs[i] + 2 + p.template + 1 AND r.y >= ys[i] - 2 AND r.y < ys[i] + 2 + 2)) = 0) WHERE best = 1)
+SELECT p.image_id, p.template, pick, y, x, score FROM picked p JOIN ranked r ON r.image_id = p.image_id AND r.template = p.template AND r.k = p.k""",
+    ),
 }

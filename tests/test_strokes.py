@@ -6,6 +6,7 @@ import random
 import pytest
 
 from quadrille.operators import strokes as k
+from quadrille.operators import templates as t
 
 SIDE = 24
 
@@ -61,6 +62,6 @@ def test_refined_mask_finds_the_line(spark, image):
 def test_template_scores_are_one_where_it_was_cut(spark, image):
     pixels = frame(spark, image).selectExpr("image_id", "y", "x", "CAST(r AS long) AS v")
     region = spark.createDataFrame([(1, 5, 4, 10, 6, 4)], "image_id long, ord long, x long, y long, w long, h long")
-    scores = {(r["y"], r["x"]): r["score"] for r in k.template_scores(pixels, k.cut_templates(pixels, region)).collect()}
+    scores = {(r["y"], r["x"]): r["score"] for r in t.template_scores(pixels, t.cut_templates(pixels, region)).collect()}
     assert len(scores) == (SIDE - 3) * (SIDE - 5)
     assert math.isclose(scores[10, 4], 1.0) and max(scores.values()) <= 1 + 1e-12
