@@ -107,6 +107,37 @@ TEMPLATES = {
         "SPDX-License-Identifier: Unlicense",
     ],
 }
+# Notices of licences that have no family here; they belong to the unknown class.
+OTHER_LICENCES = [
+    "Licensed under the EUPL, Version 1.2 or as soon they will be approved by the European Commission, subsequent versions of the EUPL.",
+    "This work is licensed under the European Union Public License.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 1.0.",
+    "This Source Code may also be made available under the Secondary Licenses of the Eclipse Public License.",
+    "The contents of this file are subject to the terms of the Common Development and Distribution License.",
+    "You can obtain a copy of the license at http://www.opensource.org/licenses/cddl1.php",
+    "This library is free software; you can redistribute it under the Artistic License, or the same terms as Perl itself.",
+    "Released under the terms of the Artistic License.",
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "This font software is licensed under the SIL Open Font License, Version 1.1.",
+    "Licensed under the Python Software Foundation License version 2.",
+    "Licensed under the Academic Free License version 3.0.",
+    "Licensed under the Microsoft Public License.",
+    "This database is made available under the Open Database License.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "The code is licensed under the Server Side Public License, version 1.",
+    "Use of this software is subject to the Business Source License.",
+    "Licensed under the Common Public License.",
+    "This file is part of a proprietary product; redistribution in any form is not permitted.",
+    "Permission to copy this document is denied without prior written consent.",
+    "SPDX-License-Identifier: EPL-1.0",
+    "SPDX-License-Identifier: Zlib",
+    "SPDX-License-Identifier: BSL-1.0",
+    "SPDX-License-Identifier: OFL-1.1",
+]
 # Sentences of the unknown class.
 OTHERS = [
     "The driver showed a license to the officer and went on.",
@@ -131,44 +162,57 @@ UNKNOWN = len(FAMILIES) - 1
 BITS = 18
 GRAMS = (1, 2, 3)  # words
 EXAMPLES, EPOCHS, SEED = 60, 150, 11
-#: A family is named where it is likelier than every other and than none, and confirmed from this similarity.
-CONFIRMED = 0.6
+#: A family is named where it is likelier than every other and than none.  It is confirmed where its calibrated probability is
+#: as high as this, and so large a share of one of its templates is there.
+PROBABLE, CONFIRMED = 0.2, 0.85
 
 #: Letters in lower case; digits count as one digit; bytes beyond ASCII stay; line feeds stay; all others part words.
 _TABLE = bytes(c if c > 127 or c == 10 or chr(c).islower() else c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else 32 for c in range(256))
 
 
-def paragraph_grams(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of texts: first and last text, the text of each paragraph (a line that is not blank), and hashes of all word
-    n-grams with the paragraph that each is of."""
+def unit_grams(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of texts: first and last text; of each unit its text, its paragraph (counted over the run) and its line in it;
+    and hashes of all word n-grams with the unit that each is of.
+
+    A paragraph is what stands between lines without words.  Its units are its lines and, if it has several, the whole of it
+    (line -1), as a notice can be wrapped, or be one line among others.
+    """
     for i, j in chunks(texts):
         data = np.frombuffer((b"\n".join(texts[i:j]) + b"\n").translate(_TABLE), np.uint8)
         ends = np.cumsum([len(t) + 1 for t in texts[i:j]])
         feed = data == 10
-        inside = ~feed & (data != 32)
-        edge = np.flatnonzero(np.diff(inside, prepend=False))
+        edge = np.flatnonzero(np.diff(~feed & (data != 32), prepend=False))
         start, end = edge[::2], edge[1::2]
         word = span_hash(prefix_hash(data), start, end)
-        line = np.cumsum(feed)[start] if len(start) else np.zeros(0, np.int64)
-        _, first, paragraph = np.unique(line, return_index=True, return_inverse=True)
-        text = np.searchsorted(ends, start[first], "right")
-        hashes, owners = [], []
+        rows = np.cumsum(feed)[start] if len(start) else np.zeros(0, np.int64)
+        text = np.searchsorted(ends, start, "right")
+        fresh = lambda x: np.diff(x, prepend=-2)
+        line = np.cumsum(fresh(rows) > 0) - 1
+        paragraph = np.cumsum((fresh(rows) > 1) | (fresh(text) > 0)) - 1
+        first = np.flatnonzero(fresh(line))  # word
+        top = np.flatnonzero(fresh(paragraph[first]))  # line
+        several = np.flatnonzero(np.diff(np.append(top, len(first))) > 1)
+        whole = np.full(len(top), -1)
+        whole[several] = len(first) + np.arange(len(several))
+        units = [line, whole[paragraph]]
+        hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for n in GRAMS:
             m = len(word) - n + 1
             if m > 0:
                 value = np.zeros(m, np.uint64)
                 for k in range(n):
                     value = mix(value + word[k : m + k] + np.uint64(n))
-                whole = paragraph[:m] == paragraph[n - 1 :]
-                hashes.append(value[whole])
-                owners.append(paragraph[:m][whole])
-        join = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)])
-        yield i, j, text, join(hashes, np.uint64), join(owners, np.int64)
+                for unit in units:
+                    inside = (unit[:m] == unit[n - 1 :]) & (unit[:m] >= 0)
+                    hashes.append(value[inside])
+                    owners.append(unit[:m][inside])
+        of_line, nth = paragraph[first], np.arange(len(first)) - top[paragraph[first]] if len(first) else first
+        yield i, j, np.append(text[first], text[first[top[several]]]), np.append(of_line, several), np.append(nth, np.full(len(several), -1)), np.concatenate(hashes), np.concatenate(owners)
 
 
 def _features(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (line, bucket) pairs of lines that are one paragraph each."""
-    found = [np.unique(h >> np.uint64(64 - BITS)).astype(np.int64) for x in lines for *_, h, _ in paragraph_grams(utf8([x]))]
+    found = [np.unique(h >> np.uint64(64 - BITS)).astype(np.int64) for x in lines for *_, h, _ in unit_grams(utf8([x]))]
     return np.repeat(np.arange(len(lines)), [len(f) for f in found]), np.concatenate(found)
 
 
@@ -202,10 +246,10 @@ def model() -> dict:
     rng = np.random.default_rng(SEED)
     filler = [w for t in OTHERS for w in t.split()]
     lines, labels, unseen = [], [], []
-    for label, texts in enumerate([*(TEMPLATES[f] for f in FAMILIES[:-1]), OTHERS]):
-        for k in range(EXAMPLES * (4 if label == UNKNOWN else 1)):
+    for label, texts in enumerate([*(TEMPLATES[f] for f in FAMILIES[:-1]), OTHER_LICENCES + OTHERS]):
+        for k in range(EXAMPLES * (8 if label == UNKNOWN else 1)):
             words = texts[k % len(texts)].split()
-            if label == UNKNOWN and k % 2:
+            if label == UNKNOWN and k % 3 == 2 and k >= len(texts):
                 words = list(rng.permutation(filler)[: rng.integers(1, 40)])
             words = [w for w in words if rng.random() > (0.06 if k >= len(texts) else 0)] or words
             around = [list(rng.choice(filler, rng.integers(0, 8))) for _ in range(2)] if rng.random() < 0.5 else [[], []]
@@ -223,7 +267,7 @@ def model() -> dict:
     weights, bias = _fit(row, column, len(known), y)
     seen = np.full(1 << BITS, -1, np.int32)
     seen[known] = np.arange(len(known))
-    sets = [np.unique(np.concatenate([h for *_, h, _ in paragraph_grams(utf8([t]))])) for f in FAMILIES[:-1] for t in TEMPLATES[f]]
+    sets = [np.unique(np.concatenate([h for *_, h, _ in unit_grams(utf8([t]))])) for f in FAMILIES[:-1] for t in TEMPLATES[f]]
     return {
         "seen": seen, "weights": weights.astype(np.float32), "bias": bias, "temperature": min(loss, key=loss.get),
         "template": np.concatenate(sets), "template_of": np.repeat(np.arange(len(sets)), [len(s) for s in sets]), "sizes": np.array([len(s) for s in sets]),
@@ -232,23 +276,22 @@ def model() -> dict:
 
 
 def similarity(m: dict, grams: np.ndarray, family: int) -> float:
-    """Largest share of distinct n-grams that a paragraph has in common with a template of the family, of the smaller side."""
+    """Largest share of the distinct n-grams of one of the family's templates that are among grams."""
     own = np.unique(grams)
     of = m["template_of"][np.isin(m["template"], own)]
-    common = np.bincount(of, minlength=len(m["sizes"]))
-    share = common / np.minimum(m["sizes"], len(own))
+    share = np.bincount(of, minlength=len(m["sizes"])) / m["sizes"]
     return float(share[m["family_of"] == family].max())
 
 
-def find(texts) -> list[tuple[int, list[tuple[int, str, float, float, bool]]]]:
-    """Of each text its number of paragraphs, and those that are named: place, family, probability, similarity, confirmed."""
+def find(texts) -> list[tuple[int, list[tuple[int, int, str, float, float, bool]]]]:
+    """Of each text its number of paragraphs, and what is named: paragraph, line, family, probability, similarity, confirmed.  A
+    whole paragraph is left out if one of its lines is confirmed."""
     m = model()
     raw = utf8(texts)
     out: list[list] = [[] for _ in raw]
     n_paragraphs = np.zeros(len(raw), np.int64)
-    for i, j, text, hashes, owner in paragraph_grams(raw):
-        n = len(text)
-        n_paragraphs[i:j] = np.bincount(text, minlength=j - i)
+    for i, j, text, paragraph, line, hashes, owner in unit_grams(raw):
+        n_paragraphs[i:j] = np.bincount(text[line == 0], minlength=j - i)
         first = np.concatenate([[0], np.cumsum(n_paragraphs[i:j])])
         column = m["seen"][(hashes >> np.uint64(64 - BITS)).astype(np.int64)]
         hit = np.flatnonzero(column >= 0)
@@ -261,21 +304,28 @@ def find(texts) -> list[tuple[int, list[tuple[int, str, float, float, bool]]]]:
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         best = p[:, :UNKNOWN].argmax(1)
-        for k in np.flatnonzero(p[np.arange(len(best)), best] > p[:, UNKNOWN]).tolist():
+        sure = set()
+        for k in np.flatnonzero(p[np.arange(len(best)), best] > p[:, UNKNOWN]).tolist():  # lines come before whole paragraphs
             family, where = int(best[k]), int(some[k])
-            alike = similarity(m, hashes[owner == where], family)
-            out[i + text[where]].append((where - int(first[text[where]]), FAMILIES[family], float(p[k, family]), alike, alike >= CONFIRMED))
-    return [(int(n), found) for n, found in zip(n_paragraphs, out)]
+            if line[where] < 0 and paragraph[where] in sure:
+                continue
+            alike, chance = similarity(m, hashes[owner == where], family), float(p[k, family])
+            confirmed = chance >= PROBABLE and alike >= CONFIRMED
+            if confirmed:
+                sure.add(paragraph[where])
+            out[i + text[where]].append((int(paragraph[where] - first[text[where]]), int(line[where]), FAMILIES[family], chance, alike, confirmed))
+    return [(int(n), sorted(found)) for n, found in zip(n_paragraphs, out)]
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_paragraphs, found: array of (paragraph, family, probability, similarity, confirmed), for each row of docs.
+    """key, n_paragraphs, found: array of (paragraph, line, family, probability, similarity, confirmed), for each row of docs.
 
-    Paragraphs are lines that are not blank.  A paragraph is named when a family is likelier than the unknown class; then it is
-    compared with the family's templates.  A null or empty text has no paragraphs; rows are independent, so ties, repeated
-    rows and an empty table need no care; other columns are dropped, whatever their names.
+    Paragraphs stand between lines without words.  Each line, and each paragraph of several lines as a whole (line -1), is
+    named when a family is likelier than the unknown class, and confirmed when its calibrated probability is PROBABLE and a
+    share of CONFIRMED of a template's n-grams is there.  A null or empty text has no paragraphs; rows are independent, so
+    ties, repeated rows and an empty table need no care; other columns are dropped, whatever their names.
     """
-    names = ("paragraph", "family", "probability", "similarity", "confirmed")
+    names = ("paragraph", "line", "family", "probability", "similarity", "confirmed")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -285,5 +335,5 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 yield pd.DataFrame({"key": part["key"], "n_paragraphs": [n for n, _ in made], "found": [[dict(zip(names, f)) for f in found] for _, found in made]})
 
     rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    schema = "key string, n_paragraphs long, found array<struct<paragraph:int,family:string,probability:double,similarity:double,confirmed:boolean>>"
+    schema = "key string, n_paragraphs long, found array<struct<paragraph:int,line:int,family:string,probability:double,similarity:double,confirmed:boolean>>"
     return rows.mapInPandas(run, schema).select(F.col("key").cast(docs.schema[key].dataType).alias(key), "n_paragraphs", "found")

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -363,12 +364,32 @@ def test_licences(spark, documents, nothing, texts):
     found = {r["doc_id"]: r for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     right = sum([f["family"] for f in found[k]["found"] if f["confirmed"]] == [family] for k, (family, _) in enumerate(known))
     assert right >= 0.9 * len(known)
-    assert all(r["n_paragraphs"] == 3 for r in found.values())
+    assert all(r["n_paragraphs"] == 2 and all(f["line"] == 0 and f["paragraph"] == 1 for f in r["found"] if f["confirmed"]) for r in found.values())
     other = license.scan(documents).collect()
     assert len(other) == len(texts) and not any(f["confirmed"] for r in other for f in r["found"])
     assert license.scan(nothing).count() == 0
     for text in ("The driver showed his licence.", "Copyright 2020 the authors.", "Licensed under the Frobozz terms"):
-        assert not any(f[4] for f in license.find([text])[0][1])
+        assert not any(f[5] for f in license.find([text])[0][1])
+
+
+@pytest.mark.parametrize("line", [
+    "MIT", "BSD", "Mozilla Public", "public license", "Creative Commons", "Permission is hereby denied.", "Eclipse Public License v 2.0", "Artistic License 2.0",
+    "This Source Code Form is subject to the terms of the European Union Public Licence, v. 1.2.", "This work is licensed under CC BY-ND 4.0.", "Licensed under the zlib License.",
+    "Licensed under the Vim License.", "SPDX-License-Identifier: EUPL-1.2", "Licensed under the EPL 2.0", "Released under the WTFPL.", "Distributed under the terms of the Ruby License.",
+])
+def test_other_licences_are_not_confirmed(line):
+    rng = random.Random(2)
+    for text in (line, f"{line}\n{prose(rng, 20)}", f"{prose(rng, 20)}\n\n{line}\n"):
+        assert not any(f[5] for f in license.find([text])[0][1])
+
+
+def test_wrapped_notices():
+    """A notice over several lines is one paragraph; one of its lines that is confirmed stands for it."""
+    notice = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    wrapped = "\n".join(textwrap.wrap(notice, 40))
+    (n, found), (m, one), none = license.find([f"Copyright\n \n\n{wrapped}\n\nx", f"\n{notice}\ny", None])
+    assert n == 3 and [f[:3] for f in found if f[5]] == [(1, -1, "MPL")]
+    assert m == 1 and [f[:3] for f in one if f[5]] == [(0, 0, "MPL")] and none == (0, [])
 
 
 def test_licence_probabilities():
@@ -376,12 +397,11 @@ def test_licence_probabilities():
     m = license.model()
     word_hash = lambda w: _common.span_hash(_common.prefix_hash(np.frombuffer(w, np.uint8)), np.array([0]), np.array([len(w)]))
     text = "handor tiones\n\nReleased under the MIT License.\nThis book was released in 1999 under the name of the company\n  \nLicensed under CC BY-NC 4.0. or so\nx"
-    expected, place = [], -1
-    for line in text.split("\n"):
-        words = line.encode().translate(license._TABLE).split()
-        if not words:
-            continue
-        place += 1
+    units, sure, expected = [], set(), []
+    for p, part in enumerate([["handor tiones"], text.split("\n")[2:4], text.split("\n")[5:]]):
+        units += [(0, p, k, line) for k, line in enumerate(part)] + ([(1, p, -1, " ".join(part))] if len(part) > 1 else [])
+    for _, paragraph, line, unit in sorted(units):
+        words = unit.encode().translate(license._TABLE).split()
         grams = set()
         for n in license.GRAMS:
             for k in range(len(words) - n + 1):
@@ -395,18 +415,20 @@ def test_licence_probabilities():
         z = [(sum(float(m["weights"][c, f]) for c in columns) + m["bias"][f]) / m["temperature"] for f in range(len(license.FAMILIES))]
         p = [math.exp(x - max(z)) for x in z]
         best = max(range(license.UNKNOWN), key=lambda f: p[f])
-        if p[best] <= p[license.UNKNOWN]:
+        if p[best] <= p[license.UNKNOWN] or line < 0 and paragraph in sure:
             continue
         shares = []
-        for k, size in enumerate(m["sizes"].tolist()):
-            if m["family_of"][k] == best:
-                template = {int(g) for g, of in zip(m["template"], m["template_of"]) if of == k}
-                shares.append(len(template & grams) / min(size, len(grams)))
-        expected.append((place, license.FAMILIES[best], p[best] / sum(p), max(shares), max(shares) >= license.CONFIRMED))
+        for k in np.flatnonzero(m["family_of"] == best).tolist():
+            template = {int(g) for g, of in zip(m["template"], m["template_of"]) if of == k}
+            shares.append(len(template & grams) / len(template))
+        confirmed = p[best] / sum(p) >= license.PROBABLE and max(shares) >= license.CONFIRMED
+        sure |= {paragraph} if confirmed else set()
+        expected.append((paragraph, line, license.FAMILIES[best], p[best] / sum(p), max(shares), confirmed))
     (n, found) = license.find(["", text, "x y"])[1]
-    assert n == place + 1 and [f[:2] + f[4:] for f in found] == [e[:2] + e[4:] for e in expected]
-    assert all(abs(f[2] - e[2]) < 1e-5 and abs(f[3] - e[3]) < 1e-9 for f, e in zip(found, expected))
-    assert {f[1] for f in found if f[4]} >= {"MIT", "CC-BY-NC"}
+    expected.sort()
+    assert n == 3 and [f[:3] + f[5:] for f in found] == [e[:3] + e[5:] for e in expected]
+    assert all(abs(f[3] - e[3]) < 1e-5 and abs(f[4] - e[4]) < 1e-9 for f, e in zip(found, expected))
+    assert {f[2] for f in found if f[5]} >= {"MIT", "CC-BY-NC"}
 
 
 # --- suffix arrays ---------------------------------------------------------------------------------------------------
