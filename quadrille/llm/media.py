@@ -15,7 +15,8 @@ ROWS = 1024  # rows a frame at most
 DELAY = 10  # hundredths of a second
 LAST = 4095  # largest code of the format
 LEVELS = 4  # histogram levels of each colour channel
-MOST_PIXELS = 1 << 24  # of a canvas or an image; a file that declares more has an error instead of frames
+#: Pixels of a canvas or an image, where the caller sets no other bound: a file that declares more has an error instead of frames.
+MOST_PIXELS = 1 << 24
 # For each pass of an interlaced image, its first row and the step between rows.
 PASSES = ((0, 8), (4, 8), (2, 4), (1, 2))
 GREY = bytes(v for v in range(256) for _ in range(3))
@@ -164,12 +165,12 @@ def encode_gifs(payloads: list[bytes], delay_cs: int = DELAY) -> list[bytes]:
     return out
 
 
-def parse_gif(data: bytes) -> tuple[tuple[int, int], list[dict]]:
+def parse_gif(data: bytes, most_pixels: int | None = MOST_PIXELS) -> tuple[tuple[int, int], list[dict]]:
     """Canvas size, and of each image: its place, times, disposal, transparent index, palette, code size and code stream."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     wide, high, flags = struct.unpack_from("<HHB", data, 6)
-    if wide * high > MOST_PIXELS:
+    if most_pixels is not None and wide * high > most_pixels:
         raise ValueError("a canvas of too many pixels")
     at = 13
 
@@ -207,7 +208,7 @@ def parse_gif(data: bytes) -> tuple[tuple[int, int], list[dict]]:
         elif data[at] == 0x2C:
             x, y, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
             at += 10
-            if w * h > MOST_PIXELS:
+            if most_pixels is not None and w * h > most_pixels:
                 raise ValueError("an image of too many pixels")
             own = palette(flags)
             colours = common if own is None else own
@@ -250,12 +251,12 @@ def draw(shape: tuple[int, int], images: list[dict], samples: list[np.ndarray])
             part[...] = kept
 
 
-def decode_gifs(files: list[bytes | None]) -> Iterator[tuple[list[dict] | None, str | None]]:
+def decode_gifs(files: list[bytes | None], most_pixels: int | None = MOST_PIXELS) -> Iterator[tuple[list[dict] | None, str | None]]:
     """For each file its frames, drawn one by one, or why it is no GIF.  The code streams of all are read together."""
     parsed, errors = [], []
     for data in files:
         try:
-            parsed.append(((0, 0), []) if data is None else parse_gif(data))
+            parsed.append(((0, 0), []) if data is None else parse_gif(data, most_pixels))
             errors.append(None)
         except (ValueError, IndexError, struct.error) as e:
             parsed.append(((0, 0), []))
@@ -309,10 +310,10 @@ def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return stored.select(F.col("key").cast(docs.schema[key].dataType).alias(key), "n_bytes", "gif")
 
 
-def read_frames(media: DataFrame, gif: str = "gif", pixels: bool = False) -> DataFrame:
+def read_frames(media: DataFrame, gif: str = "gif", pixels: bool = False, most_pixels: int | None = MOST_PIXELS) -> DataFrame:
     """media with what its GIFs hold: frames (times, place, histogram; pixels adds the RGBA canvas), samples (the red channel
     of the drawn parts, in order; what store_texts() stored) and error (null, or why the bytes are no whole GIF, or that it
-    declares over MOST_PIXELS pixels, which no task should have to hold).
+    declares over most_pixels pixels; a task holds a few bytes for each, and with None there is no bound).
 
     A null gif has null frames and samples and no error.  Columns of media keep their values; its own columns called
     frames, samples or error give way.
@@ -337,7 +338,7 @@ def read_frames(media: DataFrame, gif: str = "gif", pixels: bool = False) -> Dat
         for batch in batches:
             files = batch.column(kept.index(gif)).to_pylist()
             for i, j in portions(files):
-                found = [read(*x) for x in decode_gifs(files[i:j])]
+                found = [read(*x) for x in decode_gifs(files[i:j], most_pixels)]
                 made = [pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *made], [*kept, "frames", "samples", "error"])
 
@@ -345,6 +346,6 @@ def read_frames(media: DataFrame, gif: str = "gif", pixels: bool = False) -> Dat
     return media.select(*[f"`{c}`" for c in kept]).mapInArrow(run, schema)
 
 
-def frame_table(media: DataFrame, key: str, gif: str = "gif") -> DataFrame:
+def frame_table(media: DataFrame, key: str, gif: str = "gif", most_pixels: int | None = MOST_PIXELS) -> DataFrame:
     """One row for each frame: key, frame, its times, place, RGBA canvas and histogram."""
-    return read_frames(media.select(key, gif), gif, pixels=True).select(key, F.posexplode("frames").alias("frame", "f")).select(key, "frame", "f.*")
+    return read_frames(media.select(key, gif), gif, True, most_pixels).select(key, F.posexplode("frames").alias("frame", "f")).select(key, "frame", "f.*")

@@ -52,6 +52,28 @@ def test_gif_empty_and_broken(spark, nothing):
     assert bytes(got[5]["samples"]) == bytes(range(256))
 
 
+# a picture of ten by ten pixels in four colours, as a well-known description of the format gives its bytes
+PICTURE = bytes.fromhex("47494638396 10a000a0091 0000ffffffff00000000ff000000 21f9040000000000 2c000000000a000a0000 02168c2d99872a1cdc33a00275ec95faa8de608c04914c0100 3b".replace(" ", ""))
+ROWS = ["1111122222"] * 3 + ["1110000222"] * 2 + ["2220000111"] * 2 + ["2222211111"] * 3
+
+
+def test_a_picture_by_its_bytes(spark):
+    """A file that this library did not write, as it is and interlaced: rows 0 and 8, then 4, then 2 and 6, then the odd ones."""
+    colours = {"0": (255, 255, 255), "1": (255, 0, 0), "2": (0, 0, 255)}
+    place = PICTURE.index(b"\x2c") + 9
+    interlaced = PICTURE[:place] + b"\x40" + PICTURE[place + 1 :]
+    woven = [None] * 10
+    for row, to in zip(ROWS, (0, 8, 4, 2, 6, 1, 3, 5, 7, 9)):
+        woven[to] = row
+    files = spark.createDataFrame([(1, PICTURE), (2, interlaced)], "id long, gif binary")
+    got = {r["id"]: r for r in media.frame_table(files, "id").collect()}
+    for i, rows in ((1, ROWS), (2, woven)):
+        assert bytes(got[i]["rgba"]) == b"".join(bytes((*colours[c], 255)) for row in rows for c in row)
+        assert sorted(n for n in got[i]["histogram"] if n) == [16, 42, 42] and (got[i]["width"], got[i]["height"]) == (10, 10)
+    small = media.read_frames(files, most_pixels=99).collect()
+    assert {r["error"] for r in small} == {"a canvas of too many pixels"} and all(r["error"] is None for r in media.read_frames(files, most_pixels=None).collect())
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_lzw_of_any_bytes(seed):
     rng = random.Random(seed)
