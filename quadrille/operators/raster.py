@@ -94,14 +94,21 @@ def component_stats(labels: DataFrame) -> DataFrame:
     return stats.select("image_id", "label", "area", "x", "y", (F.col("x1") - F.col("x") + 1).alias("w"), (F.col("y1") - F.col("y") + 1).alias("h"))
 
 
-def text_like(stats: DataFrame, width: int, height: int) -> DataFrame:
-    """Components that can be strokes of letters: neither specks, nor too large, nor large and filled."""
-    most = max(120, int(width * height * 0.065))
-    widest, highest = max(36, int(width * 0.78)), max(18, int(height * 0.78))
+def text_like(stats: DataFrame, width, height) -> DataFrame:
+    """Components that can be strokes of letters: neither specks, nor too large, nor large and filled.  width and height of the
+    image are numbers or columns of stats."""
+    wide, high = (F.col(v) if isinstance(v, str) else F.lit(v) for v in (width, height))
+    most = F.greatest(F.lit(120), F.floor(wide * high * 0.065))
+    widest, highest = F.greatest(F.lit(36), F.floor(wide * 0.78)), F.greatest(F.lit(18), F.floor(high * 0.78))
     filled = (F.col("area") / F.greatest(F.lit(1), F.col("w") * F.col("h")) > 0.82) & (F.col("area") > 48)
     return stats.filter((F.col("area") >= 4) & (F.col("area") <= most) & (F.col("w") <= widest) & (F.col("h") <= highest) & ~filled)
 
 
+def frame_sizes(pixels: DataFrame) -> DataFrame:
+    """image_id, wide, high: how large each dense raster is."""
+    return pixels.groupBy("image_id").agg((F.max("x") + 1).alias("wide"), (F.max("y") + 1).alias("high"))
+
+
 def trim_to_projection(pixels: DataFrame, width: int, height: int) -> DataFrame:
     """Pixels outside the padded box of well-filled rows and columns become 0, others 255 from SOLID on and else 0.  Images
     without such rows or columns stay as they are."""

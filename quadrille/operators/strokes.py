@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.boxes import half_even
 from ..sources.shared import cut
 from .edges import byte, canny
-from .raster import SOLID, _moving, close_gaps, component_stats, coverage, dilate, histogram, label_components, otsu, text_like
+from .raster import SOLID, _moving, close_gaps, component_stats, coverage, dilate, frame_sizes, histogram, label_components, otsu, text_like
 
 
 def channels(rgb: DataFrame) -> DataFrame:
@@ -72,14 +72,15 @@ def match_surface(rgb: DataFrame, side: int) -> DataFrame:
     return both.select(*at, byte(surface * 0.9 + F.col("edge") * 0.1).alias("v"))
 
 
-def soft_box(width: int, height: int, x0: int, y0: int, x1: int, y1: int, sigma: float) -> Column:
-    """Whether the pixel (x, y) is set in a rectangle whose ends belong to it, blurred and cut at SOLID.  The blur of a
-    rectangle is a product of one for its columns and one for its rows; beyond the frame its edge goes on."""
+def soft_box(width, height, x0, y0, x1, y1, sigma: float) -> Column:
+    """Whether the pixel (x, y) is set in a rectangle whose ends belong to it, blurred and cut at SOLID; sides and ends are
+    numbers or columns.  The blur of a rectangle is a product of one for its columns and one for its rows; beyond the frame its
+    edge goes on."""
     weights = gauss(sigma)
 
-    def part(axis: str, low: int, high: int, size: int) -> Column:
-        reach = range(-len(weights) + 1, len(weights))
-        near = [F.when(F.greatest(F.lit(0), F.least(F.lit(size - 1), F.col(axis) + k)).between(low, high), weights[abs(k)]).otherwise(0.0) for k in reach]
+    def part(axis: str, low, high, size) -> Column:
+        reach, last = range(-len(weights) + 1, len(weights)), size - 1 if isinstance(size, Column) else F.lit(size - 1)
+        near = [F.when(F.greatest(F.lit(0), F.least(last, F.col(axis) + k)).between(low, high), weights[abs(k)]).otherwise(0.0) for k in reach]
         return sum(near[1:], near[0]) / sum(weights[abs(k)] for k in reach)
 
     return F.round(part("x", x0, x1, width) * part("y", y0, y1, height) * 255, 6) >= SOLID
@@ -92,6 +93,14 @@ def band(images: DataFrame, width: int, height: int, x0: int, y0: int, x1: int,
     return cells.withColumn("v", F.when(soft_box(width, height, x0, y0, x1, y1, sigma), 255).otherwise(0).cast("long"))
 
 
+def own_band(pixels: DataFrame) -> DataFrame:
+    """image_id, y, x, band: wide_band() of images of any sizes, from their dense pixels."""
+    w, h = F.col("wide"), F.col("high")
+    part = lambda size, share: F.floor(size * share)
+    box = soft_box(w, h, part(w, 0.04), part(h, 0.30), F.least(w, part(w, 0.96)), F.least(h, part(h, 0.72)), 1.0)
+    return pixels.select("image_id", "y", "x").join(frame_sizes(pixels), "image_id").select("image_id", "y", "x", F.when(box, 255).otherwise(0).cast("long").alias("band"))
+
+
 def wide_band(images: DataFrame, width: int, height: int) -> DataFrame:
     """Where a line of text can be."""
     return band(images, width, height, int(width * 0.04), int(height * 0.30), min(width, int(width * 0.96)), min(height, int(height * 0.72)), 1.0)
@@ -109,15 +118,16 @@ def text_core(images: DataFrame, width: int, height: int) -> DataFrame:
     return band(images, width, height, int(width * 0.18), top, int(width * 0.82), min(height, top + tall), 0.8)
 
 
-def keep_text_like(mask: DataFrame, side: int, width: int, height: int) -> DataFrame:
-    """The mask without components that cannot be strokes of letters."""
+def keep_text_like(mask: DataFrame, side: int, width: int | None = None, height: int | None = None) -> DataFrame:
+    """The mask without components that cannot be strokes of letters in a frame of this size, or of each image's own."""
     labels = cut(label_components(mask, side), "labels")
-    good = text_like(component_stats(labels), width, height).select("image_id", "label")
+    stats = component_stats(labels)
+    good = (text_like(stats, width, height) if width else text_like(stats.join(frame_sizes(mask), "image_id"), "wide", "high")).select("image_id", "label")
     kept = labels.join(good, ["image_id", "label"], "left_semi").select("image_id", "y", "x", F.lit(255).cast("long").alias("kept"))
     return mask.join(kept, ["image_id", "y", "x"], "left").select("image_id", "y", "x", F.coalesce("kept", F.lit(0)).cast("long").alias("v"))
 
 
-def frame_candidate(rgb: DataFrame, side: int, width: int, height: int, sigma: float = 6.0) -> DataFrame:
+def frame_candidate(rgb: DataFrame, side: int, width: int | None = None, height: int | None = None, sigma: float = 6.0) -> DataFrame:
     """image_id, y, x, v: bright, hardly coloured pixels above their surroundings, as far as they are like text, opened by a
     square of two pixels."""
     c = channels(rgb)
@@ -139,14 +149,14 @@ def thickened(mask: DataFrame) -> DataFrame:
     return blur(_moving(mask, 1, F.max), 0.8).withColumn("v", F.when(F.round("v", 6) >= SOLID, 255).otherwise(0).cast("long"))
 
 
-def refined_mask(rgb: DataFrame, side: int, width: int, height: int, low: float = 0.003, high: float = 0.18) -> DataFrame:
+def refined_mask(rgb: DataFrame, side: int, width: int | None = None, height: int | None = None, low: float = 0.003, high: float = 0.18) -> DataFrame:
     """image_id, y, x, v: strokes in the band where text can be, by cutoffs that follow each image's own brightness.  With
     too few strokes the brighter part of the band stands in, then any strokes, then the band."""
     c = channels(rgb)
     cuts = c.groupBy("image_id").agg(F.greatest(F.lit(128.0), F.percentile("value", 0.62)).alias("bright"), F.least(F.lit(110.0), F.percentile("saturation", 0.58)).alias("calm"))
     gray = c.select("image_id", "y", "x", F.col("gray").alias("v"))
     soft, hat = blur(gray, 6.0).withColumnRenamed("v", "soft"), top_hat(gray, 2).withColumnRenamed("v", "hat")
-    where = wide_band(c.select("image_id").distinct(), width, height).withColumnRenamed("v", "band")
+    where = wide_band(c.select("image_id").distinct(), width, height).withColumnRenamed("v", "band") if width else own_band(c)
     at = ["image_id", "y", "x"]
     all_ = c.join(cuts, "image_id").join(soft, at).join(hat, at).join(where, at)
     bright = (F.col("value") >= F.col("bright")) & (F.col("saturation") <= F.col("calm")) & (F.col("band") > 0)
