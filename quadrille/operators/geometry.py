@@ -67,15 +67,17 @@ def close_pairs(regions: DataFrame, gap: int, padding: int, width: int, height:
     return a.join(b, on).select("a.image_id", F.col("a.ord").alias("a"), F.col("b.ord").alias("b"))
 
 
-def plan_crops(regions: DataFrame, width: int, height: int, max_width: int, max_height: int, padding: int, gap: int) -> DataFrame:
-    """image_id, index, x, y, w, h, region_count, ords: crop groups of each image.
+def plan_crops(regions: DataFrame, width: int, height: int, max_width, max_height, padding, gap) -> DataFrame:
+    """image_id, index, x, y, w, h, region_count, ords: crop groups of each image.  The last four are numbers, or names of columns
+    of regions that have one value for each image.
 
     Regions in the order of (y, x, ord) join the close group whose box grows least (the first of equals) and still fits;
     else they open a group.  Groups are numbered from 1 by (y, x, age).
     """
-    max_width, max_height = max(64, max_width), max(64, max_height)
-    entry = F.struct("y", "x", "ord", padded_box(rect(), padding, width, height).alias("box"))
-    ordered = regions.groupBy("image_id").agg(F.sort_array(F.collect_list(entry)).alias("rs"))
+    own = {n: F.col(v) if isinstance(v, str) else F.lit(v) for n, v in (("max_width", max_width), ("max_height", max_height), ("padding", padding), ("gap", gap))}
+    entry = F.struct("y", "x", "ord", padded_box(rect(), own["padding"], width, height).alias("box"))
+    ordered = regions.groupBy("image_id").agg(F.sort_array(F.collect_list(entry)).alias("rs"), *[F.max(v).alias(n) for n, v in own.items()])
+    max_width, max_height, gap = F.greatest(F.lit(64), F.col("max_width")), F.greatest(F.lit(64), F.col("max_height")), F.col("gap")
     none = F.expr("cast(array() AS array<struct<box:struct<x0:bigint,y0:bigint,x1:bigint,y1:bigint>,ords:array<bigint>>>)")
 
     def step(groups, r):

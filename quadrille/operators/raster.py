@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import clamp, half_even, thousandths
+from ..sources.shared import cut
 
 SOLID = 18  # a grey value from here on counts as set after a filter
 
@@ -57,10 +58,22 @@ def close_gaps(pixels: DataFrame, radius: int) -> DataFrame:
     return erode(_moving(pixels, radius, F.max), radius)
 
 
+def least_of_tied(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least that it is connected to by the edges between a and b."""
+    label = np.arange(n)
+    while len(a):  # roots of nodes that touch are tied to the lesser one, then paths are halved
+        one, two = label[a], label[b]
+        np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
+        while not np.array_equal(deeper := label[label], label):
+            label = deeper
+        differ = label[a] != label[b]
+        a, b = a[differ], b[differ]
+    return label
+
+
 def _least_labels(side: int):
     def run(image: pd.DataFrame) -> pd.DataFrame:
         ids = np.sort(image["y"].to_numpy() * side + image["x"].to_numpy())
-        label = np.arange(len(ids))
         pairs = []
         for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)):
             fits = np.flatnonzero((ids % side + dx >= 0) & (ids % side + dx < side))
@@ -68,14 +81,7 @@ def _least_labels(side: int):
             at = np.minimum(np.searchsorted(ids, near), len(ids) - 1)
             hit = ids[at] == near
             pairs.append((fits[hit], at[hit]))
-        a, b = (np.concatenate(x) for x in zip(*pairs))
-        while len(a):  # roots of pixels that touch are tied to the lesser one, then paths are halved
-            one, two = label[a], label[b]
-            np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
-            while not np.array_equal(deeper := label[label], label):
-                label = deeper
-            differ = label[a] != label[b]
-            a, b = a[differ], b[differ]
+        label = least_of_tied(len(ids), *(np.concatenate(x) for x in zip(*pairs)))
         return pd.DataFrame({"image_id": image["image_id"].iloc[0], "y": ids // side, "x": ids % side, "label": ids[label]})
 
     return run
@@ -238,19 +244,27 @@ def temporal_vote(hits: DataFrame, min_hits: int, low: float, high: float) -> Da
     return votes.join(share, "image_id").select("image_id", "y", "x", value.cast("long").alias("v"))
 
 
+def _held(boxes: DataFrame, key: str, mask: DataFrame, x0: str, y0: str, x1: str, y1: str) -> DataFrame:
+    """image_id, key, n, bx0, bx1, by0, by1: of each box how many pixels of the mask lie in it, and their first and last column
+    and row.  The mask is a set of points(image_id, px, py) or runs(image_id, y, x0, x1)."""
+    rows = mask.select("image_id", F.col("py").alias("my"), F.col("px").alias("m0"), (F.col("px") + 1).alias("m1")) if "px" in mask.columns else mask.select("image_id", F.col("y").alias("my"), F.col("x0").alias("m0"), F.col("x1").alias("m1"))
+    b = boxes.select("image_id", key, *[F.col(c).alias(n) for c, n in ((x0, "cx0"), (y0, "cy0"), (x1, "cx1"), (y1, "cy1"))])
+    both = b.join(rows, "image_id").filter("m0 < cx1 AND m1 > cx0 AND my >= cy0 AND my < cy1")
+    first, last = F.greatest("m0", "cx0"), F.least("m1", "cx1")
+    return both.groupBy("image_id", key).agg(F.sum(last - first).alias("n"), F.min(first).alias("bx0"), (F.max(last) - 1).alias("bx1"), F.min("my").alias("by0"), F.max("my").alias("by1"))
+
+
 def summarize_crops(groups: DataFrame, points: DataFrame, width: int, height: int) -> DataFrame:
-    """groups(image_id, index, x, y, w, h, ...) with what the set points(image_id, px, py) of the mask leave free: coverage,
+    """groups(image_id, index, x, y, w, h, ...) with what the mask (points or runs, see _held) leaves free: coverage,
     margins and a status of empty, risky, tight or safe.  A side that lies at the frame's edge is no reason to be risky."""
-    inside = F.expr("g.image_id = p.image_id AND p.px >= g.x AND p.px < g.x + g.w AND p.py >= g.y AND p.py < g.y + g.h")
-    found = groups.select("image_id", "index", "x", "y", "w", "h").alias("g").join(points.alias("p"), inside).groupBy("g.image_id", "index").agg(
-        F.count("*").alias("n"), F.min(F.col("px") - F.col("x")).alias("cx0"), F.max(F.col("px") - F.col("x")).alias("cx1"), F.min(F.col("py") - F.col("y")).alias("cy0"), F.max(F.col("py") - F.col("y")).alias("cy1")
-    )
-    g = groups.join(found, ["image_id", "index"], "left").withColumns({
-        "left": F.col("cx0"), "top": F.col("cy0"), "right": F.col("w") - F.col("cx1") - 1, "bottom": F.col("h") - F.col("cy1") - 1,
+    boxes = groups.withColumns({"x1": F.col("x") + F.col("w"), "y1": F.col("y") + F.col("h")})
+    g = groups.join(_held(boxes, "index", points, "x", "y", "x1", "y1"), ["image_id", "index"], "left").withColumns({
+        "left": F.col("bx0") - F.col("x"), "top": F.col("by0") - F.col("y"), "right": F.col("x") + F.col("w") - F.col("bx1") - 1, "bottom": F.col("y") + F.col("h") - F.col("by1") - 1,
         "short": F.greatest(F.lit(1), F.least("w", "h")),
     })
     g = g.withColumn("margin", F.least("left", "top", "right", "bottom")).withColumn("risky", F.greatest(F.lit(4), half_even(F.col("short") * 0.06)))
     g = g.withColumn("tight", F.greatest(F.col("risky") + 3, half_even(F.col("short") * 0.12)))
+    g = cut(g, "margins")  # else every use of its columns works them out anew
     edges = {"left": F.col("x") <= 0, "top": F.col("y") <= 0, "right": F.col("x") + F.col("w") >= width, "bottom": F.col("y") + F.col("h") >= height}
     limited = F.lit(False)
     for side, at_edge in edges.items():
@@ -283,7 +297,7 @@ def relax_crops(summaries: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def tighten(regions: DataFrame, points: DataFrame, width: int, height: int) -> DataFrame:
-    """Regions shrunk to the set points(image_id, px, py) in and near them, with a padding that depends on how full they
+    """Regions shrunk to the pixels of the mask (points or runs, see _held) in and near them, with a padding that depends on how full they
     are; regions without points are only clipped to the frame."""
     r = regions.withColumns({"x": F.greatest(F.lit(0), F.col("x")), "y": F.greatest(F.lit(0), F.col("y")), "w": F.greatest(F.lit(1), F.col("w")), "h": F.greatest(F.lit(1), F.col("h"))})
     r = r.withColumns({"x1": F.least(F.lit(width), F.col("x") + F.col("w")), "y1": F.least(F.lit(height), F.col("y") + F.col("h"))})
@@ -292,11 +306,8 @@ def tighten(regions: DataFrame, points: DataFrame, width: int, height: int) -> D
         "sx0": F.greatest(F.lit(0), F.col("x") - around_x), "sy0": F.greatest(F.lit(0), F.col("y") - around_y),
         "sx1": F.least(F.lit(width), F.col("x1") + around_x), "sy1": F.least(F.lit(height), F.col("y1") + around_y),
     })
-    inside = F.expr("r.image_id = p.image_id AND p.px >= r.sx0 AND p.px < r.sx1 AND p.py >= r.sy0 AND p.py < r.sy1")
-    found = r.alias("r").join(points.alias("p"), inside).groupBy("r.image_id", "ord").agg(
-        F.count("*").alias("n"), F.min("px").alias("bx0"), F.max("px").alias("bx1"), F.min("py").alias("by0"), F.max("py").alias("by1")
-    )
-    r = r.join(found, ["image_id", "ord"], "left")
+    r = cut(r, "boxes")  # else every use of its columns works them out anew
+    r = cut(r.join(_held(r, "ord", points, "sx0", "sy0", "sx1", "sy1"), ["image_id", "ord"], "left"), "held")
     share = F.col("n") / F.greatest(F.lit(1), (F.col("sx1") - F.col("sx0")) * (F.col("sy1") - F.col("sy0")))
     band = lambda a, b, c: F.when(share <= 0.02, a).when(share <= 0.05, b).otherwise(c)
     bw, bh = F.col("bx1") - F.col("bx0") + 1, F.col("by1") - F.col("by0") + 1

@@ -25,7 +25,7 @@ def merged(spark, sf_dir):
 def regrouped(regions, mask):
     """Crops around the mask in each region, with more room where the mask comes near their sides, and what they hold then."""
     planned = cut(g.plan_crops(r.tighten(regions, mask, WIDTH, HEIGHT), **PLAN), "planned")
-    relaxed = r.relax_crops(r.summarize_crops(planned, mask, WIDTH, HEIGHT), WIDTH, HEIGHT).drop("status")
+    relaxed = cut(r.relax_crops(cut(r.summarize_crops(planned, mask, WIDTH, HEIGHT), "summed"), WIDTH, HEIGHT).drop("status"), "relaxed")
     return r.summarize_crops(relaxed.join(planned.select("image_id", "index", "region_count"), ["image_id", "index"]), mask, WIDTH, HEIGHT)
 
 
@@ -35,7 +35,7 @@ def analysis(spark, sf_dir):
     regions = cut(merged(spark, sf_dir), "merged")
     kept = regions.groupBy("image_id").agg(F.count("*").alias("merged_region_count"))
     crop = F.struct("index", "x", "y", "w", "h", "region_count", "status", "min_margin_px")
-    groups = regrouped(regions, points(spark, sf_dir)).groupBy("image_id").agg(
+    groups = cut(regrouped(regions, points(spark, sf_dir)), "crops").groupBy("image_id").agg(
         F.count("*").alias("crop_groups"), *[F.count_if(F.col("status") == s).alias(s) for s in STATUS], F.sum(F.col("w") * F.col("h")).alias("crop_area_total"),
         F.to_json(F.sort_array(F.collect_list(crop))).alias("crops"),
     )

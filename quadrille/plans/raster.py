@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import geometry as g
 from ..operators import raster as r
+from ..operators import runs as u
 from ..sources.tables import HEIGHT, PIXELS, REGIONS, SIDE, WIDTH, pixels
 from .geometry import CLAMPED, PLANNED, clamped, planned
 
@@ -172,4 +173,38 @@ l AS (SELECT image_id, list([struct_pack(y := y, x := x, score := score)] ORDER
 p AS (SELECT image_id, list_reduce(cs, lambda acc, c: CASE WHEN len(acc) >= 4 OR len(list_filter(acc, lambda k: c[1].x >= k.x - 1 AND c[1].x < k.x + 3 AND c[1].y >= k.y - 1 AND c[1].y < k.y + 3)) > 0 THEN acc ELSE list_concat(acc, c) END) AS picks FROM l)
 SELECT image_id, i AS pick, picks[i].y AS y, picks[i].x AS x, picks[i].score AS score FROM (SELECT image_id, picks, unnest(range(1, len(picks) + 1)) AS i FROM p)""",
     ),
+    "mask_runs": (
+        lambda s, d: u.to_runs(pixels(s, d)),
+        f"""{W}, lit AS (SELECT image_id, y, x FROM pixels WHERE v > 0)
+SELECT a.image_id, a.y, a.x AS x0, (SELECT min(b.x) + 1 FROM lit b WHERE b.image_id = a.image_id AND b.y = a.y AND b.x >= a.x AND NOT EXISTS (SELECT 1 FROM lit c WHERE c.image_id = b.image_id AND c.y = b.y AND c.x = b.x + 1)) AS x1
+FROM lit a WHERE NOT EXISTS (SELECT 1 FROM lit p WHERE p.image_id = a.image_id AND p.y = a.y AND p.x = a.x - 1)""",
+    ),
+    "runs_spread": (
+        lambda s, d: u.to_pixels(u.spread(u.to_runs(pixels(s, d)), F.col("image_id") % 3, SIDE, SIDE)),
+        f"""{W} SELECT a.image_id, a.y, a.x, 255::BIGINT AS v FROM pixels a JOIN pixels b ON a.image_id = b.image_id AND abs(a.x - b.x) <= a.image_id % 3 AND abs(a.y - b.y) <= a.image_id % 3 GROUP BY a.image_id, a.y, a.x HAVING max(b.v) > 0""",
+    ),
+    "runs_components": (
+        lambda s, d: u.component_stats(u.label(u.to_runs(pixels(s, d)), SIDE, strip=3)),
+        f"""WITH RECURSIVE {PIXELS}, lit AS (SELECT image_id, y, x, y * {SIDE} + x AS id FROM pixels WHERE v > 0),
+reach(image_id, id, other) AS (SELECT image_id, id, id FROM lit UNION SELECT r.image_id, r.id, b.id FROM reach r JOIN lit a ON a.image_id = r.image_id AND a.id = r.other
+  JOIN lit b ON b.image_id = a.image_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+labels AS (SELECT image_id, id, min(other) AS label FROM reach GROUP BY image_id, id)
+SELECT image_id, label, count(*) AS area, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM labels JOIN lit USING (image_id, id) GROUP BY image_id, label""",
+    ),
+    "runs_coverage": (
+        lambda s, d: u.coverage(u.to_runs(pixels(s, d))),
+        f"{W} SELECT image_id, count(*) AS n, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM pixels WHERE v > 0 GROUP BY image_id",
+    ),
+    "runs_projection_trim": (
+        lambda s, d: u.to_pixels(u.trim_to_projection(u.to_runs(pixels(s, d).filter("(x * 3 + y * 5 + image_id) % 7 > 2")), 60, 40)),
+        f"""{W}, lit AS (SELECT image_id, y, x FROM pixels WHERE v > 0 AND (x * 3 + y * 5 + image_id) % 7 > 2), hy AS (SELECT image_id, y, count(*) AS n FROM lit GROUP BY image_id, y), hx AS (SELECT image_id, x, count(*) AS n FROM lit GROUP BY image_id, x),
+ry AS (SELECT image_id, greatest(0, min(y) - 3) AS y0, least(40, max(y) + 1 + 3) AS y1 FROM hy JOIN (SELECT image_id, greatest(2, floor(max(n) * 0.16::DOUBLE)) AS least FROM hy GROUP BY image_id) USING (image_id) WHERE n >= least GROUP BY image_id),
+rx AS (SELECT image_id, greatest(0, min(x) - 6) AS x0, least(60, max(x) + 1 + 6) AS x1 FROM hx JOIN (SELECT image_id, greatest(2, floor(max(n) * 0.08::DOUBLE)) AS least FROM hx GROUP BY image_id) USING (image_id) WHERE n >= least GROUP BY image_id)
+SELECT image_id, y, x, 255::BIGINT AS v FROM lit LEFT JOIN ry USING (image_id) LEFT JOIN rx USING (image_id) WHERE y0 IS NULL OR x0 IS NULL OR (x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)""",
+    ),
+    "runs_rectangles": (
+        lambda s, d: u.coverage(u.rectangles(clamped(s, d), WIDTH, HEIGHT)).select("image_id", "n"),
+        f"""{WR}, spans AS (SELECT image_id, y, list([a, b + 1] ORDER BY a, b) AS rs FROM (SELECT image_id, greatest(0, least({WIDTH - 1}, x)) AS a, greatest(0, least({WIDTH - 1}, x + w)) AS b, unnest(range(greatest(0, least({HEIGHT - 1}, y)), greatest(0, least({HEIGHT - 1}, y + h)) + 1)) AS y FROM clamped) GROUP BY image_id, y)
+SELECT image_id, CAST(sum(list_reduce(rs, lambda acc, r: [acc[1] + greatest(0, r[2] - greatest(r[1], acc[2])), greatest(acc[2], r[2])], [0::BIGINT, 0::BIGINT])[1]) AS BIGINT) AS n FROM spans GROUP BY image_id""",
+    ),
 }
