@@ -1,5 +1,8 @@
 """Helpers that the operators share: hashing of whitespace words and of byte spans in numpy, and joins on uneven keys."""
 
+import contextlib
+import ctypes
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,6 +104,18 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - first, count)
 
 
+def lean(task):
+    """A task over batches that afterwards gives the memory it freed back to the system, where the C library can: Spark keeps its
+    Python workers, and an executor's memory holds those of earlier stages, too."""
+
+    def run(batches):
+        yield from task(batches)
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 #: Keys that more than one in so many rows have are joined by a broadcast; there are fewer of them than that.
 HOT_KEYS = 20_000
 

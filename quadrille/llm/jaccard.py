@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, join_uneven, mix, offsets, ranges, utf8, words
+from ._common import cut, join_uneven, lean, mix, offsets, ranges, utf8, words
 from ..operators.graph import components
 
 N_WORDS, THRESHOLD = 5, 0.8
@@ -200,7 +200,7 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", tex
     ignored.  Keys must be integers.
     """
     rows = docs.select(row_key(key).alias("key"), row_hash(text).alias("hash"), F.col(text).alias("text"))
-    sketches = cut(rows.mapInPandas(_sketch, "key long, hash long, digest binary, n int, bands array<long>"), "sketches")
+    sketches = cut(rows.mapInPandas(lean(_sketch), "key long, hash long, digest binary, n int, bands array<long>"), "sketches")
     classes = cut(
         sketches.filter("n > 0").groupBy("digest").agg(F.min(F.struct("key", "hash")).alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.any_value("bands").alias("bands")),
         "classes",
@@ -215,12 +215,12 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", tex
     # both joins with texts are hinted, so that their plan is the same at every size
     wanted = members.select("rep.*", "digest", "copies", "part", "block", "blocks").hint("merge")
     wanted = rows.join(wanted, ["key", "hash"]).select("digest", "copies", "part", "block", "blocks", "text")
-    sets = wanted.mapInPandas(_collect, "digest binary, copies long, part binary, block int, blocks int, signature binary, shingles binary")
+    sets = wanted.mapInPandas(lean(_collect), "digest binary, copies long, part binary, block int, blocks int, signature binary, shingles binary")
     pairs = sets.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         "digest", "copies", "part", "block", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "signature", "shingles"
     )
     dealt = pairs.repartition("part", "one", "two").sortWithinPartitions("part", "one", "two")
-    found = cut(dealt.mapInPandas(_verify(threshold), "digest binary, texts long, documents long, tied binary"), "links")
+    found = cut(dealt.mapInPandas(lean(_verify(threshold)), "digest binary, texts long, documents long, tied binary"), "links")
     groups = components(found.select(F.col("digest").alias("a"), F.col("tied").alias("b"))).withColumnRenamed("node", "digest")
     classes = classes.select("digest", F.col("rep.key").alias("rep"), "copies")
     named = classes.select("digest", "rep").join(groups, "digest")

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, chunks, cut, join_uneven, mix, powers, prefix_hash, span_hash, utf8
+from ._common import SPACE, chunks, cut, join_uneven, lean, mix, powers, prefix_hash, span_hash, utf8
 
 WINDOW, WORDS, GRAM = 400, 51, 64
 #: Bytes of a shard on average, and of each of the two blocks that a larger anchor's texts are compared in.
@@ -419,7 +419,7 @@ def _remove(batches: Iterator[pa.RecordBatch], passages: bool) -> Iterator[pa.Re
 def repeats(rows: DataFrame) -> DataFrame:
     """rows(key long, hash long, text) -> key, hash, first, last, from, to: byte spans that repeated windows cover (first to last)
     and repeated strings of WINDOW bytes (from to to); either can be empty."""
-    cuts = cut(rows.mapInPandas(_cut_up, "key long, hash long, anchor long, digest long, start int, windows int, size int, strings int"), "segments")
+    cuts = cut(rows.mapInPandas(lean(_cut_up), "key long, hash long, anchor long, digest long, start int, windows int, size int, strings int"), "segments")
     groups = cut(cuts.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("key", "hash", "start", "windows")).alias("rep")), "groups")
     same = join_uneven(cuts, groups.filter("n > 1").select("anchor", "digest", "n"), ["anchor", "digest"], "n")
     string = lambda c: F.when(F.col("strings") > 0, c).otherwise(0)
@@ -443,15 +443,15 @@ def repeats(rows: DataFrame) -> DataFrame:
         F.struct("shard", "blocks", "anchor", "digest", F.col("rep.start").alias("start"), F.col("rep.windows").alias("windows")).alias("segment"),
     )
     wanted = wanted.groupBy("key", "hash").agg(F.collect_list("segment").alias("segments"))
-    packed = rows.mapInArrow(_pack("text"), "key long, hash long, text binary")
-    texts = packed.join(wanted, ["key", "hash"]).mapInPandas(_extract, "key long, hash long, shard long, blocks int, anchor long, digest long, start int, windows int, bytes binary")
+    packed = rows.mapInArrow(lean(_pack("text")), "key long, hash long, text binary")
+    texts = packed.join(wanted, ["key", "hash"]).mapInPandas(lean(_extract), "key long, hash long, shard long, blocks int, anchor long, digest long, start int, windows int, bytes binary")
     block = F.pmod(F.xxhash64("digest"), F.greatest("blocks", F.lit(1))).cast("int")
     texts = texts.withColumn("block", block).withColumn("with", F.explode(F.expr("sequence(0, greatest(blocks, 1) - 1)")))
     # -1 marks the shards of several anchors
     one = F.when(F.col("blocks") == 0, -1).otherwise(F.least("block", "with"))
     dealt = texts.select("shard", one.alias("one"), F.greatest("block", "with").alias("two"), "anchor", "digest", "key", "hash", "start", "windows", "bytes")
     dealt = dealt.repartition("shard", "one", "two").sortWithinPartitions("shard", "one", "two")
-    found = whole.unionByName(dealt.mapInPandas(_search, "key long, hash long, first int, last int, from int, to int"))
+    found = whole.unionByName(dealt.mapInPandas(lean(_search), "key long, hash long, first int, last int, from int, to int"))
     inner = lambda c: F.greatest(F.lit(0), F.col(c) - 1).alias(c)  # noqa: E731  without the ends of the frame
     return found.select("key", "hash", *[inner(c) for c in SPANS[2:]])
 
@@ -474,10 +474,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", pas
     kept = [c for c in docs.columns if c != text and c not in MADE]
     whole = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text"), row_key.alias("__key"), row_hash.alias("__hash"))
     fields = ", ".join(f"`{c}` {'binary' if c == '__text' else whole.schema[c].dataType.simpleString()}" for c in whole.columns)
-    whole = whole.mapInArrow(_pack("__text"), fields).join(spans, ["__key", "__hash"], "left").drop("__key", "__hash")
+    whole = whole.mapInArrow(lean(_pack("__text")), fields).join(spans, ["__key", "__hash"], "left").drop("__key", "__hash")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     kind = "string" if passages else "binary"
-    return whole.mapInArrow(lambda batches: _remove(batches, passages), f"{schema}, n_bytes long, n_removed long, n_spans long, kept {kind}, kept_sha256 string, n_repeated long")
+    return whole.mapInArrow(lean(lambda batches: _remove(batches, passages)), f"{schema}, n_bytes long, n_removed long, n_spans long, kept {kind}, kept_sha256 string, n_repeated long")
 
 
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:

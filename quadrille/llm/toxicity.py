@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, offsets, prefix_hash, ranges, span_hash
+from ._common import chunks, lean, offsets, prefix_hash, ranges, span_hash
 
 GRAMS = (3, 4, 5)  # bytes
 BUCKETS, DIMENSIONS = 1 << 17, 8
@@ -151,14 +151,15 @@ def held_out(key: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
-    """A model from labelled rows that are not held out: of each label the TRAIN_ROWS keys first by a digest, of which the
-    rows over TRAIN_CHARS are left out.  The keys are that few, so they are broadcast, and no text is shuffled."""
+    """A model from labelled rows that are not held out: of each label the TRAIN_ROWS keys first by a digest, among those that
+    have a text of TRAIN_CHARS at most.  The keys are that few, so they are broadcast, and no text is shuffled."""
     rows = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).filter(~held_out("key")).distinct()
     first = lambda df, *more: df.orderBy(F.md5(F.col("key").cast("string")), *more)
     texts, marks = [], []
+    named = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") <= TRAIN_CHARS)
+    fitting = rows.filter("key IS NOT NULL").join(named.select("key"), "key", "left_semi")
     for mark, most in TRAIN_ROWS.items():
-        keys = first(rows.filter((F.col("label") == mark) & F.col("key").isNotNull())).limit(most).select("key")
-        named = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") <= TRAIN_CHARS)
+        keys = first(fitting.filter(F.col("label") == mark)).limit(most).select("key")
         found = first(named.join(F.broadcast(keys), "key"), "text").limit(most).select("text").toPandas()["text"].tolist()
         texts += found
         marks += [mark] * len(found)
@@ -193,4 +194,4 @@ def keep_clean(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
                 part = batch.slice(i, 256)
                 yield part.filter(pa.array(score_texts(model, part.column(at).to_pylist()) < REJECT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
