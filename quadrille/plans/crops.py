@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import analyze as a
 from ..operators import crops as c
 from ..sources.shared import cut
 from ..sources.tables import PIXELS, pixels
@@ -55,6 +56,28 @@ def tightened(spark, sf_dir):
     return c.tighten_to_strokes(cut(detect.scenes(spark, sf_dir), "scenes"), detect.seeds(spark, sf_dir), detect.SCENE, detect.SCENE)
 
 
+def requests(spark, sf_dir):
+    """Of scenes, every other one by the engine that works in crops; detection is asked for in every third."""
+    i = F.col("image_id")
+    images = detect.seeds(spark, sf_dir).select("image_id").distinct()
+    return images.select("image_id", F.when(i % 2 == 0, "propainter_quality").otherwise("lama_fast").alias("engine"), (i % 3 == 0).alias("autodetect"))
+
+
+def overrides(spark, sf_dir):
+    """Options that suit small frames, some of them out of their limits or unknown."""
+    i = F.col("image_id")
+    pairs = {"mask_padding": i % 4, "mask_dilate": i % 3 - 1, "propainter_crop_padding": i % 5, "propainter_crop_merge_gap": i % 7, "refine_mask": F.when(i % 4 < 2, "yes").otherwise("no"), "propainter_tighten_regions": F.when(i % 8 < 4, "1").otherwise("off"),
+             "mask_shape": F.when(i % 5 == 4, "hf_segmenter").otherwise("none such"), "segmenter_threshold": i / 40.0}
+    images = detect.seeds(spark, sf_dir).select("image_id").distinct()
+    return images.select("image_id", F.explode(F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v.cast("string"))])).alias("key", "raw"))
+
+
+def scene_analysis(spark, sf_dir):
+    rgb = cut(detect.scenes(spark, sf_dir), "scenes")
+    probability = rgb.select("image_id", "y", "x", F.col("r").cast("long").alias("v"))
+    return a.analyze(requests(spark, sf_dir), overrides(spark, sf_dir), detect.seeds(spark, sf_dir), rgb, detect.SCENE, detect.SCENE, probability)
+
+
 _CUBIC = "CASE WHEN {x} < 1 THEN (1.5::DOUBLE * {x} - 2.5::DOUBLE) * {x} * {x} + 1 WHEN {x} < 2 THEN -0.5::DOUBLE * ((({x} - 5) * {x} + 8) * {x} - 4) ELSE 0.0::DOUBLE END"
 
 
@@ -105,4 +128,5 @@ SELECT o.image_id, o.y, o.x, CAST(CASE WHEN a.v IS NULL THEN o.v ELSE round_even
     ),
     "region_masks_refined": (frame_masks, None),
     "region_tighten_strokes": (tightened, None),
+    "request_analysis": (scene_analysis, None),
 }
