@@ -469,6 +469,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", pas
     no rows; columns of docs with names of the new ones give way.  Keys must be integers; null is one.
     """
     row_key, row_hash = F.coalesce(F.col(key).cast("long"), F.lit(-1 << 63)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    if docs.groupBy(row_key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        row_hash = F.lit(0).cast("long")  # keys tell rows apart, so no digest travels with every segment
     rows = docs.select(row_key.alias("key"), row_hash.alias("hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = repeats(rows).groupBy("key", "hash").agg(F.collect_set(F.struct(*SPANS[2:])).alias("__spans")).select(F.col("key").alias("__key"), F.col("hash").alias("__hash"), "__spans")
     kept = [c for c in docs.columns if c != text and c not in MADE]
