@@ -141,11 +141,17 @@ def voted(hits: DataFrame, min_hits: int, low: float, high: float, spread: int)
     return dilate(close_gaps(temporal_vote(hits, min_hits, low, high), 2), spread)
 
 
+def joined_fallback(fused: DataFrame, other: DataFrame, width: int, height: int) -> DataFrame:
+    """A mask that is not nearly empty; else joined by the other; the other alone where it is empty, and what enough() makes of it
+    where the other is."""
+    layers = cut(stack(fused=fused, other=other, grown=enough(fused, width, height, 0.006, 0.16)), "layers").withColumn("both", F.greatest("fused", "other"))
+    return choose(layers, F.when(F.col("fused") >= 0.003, "fused").when(F.col("fused") <= 0, "other").when(F.col("other") > 0, "both").otherwise("grown"))
+
+
 def steady_or_fallback(steady: DataFrame, model: DataFrame, rgb: DataFrame, regions: DataFrame, side: int, width: int, height: int) -> DataFrame:
     """fuse_guarded(), joined by fallback() where it is nearly empty."""
-    layers = stack(fused=fuse_guarded(steady, model, side, width, height), other=fallback(rgb, regions, side, width, height))
-    layers = cut(layers.withColumn("both", F.greatest("fused", "other")), "layers")
-    return choose(layers, F.when(F.col("fused") >= 0.003, "fused").when(F.col("fused") <= 0, "other").otherwise("both"))
+    fused = cut(fuse_guarded(steady, model, side, width, height), "fused")
+    return joined_fallback(fused, fallback(rgb, regions, side, width, height), width, height)
 
 
 def strengthen(mask: DataFrame, regions: DataFrame, width: int, height: int, padding: int, spread: int, least: float = 0.05) -> DataFrame:

@@ -246,7 +246,7 @@ QUERIES = {
     "mask_hybrid": (lambda s, d: m.hybrid(crops(s, d), crop_rgb(s, d), CROP, CROP, CROP), f"{W}, {HYBRID} SELECT * FROM hybrid"),
     "mask_steady_or_fallback": (
         lambda s, d: m.steady_or_fallback(marked(s, d, F.expr(STEADY)), marked(s, d, F.expr(MODEL)), crop_rgb(s, d), regions(s, d), CROP, CROP, CROP),
-        f"{W}, {SOURCES}, {FUSED}, {FALLBACK}, last AS ({pair('t0.v AS f, t1.v AS o, greatest(t0.v, t1.v) AS b', 'fused', 'fallback')}), last_share AS (SELECT image_id, {share('f = 255')} AS r FROM last GROUP BY image_id) SELECT image_id, y, x, CASE WHEN r >= 0.003 THEN f WHEN r <= 0 THEN o ELSE b END AS v FROM last JOIN last_share USING (image_id)",
+        f"{W}, {SOURCES}, {FUSED}, {FALLBACK}, {filled('fused', 'grown', 0.006, 0.16)}, last AS ({pair('t0.v AS f, t1.v AS o, greatest(t0.v, t1.v) AS b, t2.v AS g', 'fused', 'fallback', 'grown')}), last_share AS (SELECT image_id, {share('f = 255')} AS r, {share('o = 255')} AS q FROM last GROUP BY image_id) SELECT image_id, y, x, CASE WHEN r >= 0.003 THEN f WHEN r <= 0 THEN o WHEN q > 0 THEN b ELSE g END AS v FROM last JOIN last_share USING (image_id)",
     ),
     "mask_strengthen": (
         lambda s, d: m.strengthen(marked(s, d, F.expr(f"{STEADY} AND x + y < image_id % 20")), regions(s, d).filter("w < 6"), CROP, CROP, 4, 2),

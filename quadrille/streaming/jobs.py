@@ -77,17 +77,65 @@ def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> D
     return spark.table(name)
 
 
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions of a kept table that were finished, in order."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests")
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return []
+    names = [s.getPath() for s in files.listStatus(place)]
+    return sorted(int(n.getName()) for n in names if files.exists(spark._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS")))
+
+
+def read_kept(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A table that upsert_latest() keeps, as its last (or a given) finished version has it, with bucket and epoch."""
+    manifest = spark.read.parquet(f"{path}/manifests/{_manifests(spark, path)[-1] if version is None else version}")
+    rows = spark.read.parquet(f"{path}/data")
+    return rows.join(F.broadcast(manifest.select("bucket", "version")), ["bucket", "version"]).drop("version")
+
+
 def upsert_latest(stream: DataFrame, keys: list[str], path: str, checkpoint: str, buckets: int = BUCKETS):
-    """Start a query that keeps the latest row of each key in a Parquet table, whose partitions are buckets of keys: a trigger
-    merges its rows into the buckets that they are in and leaves the others.  A repeated trigger gives the same table."""
+    """Start a query that keeps the latest row of each key in a table of buckets of keys.
+
+    A trigger merges its rows into the buckets that they are in and writes those as a new version beside the old ones; then a
+    manifest, which names the version of each bucket, makes it the table.  What breaks off before that leaves the old table and
+    is written again; a trigger whose manifest is there is left out when it is repeated.  A query with a new checkpoint goes on
+    with the table that it finds.  read_kept() reads the table, tidy() removes what no manifest needs any more.
+    """
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        rows = batch.withColumn("epoch", F.lit(epoch)).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        if epoch:  # at most as many as there are buckets
-            rows = batch.sparkSession.read.parquet(path).join(F.broadcast(rows.select("bucket").distinct()), "bucket").unionByName(rows)
+        spark, mark = batch.sparkSession, f"{checkpoint}#{epoch}"
+        known = _manifests(spark, path)
+        last = spark.read.parquet(f"{path}/manifests/{known[-1]}") if known else None
+        if known and last.first()["writer"] == mark:
+            return
+        version = known[-1] + 1 if known else 0
+        # later triggers go after earlier ones, whatever their query
+        rows = batch.withColumn("epoch", F.lit(version)).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        rows = cut(rows, "upsert-rows")
+        touched = rows.select("bucket").distinct()  # at most as many as there are buckets
+        if last is not None:
+            rows = read_kept(spark, path, known[-1]).join(F.broadcast(touched), "bucket").unionByName(rows)
         rest = [c for c in rows.columns if c not in (*keys, "epoch", "bucket")]
         latest = rows.groupBy("bucket", *keys).agg(F.max_by(F.struct(*rest), "epoch").alias("r"), F.max("epoch").alias("epoch"))
-        staged = cut(latest.select(*keys, "r.*", "epoch", "bucket"), "upsert")  # a table is not overwritten while it is read
-        staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        latest.select(*keys, "r.*", "epoch", "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/version={version}")
+        now = touched.select("bucket", F.lit(version).alias("version"))
+        if last is not None:
+            now = last.select("bucket", "version").join(touched, "bucket", "left_anti").unionByName(now)
+        now.withColumn("writer", F.lit(mark)).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifests/{version}")
 
     return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(availableNow=True).start()
+
+
+def tidy(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Remove the manifests of a kept table but for the last ones, and the versions that these don't name; how many went.  Only
+    while no query writes the table."""
+    known = _manifests(spark, path)
+    held = known[-keep:]
+    if not held:
+        return 0
+    used = {r["version"] for n in held for r in spark.read.parquet(f"{path}/manifests/{n}").select("version").distinct().collect()}
+    as_path = spark._jvm.org.apache.hadoop.fs.Path
+    files = as_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = [f"{path}/data/version={n}" for n in range(known[-1] + 1) if n not in used] + [f"{path}/manifests/{n}" for n in known[:-keep]]
+    return sum(files.delete(as_path(p), True) for p in gone if files.exists(as_path(p)))

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from quadrille.operators import masks as m
 from quadrille.operators import strokes as k
 from quadrille.operators import templates as t
 
@@ -65,3 +66,20 @@ def test_template_scores_are_one_where_it_was_cut(spark, image):
     scores = {(r["y"], r["x"]): r["score"] for r in t.template_scores(pixels, t.cut_templates(pixels, region)).collect()}
     assert len(scores) == (SIDE - 3) * (SIDE - 5)
     assert math.isclose(scores[10, 4], 1.0) and max(scores.values()) <= 1 + 1e-12
+
+
+def test_nearly_empty_masks_and_their_fallbacks(spark):
+    """Images 1 to 4: enough of its own; none; little beside a fallback; little and no fallback, so the band of a text line."""
+    wide, high = 60, 40
+    own = {1: {(y, x) for y in range(4) for x in range(4)}, 2: set(), 3: {(0, 0)}, 4: {(0, 0)}}
+    other = {1: {(9, 9)}, 2: {(9, 9)}, 3: {(9, 9)}, 4: set()}
+    mask = lambda of: spark.createDataFrame([(i, y, x, 255 if (y, x) in of[i] else 0) for i in of for y in range(high) for x in range(wide)], "image_id long, y long, x long, v long")
+    got = {}
+    for r in m.joined_fallback(mask(own), mask(other), wide, high).collect():
+        got.setdefault(r["image_id"], set()).update({(r["y"], r["x"])} if r["v"] else set())
+    one = spark.createDataFrame([(4,)], "image_id long")
+    band, core = ({(r["y"], r["x"]) for r in f(one, wide, high).collect() if r["v"]} for f in (k.text_band, k.text_core))
+    assert got[1] == own[1] and got[2] == {(9, 9)} and got[3] == {(0, 0), (9, 9)}
+    share = lambda s: len(s) / (wide * high)
+    assert share(band) > 0.16 and share(core | {(0, 0)}) > 0.16  # too full both, so the first that has any: the core
+    assert got[4] == core | {(0, 0)}
