@@ -1,8 +1,8 @@
 """Queries on the tables, and for each the SQL that another engine runs for the same result."""
 
-from . import analysis, config, crops, detect, geometry, jobs, masks, raster, reports, strokes, temporal
+from . import analysis, config, crops, detect, geometry, jobs, masks, raster, reports, streams, strokes, sweeps, temporal
 
-MODULES = (geometry, raster, strokes, masks, detect, crops, analysis, temporal, config, jobs, reports)
+MODULES = (geometry, raster, strokes, masks, detect, crops, analysis, temporal, config, jobs, reports, streams, sweeps)
 
 
 def queries() -> dict:

@@ -11,10 +11,14 @@ from .temporal import VIDEOS, videos
 W = f"WITH {JOBS}"
 
 
-def job_events(spark, sf_dir):
+def as_job_events(events):
     """Events of a user as the events of a job."""
     kind = F.expr("CASE WHEN event_id % 97 = 0 THEN 'done' WHEN event_id % 89 = 0 THEN 'error' WHEN event_id % 3 = 0 THEN 'log' ELSE 'progress' END")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("event_id") % 100).alias("value"))
+    return events.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("event_id") % 100).alias("value"))
+
+
+def job_events(spark, sf_dir):
+    return as_job_events(table(spark, sf_dir, "events"))
 
 
 EVENTS = "ev AS (SELECT user_id AS job_id, event_id AS seq, CASE WHEN event_id % 97 = 0 THEN 'done' WHEN event_id % 89 = 0 THEN 'error' WHEN event_id % 3 = 0 THEN 'log' ELSE 'progress' END AS kind, event_id % 100 AS value FROM events)"

@@ -92,6 +92,18 @@ def test_queue_over_restarts(spark, tmp_path, on_disk):
     assert by_lane(got) == by_lane(want) and {r[1] for r in got} == {"start", "end", "idle"}
 
 
+def test_the_registered_stream(spark):
+    """The query on the events table against the plain queue."""
+    from quadrille.plans import streams
+
+    sf = "/root/testdata/sf0.001"
+    events = [(r["lane"], r["seq"], r["ts"], r["kind"], r["job_id"]) for r in streams.lane_events(spark.read.parquet(f"{sf}/events.parquet")).orderBy("seq").collect()]
+    want = [(lane, what, job, status) for lane, what, job, status, _ in plain(events)[0] if what != "idle"]
+    got = sorted(streams.queue_log(spark, sf).collect(), key=lambda r: (r["lane"], r["nth"]))
+    by_lane = lambda rows: {n: [r[1:] for r in rows if r[0] == n] for n in range(50)}
+    assert by_lane([(r["lane"], r["what"], r["job_id"], r["status"]) for r in got]) == by_lane(want) and len(want) > 50
+
+
 def test_starts_are_the_next_jobs(spark):
     """Whenever a lane is free, what the plain queue starts is what next_jobs() names."""
     events, checked = made(5), 0
