@@ -66,6 +66,12 @@ def metadata(spark: SparkSession) -> DataFrame:
     return engine_fields(spark).groupBy("engine").pivot("key", METADATA).agg(F.first("value"))
 
 
+def engines_of(requests: DataFrame) -> DataFrame:
+    """requests(request_id, engine) -> request_id and what clients see of its engine; unknown engines are the default one."""
+    known = F.when(F.col("engine").isin(*ENGINES), F.col("engine")).otherwise(DEFAULT_ENGINE)
+    return requests.withColumn("engine", known).join(F.broadcast(metadata(requests.sparkSession)), "engine").select("request_id", "engine", *METADATA)
+
+
 def truth(value: Column) -> Column:
     """Text as a truth value: all but a few words are true."""
     return ~F.lower(F.trim(value)).isin(FALSY)

@@ -45,8 +45,8 @@ _NAMES = lambda names, m: "[" + ", ".join(f"'{n}'" for n in names) + f"][event_i
 
 QUERIES = {
     "engine_metadata": (
-        lambda s, d: c.metadata(s),
-        f"WITH {REQUESTS} SELECT engine, " + ", ".join(f"max(value) FILTER (key = '{k}') AS {k}" for k in c.METADATA) + " FROM fields GROUP BY engine",
+        lambda s, d: c.engines_of(requests(s, d)),
+        f"WITH {REQUESTS}, seen AS (SELECT engine, " + ", ".join(f"max(value) FILTER (key = '{k}') AS {k}" for k in c.METADATA) + " FROM fields GROUP BY engine) SELECT request_id, seen.* FROM requests r JOIN seen ON seen.engine = CASE r.engine WHEN 'other' THEN 'lama_fast' ELSE r.engine END",
     ),
     "config_resolve": (
         lambda s, d: c.resolve(requests(s, d), overrides(s, d)),

@@ -92,8 +92,3 @@ def write_manifest(runs: DataFrame, path: str) -> None:
 def write_report(markdown: DataFrame, path: str) -> None:
     """markdown(markdown), of one row, as a text file."""
     markdown.select("markdown").coalesce(1).write.mode("overwrite").text(path)
-
-
-def inpaint_config(options: DataFrame) -> DataFrame:
-    """options(request_id, hd_strategy, resize_limit) -> request_id, config: the JSON that an inpainting program reads."""
-    return options.select("request_id", F.to_json(F.struct(F.col("hd_strategy"), F.col("resize_limit").cast("int").alias("hd_strategy_resize_limit"))).alias("config"))

@@ -35,7 +35,7 @@ def test_reports_are_written(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "m")).count() == 1
     assert "| `0s` | `1.500` | `3` | `9.250` | `1` | `0` |" in "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "r")).collect())
     options = spark.createDataFrame([(1, "Resize", 1024)], "request_id long, hd_strategy string, resize_limit long")
-    assert json.loads(files.inpaint_config(options).first()["config"]) == {"hd_strategy": "Resize", "hd_strategy_resize_limit": 1024}
+    assert json.loads(files.painter_config(options).first()["json"]) == {"hd_strategy": "Resize", "hd_strategy_resize_limit": 1024}
 
 
 def test_shared_table_is_read_back(spark):
