@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.boxes import iou
 from ..sources.shared import cut
+from .crops import cut_out, number
 from .edges import byte
-from .geometry import DEDUPE_IOU, XYWH, clamp_regions, dedupe, merge_matches, rect
+from .geometry import DEDUPE_IOU, XYWH, clamp_regions, dedupe, merge_matches
 from .strokes import match_surface, template_mask
 from .templates import cut_templates, pick_peaks, scale_masks, scale_templates, template_scores
 
@@ -28,11 +29,8 @@ def variants(surface: DataFrame, rgb: DataFrame, seeds: DataFrame, side: int) ->
     """seeds(image_id, crop, x, y, w, h; crop is a number of its own) -> image_id, template, dy, dx, t, m, centred: each region
     cut out of the surface, at its own size and scaled.  template is crop * 3 + 0, 1 or 2.  m is what template_mask() finds in
     the region's colours; regions without a mask are compared as differences from their mean."""
-    regions = seeds.withColumnRenamed("crop", "ord")
-    base = cut_templates(surface, regions)
-    inside = F.expr("p.image_id = r.image_id AND p.x >= r.x AND p.x < r.x + r.w AND p.y >= r.y AND p.y < r.y + r.h")
-    crops = rgb.alias("p").join(regions.alias("r"), inside).select(F.col("r.ord").alias("image_id"), (F.col("p.y") - F.col("r.y")).alias("y"), (F.col("p.x") - F.col("r.x")).alias("x"), "p.r", "p.g", "p.b")
-    mask = template_mask(cut(crops, "crops"), side).select(F.col("image_id").alias("template"), F.col("y").alias("dy"), F.col("x").alias("dx"), (F.col("v") > 0).cast("int").alias("m"))
+    base = cut_templates(surface, seeds.withColumnRenamed("crop", "ord"))
+    mask = template_mask(cut(cut_out(rgb, seeds), "cut-out"), side).select(F.col("image_id").alias("template"), F.col("y").alias("dy"), F.col("x").alias("dx"), (F.col("v") > 0).cast("int").alias("m"))
     cells = cut(base.join(mask, ["template", "dy", "dx"], "left"), "cells")
     sizes = [cells]
     for scale in SCALES:
@@ -46,7 +44,7 @@ def variants(surface: DataFrame, rgb: DataFrame, seeds: DataFrame, side: int) ->
 def matches(surface: DataFrame, rgb: DataFrame, seeds: DataFrame, side: int, threshold: float = THRESHOLD, most: int = MOST_MATCHES) -> DataFrame:
     """seeds(image_id, x, y, w, h) -> FOUND: where each region is found in its frame, with the size that was looked for and the
     score.  Regions with a side under LEAST_SIDE are not looked for."""
-    numbered = cut(seeds.filter((F.col("w") >= LEAST_SIDE) & (F.col("h") >= LEAST_SIDE)).select("image_id", *XYWH).distinct().withColumn("crop", F.monotonically_increasing_id()), "seeds")
+    numbered = number(seeds.filter((F.col("w") >= LEAST_SIDE) & (F.col("h") >= LEAST_SIDE)).select("image_id", *XYWH).distinct())
     templates = cut(variants(surface, rgb, numbered, side), "templates")
     crop = F.floor(F.col("template") / 3)
     sizes = templates.groupBy("image_id", "template").agg((F.max("dx") + 1).alias("w"), (F.max("dy") + 1).alias("h")).withColumn("crop", crop)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..sources.shared import cut, finished
 
 RUN = ["clip", "ord", "preset", "returncode", "elapsed_seconds"]
 
@@ -28,18 +28,9 @@ def until_failure(results: DataFrame) -> DataFrame:
     return results.join(first, "clip", "left").filter("stop IS NULL OR ord <= stop").drop("stop")
 
 
-def _calls(spark: SparkSession, path: str) -> list[int]:
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests")
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(place):
-        return []
-    names = [s.getPath() for s in files.listStatus(place)]
-    return sorted(int(n.getName()) for n in names if files.exists(spark._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS")))
-
-
 def read_runs(spark: SparkSession, path: str) -> DataFrame | None:
     """RUN and call of all runs, or None where there are none yet."""
-    calls = _calls(spark, path)
+    calls = finished(spark, f"{path}/manifests")
     return spark.read.parquet(*[f"{path}/runs/{n}" for n in calls]) if calls else None
 
 
@@ -60,7 +51,7 @@ def sweep(presets: DataFrame, clips: DataFrame, run: Callable[[DataFrame], DataF
     done = cut(until_failure(run(todo)).select(*RUN), "sweep")
     n = done.count()
     if n:
-        call = (_calls(spark, path) or [-1])[-1] + 1
+        call = (finished(spark, f"{path}/manifests") or [-1])[-1] + 1
         done.withColumn("call", F.lit(call)).write.mode("overwrite").parquet(f"{path}/runs/{call}")
         spark.range(1).select(F.lit(n).alias("rows")).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifests/{call}")
     return n

@@ -316,7 +316,7 @@ SELECT image_id, template, y, x, round(CASE WHEN vv > 0 AND tt > 0 THEN vt::DOUB
 SELECT s.image_id, s.template, s.dy, s.dx, CAST(t.t > 0 AS INT) AS m FROM sized s JOIN templates t ON t.image_id = s.image_id AND t.template = s.template AND t.dy = least(h - 1, s.dy * h // 8) AND t.dx = least(w - 1, s.dx * w // 8)""",
     ),
     "template_scores_centred": (
-        lambda s, d: t.template_scores(crops(s, d), templates(s, d).withColumn("centred", F.lit(True)), tile=3).withColumn("score", F.round("score", 9)),
+        lambda s, d: t.template_scores(crops(s, d), templates(s, d).withColumn("centred", F.lit(True)), tile=8).withColumn("score", F.round("score", 9)),
         f"""WITH {CROPS}, {TEMPLATES}, o AS (SELECT a.image_id, t.template, a.y, a.x, avg(p.v) AS mp, avg(t.t) AS mt, list(p.v ORDER BY t.dy, t.dx) AS ps, list(t.t ORDER BY t.dy, t.dx) AS ts FROM crops a JOIN templates t ON t.image_id = a.image_id
   JOIN crops p ON p.image_id = a.image_id AND p.y = a.y + t.dy AND p.x = a.x + t.dx WHERE a.x <= {CROP - SIDE} AND a.y <= {CROP - SIDE} GROUP BY a.image_id, t.template, a.y, a.x),
 c AS (SELECT image_id, template, y, x, list_sum(list_transform(list_zip(ps, ts), lambda z: (z[1] - mp) * (z[2] - mt))) AS vt, list_sum(list_transform(ps, lambda v: (v - mp) * (v - mp))) AS vv, list_sum(list_transform(ts, lambda v: (v - mt) * (v - mt))) AS tt FROM o)

@@ -184,7 +184,7 @@ FROM lit a WHERE NOT EXISTS (SELECT 1 FROM lit p WHERE p.image_id = a.image_id A
         f"""{W} SELECT a.image_id, a.y, a.x, 255::BIGINT AS v FROM pixels a JOIN pixels b ON a.image_id = b.image_id AND abs(a.x - b.x) <= a.image_id % 3 AND abs(a.y - b.y) <= a.image_id % 3 GROUP BY a.image_id, a.y, a.x HAVING max(b.v) > 0""",
     ),
     "runs_components": (
-        lambda s, d: u.component_stats(u.label(u.to_runs(pixels(s, d)), SIDE, strip=3)),
+        lambda s, d: u.component_stats(u.label(u.to_runs(pixels(s, d)), SIDE, strip=4)),
         f"""WITH RECURSIVE {PIXELS}, lit AS (SELECT image_id, y, x, y * {SIDE} + x AS id FROM pixels WHERE v > 0),
 reach(image_id, id, other) AS (SELECT image_id, id, id FROM lit UNION SELECT r.image_id, r.id, b.id FROM reach r JOIN lit a ON a.image_id = r.image_id AND a.id = r.other
   JOIN lit b ON b.image_id = a.image_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),

@@ -26,3 +26,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def finished(spark: SparkSession, path: str) -> list[int]:
+    """Numbers, in order, of the numbered tables in a folder whose writing came to its end; none where there is no folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return []
+    names = [s.getPath() for s in files.listStatus(place)]
+    return sorted(int(n.getName()) for n in names if files.exists(spark._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS")))

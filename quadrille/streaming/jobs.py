@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.shared import cut
+from ..sources.shared import cut, finished
 
 CLOSING = ("done", "error", "cancelled")
 BUCKETS = 256  # of a table that is kept up to date; a trigger rewrites those that its keys are in
@@ -77,19 +77,9 @@ def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> D
     return spark.table(name)
 
 
-def _manifests(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the versions of a kept table that were finished, in order."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests")
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(place):
-        return []
-    names = [s.getPath() for s in files.listStatus(place)]
-    return sorted(int(n.getName()) for n in names if files.exists(spark._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS")))
-
-
 def read_kept(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """A table that upsert_latest() keeps, as its last (or a given) finished version has it, with bucket and epoch."""
-    manifest = spark.read.parquet(f"{path}/manifests/{_manifests(spark, path)[-1] if version is None else version}")
+    manifest = spark.read.parquet(f"{path}/manifests/{finished(spark, path + '/manifests')[-1] if version is None else version}")
     rows = spark.read.parquet(f"{path}/data")
     return rows.join(F.broadcast(manifest.select("bucket", "version")), ["bucket", "version"]).drop("version")
 
@@ -105,7 +95,7 @@ def upsert_latest(stream: DataFrame, keys: list[str], path: str, checkpoint: str
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark, mark = batch.sparkSession, f"{checkpoint}#{epoch}"
-        known = _manifests(spark, path)
+        known = finished(spark, f"{path}/manifests")
         last = spark.read.parquet(f"{path}/manifests/{known[-1]}") if known else None
         if known and last.first()["writer"] == mark:
             return
@@ -130,7 +120,7 @@ def upsert_latest(stream: DataFrame, keys: list[str], path: str, checkpoint: str
 def tidy(spark: SparkSession, path: str, keep: int = 2) -> int:
     """Remove the manifests of a kept table but for the last ones, and the versions that these don't name; how many went.  Only
     while no query writes the table."""
-    known = _manifests(spark, path)
+    known = finished(spark, f"{path}/manifests")
     held = known[-keep:]
     if not held:
         return 0

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrille.operators import jobs
+from quadrille.sources.shared import finished
 from quadrille.streaming import jobs as live
 from quadrille.streaming import messages
 
@@ -68,7 +69,7 @@ def test_upsert_that_breaks_off(spark, tmp_path, monkeypatch):
     assert kept(spark, out) == [(1, 10), (2, 20)]
     start().awaitTermination()
     assert kept(spark, out) == [(1, 11), (2, 20), (3, 30)]
-    assert live._manifests(spark, out) == [0, 1]
+    assert finished(spark, f"{out}/manifests") == [0, 1]
 
 
 def test_messages_are_split_by_type(spark, tmp_path):
