@@ -328,13 +328,16 @@ def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
     return {k: np.concatenate([x[m] for x in out]) if out else np.zeros(0, np.int64) for m, k in enumerate(names)}
 
 
-def _cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of the texts, a few hundred of which are Python values at a time."""
+    kinds = {"key": pa.int64(), "hash": pa.int64(), "anchor": pa.int64(), "digest": pa.int64(), "start": pa.int32(), "windows": pa.int32(), "size": pa.int32(), "strings": pa.int32()}
     for batch in batches:
-        for i in range(0, len(batch), 512):
-            part = batch.iloc[i : i + 512]
-            found = segments([framed(t) for t in utf8(part["text"])])
+        for i in range(0, batch.num_rows, 512):
+            part = batch.slice(i, 512)
+            found = segments([framed(t) for t in utf8(part.column("text").to_pylist())])
             row = found.pop("row")
-            yield pd.DataFrame({"key": part["key"].to_numpy()[row], "hash": part["hash"].to_numpy()[row]} | found)
+            found |= {c: part.column(c).to_numpy(zero_copy_only=False)[row] for c in ("key", "hash")}
+            yield pa.RecordBatch.from_arrays([pa.array(found[c]).cast(t) for c, t in kinds.items()], [*kinds])
 
 
 def _pack(column: str):
@@ -396,30 +399,32 @@ def _covered(spans: list[dict], first: str, last: str, size: int) -> np.ndarray:
 
 def _remove(batches: Iterator[pa.RecordBatch], passages: bool) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        names, out = batch.schema.names, []
-        for text, spans in zip(batch.column(names.index("__text")).to_pylist(), batch.column(names.index("__spans")).to_pylist()):
-            raw = unpack(text)
-            n = n_runs = repeated = 0
-            kept = raw
-            if spans:
-                strings = _covered(spans, "from", "to", len(raw))
-                every = strings | _covered(spans, "first", "last", len(raw))
-                covered = every if passages else strings
-                n, repeated = int(covered.sum()), int(every.sum())
-                n_runs = int((covered & ~np.concatenate([[False], covered[:-1]])).sum())
-                kept = np.frombuffer(raw, np.uint8)[~covered].tobytes()
-            out.append((len(raw), n, n_runs, kept.decode(errors="ignore") if passages else kept, hashlib.sha256(kept).hexdigest(), repeated))
-        kinds = (*[pa.int64()] * 3, pa.string() if passages else pa.binary(), pa.string(), pa.int64())
-        own = [c for c in names if c not in ("__text", "__spans")]
-        made = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in own], *made], [*own, *MADE])
+    for whole in batches:
+        for i in range(0, whole.num_rows, 1024):
+            batch = whole.slice(i, 1024)
+            names, out = batch.schema.names, []
+            for text, spans in zip(batch.column(names.index("__text")).to_pylist(), batch.column(names.index("__spans")).to_pylist()):
+                raw = unpack(text)
+                n = n_runs = repeated = 0
+                kept = raw
+                if spans:
+                    strings = _covered(spans, "from", "to", len(raw))
+                    every = strings | _covered(spans, "first", "last", len(raw))
+                    covered = every if passages else strings
+                    n, repeated = int(covered.sum()), int(every.sum())
+                    n_runs = int((covered & ~np.concatenate([[False], covered[:-1]])).sum())
+                    kept = np.frombuffer(raw, np.uint8)[~covered].tobytes()
+                out.append((len(raw), n, n_runs, kept.decode(errors="ignore") if passages else kept, hashlib.sha256(kept).hexdigest(), repeated))
+            kinds = (*[pa.int64()] * 3, pa.string() if passages else pa.binary(), pa.string(), pa.int64())
+            own = [c for c in names if c not in ("__text", "__spans")]
+            made = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in own], *made], [*own, *MADE])
 
 
 def repeats(rows: DataFrame) -> DataFrame:
     """rows(key long, hash long, text) -> key, hash, first, last, from, to: byte spans that repeated windows cover (first to last)
     and repeated strings of WINDOW bytes (from to to); either can be empty."""
-    cuts = cut(rows.mapInPandas(lean(_cut_up), "key long, hash long, anchor long, digest long, start int, windows int, size int, strings int"), "segments")
+    cuts = cut(rows.mapInArrow(lean(_cut_up), "key long, hash long, anchor long, digest long, start int, windows int, size int, strings int"), "segments")
     groups = cut(cuts.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("key", "hash", "start", "windows")).alias("rep")), "groups")
     same = join_uneven(cuts, groups.filter("n > 1").select("anchor", "digest", "n"), ["anchor", "digest"], "n")
     string = lambda c: F.when(F.col("strings") > 0, c).otherwise(0)
