@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import WORD, cut
+from .merkle import place
 
 #: Up to so many sources their parameters are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
@@ -17,11 +18,7 @@ def source_targets(sizes: DataFrame, weights=(1, 2, 3), max_epochs: int = 3) ->
     no source is above max_epochs times its size: each round is one aggregate over the source table, and only its three
     numbers reach the driver.
     """
-    spark = sizes.sparkSession
-    ordered = sizes.orderBy(F.col("source").asc_nulls_last())
-    ranked = spark.createDataFrame(
-        ordered.rdd.zipWithIndex().map(lambda x: (x[0]["source"], x[0]["source_size"], x[1])), "source string, source_size long, rank long"
-    )
+    ranked = place(sizes, [F.col("source").asc_nulls_last()], []).withColumnRenamed("idx", "rank")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     table = cut(ranked.select("source", "source_size", weight.alias("weight")), "mix-sources")
     cap = F.col("source_size") * F.lit(float(max_epochs))
