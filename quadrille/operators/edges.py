@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut
-from .raster import label_components
+from .runs import label, to_pixels, to_runs
 
 # Tangents of 22.5 and 67.5 degrees as fractions of 2**15, as image libraries have them; the second is the first
 # and 2.
@@ -58,12 +58,12 @@ def thin(gradients: DataFrame) -> DataFrame:
 def hysteresis(marks: DataFrame, side: int) -> DataFrame:
     """marks(image_id, y, x, weak, strong) -> image_id, y, x, v: 255 for weak pixels that touch a strong one, corners included,
     directly or through other weak ones; strong pixels are weak ones too."""
-    labels = label_components(marks.select("image_id", "y", "x", F.when(F.col("weak"), 1).otherwise(0).alias("v")), side)
+    weak = marks.select("image_id", "y", "x", F.when(F.col("weak"), 1).otherwise(0).alias("v"))
+    labels = cut(label(to_runs(weak), side), "edge-labels")
     at = ["image_id", "y", "x"]
-    marked = cut(labels.join(marks.select(*at, "strong"), at), "edge-labels")
-    good = marked.filter("strong").select("image_id", "label").distinct()
-    kept = marked.join(good, ["image_id", "label"], "left_semi").select(*at, F.lit(255).cast("long").alias("kept"))
-    return marks.select(*at).join(kept, at, "left").select(*at, F.coalesce("kept", F.lit(0)).cast("long").alias("v"))
+    strong = marks.filter("strong").select(*at).join(labels, ["image_id", "y"]).filter("x >= x0 AND x < x1").select("image_id", "label").distinct()
+    kept = to_pixels(labels.join(strong, ["image_id", "label"], "left_semi"))
+    return marks.select(*at).join(kept, at, "left").select(*at, F.coalesce("v", F.lit(0)).cast("long").alias("v"))
 
 
 def canny(pixels: DataFrame, low: int, high: int, side: int) -> DataFrame:

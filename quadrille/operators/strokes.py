@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.boxes import half_even
 from ..sources.shared import cut
+from . import runs
 from .edges import byte, canny
-from .raster import SOLID, _moving, close_gaps, component_stats, coverage, dilate, frame_sizes, histogram, label_components, otsu, text_like
+from .raster import SOLID, _moving, close_gaps, coverage, dilate, frame_sizes, histogram, otsu, text_like
 
 
 def channels(rgb: DataFrame) -> DataFrame:
@@ -120,10 +121,10 @@ def text_core(images: DataFrame, width: int, height: int) -> DataFrame:
 
 def keep_text_like(mask: DataFrame, side: int, width: int | None = None, height: int | None = None) -> DataFrame:
     """The mask without components that cannot be strokes of letters in a frame of this size, or of each image's own."""
-    labels = cut(label_components(mask, side), "labels")
-    stats = component_stats(labels)
+    labels = cut(runs.label(runs.to_runs(mask), side), "labels")
+    stats = runs.component_stats(labels)
     good = (text_like(stats, width, height) if width else text_like(stats.join(frame_sizes(mask), "image_id"), "wide", "high")).select("image_id", "label")
-    kept = labels.join(good, ["image_id", "label"], "left_semi").select("image_id", "y", "x", F.lit(255).cast("long").alias("kept"))
+    kept = runs.to_pixels(labels.join(good, ["image_id", "label"], "left_semi")).withColumnRenamed("v", "kept")
     return mask.join(kept, ["image_id", "y", "x"], "left").select("image_id", "y", "x", F.coalesce("kept", F.lit(0)).cast("long").alias("v"))
 
 
