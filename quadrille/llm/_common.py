@@ -104,14 +104,19 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - first, count)
 
 
+def release() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(task):
-    """A task over batches that afterwards gives the memory it freed back to the system, where the C library can: Spark keeps its
-    Python workers, and an executor's memory holds those of earlier stages, too."""
+    """A task over batches that gives back its memory when it ends: Spark keeps its Python workers, and an executor's memory holds
+    those of earlier stages, too."""
 
     def run(batches):
         yield from task(batches)
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        release()
 
     return run
 

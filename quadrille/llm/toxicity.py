@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, lean, offsets, prefix_hash, ranges, span_hash
+from ._common import chunks, lean, offsets, prefix_hash, ranges, release, span_hash
 
 GRAMS = (3, 4, 5)  # bytes
 BUCKETS, DIMENSIONS = 1 << 17, 8
 RUN = 6  # words whose vectors are averaged
 REJECT = 0.7
 #: The sample that a model is fitted on: rows of each label at most, and characters of a row at most.
-TRAIN_ROWS, TRAIN_CHARS = {1: 2000, 0: 5000}, 6_000
+TRAIN_ROWS, TRAIN_CHARS = {1: 1750, 0: 4400}, 6_000
 EPOCHS, WHOLE_EPOCHS, RATE, DECAY, DROP = 110, 30, 0.05, 1e-4, 0.3
 
 #: Bytes of words: letters, digits and all beyond ASCII; the others separate words.
@@ -163,7 +163,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         found = first(named.join(F.broadcast(keys), "key"), "text").limit(most).select("text").toPandas()["text"].tolist()
         texts += found
         marks += [mark] * len(found)
-    return fit(texts, marks)
+    model = fit(texts, marks)
+    del texts
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
