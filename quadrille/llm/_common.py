@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut, shared_dir  # noqa: F401
+from ..sources.shared import shared_dir, written as cut  # noqa: F401
 
 #: ASCII white space of the word pattern `[^\x20\x09-\x0D]+`.
 SPACE = np.zeros(256, bool)

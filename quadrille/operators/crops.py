@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import clamp, half_even
-from ..sources.shared import cut
+from ..sources.shared import by_merge, cut
 from .edges import byte
 from .geometry import XYWH
 from .masks import recentre
 from .raster import box_sums, dilate, integral, merge_last, rectangle_masks, signal
-from .strokes import blur, frame_candidate, refined_mask
+from .strokes import blur, frame_candidate, grid, refined_mask
 
 AT = ["image_id", "y", "x"]
 # A region's signal must reach this, and the region this size, for a window to be looked for; the window's least
@@ -32,12 +32,7 @@ def cut_out(pixels: DataFrame, regions: DataFrame) -> DataFrame:
     """The pixels of numbered regions; image_id is the crop's number, y and x count from the region's corner."""
     inside = F.expr("p.image_id = r.image_id AND p.x >= r.x AND p.x < r.x + r.w AND p.y >= r.y AND p.y < r.y + r.h")
     values = [F.col(f"p.{c}") for c in pixels.columns if c not in AT]
-    return pixels.alias("p").join(regions.alias("r"), inside).select(F.col("r.crop").alias("image_id"), (F.col("p.y") - F.col("r.y")).alias("y"), (F.col("p.x") - F.col("r.x")).alias("x"), *values)
-
-
-def grid(images: DataFrame, width: int, height: int) -> DataFrame:
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    return images.select("image_id", upto(height).alias("y")).select("image_id", "y", upto(width).alias("x"))
+    return by_merge(pixels).alias("p").join(regions.alias("r"), inside).select(F.col("r.crop").alias("image_id"), (F.col("p.y") - F.col("r.y")).alias("y"), (F.col("p.x") - F.col("r.x")).alias("x"), *values)
 
 
 def draw_masks(regions: DataFrame, width: int, height: int, padding: int, spread: int, rgb: DataFrame | None = None) -> DataFrame:
@@ -55,7 +50,7 @@ def draw_masks(regions: DataFrame, width: int, height: int, padding: int, spread
         mask = refined_mask(cut(cut_out(rgb, boxes), "cut-out"), width)
         placed = mask.withColumnRenamed("image_id", "crop").join(boxes.select("crop", "image_id", "ord", F.col("x").alias("x0"), F.col("y").alias("y0")), "crop")
         drawn = merge_last(placed.select("image_id", "ord", (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"), "v")).withColumnRenamed("v", "d")
-    whole = grid(regions.select("image_id").distinct(), width, height).join(drawn, AT, "left").select(*AT, F.coalesce("d", F.lit(0)).cast("long").alias("v"))
+    whole = grid(regions.select("image_id").distinct(), width, height).join(by_merge(drawn), AT, "left").select(*AT, F.coalesce("d", F.lit(0)).cast("long").alias("v"))
     return dilate(cut(whole, "drawn"), spread)
 
 
@@ -118,7 +113,7 @@ def _taps(sizes: DataFrame, have: str, want: str) -> DataFrame:
     rows = rows.select("*", F.sequence(low, high - 1).alias("ks"), wider.alias("wider"), center.alias("center"))
     weigh = lambda k: _cubic((k - F.col("center") + 0.5) / F.col("wider"))
     rows = rows.withColumn("total", F.aggregate("ks", F.lit(0.0), lambda acc, k: acc + weigh(k)))
-    return rows.select("image_id", "i", F.explode("ks").alias("k"), "wider", "center", "total").select("image_id", "i", "k", (weigh(F.col("k")) / F.col("total")).alias("weight"))
+    return by_merge(rows.select("image_id", "i", F.explode("ks").alias("k"), "wider", "center", "total").select("image_id", "i", "k", (weigh(F.col("k")) / F.col("total")).alias("weight")))
 
 
 def resize(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -140,10 +135,10 @@ def compose(base: DataFrame, crops: DataFrame, processed: DataFrame, masks: Data
     fitting = processed.join(other, "image_id", "left_anti").select(*AT, F.col("v").cast("long").alias("v"))
     every = fitting.unionByName(resize(processed.join(other, "image_id", "left_semi"), other))
     soft = blur(masks, feather) if feather > 0 else masks
-    layers = every.join(soft.select(*AT, byte(F.col("v")).alias("alpha")), AT).withColumnRenamed("image_id", "crop")
+    layers = every.join(by_merge(soft.select(*AT, byte(F.col("v")).alias("alpha"))), AT).withColumnRenamed("image_id", "crop")
     layers = layers.join(crops.select("crop", "image_id", "index", F.col("x").alias("x0"), F.col("y").alias("y0")), "crop")
     entry = F.struct("index", "crop", "v", "alpha")
     laid = layers.groupBy("image_id", (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x")).agg(F.sort_array(F.collect_list(entry)).alias("cs"))
     blend = lambda acc, c: clamp(half_even((c["v"] * c["alpha"] + acc * (255 - c["alpha"])) / 255), 0, 255)
     value = F.aggregate("cs", F.col("v").cast("long"), blend)
-    return base.join(laid, AT, "left").select(*AT, F.when(F.col("cs").isNull(), F.col("v").cast("long")).otherwise(value).alias("v"))
+    return base.join(by_merge(laid), AT, "left").select(*AT, F.when(F.col("cs").isNull(), F.col("v").cast("long")).otherwise(value).alias("v"))

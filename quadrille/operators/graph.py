@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..sources.shared import written as cut
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:

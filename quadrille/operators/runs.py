@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..sources.shared import by_merge, cut
 from .graph import components
 from .raster import least_of_tied
 
@@ -29,7 +29,7 @@ def to_runs(pixels: DataFrame) -> DataFrame:
 
 def to_pixels(runs: DataFrame) -> DataFrame:
     """image_id, y, x, v: the set pixels."""
-    return runs.select("image_id", "y", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"), F.lit(255).cast("long").alias("v"))
+    return by_merge(runs.select("image_id", "y", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"), F.lit(255).cast("long").alias("v")))
 
 
 def merge(runs: DataFrame) -> DataFrame:
