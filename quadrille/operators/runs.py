@@ -51,11 +51,27 @@ def spread(runs: DataFrame, radius, width: int, height: int) -> DataFrame:
 
 
 def rectangles(regions: DataFrame, width: int, height: int) -> DataFrame:
-    """The runs that regions(image_id, x, y, w, h) draw; both ends belong to a rectangle."""
+    """The runs that regions(image_id, x, y, w, h) draw; both ends belong to a rectangle.
+
+    Between two neighbouring ends of an image's rectangles all rows are alike, so runs are merged once for each such slab, by a
+    fold over the rectangles that it meets, and become rows last: no row of a rectangle is shuffled or sorted."""
     held = lambda v, most: F.greatest(F.lit(0), F.least(F.lit(most), v))
-    ys = F.sequence(held(F.col("y"), height - 1), held(F.col("y") + F.col("h"), height - 1))
-    rows = regions.select("image_id", F.explode(ys).alias("y"), held(F.col("x"), width - 1).alias("x0"), (held(F.col("x") + F.col("w"), width - 1) + 1).alias("x1"))
-    return merge(rows.select(*[F.col(c).cast("long").alias(c) for c in RUN]))
+    one, other = held(F.col("y"), height - 1), held(F.col("y") + F.col("h"), height - 1)
+    ends = {"x0": held(F.col("x"), width - 1), "x1": held(F.col("x") + F.col("w"), width - 1) + 1, "y0": F.least(one, other), "y1": F.greatest(one, other) + 1}
+    box = F.struct(*[v.cast("long").alias(k) for k, v in ends.items()])
+    images = regions.groupBy("image_id").agg(F.sort_array(F.collect_set(box)).alias("boxes"))
+    images = images.withColumn("ys", F.array_sort(F.array_distinct(F.concat("boxes.y0", "boxes.y1"))))
+    slabs = images.select("image_id", "boxes", "ys", F.posexplode("ys").alias("k", "top")).withColumn("bottom", F.get("ys", F.col("k") + 1)).filter("bottom IS NOT NULL")
+    met = F.filter("boxes", lambda r: (r["y0"] <= F.col("top")) & (r["y1"] > F.col("top")))
+
+    def step(runs: Column, r: Column) -> Column:
+        last, run = F.try_element_at(runs, F.lit(-1)), F.struct(r["x0"].alias("x0"), r["x1"].alias("x1"))
+        longer = F.struct(last["x0"].alias("x0"), F.greatest(last["x1"], r["x1"]).alias("x1"))
+        return F.when(r["x0"] <= last["x1"], F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))).otherwise(F.concat(runs, F.array(run)))
+
+    merged = F.aggregate(met, F.array().cast("array<struct<x0:bigint,x1:bigint>>"), step)
+    rows = slabs.select("image_id", "top", "bottom", F.inline(merged))
+    return rows.select("image_id", F.explode(F.sequence("top", F.col("bottom") - 1)).alias("y"), "x0", "x1")
 
 
 def coverage(runs: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
-"""What lets a query outgrow its driver, its disk or its time: broadcasts of pixels."""
+"""What lets a query outgrow its driver, its disk or its time: broadcasts of pixels, rows that need not be shuffled."""
 
 import contextlib
 import io
+import random
 
 import pytest
 
 from quadrille import plans
+from quadrille.operators import runs
 from quadrille.sources.shared import by_merge, cut
 
 from .test_queries import DATA
@@ -37,3 +39,22 @@ def test_written_tables_join_by_sorting(spark):
     rows = spark.range(1000).selectExpr("id AS image_id", "id % 2 AS v")
     for table in (cut(rows, "rows"), by_merge(rows)):
         assert "SortMergeJoin" in explained(rows.join(table.filter("v > 0").groupBy("image_id").count(), "image_id"))
+
+
+def test_rectangles_merge_before_they_become_rows(spark):
+    rng = random.Random(5)
+    boxes = [(i, rng.randrange(-5, 30), rng.randrange(-5, 20), rng.randrange(0, 15), rng.randrange(-3, 12)) for i in range(6) for _ in range(8)]
+    boxes += [(9, 0, 0, 3, 4), (9, 4, 2, 2, 5), (9, 0, 0, 3, 4), (10, 50, 50, 5, 5)]
+    df = runs.rectangles(spark.createDataFrame(boxes, "image_id long, x long, y long, w long, h long"), 32, 20)
+    expected = set()
+    for i, x, y, w, h in boxes:
+        held = lambda v, most: max(0, min(most, v))
+        one, other = held(y, 19), held(y + h, 19)
+        expected |= {(i, b, a) for b in range(min(one, other), max(one, other) + 1) for a in range(held(x, 31), held(x + w, 31) + 1)}
+    rows = df.collect()
+    cells = [(r["image_id"], r["y"], x) for r in rows for x in range(r["x0"], r["x1"])]
+    assert len(cells) == len(set(cells)) and set(cells) == expected
+    ends = {(r["image_id"], r["y"], r["x1"]) for r in rows}
+    assert not [r for r in rows if (r["image_id"], r["y"], r["x0"]) in ends]  # runs that meet are one
+    plan = explained(df)
+    assert plan.index("Generate") < plan.index("Exchange")
