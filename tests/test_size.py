@@ -1,4 +1,4 @@
-"""What lets a query outgrow its driver, its disk or its time: broadcasts of pixels, rows that need not be shuffled."""
+"""What lets a query outgrow its driver, its disk or its time: broadcasts of pixels, rows that need not be shuffled, joins of cells."""
 
 import contextlib
 import io
@@ -7,7 +7,7 @@ import random
 import pytest
 
 from quadrille import plans
-from quadrille.operators import runs
+from quadrille.operators import runs, templates
 from quadrille.sources.shared import by_merge, cut
 
 from .test_queries import DATA
@@ -29,7 +29,7 @@ def explained(df):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no tables")
-@pytest.mark.parametrize("name", ["crop_compose_feathered", "frame_candidate", "mask_enough", "mask_strengthen", "region_support_mask"])
+@pytest.mark.parametrize("name", ["crop_compose_feathered", "frame_candidate", "mask_enough", "mask_strengthen", "region_support_mask", "template_mask_scaled", "template_scaled"])
 def test_no_pixels_go_through_the_driver(spark, small_broadcasts, name):
     df = plans.queries()[name](spark, str(DATA))
     df.write.format("noop").mode("overwrite").save()
@@ -58,3 +58,38 @@ def test_rectangles_merge_before_they_become_rows(spark):
     assert not [r for r in rows if (r["image_id"], r["y"], r["x0"]) in ends]  # runs that meet are one
     plan = explained(df)
     assert plan.index("Generate") < plan.index("Exchange")
+
+
+def resized_cells(cells, scale, least):
+    """Sums of the cells that there are, by hand."""
+    h, w = max(y for y, _ in cells) + 1, max(x for _, x in cells) + 1
+    nh, nw = (max(least, round(n * scale)) for n in (h, w))
+    out = {}
+    for y in range(nh):
+        for x in range(nw):
+            py, px = (y + 0.5) * h / nh - 0.5, (x + 0.5) * w / nw - 0.5
+            fy, fx = py // 1, px // 1
+            for j in (0, 1):
+                for k in (0, 1):
+                    at = int(max(0, min(h - 1, fy + j))), int(max(0, min(w - 1, fx + k)))
+                    if at in cells:
+                        out[y, x] = out.get((y, x), 0.0) + cells[at] * (1 - abs(py - fy - j)) * (1 - abs(px - fx - k))
+    return out
+
+
+def test_templates_are_scaled_without_a_join_of_cells(spark):
+    whole = {(y, x): float(y * 7 + x * 3 % 5) for y in range(4) for x in range(6)}
+    holes = {at: v for at, v in whole.items() if sum(at) % 4 > 0}
+    rows = [(1, n, y, x, v) for n, cells in ((1, whole), (2, holes)) for (y, x), v in cells.items()]
+    df = templates.scale_templates(spark.createDataFrame(rows, "image_id long, template long, dy long, dx long, t double"), 1.5, 3)
+    got = {(r["template"], r["dy"], r["dx"]): r["t"] for r in df.collect()}
+    expected = {(n, *at): v for n, cells in ((1, whole), (2, holes)) for at, v in resized_cells(cells, 1.5, 3).items()}
+    assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+    masks = templates.scale_masks(df.selectExpr("image_id", "template", "dy", "dx", "CAST(t > 9 AS INT) AS m").filter("(dy * 3 + dx) % 4 > 0 OR template = 1"), 0.5, 2)
+    assert "Join" not in explained(df) + explained(masks)
+    given = {k: int(v > 9) for k, v in expected.items() if (k[1] * 3 + k[2]) % 4 > 0 or k[0] == 1}
+    for n in (1, 2):
+        h, w = (max(k[i] for k in given if k[0] == n) + 1 for i in (1, 2))
+        nh, nw = max(2, round(h * 0.5)), max(2, round(w * 0.5))
+        near = {(n, y, x): given.get((n, min(h - 1, y * h // nh), min(w - 1, x * w // nw))) for y in range(nh) for x in range(nw)}
+        assert {(r["template"], r["dy"], r["dx"]): r["m"] for r in masks.filter(f"template = {n}").collect()} == {k: v for k, v in near.items() if v is not None}
