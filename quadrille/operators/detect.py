@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import iou
-from ..sources.shared import cut
+from ..sources.shared import by_merge, cut
 from .crops import cut_out, number
 from .edges import byte
 from .geometry import DEDUPE_IOU, XYWH, clamp_regions, dedupe, merge_matches
@@ -71,7 +71,7 @@ def suggestions(base: DataFrame, candidates: DataFrame) -> DataFrame:
     """image_id, ord, x, y, w, h: candidates that overlap neither a base region nor an earlier suggestion by DEDUPE_IOU.  Images
     whose base regions overlap one another that far have none."""
     entry = lambda name: F.sort_array(F.collect_list(F.struct("ord", *XYWH))).alias(name)
-    alone = dedupe(base).groupBy("image_id").agg(F.count("*").alias("kept"))
+    alone = by_merge(dedupe(base).groupBy("image_id").agg(F.count("*").alias("kept")))
     both = base.groupBy("image_id").agg(entry("base")).join(alone, "image_id").filter(F.size("base") == F.col("kept")).join(candidates.groupBy("image_id").agg(entry("found")), "image_id")
 
     def step(taken, c):
