@@ -93,3 +93,25 @@ def test_templates_are_scaled_without_a_join_of_cells(spark):
         nh, nw = max(2, round(h * 0.5)), max(2, round(w * 0.5))
         near = {(n, y, x): given.get((n, min(h - 1, y * h // nh), min(w - 1, x * w // nw))) for y in range(nh) for x in range(nw)}
         assert {(r["template"], r["dy"], r["dx"]): r["m"] for r in masks.filter(f"template = {n}").collect()} == {k: v for k, v in near.items() if v is not None}
+
+
+def test_tiles_of_many_images_are_scored_together(spark):
+    """A Python call for each tile takes longer than its scores; a batch has tiles and templates of all sizes."""
+    rng = random.Random(9)
+    images = {i: [[rng.randrange(4) for _ in range(5 + i % 3)] for _ in range(6 - i % 2)] for i in range(12)}
+    cells = {(i, n): [[rng.randrange(3) for _ in range(1 + (i + n) % 3)] for _ in range(2 + n)] for i in range(1, 13) for n in range(3)}
+    pixels = spark.createDataFrame([(i, y, x, v) for i, rows in images.items() for y, row in enumerate(rows) for x, v in enumerate(row)], "image_id long, y long, x long, v long")
+    rows = [(i, n, y, x, v, int((i + y + x) % 4 > 0 or n == 2), n == 1) for (i, n), face in cells.items() for y, row in enumerate(face) for x, v in enumerate(row)]
+    df = templates.template_scores(pixels, spark.createDataFrame(rows, "image_id long, template long, dy long, dx long, t long, m int, centred boolean"), tile=2)
+    assert "InPandas" not in explained(df)
+    want = {}
+    for i, n, *_ in {r[:2] for r in rows if r[0] in images}:
+        image, face = images[i], [r for r in rows if r[:2] == (i, n) and r[5]]
+        for y in range(len(image) - len(cells[i, n]) + 1):
+            for x in range(len(image[0]) - len(cells[i, n][0]) + 1):
+                pairs = [(image[y + r[2]][x + r[3]], r[4]) for r in face]
+                a, b = ([p[k] - (sum(q[k] for q in pairs) / len(pairs) if n == 1 else 0) for p in pairs] for k in (0, 1))
+                vv, tt = sum(v * v for v in a), sum(t * t for t in b)
+                want[i, n, y, x] = sum(v * t for v, t in zip(a, b)) / (vv * tt) ** 0.5 if min(vv, tt) > 1e-6 else 0.0
+    got = {tuple(r)[:4]: r["score"] for r in df.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
