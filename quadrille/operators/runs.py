@@ -6,7 +6,7 @@ many tasks; what strips share at their borders is joined afterwards.
 """
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,29 +103,36 @@ def trim_to_projection(runs: DataFrame, width: int, height: int) -> DataFrame:
     return cut_.select("image_id", "y", x0.alias("x0"), x1.alias("x1")).filter("x0 < x1")
 
 
-def _label_strip(side: int):
-    def run(strip: pd.DataFrame) -> pd.DataFrame:
-        strip = strip.sort_values(["y", "x0"], ignore_index=True)
-        y, x0, x1 = (strip[c].to_numpy() for c in ("y", "x0", "x1"))
+def _label_strips(side: int, strip: int):
+    """Batches of strips, each with its runs: all strips of a batch are labelled at once."""
+
+    def labelled(batch: pa.RecordBatch) -> pa.RecordBatch:
+        runs, of = batch.column("runs").flatten(), np.repeat(np.arange(batch.num_rows), batch.column("runs").value_lengths().to_numpy())
+        y, x0, x1 = (runs.field(c).to_numpy() for c in RUN[1:])
+        row = of * (strip + 1) + y - batch.column("strip").to_numpy()[of] * strip  # none is the next of another strip's
+        order = np.lexsort((x0, row))
+        of, y, x0, x1, row = (v[order] for v in (of, y, x0, x1, row))
         wide = int(x1.max()) + 2
         # runs of the next row that touch are neighbours in order: from the first that ends at x0 or later to the last that begins at x1
-        first = np.searchsorted(y * wide + x1, (y + 1) * wide + x0, "left")
-        last = np.searchsorted(y * wide + x0, (y + 1) * wide + x1, "right")
+        first = np.searchsorted(row * wide + x1, (row + 1) * wide + x0, "left")
+        last = np.searchsorted(row * wide + x0, (row + 1) * wide + x1, "right")
         count = np.maximum(last - first, 0)
         above = np.repeat(np.arange(len(y)), count)
         below = np.arange(len(above)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-        strip["label"] = (y * side + x0)[least_of_tied(len(y), above, below)]
-        return strip[["image_id", "strip", "y", "x0", "x1", "label"]]
+        label = (y * side + x0)[least_of_tied(len(y), above, below)]
+        keys = [batch.column(c).take(pa.array(of)) for c in ("image_id", "strip")]
+        return pa.RecordBatch.from_arrays([*keys, *map(pa.array, (y, x0, x1, label))], ["image_id", "strip", "y", "x0", "x1", "label"])
 
-    return run
+    return lambda batches: (labelled(b) for b in batches if b.num_rows)
 
 
 def label(runs: DataFrame, side: int, strip: int = STRIP) -> DataFrame:
     """runs with label: the least pixel number (y * side + x) of the runs that each touches, corners included, directly or
-    through others.  side is over every x.  Strips are labelled on their own, one task each; labels that touch across a border
+    through others.  side is over every x.  Strips are labelled on their own, many in a batch; labels that touch across a border
     are the nodes of a graph."""
     rows = runs.select(*[F.col(c).cast("long").alias(c) for c in RUN], F.floor(F.col("y") / strip).alias("strip"))
-    local = cut(rows.groupBy("image_id", "strip").applyInPandas(_label_strip(side), "image_id long, strip long, y long, x0 long, x1 long, label long"), "strip-labels")
+    strips = rows.groupBy("image_id", "strip").agg(F.collect_list(F.struct("y", "x0", "x1")).alias("runs"))
+    local = cut(strips.mapInArrow(_label_strips(side, strip), "image_id long, strip long, y long, x0 long, x1 long, label long"), "strip-labels")
     if not local.agg(F.max("strip")).first()[0]:  # frames of one strip have no borders
         return local.select(*RUN, "label")
     low = local.filter((F.col("y") + 1) % strip == 0).select("image_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("label").alias("a"))

@@ -1,13 +1,14 @@
 """What lets a query outgrow its driver, its disk or its time: broadcasts of pixels, rows that need not be shuffled, joins of cells."""
 
 import contextlib
+import inspect
 import io
 import random
 
 import pytest
 
 from quadrille import plans
-from quadrille.operators import runs, templates
+from quadrille.operators import raster, runs, templates
 from quadrille.sources.shared import by_merge, cut
 
 from .test_queries import DATA
@@ -115,3 +116,27 @@ def test_tiles_of_many_images_are_scored_together(spark):
                 want[i, n, y, x] = sum(v * t for v, t in zip(a, b)) / (vv * tt) ** 0.5 if min(vv, tt) > 1e-6 else 0.0
     got = {tuple(r)[:4]: r["score"] for r in df.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_many_images_are_labelled_together(spark):
+    """No Python call for each image or strip; what touches stays within its image, over any number of strips."""
+    rng = random.Random(4)
+    lit = {(i * 7 - 20, y, x) for i in range(8) for y in range(9) for x in range(6) if rng.random() < 0.4}
+    pixels = spark.createDataFrame([(*at, 255) for at in lit], "image_id long, y long, x long, v long")
+    want = {}
+    for at in sorted(lit):
+        reach, new = {at}, [at]
+        while new and at not in want:
+            i, y, x = new.pop()
+            near = {(i, y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)} & lit - reach
+            reach |= near
+            new += near
+        for p in reach if at not in want else ():
+            want[p] = at[1] * 6 + at[2]
+    whole = raster.label_components(pixels, 6)
+    assert {tuple(r)[:3]: r["label"] for r in whole.collect()} == want
+    assert "InPandas" not in explained(whole)
+    assert "applyInPandas" not in inspect.getsource(runs.label)  # its plan ends at a written table
+    for strip in (2, 3, 128):
+        rows = runs.label(runs.to_runs(pixels), 6, strip).collect()
+        assert {(r["image_id"], r["y"], x): r["label"] for r in rows for x in range(r["x0"], r["x1"])} == want
