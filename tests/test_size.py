@@ -8,7 +8,7 @@ import random
 import pytest
 
 from quadrille import plans
-from quadrille.operators import raster, runs, templates
+from quadrille.operators import masks, raster, runs, templates
 from quadrille.sources.shared import by_merge, cut
 
 from .test_queries import DATA
@@ -140,3 +140,10 @@ def test_many_images_are_labelled_together(spark):
     for strip in (2, 3, 128):
         rows = runs.label(runs.to_runs(pixels), 6, strip).collect()
         assert {(r["image_id"], r["y"], x): r["label"] for r in rows for x in range(r["x0"], r["x1"])} == want
+
+
+def test_hits_of_an_image_are_counted_and_spread_in_one_part(spark):
+    """One shuffle for votes and windows, into the parts that are set: a scan keeps no votes, and no few large tasks sort them."""
+    hits = spark.range(2000).selectExpr("id % 10 AS image_id", "id div 10 % 20 AS y", "id div 200 AS x", "0 AS frame", "id % 3 = 0 AS hit")
+    plan = explained(masks.voted(hits, 1, 0.05, 0.6, 1))
+    assert "(y" not in "".join(line for line in plan.splitlines() if "Exchange" in line) and plan.count("REPARTITION_BY_NUM") == plan.count("Exchange")
