@@ -7,7 +7,7 @@ lower cutoff stay if their component has one over the higher.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..sources.shared import by_image, cut
 from .runs import label, to_pixels, to_runs
 
 # Tangents of 22.5 and 67.5 degrees as fractions of 2**15, as image libraries have them; the second is the first
@@ -69,5 +69,5 @@ def hysteresis(marks: DataFrame, side: int) -> DataFrame:
 def canny(pixels: DataFrame, low: int, high: int, side: int) -> DataFrame:
     """image_id, y, x, v: 255 on edges of the integer raster pixels(image_id, y, x, v), else 0.  Ridges of the gradient above
     low belong to an edge if they reach one above high.  side: a number over every x."""
-    ridges = thin(sobel(pixels)).select("image_id", "y", "x", (F.col("ridge") & (F.col("size") > low)).alias("weak"), (F.col("ridge") & (F.col("size") > high)).alias("strong"))
+    ridges = thin(sobel(by_image(pixels))).select("image_id", "y", "x", (F.col("ridge") & (F.col("size") > low)).alias("weak"), (F.col("ridge") & (F.col("size") > high)).alias("strong"))
     return hysteresis(cut(ridges, "ridges"), side)
