@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut
-from ..functions.boxes import box_area, close, half_even, iou, padded_box, thousandths, union_box
+from ..functions.boxes import close, half_even, iou, padded_box, thousandths
+from .folds import apart, covered, crop_groups
 
 XYWH = ("x", "y", "w", "h")
 MIN_SIDE = 4
@@ -40,16 +41,14 @@ def overlapping_pairs(regions: DataFrame, threshold: float = 0.0) -> DataFrame:
     return a.join(b, on).select("a.image_id", F.col("a.ord").alias("a"), F.col("b.ord").alias("b"), iou(left, right).alias("iou")).filter(F.col("iou") > threshold)
 
 
-def by_image(regions: DataFrame) -> DataFrame:
-    """image_id, rs: the regions of each image as an array in their order."""
-    return regions.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("ord", *XYWH))).alias("rs"))
+def by_image(regions: DataFrame, *carried: str) -> DataFrame:
+    """image_id, rs: the regions of each image as an array in their order; and columns that have one value for each image."""
+    return regions.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("ord", *XYWH))).alias("rs"), *[F.max(c).alias(c) for c in carried])
 
 
-def dedupe(regions: DataFrame, threshold: float = DEDUPE_IOU) -> DataFrame:
+def dedupe(regions: DataFrame, threshold: float = DEDUPE_IOU, *carried: str) -> DataFrame:
     """Regions that overlap none of the regions kept before them by threshold or more."""
-    none = F.expr("cast(array() AS array<struct<ord:bigint,x:bigint,y:bigint,w:bigint,h:bigint>>)")
-    kept = F.aggregate("rs", none, lambda acc, r: F.when(F.exists(acc, lambda k: iou(k, r) >= threshold), acc).otherwise(F.concat(acc, F.array(r))))
-    return by_image(regions).select("image_id", F.inline(kept))
+    return by_image(regions, *carried).select("image_id", F.inline(apart("rs", threshold)), *carried)
 
 
 def bounding_boxes(regions: DataFrame) -> DataFrame:
@@ -76,28 +75,10 @@ def plan_crops(regions: DataFrame, width: int, height: int, max_width, max_heigh
     """
     own = {n: F.col(v) if isinstance(v, str) else F.lit(v) for n, v in (("max_width", max_width), ("max_height", max_height), ("padding", padding), ("gap", gap))}
     entry = F.struct("y", "x", "ord", padded_box(rect(), own["padding"], width, height).alias("box"))
-    ordered = regions.groupBy("image_id").agg(F.sort_array(F.collect_list(entry)).alias("rs"), *[F.max(v).alias(n) for n, v in own.items()])
-    max_width, max_height, gap = F.greatest(F.lit(64), F.col("max_width")), F.greatest(F.lit(64), F.col("max_height")), F.col("gap")
-    none = F.expr("cast(array() AS array<struct<box:struct<x0:bigint,y0:bigint,x1:bigint,y1:bigint>,ords:array<bigint>>>)")
-
-    def step(groups, r):
-        def growth(g, i):
-            both = union_box(g["box"], r["box"])
-            fits = close(g["box"], r["box"], gap) & (both["x1"] - both["x0"] <= max_width) & (both["y1"] - both["y0"] <= max_height)
-            return F.when(fits, F.struct((box_area(both) - box_area(g["box"])).alias("added"), i.alias("at")))
-
-        best = F.array_min(F.transform(groups, growth))["at"]
-        opened = F.concat(groups, F.array(F.struct(r["box"].alias("box"), F.array(r["ord"]).alias("ords"))))
-        grown = F.transform(groups, lambda g, i: F.when(i == best, F.struct(union_box(g["box"], r["box"]).alias("box"), F.concat(g["ords"], F.array(r["ord"])).alias("ords"))).otherwise(g))
-        return F.when(best.isNull(), opened).otherwise(grown)
-
-    groups = ordered.select("image_id", F.posexplode(F.aggregate("rs", none, step)).alias("age", "g"))
-    place = F.row_number().over(Window.partitionBy("image_id").orderBy("g.box.y0", "g.box.x0", "age"))
-    return groups.select(
-        "image_id", place.cast("long").alias("index"), F.col("g.box.x0").alias("x"), F.col("g.box.y0").alias("y"),
-        (F.col("g.box.x1") - F.col("g.box.x0")).alias("w"), (F.col("g.box.y1") - F.col("g.box.y0")).alias("h"),
-        F.size("g.ords").cast("long").alias("region_count"), F.col("g.ords").alias("ords"),
-    )
+    ordered = regions.groupBy("image_id").agg(F.sort_array(F.collect_list(entry)).alias("rs"), *[F.max(v).cast("long").alias(n) for n, v in own.items()])
+    boxes = F.transform("rs", lambda r: F.struct(r["ord"].alias("ord"), *[r["box"][c].alias(c) for c in ("x0", "y0", "x1", "y1")]))
+    groups = crop_groups(boxes, F.greatest(F.lit(64), F.col("max_width")), F.greatest(F.lit(64), F.col("max_height")), F.col("gap"))
+    return ordered.select("image_id", F.inline(groups))
 
 
 def crop_area(groups: DataFrame, width: int, height: int) -> DataFrame:
@@ -128,15 +109,11 @@ def union_area(rects: DataFrame) -> DataFrame:
     """image_id, area: exact area that the rectangles of each image cover.
 
     Distinct x edges cut the image into slabs; in each slab the rectangles' y intervals are merged by a running maximum of
-    their ends, which counts what each adds to those before it.
+    their ends, which counts what each adds to those before it.  An image is a row, so no rectangle is a row of each slab.
     """
-    edges = rects.select("image_id", F.col("x").alias("e")).union(rects.select("image_id", F.col("x") + F.col("w"))).distinct()
-    slabs = edges.select("image_id", F.col("e").alias("x0"), F.lead("e").over(Window.partitionBy("image_id").orderBy("e")).alias("x1")).filter("x1 IS NOT NULL")
-    inside = slabs.alias("s").join(rects.alias("r"), F.expr("s.image_id = r.image_id AND r.x < s.x1 AND r.x + r.w > s.x0"))
-    spans = inside.select("s.image_id", "x0", "x1", F.col("r.y").alias("y0"), (F.col("r.y") + F.col("r.h")).alias("y1"))
-    before = F.max("y1").over(Window.partitionBy("image_id", "x0").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.greatest(F.lit(0), F.col("y1") - F.greatest(F.col("y0"), F.coalesce(before, F.col("y0"))))
-    return spans.select("image_id", ((F.col("x1") - F.col("x0")) * fresh).alias("part")).groupBy("image_id").agg(F.sum("part").cast("long").alias("area"))
+    entry = F.struct(F.col("y").alias("y0"), (F.col("y") + F.col("h")).alias("y1"), F.col("x").alias("x0"), (F.col("x") + F.col("w")).alias("x1"))
+    packed = rects.filter("image_id IS NOT NULL AND w > 0").groupBy("image_id").agg(F.sort_array(F.collect_list(entry)).alias("rs"))
+    return packed.select("image_id", covered("rs").alias("area"))
 
 
 def coverage_label(areas: DataFrame, width: int, height: int) -> DataFrame:
@@ -176,12 +153,21 @@ def commit_selection(drags: DataFrame, scale_x: float, scale_y: float, width: in
 def put_region(regions: DataFrame, edits: DataFrame) -> DataFrame:
     """edits(image_id, ord, x, y, w, h) replace the rows of the same ord; with a null ord they are appended if w and h are 1
     or more."""
-    changes = edits.filter("ord IS NOT NULL").select("image_id", "ord", *[F.col(c).alias(f"new_{c}") for c in XYWH])
-    changed = regions.join(changes, ["image_id", "ord"], "left").select("image_id", "ord", *[F.coalesce(f"new_{c}", c).alias(c) for c in XYWH])
-    last = regions.groupBy("image_id").agg(F.max("ord").alias("last"))
-    place = F.row_number().over(Window.partitionBy("image_id").orderBy(*XYWH)).cast("long")
-    more = edits.filter("ord IS NULL AND w >= 1 AND h >= 1").join(last, "image_id", "left").select("image_id", (F.coalesce("last", F.lit(0)) + place).alias("ord"), *XYWH)
-    return changed.unionByName(more)
+    row = F.struct(*[F.col(c).cast("long").alias(c) for c in ("ord", *XYWH)])
+    listed = lambda df, n: df.groupBy("image_id").agg(F.collect_list(row).alias(n))
+    both = listed(regions, "rs").join(listed(edits, "es"), "image_id", "full")  # by image alone, in whose parts the regions lie
+
+    def change(r):
+        own = F.filter("es", lambda e: e["ord"] == r["ord"])
+        new = F.transform(own, lambda e: F.struct(r["ord"].alias("ord"), *[F.coalesce(e[c], r[c]).alias(c) for c in XYWH]))
+        return F.when(F.size(own) > 0, new).otherwise(F.array(r))
+
+    fresh = F.filter("es", lambda e: e["ord"].isNull() & (e["w"] >= 1) & (e["h"] >= 1))
+    ordered = F.sort_array(F.transform(fresh, lambda e: F.struct(*[e[c].alias(c) for c in XYWH])))
+    last = F.coalesce(F.array_max(F.col("rs.ord")), F.lit(0).cast("long"))
+    more = F.transform(ordered, lambda e, i: F.struct((last + i + 1).alias("ord"), *[e[c].alias(c) for c in XYWH]))
+    put = F.when(F.col("es").isNull(), F.col("rs")).when(F.col("rs").isNull(), more).otherwise(F.concat(F.flatten(F.transform("rs", change)), more))
+    return both.select("image_id", F.inline(put))
 
 
 def delete_regions(regions: DataFrame, gone: DataFrame) -> DataFrame:
@@ -192,10 +178,10 @@ def delete_regions(regions: DataFrame, gone: DataFrame) -> DataFrame:
 
 def adopt(regions: DataFrame, proposed: DataFrame) -> DataFrame:
     """image_id, ord, x, y, w, h: the proposed regions of images where they are not fewer than their own, else their own."""
-    count = lambda df, n: df.groupBy("image_id").agg(F.count("*").alias(n))
-    better = count(proposed, "m").join(count(regions, "n"), "image_id", "left").filter(F.col("m") >= F.coalesce("n", F.lit(0))).select("image_id")
-    columns = ["image_id", "ord", *XYWH]
-    return regions.join(better, "image_id", "left_anti").select(columns).unionByName(proposed.join(better, "image_id", "left_semi").select(columns))
+    listed = lambda df, n: df.groupBy("image_id").agg(F.collect_list(F.struct("ord", *XYWH)).alias(n))
+    both = listed(regions, "own").join(listed(proposed.filter("image_id IS NOT NULL"), "new"), "image_id", "full")
+    better = F.col("new").isNotNull() & (F.col("own").isNull() | (F.size("new") >= F.size("own")))
+    return both.select("image_id", F.inline(F.when(better, F.col("new")).otherwise(F.col("own"))))
 
 
 def select_region(regions: DataFrame, chosen: DataFrame) -> DataFrame:
