@@ -73,9 +73,9 @@ def crops_of(regions: DataFrame, mask: DataFrame, asked: DataFrame, width: int,
         "image_id", F.col("propainter_crop_max_width").alias("max_w"), F.col("propainter_crop_max_height").alias("max_h"), F.col("propainter_crop_padding").alias("pad"), F.col("propainter_crop_merge_gap").alias("apart")
     )
     tight = r.tighten(regions.join(own, "image_id", "left_semi").select("image_id", "ord", *XYWH), mask, width, height)
-    planned = cut(g.plan_crops(tight.join(own, "image_id"), width, height, "max_w", "max_h", "pad", "apart"), "planned")
-    relaxed = cut(r.relax_crops(cut(r.summarize_crops(planned, mask, width, height), "summed"), width, height).drop("status"), "relaxed")
-    return cut(r.summarize_crops(relaxed.join(planned.select("image_id", "index", "region_count"), ["image_id", "index"]), mask, width, height), "crops")
+    planned = g.plan_crops(tight.join(own, "image_id"), width, height, "max_w", "max_h", "pad", "apart")
+    relaxed = cut(r.relax_crops(cut(r.summarize_crops(planned, mask, width, height), "summed"), width, height, "region_count").drop("status"), "relaxed")
+    return cut(r.summarize_crops(relaxed, mask, width, height), "crops")
 
 
 def analyze(requests: DataFrame, overrides: DataFrame, base: DataFrame, rgb: DataFrame, width: int, height: int, probability: DataFrame | None = None) -> DataFrame:

@@ -58,7 +58,7 @@ def clip_key(path: Column, offset: Column, duration: Column) -> Column:
 
 def status_counts(summaries: DataFrame) -> DataFrame:
     """image_id and how many of its crops have each status, zeros included."""
-    return summaries.groupBy("image_id").pivot("status", STATUSES).agg(F.count("status")).na.fill(0)
+    return summaries.groupBy("image_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES])
 
 
 def sweep_summary(runs: DataFrame) -> DataFrame:

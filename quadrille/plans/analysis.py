@@ -2,6 +2,7 @@
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import config as c
@@ -24,24 +25,24 @@ def merged(spark, sf_dir):
 
 def regrouped(regions, mask):
     """Crops around the mask in each region, with more room where the mask comes near their sides, and what they hold then."""
-    planned = cut(g.plan_crops(r.tighten(regions, mask, WIDTH, HEIGHT), **PLAN), "planned")
-    relaxed = cut(r.relax_crops(cut(r.summarize_crops(planned, mask, WIDTH, HEIGHT), "summed"), WIDTH, HEIGHT).drop("status"), "relaxed")
-    return r.summarize_crops(relaxed.join(planned.select("image_id", "index", "region_count"), ["image_id", "index"]), mask, WIDTH, HEIGHT)
+    planned = g.plan_crops(r.tighten(regions, mask, WIDTH, HEIGHT), **PLAN)
+    relaxed = cut(r.relax_crops(cut(r.summarize_crops(planned, mask, WIDTH, HEIGHT), "summed"), WIDTH, HEIGHT, "region_count").drop("status"), "relaxed")
+    return r.summarize_crops(relaxed, mask, WIDTH, HEIGHT)
 
 
 def analysis(spark, sf_dir):
     """image_id, the counts of regions and of crops by status, their area, the mask's coverage and box, and the crops as JSON."""
-    raw = g.normalize(raw_regions(spark, sf_dir)).groupBy("image_id").agg(F.count("*").alias("base_region_count"))
-    regions = cut(merged(spark, sf_dir), "merged")
-    kept = regions.groupBy("image_id").agg(F.count("*").alias("merged_region_count"))
+    raw = g.normalize(raw_regions(spark, sf_dir)).withColumn("base_region_count", F.count("*").over(Window.partitionBy("image_id")))
+    regions = cut(g.dedupe(g.clamp_regions(raw, WIDTH, HEIGHT), g.DEDUPE_IOU, "base_region_count"), "merged")
+    kept = regions.groupBy("image_id").agg(F.max("base_region_count").alias("base_region_count"), F.count("*").alias("merged_region_count"))
     crop = F.struct("index", "x", "y", "w", "h", "region_count", "status", "min_margin_px")
-    groups = cut(regrouped(regions, points(spark, sf_dir)), "crops").groupBy("image_id").agg(
+    groups = cut(regrouped(regions.drop("base_region_count"), points(spark, sf_dir)), "crops").groupBy("image_id").agg(
         F.count("*").alias("crop_groups"), *[F.count_if(F.col("status") == s).alias(s) for s in STATUS], F.sum(F.col("w") * F.col("h")).alias("crop_area_total"),
         F.to_json(F.sort_array(F.collect_list(crop))).alias("crops"),
     )
     inside = points(spark, sf_dir).filter((F.col("px") < WIDTH) & (F.col("py") < HEIGHT))
     mask = inside.groupBy("image_id").agg(F.count("*").alias("n"), F.min("px").alias("mask_x0"), F.min("py").alias("mask_y0"), (F.max("px") + 1).alias("mask_x1"), (F.max("py") + 1).alias("mask_y1"))
-    both = raw.join(kept, "image_id").join(groups, "image_id").join(mask, "image_id", "left")
+    both = kept.join(groups, "image_id").join(mask, "image_id", "left")
     pct = lambda v: F.rint(v / (WIDTH * HEIGHT) * 100 * 1000) / 1000
     zero = lambda n: F.coalesce(F.col(n), F.lit(0)).alias(n)
     return both.select(
