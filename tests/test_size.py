@@ -8,8 +8,8 @@ import random
 import pytest
 
 from quadrille import plans
-from quadrille.operators import masks, raster, runs, templates
-from quadrille.sources.shared import by_merge, cut
+from quadrille.operators import geometry, masks, raster, runs, templates
+from quadrille.sources.shared import by_merge, cut, in_parts
 
 from .test_queries import DATA
 
@@ -147,3 +147,49 @@ def test_hits_of_an_image_are_counted_and_spread_in_one_part(spark):
     hits = spark.range(2000).selectExpr("id % 10 AS image_id", "id div 10 % 20 AS y", "id div 200 AS x", "0 AS frame", "id % 3 = 0 AS hit")
     plan = explained(masks.voted(hits, 1, 0.05, 0.6, 1))
     assert "(y" not in "".join(line for line in plan.splitlines() if "Exchange" in line) and plan.count("REPARTITION_BY_NUM") == plan.count("Exchange")
+
+
+@pytest.fixture
+def large_table(spark, tmp_path, monkeypatch):
+    """Lines of orders that fill more parts than there are cores, as those of a large table do."""
+    monkeypatch.setattr("quadrille.sources.shared.PART_ROWS", 20)
+    rng = random.Random(8)
+    lines = [(i, rng.randrange(200), rng.randrange(50), n, float(rng.randrange(1, 50)), rng.random() * 1000, 0.01, 0.02, "R", "O", None) for i in range(60) for n in range(1, rng.randrange(2, 8))]
+    types = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(lines, types).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(80).selectExpr("id AS o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    return str(tmp_path), -(-len(lines) // 20)
+
+
+@pytest.mark.parametrize("name", ["mask_coverage_label", "region_upsert", "region_union_area", "crop_group_plan"])
+def test_regions_lie_in_as_many_parts_as_their_rows_fill(spark, large_table, name):
+    """No part grows with the table, and what follows by image shuffles no region again."""
+    data, parts = large_table
+    plan = explained(plans.queries()[name](spark, data))
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert exchanges and all("REPARTITION_BY_NUM" in line and f", {parts})" in line for line in exchanges)
+
+
+def test_images_without_regions_move_to_the_parts_of_regions(spark, large_table):
+    data, parts = large_table
+    plan = explained(plans.queries()["region_boxes"](spark, data))
+    assert "hashpartitioning(l_orderkey#" in plan and f", {parts}), REPARTITION_BY_NUM" in plan
+
+
+def test_small_tables_stay_in_their_parts(spark):
+    df = spark.range(100)
+    assert "Exchange" not in explained(in_parts(df, "id"))
+
+
+@pytest.mark.parametrize("name", ["crop_group_plan", "region_dedupe_greedy", "region_union_area", "regions_adopt"])
+def test_folds_run_once_in_batches(spark, large_table, name):
+    assert explained(plans.queries()[name](spark, large_table[0])).count("ArrowEvalPython") == 1
+
+
+def test_boxes_and_their_mask_are_shuffled_once(spark):
+    """Planning is not done again for what the mask leaves free."""
+    regions = spark.createDataFrame([(1, 1, 5, 5, 30, 30)], "image_id long, ord long, x long, y long, w long, h long")
+    points = spark.createDataFrame([(1, 8, 9)], "image_id long, px long, py long")
+    boxes = geometry.plan_crops(regions, 320, 200, 200, 150, 4, 4).selectExpr("*", "x + w AS x1", "y + h AS y1")
+    plan = explained(raster._with_held(boxes, points, "x", "y", "x1", "y1"))
+    assert plan.count("Exchange") == 3 and plan.count("ArrowEvalPython") == 1  # regions, groups and points
