@@ -9,7 +9,7 @@ from ..operators import config as c
 from ..operators import geometry as g
 from ..operators import raster as r
 from ..operators import reports as p
-from ..sources.shared import cut
+from ..sources.shared import cut, in_parts
 from ..sources import files as f
 from ..sources.tables import HEIGHT, PIXELS, REGIONS, WIDTH, table
 from ..sources.tables import regions as table_regions
@@ -25,18 +25,20 @@ def merged(spark, sf_dir):
 
 def regrouped(regions, mask):
     """Crops around the mask in each region, with more room where the mask comes near their sides, and what they hold then."""
-    planned = g.plan_crops(r.tighten(regions, mask, WIDTH, HEIGHT), **PLAN)
+    spread = lambda df: in_parts(df, "image_id", regions)
+    planned = spread(g.plan_crops(spread(r.tighten(spread(regions), mask, WIDTH, HEIGHT)), **PLAN))
     relaxed = cut(r.relax_crops(cut(r.summarize_crops(planned, mask, WIDTH, HEIGHT), "summed"), WIDTH, HEIGHT, "region_count").drop("status"), "relaxed")
-    return r.summarize_crops(relaxed, mask, WIDTH, HEIGHT)
+    return r.summarize_crops(spread(relaxed), mask, WIDTH, HEIGHT)
 
 
 def analysis(spark, sf_dir):
     """image_id, the counts of regions and of crops by status, their area, the mask's coverage and box, and the crops as JSON."""
     raw = g.normalize(raw_regions(spark, sf_dir)).withColumn("base_region_count", F.count("*").over(Window.partitionBy("image_id")))
     regions = cut(g.dedupe(g.clamp_regions(raw, WIDTH, HEIGHT), g.DEDUPE_IOU, "base_region_count"), "merged")
-    kept = regions.groupBy("image_id").agg(F.max("base_region_count").alias("base_region_count"), F.count("*").alias("merged_region_count"))
+    kept = in_parts(regions, "image_id").groupBy("image_id").agg(F.max("base_region_count").alias("base_region_count"), F.count("*").alias("merged_region_count"))
     crop = F.struct("index", "x", "y", "w", "h", "region_count", "status", "min_margin_px")
-    groups = cut(regrouped(regions.drop("base_region_count"), points(spark, sf_dir)), "crops").groupBy("image_id").agg(
+    crops = cut(regrouped(regions.drop("base_region_count"), points(spark, sf_dir)), "crops")
+    groups = in_parts(crops, "image_id", regions).groupBy("image_id").agg(
         F.count("*").alias("crop_groups"), *[F.count_if(F.col("status") == s).alias(s) for s in STATUS], F.sum(F.col("w") * F.col("h")).alias("crop_area_total"),
         F.to_json(F.sort_array(F.collect_list(crop))).alias("crops"),
     )

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from ..operators import geometry as g
 from ..operators import raster as r
 from ..operators import runs as u
-from ..sources.tables import HEIGHT, PIXELS, REGIONS, SIDE, WIDTH, pixels
+from ..sources.shared import in_parts
+from ..sources.tables import HEIGHT, PIXELS, REGIONS, SIDE, WIDTH, pixels, table
 from .geometry import CLAMPED, PLANNED, clamped, planned
 
 W = f"WITH {PIXELS}"
@@ -77,7 +78,8 @@ tightened AS (SELECT image_id, ord, CASE WHEN n IS NULL THEN x ELSE greatest(sx0
 
 
 def summed(spark, sf_dir):
-    return r.summarize_crops(planned(spark, sf_dir), points(spark, sf_dir), WIDTH, HEIGHT)
+    groups = in_parts(planned(spark, sf_dir), "image_id", table(spark, sf_dir, "lineitem"))
+    return r.summarize_crops(groups, points(spark, sf_dir), WIDTH, HEIGHT)
 
 
 QUERIES = {
