@@ -8,7 +8,7 @@ import random
 import pytest
 
 from quadrille import plans
-from quadrille.operators import geometry, masks, raster, runs, templates
+from quadrille.operators import geometry, masks, raster, runs, strokes, templates
 from quadrille.sources.shared import by_merge, cut, in_parts
 
 from .test_queries import DATA
@@ -193,3 +193,11 @@ def test_boxes_and_their_mask_are_shuffled_once(spark):
     boxes = geometry.plan_crops(regions, 320, 200, 200, 150, 4, 4).selectExpr("*", "x + w AS x1", "y + h AS y1")
     plan = explained(raster._with_held(boxes, points, "x", "y", "x1", "y1"))
     assert plan.count("Exchange") == 3 and plan.count("ArrowEvalPython") == 1  # regions, groups and points
+
+
+def test_pixels_of_frames_are_made_in_the_parts_that_are_set(spark):
+    """What Spark merges into one task are the images, whose pixels that task would then make alone."""
+    images = spark.range(50).selectExpr("id % 20 AS image_id").distinct()
+    for band in (strokes.wide_band, strokes.text_band, strokes.text_core):
+        df = band(images, 40, 24)
+        assert df.selectExpr("spark_partition_id() AS part").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
