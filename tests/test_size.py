@@ -5,10 +5,11 @@ import inspect
 import io
 import random
 
+import pyarrow as pa
 import pytest
 
 from quadrille import plans
-from quadrille.operators import geometry, masks, raster, runs, strokes, templates
+from quadrille.operators import edges, geometry, masks, raster, runs, strokes, templates
 from quadrille.sources.shared import by_merge, cut, in_parts
 
 from .test_queries import DATA
@@ -201,3 +202,46 @@ def test_pixels_of_frames_are_made_in_the_parts_that_are_set(spark):
     for band in (strokes.wide_band, strokes.text_band, strokes.text_core):
         df = band(images, 40, 24)
         assert df.selectExpr("spark_partition_id() AS part").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def noise(spark, images=6, side=12):
+    rng = random.Random(3)
+    return spark.createDataFrame([(i, y, x, rng.randrange(256)) for i in range(images) for y in range(side) for x in range(side)], "image_id long, y long, x long, v long")
+
+
+def edges_of(df):
+    return {tuple(r)[:3] for r in df.collect() if r["v"]}
+
+
+def test_edges_take_one_shuffle_into_parts_that_grow(spark, monkeypatch):
+    """No pixel is joined, and what a task sorts doesn't grow with the table."""
+    want = edges_of(edges.canny(noise(spark), 200, 600, 12))
+    monkeypatch.setattr("quadrille.sources.shared.PART_ROWS", 50)
+    monkeypatch.setattr("quadrille.operators.raster.SLAB", 100)
+    drawn = edges.canny(noise(spark), 200, 600, 12)
+    plan = explained(drawn)
+    assert plan.count("Exchange") == 1 and f", {-(-6 * 144 // 50)}), REPARTITION_BY_NUM" in plan and "Join" not in plan
+    assert want and edges_of(drawn) == want
+
+
+def test_surfaces_take_one_shuffle_into_parts_that_grow(spark, monkeypatch):
+    monkeypatch.setattr("quadrille.sources.shared.PART_ROWS", 50)
+    rgb = noise(spark).selectExpr("image_id", "y", "x", "CAST(v AS double) AS r", "CAST(v * 7 % 256 AS double) AS g", "CAST(v * 3 % 256 AS double) AS b")
+    plan = explained(strokes.match_surface(rgb, 12))
+    assert plan.count("Exchange") == 1 and f", {-(-6 * 144 // 50)}), REPARTITION_BY_NUM" in plan and "Join" not in plan
+
+
+def test_pixels_without_an_image_have_no_edges(spark):
+    pixels = noise(spark, 2).selectExpr("CASE WHEN image_id = 0 THEN image_id END AS image_id", "y", "x", "v")
+    rows = edges.canny(pixels, 200, 600, 12).collect()
+    assert len(rows) == 288 and {r["image_id"] for r in rows if r["v"]} == {0}
+
+
+@pytest.mark.parametrize("rows", [1, 4, 100])
+def test_batches_are_put_together_to_whole_images(rows):
+    images = [1, 1, 1, 2, 3, 3, 3, 3, 3, 3, 3, 4, 4, 7]
+    for size in (1, 2, 5, 14):
+        batches = [pa.RecordBatch.from_pydict({"image_id": images[i : i + size]}) for i in range(0, len(images), size)]
+        got = [b.column("image_id").to_pylist() for b in raster.whole_images([*batches, batches[0].slice(0, 0)], rows)]
+        assert sum(got, []) == images and not any(set(a) & set(b) for i, a in enumerate(got) for b in got[i + 1 :])
+        assert all(len(b) >= rows for b in got[:-1]) and (rows > 1 or size > 1 or len(got) == 5)
