@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import clamp, half_even
-from ..sources.shared import by_merge, cut
+from ..sources.shared import by_image, by_merge, cut
 from .edges import byte
 from .geometry import XYWH
 from .masks import recentre
@@ -28,11 +28,13 @@ def number(regions: DataFrame) -> DataFrame:
     return cut(regions.withColumn("crop", F.monotonically_increasing_id()), "crops")
 
 
-def cut_out(pixels: DataFrame, regions: DataFrame) -> DataFrame:
-    """The pixels of numbered regions; image_id is the crop's number, y and x count from the region's corner."""
+def cut_out(pixels: DataFrame, regions: DataFrame, *carried: str) -> DataFrame:
+    """The pixels of numbered regions; image_id is the crop's number, y and x count from the region's corner.  With the carried
+    columns of the regions."""
     inside = F.expr("p.image_id = r.image_id AND p.x >= r.x AND p.x < r.x + r.w AND p.y >= r.y AND p.y < r.y + r.h")
-    values = [F.col(f"p.{c}") for c in pixels.columns if c not in AT]
-    return by_merge(pixels).alias("p").join(regions.alias("r"), inside).select(F.col("r.crop").alias("image_id"), (F.col("p.y") - F.col("r.y")).alias("y"), (F.col("p.x") - F.col("r.x")).alias("x"), *values)
+    values = [F.col(f"p.{c}") for c in pixels.columns if c not in AT] + [F.col(f"r.{c}") for c in carried]
+    p, r = by_image(pixels, regions)
+    return by_merge(p).alias("p").join(r.alias("r"), inside).select(F.col("r.crop").alias("image_id"), (F.col("p.y") - F.col("r.y")).alias("y"), (F.col("p.x") - F.col("r.x")).alias("x"), *values)
 
 
 def draw_masks(regions: DataFrame, width: int, height: int, padding: int, spread: int, rgb: DataFrame | None = None) -> DataFrame:
@@ -44,14 +46,17 @@ def draw_masks(regions: DataFrame, width: int, height: int, padding: int, spread
     high = F.least(F.lit(height), F.col("y") + F.col("h") + padding) - y0
     boxes = regions.select("image_id", "ord", x0.alias("x"), y0.alias("y"), wide.alias("w"), high.alias("h")).filter("w > 0 AND h > 0")
     if rgb is None:
-        drawn = rectangle_masks(boxes, width, height).select(*AT, F.lit(255).cast("long").alias("d")).distinct()
+        drawn = rectangle_masks(boxes, width, height).select(*AT, F.lit(1).cast("long").alias("ord"), F.lit(255).cast("long").alias("v"))
     else:
-        boxes = number(boxes)
-        mask = refined_mask(cut(cut_out(rgb, boxes), "cut-out"), width)
-        placed = mask.withColumnRenamed("image_id", "crop").join(boxes.select("crop", "image_id", "ord", F.col("x").alias("x0"), F.col("y").alias("y0")), "crop")
-        drawn = merge_last(placed.select("image_id", "ord", (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"), "v")).withColumnRenamed("v", "d")
-    whole = grid(regions.select("image_id").distinct(), width, height).join(by_merge(drawn), AT, "left").select(*AT, F.coalesce("d", F.lit(0)).cast("long").alias("v"))
-    return dilate(cut(whole, "drawn"), spread)
+        boxes = number(boxes).withColumns({"frame": F.col("image_id"), "x0": F.col("x"), "y0": F.col("y")})
+        told = ("frame", "ord", "x0", "y0")
+        mask = refined_mask(cut(cut_out(rgb, boxes, *told), "cut-out"), width, carried=told)
+        drawn = cut(mask.select(F.col("frame").alias("image_id"), (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"), "ord", "v"), "drawn")
+    frames = grid(regions.select("image_id").distinct(), width, height)
+    layers = frames.select(*[F.col(c).cast("long").alias(c) for c in AT], F.lit(None).cast("long").alias("ord"), F.lit(None).cast("long").alias("v")).unionByName(drawn)
+    whole = merge_last(by_image(layers)).withColumn("v", F.coalesce("v", F.lit(0)).cast("long"))
+    within = F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)
+    return dilate(whole.filter(within), spread)
 
 
 def best_signal(signals: DataFrame, patches: DataFrame, least: float = LEAST_SIGNAL, sides=(LEAST_WIDE, LEAST_HIGH), windows=(WINDOW_WIDE, WINDOW_HIGH)) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import by_image
-from .raster import least_of_tied, neighbours, whole_images
+from .raster import joined, whole_images
 
 # Tangents of 22.5 and 67.5 degrees as fractions of 2**15, as image libraries have them; the second is the first
 # and 2.
@@ -64,13 +64,8 @@ def _reached(side: int, kept: list[str]):
 
     def reached(batch: pa.RecordBatch) -> np.ndarray:
         weak, strong = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("weak", "strong"))
-        on, v = np.flatnonzero(weak), np.zeros(len(weak), np.int64)
-        image, y, x = (batch.column(c).take(pa.array(on)).to_numpy() for c in ("image_id", "y", "x"))
-        y = y - y.min(initial=0)
-        row = np.unique(image, return_inverse=True)[1] * (int(y.max(initial=0)) + 2) + y  # an empty row between images
-        order = np.lexsort((x, row))
-        on = on[order]
-        label = least_of_tied(len(on), *neighbours(row[order] * (side + 1) + x[order], side + 1))
+        on, label = joined(batch, weak, side)
+        v = np.zeros(len(weak), np.int64)
         hit = np.zeros(len(on), bool)
         hit[label[strong[on]]] = True
         v[on[hit[label]]] = 255

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from quadrille import plans
-from quadrille.operators import edges, geometry, masks, raster, runs, strokes, templates
+from quadrille.operators import crops, edges, geometry, masks, raster, runs, strokes, templates
 from quadrille.sources.shared import by_merge, cut, in_parts
 
 from .test_queries import DATA
@@ -245,3 +245,26 @@ def test_batches_are_put_together_to_whole_images(rows):
         got = [b.column("image_id").to_pylist() for b in raster.whole_images([*batches, batches[0].slice(0, 0)], rows)]
         assert sum(got, []) == images and not any(set(a) & set(b) for i, a in enumerate(got) for b in got[i + 1 :])
         assert all(len(b) >= rows for b in got[:-1]) and (rows > 1 or size > 1 or len(got) == 5)
+
+
+def test_regions_are_refined_without_a_join_of_pixels_in_parts_that_grow(spark, monkeypatch):
+    """Pixels carry what is told of their image and their region; each step's parts follow its own rows."""
+    monkeypatch.setattr("quadrille.sources.shared.PART_ROWS", 50)
+    rgb = noise(spark, 3).selectExpr("image_id", "y", "x", *[f"CAST(v * {k} % 256 AS double) AS {c}" for k, c in ((1, "r"), (7, "g"), (3, "b"))])
+    regions = spark.createDataFrame([(i, n, n * 2, 1, 6, 5) for i in range(3) for n in (1, 2)], "image_id long, ord long, x long, y long, w long, h long")
+    boxes = regions.withColumn("crop", regions.image_id * 2 + regions.ord)
+    plan = explained(crops.cut_out(rgb, boxes))
+    parts = f", {-(-3 * 144 // 50)}), REPARTITION_BY_NUM"
+    assert plan.count("Exchange") == plan.count(parts) == 2
+    for df, rows in ((strokes.refined_mask(rgb, 12), 432), (crops.draw_masks(regions, 12, 12, 1, 1, rgb), 432 + 6 * 8 * 7)):
+        plan = explained(df)
+        assert "Join" not in plan and plan.count("Exchange") - plan.count("ENSURE_REQUIREMENTS") == 1 and "REPARTITION_BY_NUM" in plan
+        assert f", {-(-rows // 50)}), REPARTITION_BY_NUM" in plan
+
+
+def test_components_of_pixels_have_their_sizes(spark):
+    lit = {(0, 0, 0), (0, 1, 1), (0, 1, 4), (0, 2, 4), (1, 0, 5), (1, 1, 0)}
+    pixels = spark.createDataFrame([(i, y, x, 255 * ((i, y, x) in lit)) for i in range(3) for y in range(3) for x in range(6)], "image_id long, y long, x long, v long")
+    got = {tuple(r)[:3]: (r["area"], r["w"], r["h"]) for r in raster.with_component(pixels.repartition(2, "image_id"), "v", 6).collect()}
+    want = {(0, 0, 0): (2, 2, 2), (0, 1, 1): (2, 2, 2), (0, 1, 4): (2, 1, 2), (0, 2, 4): (2, 1, 2), (1, 0, 5): (1, 1, 1), (1, 1, 0): (1, 1, 1)}
+    assert len(got) == 54 and {k: v for k, v in got.items() if v != (0, 0, 0)} == want
