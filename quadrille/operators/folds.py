@@ -27,24 +27,31 @@ def _lists(of: np.ndarray, n: int, items: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32()), items)
 
 
+def _apart(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, start: np.ndarray, count: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rectangles of lists overlap none kept before them in their list by an IoU of threshold or more."""
+    keep = np.ones(len(x), bool)
+    for k in range(1, int(count.max(initial=0))):
+        first = start[count > k, None]
+        before, own = first + np.arange(k), first + k
+        keep[own[:, 0]] = ~(keep[before] & (_iou(x, y, w, h, before, own) >= threshold)).any(1)
+    return keep
+
+
+def _iou(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Intersection over union of rectangles at the places a and b; 0 where there is no overlap."""
+    wide = np.minimum(x[a] + w[a], x[b] + w[b]) - np.maximum(x[a], x[b])
+    high = np.minimum(y[a] + h[a], y[b] + h[b]) - np.maximum(y[a], y[b])
+    both = np.where((wide > 0) & (high > 0), wide * high, 0)
+    return np.divide(both, w[a] * h[a] + w[b] * h[b] - both, out=np.zeros(both.shape), where=both > 0)
+
+
 def apart(regions: Column, threshold: float) -> Column:
     """regions (an array of REGION) without those that overlap one kept before them by an IoU of threshold or more."""
 
     @arrow_udf(f"array<{REGION}>")
     def kept(lists: pa.Array) -> pa.Array:
         rows, start, count = _rows(lists)
-        x, y, w, h = _whole(rows, "x", "y", "w", "h")
-        keep = np.ones(len(rows), bool)
-        for k in range(1, int(count.max(initial=0))):
-            first = start[count > k, None]
-            before, own = first + np.arange(k), first + k
-            wide = np.minimum(x[before] + w[before], x[own] + w[own]) - np.maximum(x[before], x[own])
-            high = np.minimum(y[before] + h[before], y[own] + h[own]) - np.maximum(y[before], y[own])
-            both = np.where((wide > 0) & (high > 0), wide * high, 0)
-            either = w[before] * h[before] + w[own] * h[own] - both
-            iou = np.divide(both, either, out=np.zeros(both.shape), where=both > 0)
-            keep[own[:, 0]] = ~(keep[before] & (iou >= threshold)).any(1)
-        place = np.flatnonzero(keep)
+        place = np.flatnonzero(_apart(*_whole(rows, "x", "y", "w", "h"), start, count, threshold))
         return _lists(np.repeat(np.arange(len(count)), count)[place], len(count), rows.take(pa.array(place)))
 
     return kept(regions)
