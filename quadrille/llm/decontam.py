@@ -1,11 +1,10 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only."""
 
-from functools import reduce
-from operator import and_, or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import by_merge
+
 #: Fixed masks: the offsets that a seed reads in a window of SPAN words; the words between may differ.
 MASKS = ((0, 1, 2, 5, 7, 9), (0, 2, 3, 4, 8, 9), (0, 1, 4, 6, 8, 9))
 SPAN = 10
@@ -44,19 +43,6 @@ def best_run(equal: Column) -> Column:
     return F.aggregate(equal, F.expr(state), step, lambda s: s["best"])
 
 
-def begins() -> Column:
-    """Whether a hit (h, t, pos, item_pos, mask) has none of another mask before its own, nor one a word earlier: of the many hits
-    of a long overlap one or a few are left, the first always, so that an alignment is not followed once for each."""
-
-    def hit(mask: tuple[int, ...], back: int) -> Column:
-        same = [F.get("h", F.col("pos") + o - back) == F.get("t", F.col("item_pos") + o - back) for o in mask]
-        return F.coalesce(reduce(and_, same), F.lit(False))
-
-    earlier = (F.col("pos") > 0) & (F.col("item_pos") > 0) & reduce(or_, [hit(mask, 1) for mask in MASKS])
-    lower = reduce(or_, [(F.col("mask") > m) & hit(mask, 0) for m, mask in enumerate(MASKS[:-1])])
-    return ~earlier & ~lower
-
-
 def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """Overlaps of docs with benchmark items: key, item, doc_start, item_start, n_words, n_equal.
 
@@ -68,28 +54,27 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     are one document whose texts are each aligned by their own hits, and likewise rows of an item; null is a key like any
     other on both sides; an empty table on either side gives no rows; other columns are ignored.
     """
-    # a row is known by its key, which can be null, and a hash of both
-    row = lambda k, t: F.xxhash64(F.col(k), F.col(k).isNull(), F.coalesce(F.col(t), F.lit("")))
-    theirs = items.select(F.col(item).alias("item"), row(item, item_text).alias("item_row"), hashed_words(F.col(item_text)).alias("h")).distinct().filter(F.size("h") >= SPAN)
-    table = seeds(theirs, "item", "item_row").withColumnRenamed("pos", "item_pos")
-    theirs = theirs.select(F.col("item").alias("their_item"), F.col("item_row").alias("their_row"), F.col("h").alias("t"))
-    same_item = (F.col("item_row") == F.col("their_row")) & F.col("item").eqNullSafe(F.col("their_item"))
-    ours = docs.select(F.col(key).alias("key"), row(key, text).alias("row"), hashed_words(F.col(text)).alias("h"))
+    their = items.select(F.col(item).alias("item"), hashed_words(F.col(item_text)).alias("t")).filter(F.size("t") >= SPAN).withColumn("words", F.xxhash64("t"))
+    theirs, names = their.select("words", "t").distinct(), their.select("item", "words").distinct()  # equal items are aligned once
+    table = seeds(theirs.withColumnRenamed("t", "h").withColumn("n_words", F.size("h")), "words", "n_words").withColumnRenamed("pos", "item_pos")
+    h = hashed_words(F.col(text)).alias("h")
+    shift, low = F.col("pos") - F.col("item_pos"), F.greatest(F.lit(0), -F.col("shift"))
+    part = F.slice("h", F.col("low") + F.col("shift") + 1, F.least(F.col("n_words"), F.size("h") - F.col("shift")) - F.col("low")).alias("part")
+    # distinct() takes what an alignment needs of a document's words right where it is hit: further on no row carries the whole document
     if table.count() <= broadcast_seeds:  # an item has at most 3.4 times as many words as seeds, so the items are bounded too
-        hits = seeds(ours, "key", "h").join(F.broadcast(table), ["mask", "seed"])
-        pairs = hits.select("key", "h", "item", "item_row", (F.col("pos") - F.col("item_pos")).alias("shift"), "mask", "pos", "item_pos")
-        aligned = pairs.join(F.broadcast(theirs), same_item).filter(begins())
+        hits = seeds(docs.select(F.col(key).alias("key"), h), "key", "h").join(F.broadcast(table), ["mask", "seed"]).withColumn("shift", shift).withColumn("low", low)
+        aligned = hits.select("key", "words", "shift", "low", part).distinct().join(F.broadcast(theirs), "words")
     else:
-        hits = seeds(ours, "key", "row").join(table, ["mask", "seed"])
-        pairs = hits.select("key", "row", "item", "item_row", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
-        ours = ours.select(F.col("key").alias("our_key"), F.col("row").alias("our_row"), "h")
-        aligned = pairs.join(theirs, same_item).join(ours, (F.col("row") == F.col("our_row")) & F.col("key").eqNullSafe(F.col("our_key")))
-    low = F.greatest(F.lit(0), -F.col("shift"))
-    high = F.least(F.size("t"), F.size("h") - F.col("shift")) - 1
-    equal = F.transform(F.sequence(low, high), lambda i: F.get("t", i) == F.get("h", i + F.col("shift")))
-    found = aligned.select("key", "item", "shift", low.alias("low"), best_run(equal).alias("run"))
+        # a row is known by its key, which can be null, and a hash of both
+        ours = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(key), F.col(key).isNull(), F.coalesce(F.col(text), F.lit(""))).alias("row"), h)
+        hits = seeds(ours, "key", "row").join(by_merge(table), ["mask", "seed"]).select("key", "row", "words", "n_words", shift.alias("shift")).distinct().withColumn("low", low)
+        ours = by_merge(ours.select(F.col("key").alias("our_key"), F.col("row").alias("our_row"), "h"))
+        aligned = hits.join(ours, (F.col("row") == F.col("our_row")) & F.col("key").eqNullSafe(F.col("our_key"))).select("key", "words", "shift", "low", part).distinct()
+        aligned = aligned.join(by_merge(theirs), "words")
+    equal = F.transform("part", lambda w, i: w == F.get("t", F.col("low") + i))
+    found = aligned.select("key", "words", "shift", "low", best_run(equal).alias("run"))
     found = found.select(
-        "key", "item",
+        "key", "words",
         F.struct(
             F.col("run.equal").alias("n_equal"),
             (-(F.col("low") + F.col("run.first") + F.col("shift"))).alias("order"),
@@ -97,7 +82,8 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
             (F.col("run.last") - F.col("run.first") + 1).alias("n_words"),
         ).alias("run"),
     ).filter((F.col("run.n_equal") >= MIN_EQUAL) & (F.col("run.n_equal") >= MIN_SHARE * F.col("run.n_words")))
-    best = found.groupBy("key", "item").agg(F.max("run").alias("run"))
+    best = found.groupBy("key", "words").agg(F.max("run").alias("run")).join(by_merge(names), "words")
+    best = best.groupBy("key", "item").agg(F.max("run").alias("run"))
     return best.select(
         F.col("key").alias(key), F.col("item").alias(item), (-F.col("run.order")).cast("long").alias("doc_start"), F.col("run.item_start").cast("long").alias("item_start"),
         F.col("run.n_words").cast("long").alias("n_words"), F.col("run.n_equal").cast("long").alias("n_equal"),
